@@ -239,7 +239,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     small_batches(docs.sparkSession)
     path = path or default_path()
     names = [c for c in docs.columns if keep_text or c != text_col]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
@@ -310,7 +310,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
         raise ValueError(f"column {out_col} is taken")
     small_batches(df.sparkSession)
     path = path or default_path()
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType(), False)])
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
