@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, chat, decontaminate, line_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,92 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(both).alias("text")
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
+    # Rows of one turn that differ are messages of their own; equal ones too, so each gets a number.
+    numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    seq = F.struct("turn", "copy")
+    # Each row is logged as a model server would: the message begins, and its text arrives.
+    begun = numbered.select("conv_id", seq.alias("seq"), F.lit("message").alias("kind"), "turn", "copy", "role", F.lit("").alias("text"))
+    streamed = numbered.select("conv_id", seq.alias("seq"), F.lit("delta").alias("kind"), "turn", "copy", F.lit(None).cast("string").alias("role"), "text")
+    by = ("turn", "copy")
+    out = chat.render(chat.fold(begun.unionByName(streamed), by), by)
+    out = out.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.hits(docs, _table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit(F.col("spans")).cast("long")
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_chat_format": op3_chat_format,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_LINES = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op3_chat_format": rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(text, '(<|\[)(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\])', '\1\\\2\3', 'g')) AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(role) + 10 + n + 10 + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
+    "op4_decontaminate": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '{_WORD}') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOW.format("text")}, '{_WORD}') AS w FROM benchmark),
+k AS (SELECT item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s, w FROM i WHERE len(w) > 0),
+b AS (SELECT DISTINCT item, w[s:s + least(len(w), 10) - 1] AS g FROM k),
+z AS (SELECT DISTINCT len(g) AS n FROM b),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d, z WHERE len(w) >= n),
+h AS (SELECT p.doc_id, p.s, p.n, b.item FROM p JOIN b ON p.w[p.s:p.s + p.n - 1] = b.g),
+c AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM h) GROUP BY 1),
+j AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(j.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(j.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)""",
+    "op7_line_dedup": rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, {_LOW.format(f"regexp_replace(line, '^{_LINES}+|{_LINES}+$', '', 'g')")} AS key FROM l),
+m AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+f AS (SELECT k.*, m.key IS NOT NULL AND doc_id <> m.last AS gone FROM k LEFT JOIN m USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id""",
+}
