@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup
+from . import bpe, chat, decontaminate, langid, line_dedup, token_counts, token_store, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts.attribute(_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, keep_text=False)
@@ -64,18 +69,54 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.new_store(spark)
+    token_store.write(_table(spark, sf_dir, "documents"), store)
+    return token_store.read(spark, store).select("doc_id", "start", "n_tokens", F.crc32("raw").alias("ids_crc32"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    prototypes = langid.learn(docs.filter(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), prototypes).drop("text")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
+    "op6_token_store": op6_token_store,
     "op7_line_dedup": op7_line_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_url_filter": op10_url_filter,
 }
 
+def _url_sql() -> str:
+    """The verdict where no rule fits: each term between characters that are no letter a-z or digit."""
+    has = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
+    weight = " + ".join([f"{urls.LIMIT} * {has(t)}::INT" for t in urls.STRICT] + [f"{has(t)}::INT" for t in urls.SOFT])
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+    return f"""
+WITH p AS (SELECT page_id, {_LOW.format("url")} AS low,
+    {_LOW.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")} AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+r(v, h, p) AS (VALUES {rules}),
+m AS (SELECT page_id, arg_max(h || r.p, length(h || r.p)) AS rule, arg_max(v, length(h || r.p)) AS v
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {weight} >= {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m USING (page_id)"""
+
+
 _LINES = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,4 +154,5 @@ f AS (SELECT k.*, m.key IS NOT NULL AND doc_id <> m.last AS gone FROM k LEFT JOI
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM f GROUP BY doc_id""",
+    "op10_url_filter": _url_sql(),
 }
