@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, line_dedup, token_counts, token_store, urls
+from . import bpe, chat, decontaminate, jaccard, langid, line_dedup, token_counts, token_store, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.quantize(F.col("embedding")).alias("x"))
+    return topk.top_k(rows, F.col("vec_id") % 20 == 0)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.new_store(spark)
     token_store.write(_table(spark, sf_dir, "documents"), store)
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
+    "op5_top_k": op5_top_k,
     "op6_token_store": op6_token_store,
     "op7_line_dedup": op7_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
@@ -150,6 +156,12 @@ j AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(j.n, 0)::BIGINT AS n_items,
   sha256(coalesce(j.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)""",
+    "op5_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op7_line_dedup": rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
