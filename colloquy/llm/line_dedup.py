@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free_name
+from .common import ascii_lower, free_name, materialize
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -51,7 +51,7 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` with repeated lines dropped from text, and ``n_lines`` (before) and ``n_dropped``."""
-    many = repeated(docs, min_chars, min_docs)
+    many = materialize(repeated(docs, min_chars, min_docs), "repeated-lines")  # so that a hot line's rows can be split in the join
     th, key, gone = (free_name(docs.columns, n) for n in ("text_hash", "drop_id", "drop_lines"))
     drops = (
         _hashed(docs, min_chars)
