@@ -112,19 +112,30 @@ def _count(word: Column, pattern: str) -> Column:
 
 def script_of(word: Column) -> Column:
     """Script of most letters and marks (the first by name on ties); null without any."""
-    deva = _count(word, r"[\x{0900}-\x{097F}&&[\p{L}\p{M}]]")
-    orya = _count(word, r"[\x{0B00}-\x{0B7F}&&[\p{L}\p{M}]]")
-    latn = _count(word, r"[\p{IsLatin}&&[\p{L}]]")
-    other = _count(word, r"[\p{L}\p{M}]") - deva - orya - latn
-    best = F.greatest(deva, orya, latn, other)
-    return F.when(best > 0, F.when(deva == best, "Deva").when(latn == best, "Latn").when(orya == best, "Orya").otherwise("Other"))
+    counts = F.struct(
+        _count(word, r"[\x{0900}-\x{097F}&&[\p{L}\p{M}]]").alias("deva"),
+        _count(word, r"[\x{0B00}-\x{0B7F}&&[\p{L}\p{M}]]").alias("orya"),
+        _count(word, r"[\p{IsLatin}&&[\p{L}]]").alias("latn"),
+        _count(word, r"[\p{L}\p{M}]").alias("all"),
+    )
+    return _let(counts, _script)
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _script(c: Column) -> Column:
+    other = c["all"] - c["deva"] - c["orya"] - c["latn"]
+    best = F.greatest(c["deva"], c["orya"], c["latn"], other)
+    return F.when(best > 0, F.when(c["deva"] == best, "Deva").when(c["latn"] == best, "Latn").when(c["orya"] == best, "Orya").otherwise("Other"))
 
 
 def word_language(word: Column, script: Column) -> Column:
     key = F.lower(F.regexp_replace(word, r"\P{L}", ""))
-    return (
-        F.when(script == "Deva", "hi").when(script == "Orya", "or").when(script == "Latn", F.when(key.isin(*ROMAN_HINDI), "hi-Latn").when(key.isin(*ROMAN_ODIA), "or-Latn").otherwise("en"))
-    )
+    latin = F.when(key.isin(*ROMAN_HINDI), "hi-Latn").when(key.isin(*ROMAN_ODIA), "or-Latn").otherwise("en")
+    return _let(script, lambda s: F.when(s == "Deva", "hi").when(s == "Orya", "or").when(s == "Latn", latin))
 
 
 def is_question(text: Column) -> Column:
