@@ -8,10 +8,11 @@ Two documents link when their sets' Jaccard similarity is at least ``num / den``
 2. Documents with equal sets become one class. Each class keeps the first shingles of its set: if a pair must share
    o of its n shingles, prefixes of n - o + k shingles share k of them. Each document chooses k by estimated cost
    (postings to read against candidates to verify); a pair must share as many as the smaller k of the two.
-3. Round one links every posting list to its smallest member only and verifies those pairs on whole sets, so a group
-   of near copies becomes one component with about as many pairs as members. Round two joins the members of a list
-   that are in different components still, counts shared shingles, and verifies. A link is thus within a component
-   of round one or found in round two: none is lost, and no group's pairs are all listed.
+3. Round one compares every posting list with one member only, its hub, on whole sets, so a group of near copies
+   becomes one component with about as many pairs as members. Members near a hub that stay outside its component are
+   then compared by their differences from it (``_around_hubs``). Round two joins the members of a list that are in
+   different components still and not both near its hub, counts shared shingles, and verifies. A link is thus within
+   a component of round one, or found in one of the other two ways: none is lost, and no group's pairs are all listed.
 
 Edge cases: a text with fewer words than a shingle is one shingle of all of them; a text that is null or without words
 has an empty set and links with nothing; rows of equal doc_id are one document that has the links of each of its
@@ -32,7 +33,7 @@ from .common import free_name, materialize, small_batches
 from .components import components
 
 #: Counters of the sketch (a power of two), and the parts in which tasks send it.
-SKETCH_BITS, PARTS = 21, 32
+SKETCH_BITS, PARTS = 24, 32
 #: Largest number of shared shingles that a prefix may ask for.
 MOST = 8
 #: Bits of the filter that tells which documents are in any candidate pair.
@@ -74,17 +75,27 @@ def shingles(text: str | None, width: int, hashes: dict) -> np.ndarray:
     return np.unique(own)
 
 
-def _sketched(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """Counts of shingles by the high bits of their hashes: 2**SKETCH_BITS numbers, whatever the input's size."""
+def _levels() -> np.ndarray:
+    """What each byte of a sketch stands for: 0 to 64, then steps of an eighth of a power of two."""
+    return np.concatenate([np.arange(64), np.rint(64 * 2 ** (np.arange(192) / 8))]).astype(np.float64)
+
+
+def _sketched(docs: DataFrame, width: int) -> np.ndarray:
+    """Counts of shingles by the high bits of their hashes, as bytes (see ``_levels``): 2**SKETCH_BITS of them,
+    whatever the input's size."""
+    size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, size = WordHashes(), 1 << SKETCH_BITS
-        total, held, n = np.zeros(size, dtype=np.int64), [], 0
+        import zstandard
+
+        hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=1)
+        total, held, n = np.zeros(size, dtype=np.uint32), [], 0
 
         def add() -> None:
-            nonlocal held, n, total
+            nonlocal held, n
             if held:
-                total += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                at, times = np.unique((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                total[at] += times.astype(np.uint32)
             held, n = [], 0
 
         for batch in batches:
@@ -95,69 +106,79 @@ def _sketched(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
                     add()
         add()
         if total.any():
-            kind = next(k for k in ("<u1", "<u2", "<u4", "<i8") if total.max() <= np.iinfo(k).max)
-            parts = [p.astype(kind).tobytes() for p in np.split(total, PARTS)]
+            kind = next(k for k in ("<u1", "<u2", "<u4") if total.max() <= np.iinfo(k).max)
+            parts = [squeeze.compress(p.astype(kind).tobytes()) for p in np.split(total, PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([kind] * PARTS), pa.array(parts, pa.binary())], names=["part", "kind", "counts"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, kind, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "counts")), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, dtype=kind).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(["<i8"] * len(sums), pa.string()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "kind", "counts"])
+            for i in range(batch.num_rows):
+                part, kind, counts = (batch.column(c)[i].as_py() for c in ("part", "kind", "counts"))
+                sums[part] = sums.get(part, 0) + np.frombuffer(expand.decompress(counts), dtype=kind).astype(np.int64)
+        codes = [np.minimum(np.searchsorted(_levels(), v, side="right") - 1, 255).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(["<u1"] * len(sums), pa.string()), pa.array(codes, pa.binary())], names=["part", "kind", "counts"])
 
     schema = "part int, kind string, counts binary"
-    got = docs.select("text").mapInArrow(run, schema).repartition(PARTS, "part").mapInArrow(add_up, schema).collect()  # PARTS rows, 16 MB together
-    out = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), dtype=np.int64)
+    got = docs.select("text").mapInArrow(run, schema).repartition(PARTS, "part").mapInArrow(add_up, schema).collect()  # a byte for each counter
+    out = np.zeros((PARTS, size // PARTS), dtype=np.uint8)
     for r in got:
-        out[r["part"]] += np.frombuffer(r["counts"], dtype="<i8")
-    out = out.ravel()
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32), int(out.sum())
+        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return out.ravel()
 
 
-def prefix(own: np.ndarray, counts: np.ndarray, noise: float, num: int, den: int) -> tuple[int, np.ndarray]:
-    """How many shingles a pair must share, and the prefix in which it must."""
+def prefix(own: np.ndarray, counts: np.ndarray, noise: float, num: int, den: int) -> tuple[int, int, np.ndarray]:
+    """How many shingles a pair must share, how many of the prefix's seem common, and the prefix."""
     n = len(own)
     if not n:
-        return 1, own
-    seen = counts[(own >> np.uint64(64 - counts.size.bit_length() + 1)).astype(np.int64)]
-    own = own[np.lexsort((own, seen))]
-    postings = np.cumsum(np.maximum(np.sort(seen).astype(np.float64) - noise, 1.0))
+        return 1, 0, own
+    codes = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    order = np.lexsort((own, codes))
+    own, seen = own[order], _LEVELS[codes[order]]
+    postings = np.cumsum(np.maximum(seen - noise, 1.0))
     least = -(-n * num // den)  # shared at least with any partner
     k = np.arange(1, min(MOST, least) + 1)
     length = n - least + k
     cost = postings[length - 1] * (1 + n / 16 / k)  # postings to read, and candidates to verify on whole sets
     best = int(np.argmin(cost))
-    return int(k[best]), own[: length[best]]
+    head = slice(0, length[best])
+    return int(k[best]), int((seen[head] > noise + 4 * np.sqrt(noise) + 1).sum()), own[head]
+
+
+_LEVELS = _levels()
 
 
 def _profiles(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, n (set size), f1 and f2 (its 128-bit fingerprint), k, prefix."""
-    counts, total = _sketched(docs, width)
-    noise = total / counts.size
-    sent = docs.sparkSession.sparkContext.broadcast(counts)  # 2**SKETCH_BITS numbers of 4 bytes
+    """Per row: doc_id, n (set size), f1 and f2 (its 128-bit fingerprint), k, common, prefix."""
+    counts = _sketched(docs, width)
+    noise = float(_LEVELS[counts].mean())
+    sent = docs.sparkSession.sparkContext.broadcast(counts)  # 2**SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = WordHashes()
         for batch in batches:
-            size, first, second, ks, prefixes = [], [], [], [], []
+            size, first, second, ks, common, prefixes = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, width, hashes)
                 mark = xxhash.xxh3_128_digest(own.tobytes())
-                k, head = prefix(own, sent.value, noise, num, den)
+                k, many, head = prefix(own, sent.value, noise, num, den)
                 size.append(len(own))
                 first.append(int.from_bytes(mark[:8], "little", signed=True))
                 second.append(int.from_bytes(mark[8:], "little", signed=True))
                 ks.append(k)
+                common.append(many)
                 prefixes.append(head.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(ks, pa.int32()), _lists(prefixes)],
-                names=["doc_id", "n", "f1", "f2", "k", "prefix"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(ks, pa.int64()), pa.array(common, pa.int64()), _lists(prefixes)],
+                names=["doc_id", "n", "f1", "f2", "k", "common", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, k int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, k long, common long, prefix array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -191,14 +212,49 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, "node long, own array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough; both ends' sets are brought to the pair."""
+def _met(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) with the whole sets of both (one, two) and the number of shingles they share."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_sets(docs, nodes, width).join(nodes, "node", "left_semi").distinct(), "sets")
-    one = pairs.join(sets.withColumnsRenamed({"node": "a", "own": "one"}), "a")
-    both = one.join(sets.withColumnsRenamed({"node": "b", "own": "two"}), "b")
-    shared = F.size(F.array_intersect("one", "two"))
-    return both.withColumn("shared", shared).filter(F.col("shared") * den >= (F.size("one") + F.size("two") - F.col("shared")) * num).select("a", "b").distinct()
+    sets = _sets(docs, nodes, width)
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("two")), "b")
+    both = one.join(sets.select(F.col("node").alias("a"), F.col("own").alias("one")), "a")
+    return both.withColumn("shared", F.size(F.array_intersect("one", "two")))
+
+
+def _alike(num: int, den: int):
+    return F.col("shared") * den >= (F.size("one") + F.size("two") - F.col("shared")) * num
+
+
+def _around_hubs(near: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between members of a hub's group that are in different components, found by their differences from it.
+
+    With D what a member lacks of the hub and A what it has besides, members x and y share
+    h - |Dx| - |Dy| + s shingles, s being what their differences share. With cost c = den |D| + num |A|, they link iff
+    (den + num) s >= c(x) + c(y) - (den - num) h. A member outside the hub's component has c > (den - num) h, so any
+    partner must share part of its differences: rarest first, prefixes of the differences find all such pairs,
+    though all of the group may be alike.
+    """
+    by = lambda df, name: df.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
+    n = near.join(by(labels, "node"), "node", "left").join(by(labels, "hub"), "hub", "left").withColumn("node_component", F.coalesce("node_component", "node")).withColumn("hub_component", F.coalesce("hub_component", "hub"))
+    n = n.withColumn("outside", F.col("node_component") != F.col("hub_component"))
+    n = materialize(n.join(n.filter("outside").select("hub").distinct(), "hub", "left_semi"), "near")
+    parts = n.select("hub", "node", F.explode("diff").alias("e"))
+    often = parts.groupBy("hub", "e").agg(F.count("*").alias("m")).filter("m > 1")
+    # Elements that one member has alone come first and find nobody; they only take their places in the prefix.
+    ranked = parts.join(often, ["hub", "e"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("m", "e"))).alias("common"))
+    n = n.join(ranked, ["hub", "node"]).withColumn("alone", F.size("diff") - F.size("common"))
+    spare = F.col("h") * (den - num)
+    must_x = F.greatest(F.ceil((F.col("cost") - spare) / den), F.lit(1))  # of a partner that differs as little as it can
+    must_y = F.floor(F.col("cost") / (den + num)) + 1  # with any member outside
+    head = lambda must: F.slice("common", 1, F.greatest(F.size("diff") - must + 1 - F.col("alone"), F.lit(0)).cast("int"))
+    x = n.filter("outside").select("hub", F.col("node").alias("x"), F.col("node_component").alias("xc"), F.explode(head(must_x)).alias("p")).select("hub", "x", "xc", "p.e")
+    y = n.select("hub", F.col("node").alias("y"), F.col("node_component").alias("yc"), F.explode(head(must_y)).alias("p")).select("hub", "y", "yc", "p.e")
+    pairs = x.join(y, ["hub", "e"]).filter("xc <> yc").select("hub", "x", "y").distinct()
+    info = n.select("hub", "node", "h", "cost", "diff")
+    both = pairs.join(info.select("hub", F.col("node").alias("x"), "h", F.col("cost").alias("cx"), F.col("diff").alias("dx")), ["hub", "x"])
+    both = both.join(info.select("hub", F.col("node").alias("y"), F.col("cost").alias("cy"), F.col("diff").alias("dy")), ["hub", "y"])
+    links = both.filter(F.size(F.array_intersect("dx", "dy")) * (den + num) >= F.col("cx") + F.col("cy") - spare)
+    return links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -211,26 +267,42 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = materialize(_profiles(docs, width, num, den), "profiles")
     some = profiles.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = materialize(some.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "k", "prefix")).alias("r")).select("f1", "f2", "r.*"), "classes")
-
-    fits = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
-    postings = reps.select(F.explode("prefix").alias("tok"), F.col("doc_id").alias("node"), "n", "k")
-    hubs = postings.groupBy("tok").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("tok", "hub")
-    shared = materialize(postings.join(hubs, "tok"), "postings")
-
-    # Round one: each list with its smallest member.
-    pairs = shared.filter((F.col("hub.node") != F.col("node")) & fits(F.col("hub.n"), F.col("n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(_verified(materialize(pairs, "pairs"), docs, width, num, den), "links")
+    reps = materialize(some.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "k", "common", "prefix")).alias("r")).select("f1", "f2", "r.*"), "classes")
+
+    least = lambda c: F.col(c).bitwiseAND(255)
+    fits = lambda a, b: F.least(F.shiftright(a, 8), F.shiftright(b, 8)) * den >= F.greatest(F.shiftright(a, 8), F.shiftright(b, 8)) * num
+    postings = reps.select(F.explode("prefix").alias("tok"), F.col("doc_id").alias("node"), (F.shiftleft("n", 8) + F.col("k")).alias("nk"), (F.shiftleft(F.least("common", F.lit(1 << 20)), 40) - F.pmod("doc_id", F.lit(1 << 40))).alias("rank"))
+    # A list's hub is the member with most common shingles, so that of a group of copies the least edited one leads.
+    hubs = postings.groupBy("tok").agg(F.max_by("node", "rank").alias("hub"), F.max_by("nk", "rank").alias("hub_nk"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+    shared = materialize(postings.drop("rank").join(hubs, "tok"), "postings")
+
+    # Round one: each list's members with its hub, where they share as many shingles as they must, or three.
+    pairs = shared.filter((F.col("hub") != F.col("node")) & fits("hub_nk", "nk")).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("times"), F.min(F.least(least("hub_nk"), least("nk"))).alias("k"))
+    met = _met(materialize(pairs.filter("times >= least(k, 3)").select("a", "b"), "pairs"), docs, width)
+    lacks, extra = F.array_except("one", "two"), F.array_except("two", "one")
+    halves = met.filter(F.col("shared") * 3 >= F.size("one") + F.size("two"))  # at least half alike
+    near = materialize(
+        halves.select(
+            F.col("a").alias("hub"), F.col("b").alias("node"), F.size("one").alias("h"), _alike(num, den).alias("linked"), F.concat(lacks, extra).alias("diff"),
+            (F.size(lacks) * den + F.size(extra) * num).alias("cost"),
+        ), "near")
+    first = near.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    labels = _labels(first)
+    second = materialize(_around_hubs(near, labels, num, den), "links")
+    first = first.unionByName(second)
     labels = _labels(first)
 
-    # Round two: members of different components. Lists within one component are done.
-    labelled = shared.drop("hub").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("tok")
+    # Round two: members of different components, unless both are near the list's hub. Lists within one component are done.
+    close = near.select("hub", "node", F.lit(True).alias("near")).distinct()
+    labelled = shared.join(close, ["hub", "node"], "left").withColumn("near", F.coalesce("near", F.col("hub") == F.col("node"))).drop("hub", "hub_nk")
+    labelled = labelled.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("near").alias("all_near")).filter("lo <> hi AND NOT all_near").select("tok")
     rest = materialize(labelled.join(mixed, "tok"), "postings")
-    one, two = (rest.withColumnsRenamed({c: f"{c}_{i}" for c in ("node", "n", "k", "component")}) for i in (1, 2))
-    met = one.join(two, (one["tok"] == two["tok"]) & (F.col("node_1") < F.col("node_2")) & (F.col("component_1") != F.col("component_2")) & fits(F.col("n_1"), F.col("n_2")))
-    pairs = met.groupBy(F.col("node_1").alias("a"), F.col("node_2").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("k_1", "k_2")).alias("k")).filter("times >= k").select("a", "b")
-    second = materialize(_verified(materialize(pairs, "pairs"), docs, width, num, den), "links")
+    one, two = (rest.withColumnsRenamed({c: f"{c}_{i}" for c in ("node", "nk", "component", "near")}) for i in (1, 2))
+    fit = (F.col("node_1") < F.col("node_2")) & (F.col("component_1") != F.col("component_2")) & ~(F.col("near_1") & F.col("near_2")) & fits("nk_1", "nk_2")
+    together = one.join(two, (one["tok"] == two["tok"]) & fit)
+    pairs = together.groupBy(F.col("node_1").alias("a"), F.col("node_2").alias("b")).agg(F.count("*").alias("times"), F.min(F.least(least("nk_1"), least("nk_2"))).alias("k")).filter("times >= k").select("a", "b")
+    second = materialize(_met(materialize(pairs, "pairs"), docs, width).filter(_alike(num, den)).select("a", "b").distinct(), "links")
     final = _labels(first.unionByName(second))
 
     by_class = reps.select("f1", "f2", F.col("doc_id").alias("node")).join(final, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
