@@ -33,7 +33,7 @@ from .common import free_name, materialize, small_batches
 from .components import components
 
 #: Counters of the sketch (a power of two), and the parts in which tasks send it.
-SKETCH_BITS, PARTS = 24, 32
+SKETCH_BITS, PARTS = 23, 32
 #: Largest number of shared shingles that a prefix may ask for.
 MOST = 8
 #: Bits of the filter that tells which documents are in any candidate pair.
@@ -214,10 +214,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 def _met(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Pairs (a, b) with the whole sets of both (one, two) and the number of shingles they share."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, nodes, width)
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("two")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("own").alias("one")), "a")
+    for side, own in (("b", "two"), ("a", "one")):
+        sets = _sets(docs, pairs.select(F.col(side).alias("node")), width)
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("own").alias(own)), side)
+    both = pairs
     return both.withColumn("shared", F.size(F.array_intersect("one", "two")))
 
 
@@ -270,11 +270,16 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     reps = materialize(some.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "k", "common", "prefix")).alias("r")).select("f1", "f2", "r.*"), "classes")
 
     least = lambda c: F.col(c).bitwiseAND(255)
-    fits = lambda a, b: F.least(F.shiftright(a, 8), F.shiftright(b, 8)) * den >= F.greatest(F.shiftright(a, 8), F.shiftright(b, 8)) * num
-    postings = reps.select(F.explode("prefix").alias("tok"), F.col("doc_id").alias("node"), (F.shiftleft("n", 8) + F.col("k")).alias("nk"), (F.shiftleft(F.least("common", F.lit(1 << 20)), 40) - F.pmod("doc_id", F.lit(1 << 40))).alias("rank"))
+    fits = lambda a, b: F.least(F.shiftright(a, 20), F.shiftright(b, 20)) * den >= F.greatest(F.shiftright(a, 20), F.shiftright(b, 20)) * num
+    # n, common and k of a member in one number; its rank within a list is by common, then by a hash.
+    packed = F.shiftleft("n", 20) + F.shiftleft(F.least("common", F.lit(4095)), 8) + F.col("k")
+    rank = F.shiftleft(F.shiftright("nk", 8).bitwiseAND(4095), 48) + F.shiftrightunsigned(F.xxhash64("node"), 16)
+    postings = reps.select(F.explode("prefix").alias("tok"), F.col("doc_id").alias("node"), packed.alias("nk"))
     # A list's hub is the member with most common shingles, so that of a group of copies the least edited one leads.
-    hubs = postings.groupBy("tok").agg(F.max_by("node", "rank").alias("hub"), F.max_by("nk", "rank").alias("hub_nk"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    shared = materialize(postings.drop("rank").join(hubs, "tok"), "postings")
+    tops = postings.groupBy("tok").agg(F.max(rank).alias("top"), F.min(rank).alias("low")).filter("top <> low").select("tok", "top")
+    listed = materialize(postings.join(tops, "tok"), "postings")
+    hubs = listed.filter(rank == F.col("top")).groupBy("tok").agg(F.min(F.struct("node", "nk")).alias("h")).select("tok", F.col("h.node").alias("hub"), F.col("h.nk").alias("hub_nk"))
+    shared = materialize(listed.drop("top").join(hubs, "tok"), "postings")
 
     # Round one: each list's members with its hub, where they share as many shingles as they must, or three.
     pairs = shared.filter((F.col("hub") != F.col("node")) & fits("hub_nk", "nk")).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("times"), F.min(F.least(least("hub_nk"), least("nk"))).alias("k"))
