@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs(a, b) -> int:
@@ -65,16 +66,16 @@ def edits(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def partial_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)])

@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fillers, and phrases that recognisers invent over silence.
 FILLERS = ("uh", "um", "umm", "hmm", "hm", "mm", "mhm", "ah", "eh", "oh", "er", "हम्म", "उम्म", "अं", "हूं", "ହଁ", "ହମ୍")
@@ -70,7 +71,7 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(strip(text), _SPACES), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -94,7 +95,7 @@ def comparable(text: Column) -> Column:
     return squeeze(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]", " ")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compression_ratio(text: pd.Series) -> pd.Series:
     """Bytes over zlib-compressed bytes; 0 for no text."""
     data = text.fillna("").map(lambda t: t.encode())
