@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_analytics", "q_text", "q_ops", "q_words")
+MODULES = ("q_analytics", "q_text", "q_ops", "q_words", "q_io")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
