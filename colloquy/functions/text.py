@@ -160,7 +160,7 @@ def timestamp(ms: Column, marker: str = ",") -> Column:
     """HH:MM:SS,mmm; negative times are 0."""
     t = F.greatest(ms.cast("long"), F.lit(0))
     part = lambda v, n: F.lpad(v.cast("long").cast("string"), n, "0")
-    hours = F.expr("1") * F.floor(t / 3_600_000)
+    hours = F.floor(t / 3_600_000)
     shown = F.when(hours < 100, part(hours, 2)).otherwise(hours.cast("long").cast("string"))
     return F.concat(shown, F.lit(":"), part(F.floor(t / 60_000) % 60, 2), F.lit(":"), part(F.floor(t / 1000) % 60, 2), F.lit(marker), part(t % 1000, 3))
 

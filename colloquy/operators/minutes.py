@@ -102,8 +102,11 @@ def dedupe_items(items: DataFrame, same: float = 85.0, close: float = 70.0) -> D
 def resolve_supersession(decisions: DataFrame, same: float = 85.0) -> DataFrame:
     """Earlier decisions on a topic are superseded by the first later one; later ones note the last they replaced."""
     base = decisions.select("meeting_id", "idx", normalize(F.col("topic")).alias("c"))
-    a, b = base.select("meeting_id", F.col("idx").alias("i"), F.col("c").alias("ci")), base.select("meeting_id", F.col("idx").alias("j"), F.col("c").alias("cj"))
-    pairs = a.join(b, "meeting_id").filter("i < j").filter((F.col("ci") == F.col("cj")) | F.arrays_overlap(F.split("ci", " "), F.split("cj", " "))).withColumn("score", st.token_set_similarity("ci", "cj")).filter(F.col("score") >= same)
+    # Similar topics share a word, so pairs are made by words, not within the meeting.
+    words = base.select("meeting_id", "idx", "c", F.explode(F.array_distinct(F.split("c", " "))).alias("word"))
+    a, b = words.select("meeting_id", "word", F.col("idx").alias("i"), F.col("c").alias("ci")), words.select("meeting_id", "word", F.col("idx").alias("j"), F.col("c").alias("cj"))
+    met = a.join(b, ["meeting_id", "word"]).filter("i < j").drop("word").distinct()
+    pairs = met.withColumn("score", F.when(F.col("ci") == F.col("cj"), 100.0).otherwise(st.token_set_similarity("ci", "cj"))).filter(F.col("score") >= same)
     by = pairs.groupBy("meeting_id", F.col("i").alias("idx")).agg(F.min("j").alias("superseded_by"))
     of = pairs.groupBy("meeting_id", F.col("j").alias("idx")).agg(F.max("i").alias("supersedes"))
     return decisions.join(by, ["meeting_id", "idx"], "left").join(of, ["meeting_id", "idx"], "left").withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise("active"))
