@@ -12,7 +12,7 @@ until its ends agree with the tokens that both sides have there. Two facts make
 
 Edge cases: a null or empty text has no tokens and decodes to the empty text; null rows, repeated rows and rows
 without doc_id stay, one result row for each; columns that the input has besides stay as they are, and a result
-column whose name is taken is refused with ValueError.
+column whose name is taken gets underscores in front until it is free.
 """
 
 from __future__ import annotations
@@ -234,8 +234,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     """``docs`` with the token ids of each whole text (``array<int>``), for every row; ``keep_text`` false leaves out the text."""
     if leaf < 1:
         raise ValueError("leaf must be positive")
-    if ids_col.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {ids_col} is taken")
+    ids_col = free_name(docs.columns, ids_col)
     small_batches(docs.sparkSession)
     path = path or default_path()
     names = [c for c in docs.columns if keep_text or c != text_col]
@@ -306,8 +305,7 @@ def _nullable(schema: T.StructType) -> T.StructType:
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the text of each row's ids; null ids are no tokens. Ids outside the vocabulary fail."""
-    if out_col.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column {out_col} is taken")
+    out_col = free_name(df.columns, out_col)
     small_batches(df.sparkSession)
     path = path or default_path()
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])

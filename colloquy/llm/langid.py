@@ -12,7 +12,8 @@ keeps the fit small), each with the same weight. Prediction runs over every row.
 
 Edge cases: text that is null or has no letter is ``und`` with score 0, as is all text when nothing was learned;
 equal cosines go to the first language by name; a negative cosine scores 0. Null labels and rows without doc_id are
-not learned from. Repeated rows count each time. Columns besides stay; result names must be free.
+not learned from. Repeated rows count each time. Columns besides stay; a result name that is taken gets underscores
+in front.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 #: Components of a vector; letter vectors; the seed that both sides of a run share.
 DIM, SLOTS, SEED = 512, 128, 20_240_607
@@ -135,8 +136,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the language and the cosine of every whole text."""
-    if taken := {lang_out.lower(), score_out.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns are taken: {taken}")
+    lang_out, score_out = (free_name(docs.columns, n) for n in (lang_out, score_out))
     small_batches(docs.sparkSession)
     names = sorted(prototypes)
     unit = np.array([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1) for n in names]).reshape(len(names), DIM)

@@ -6,7 +6,8 @@ largest id. Only 128-bit hashes of keys, ids and positions are shuffled for the
 document before they meet, so a line that most documents hold arrives as one partial count from each task.
 
 Edge cases: null or empty text is one empty line and stays as it is; repeated rows of a document count as one
-document and all lose the same lines; rows without doc_id count for nothing and lose nothing; columns besides stay.
+document and all lose the same lines; rows without doc_id count for nothing and lose nothing; columns besides stay, and
+a result name that is taken gets underscores in front.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` with repeated lines dropped from text, and ``n_lines`` (before) and ``n_dropped``."""
     many = materialize(repeated(docs, min_chars, min_docs), "repeated-lines")  # so that a hot line's rows can be split in the join
-    th, key, gone = (free_name(docs.columns, n) for n in ("text_hash", "drop_id", "drop_lines"))
+    th, key, gone, all_ = (free_name(docs.columns, n) for n in ("text_hash", "drop_id", "drop_lines", "own_lines"))
+    n_lines, n_dropped = (free_name(docs.columns, n) for n in (n_lines, n_dropped))
     drops = (
         _hashed(docs, min_chars)
         .join(many.select("h1", "h2", "last_doc"), ["h1", "h2"])
@@ -62,11 +64,11 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     )
     joined = docs.join(drops, (docs["doc_id"] == drops[key]) & (F.xxhash64(docs["text"]) == drops[th]), "left")
     own = lines(F.col("text"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_own") - 1), F.col(gone)), lambda i: F.get("_own", i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(gone)), lambda i: F.get(all_, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    with_lines = joined.withColumn("_own", own)
+    with_lines = joined.withColumn(all_, own)
     return with_lines.select(
         *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.size("_own").cast("long").alias(n_lines),
+        F.size(all_).cast("long").alias(n_lines),
         F.coalesce(F.size(F.when(F.col(gone).isNotNull(), F.col(gone))), F.lit(0)).cast("long").alias(n_dropped),
     )

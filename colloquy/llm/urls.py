@@ -6,7 +6,8 @@ longest that fits decides. Where none fits, an Aho-Corasick automaton finds the
 once, and a sum of at least ``limit`` blocks: a strict term weighs as much as the limit, a soft one less.
 
 Edge cases: a url that is null or has no ``://`` has an empty host and path and fits no rule; a null url holds no
-terms and is allowed. Repeated rows are judged each. Columns besides stay; result names must be free.
+terms and is allowed. Repeated rows are judged each. Columns besides stay; a result name that is taken gets
+underscores in front.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, small_batches
+from .common import ascii_lower, free_name, small_batches
 
 #: The rules of the contract.
 RULES = (
@@ -82,19 +83,18 @@ def weight(url: str | None, machine) -> int:
 
 def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, limit: int = LIMIT) -> DataFrame:
     """``pages`` with host, path, rule, weight and verdict."""
-    if taken := {"host", "path", "rule", "weight", "verdict"} & {c.lower() for c in pages.columns}:
-        raise ValueError(f"columns are taken: {taken}")
+    host_, path_, rule_, weight_, verdict_ = (free_name(pages.columns, n) for n in ("host", "path", "rule", "weight", "verdict"))
     small_batches(pages.sparkSession)
     terms = dict.fromkeys(soft, 1) | dict.fromkeys(strict, limit)
-    schema = T.StructType([*pages.schema.fields, T.StructField("weight", T.IntegerType())])
+    schema = T.StructType([*pages.schema.fields, T.StructField(weight_, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(terms)
         for batch in batches:
             weights = [weight(u, machine) for u in batch.column(url_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.int32())], names=[*batch.schema.names, "weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.int32())], names=[*batch.schema.names, weight_])
 
-    weighed = pages.mapInArrow(run, schema).withColumn("host", host(F.col(url_col))).withColumn("path", path(F.col(url_col)))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("weight") >= limit, "block").otherwise("allow")
-    return weighed.select(*pages.columns, "host", "path", rule.alias("rule"), "weight", F.coalesce(verdict, own).alias("verdict"))
+    weighed = pages.mapInArrow(run, schema).withColumn(host_, host(F.col(url_col))).withColumn(path_, path(F.col(url_col)))
+    rule, verdict = rule_of(F.col(host_), F.col(path_), rules)
+    own = F.when(F.col(weight_) >= limit, "block").otherwise("allow")
+    return weighed.select(*pages.columns, host_, path_, rule.alias(rule_), weight_, F.coalesce(verdict, own).alias(verdict_))

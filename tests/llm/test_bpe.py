@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from colloquy.llm import bpe, queries, token_counts, token_store
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BITS = ["a", "b", "e", " ", " ", "\n", "'", "s", "'s", "ll", "1", "22", "é", "ü", "漢", "!", "...", "\t", "<|endoftext|>", "xxxxxxx", "the", " ", "　", "é", "🙂", "ß"]
@@ -45,8 +46,7 @@ def test_encode_decode_frames(spark, library):
         assert list(r.ids) == library.encode(r.text or "", add_special_tokens=False).ids
         assert r.decoded == (r.text or "")
     assert bpe.encode(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(docs, ids_col="Text")
+    assert bpe.decode(bpe.encode(docs.withColumn("IDS", F.lit(1))), "_ids", "Text").columns == ["doc_id", "text", "leaf_key", "IDS", "_ids", "_Text"]
 
 
 def test_op2_as_the_library(spark, sf_dir, library):

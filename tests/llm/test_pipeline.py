@@ -62,3 +62,14 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns(spark, folder, tmp_path):
+    path, _ = folder
+    names = ["ids", "n_dropped", "found_lang", "text_hash", "hit_id", "seen_id", "decoded"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", *[f"1 AS {n}" for n in names])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got, plain = cp.run(spark, str(tmp_path)), cp.run(spark, path)
+    assert set(names) < set(got.columns)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in plain.select("doc_id").collect())
