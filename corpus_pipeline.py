@@ -10,21 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe, decontaminate, jaccard, langid, line_dedup
-from colloquy.llm.common import materialize
+from colloquy.llm.common import free_name, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (no letters in them, or nothing to compare with); others get the language
     that was found as ``lang``."""
     prototypes = langid.learn(docs)
-    found = langid.predict(docs.withColumnRenamed("lang", "stated_lang"), prototypes, lang_out="lang", score_out="lang_score")
-    return found.filter(F.col("lang") != "und").select(docs.columns)
+    found_as = free_name(docs.columns, "found_lang")
+    found = langid.predict(docs, prototypes, lang_out=found_as).filter(F.col(found_as) != "und")
+    return found.select(*(F.col(found_as).alias(c) if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that many documents share, and documents of which nothing but white space is left by that."""
-    kept = line_dedup.dedup(docs, n_lines="n_lines_before", n_dropped="n_lines_dropped")
-    left = (F.col("n_lines_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    dropped = free_name(docs.columns, "n_dropped")
+    kept = line_dedup.dedup(docs, n_dropped=dropped)
+    left = (F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return kept.filter(F.coalesce(left, F.lit(True))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -40,8 +42,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids of each whole text and whether they decode to it."""
-    coded = bpe.decode(bpe.encode(docs))
-    return coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    ids, decoded, n, same = (free_name(docs.columns, c) for c in ("ids", "decoded", "n_tokens", "round_trip"))
+    coded = bpe.decode(bpe.encode(docs, ids_col=ids), ids, decoded)
+    return coded.withColumn(n, F.size(ids).cast("long")).withColumn(same, F.col(decoded) == F.coalesce("text", F.lit(""))).drop(decoded)
 
 
 #: In order.
