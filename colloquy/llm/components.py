@@ -16,6 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours are never gathered: its smallest one is a grouped minimum, joined back.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

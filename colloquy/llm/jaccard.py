@@ -247,9 +247,12 @@ def _around_hubs(near: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     must_x = F.greatest(F.ceil((F.col("cost") - spare) / den), F.lit(1))  # of a partner that differs as little as it can
     must_y = F.floor(F.col("cost") / (den + num)) + 1  # with any member outside
     head = lambda must: F.slice("common", 1, F.greatest(F.size("diff") - must + 1 - F.col("alone"), F.lit(0)).cast("int"))
-    x = n.filter("outside").select("hub", F.col("node").alias("x"), F.col("node_component").alias("xc"), F.explode(head(must_x)).alias("p")).select("hub", "x", "xc", "p.e")
-    y = n.select("hub", F.col("node").alias("y"), F.col("node_component").alias("yc"), F.explode(head(must_y)).alias("p")).select("hub", "y", "yc", "p.e")
-    pairs = x.join(y, ["hub", "e"]).filter("xc <> yc").select("hub", "x", "y").distinct()
+    side = lambda df, name, must: df.select("hub", F.col("node").alias(name), F.col("node_component").alias(f"{name}c"), F.col("cost").alias(f"{name}_cost"), F.size("common").alias("all"), "h", F.posexplode(head(must)).alias("at", "p"))
+    # At the first element that both have, they can share no more than it and what follows it on either side.
+    x = side(n.filter("outside"), "x", must_x).select("hub", "x", "xc", "x_cost", (F.col("all") - F.col("at")).alias("x_left"), (F.col("h") * (den - num)).alias("spare"), "p.e")
+    y = side(n, "y", must_y).select("hub", "y", "yc", "y_cost", (F.col("all") - F.col("at")).alias("y_left"), "p.e")
+    may = (F.col("xc") != F.col("yc")) & (F.least("x_left", "y_left") * (den + num) >= F.col("x_cost") + F.col("y_cost") - F.col("spare"))
+    pairs = x.join(y, (x["hub"] == y["hub"]) & (x["e"] == y["e"]) & may).select(x["hub"], "x", "y").distinct()
     info = n.select("hub", "node", "h", "cost", "diff")
     both = pairs.join(info.select("hub", F.col("node").alias("x"), "h", F.col("cost").alias("cx"), F.col("diff").alias("dx")), ["hub", "x"])
     both = both.join(info.select("hub", F.col("node").alias("y"), F.col("cost").alias("cy"), F.col("diff").alias("dy")), ["hub", "y"])
