@@ -79,3 +79,30 @@ def partial_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.LongType())
 def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)])
+
+
+#: Letter counts of ``letter_bits``: longs, classes of characters, and most of a class by bits.
+LETTER_LONGS, LETTER_CLASSES, LETTER_MOST = 6, 32, 12
+
+
+def letter_counts(text: str) -> list[int]:
+    """Counts of characters as bits, one for each occurrence, in ``LETTER_LONGS`` longs, then how many are beyond ``LETTER_MOST``.
+
+    Common bits and the smaller excess are at least the number of common characters: classes only add to it.
+    """
+    seen, beyond, bits = [0] * LETTER_CLASSES, 0, 0
+    for x in text:
+        o = ord(x)
+        at = o - 97 if 97 <= o <= 122 else 26 if o == 32 else 27 + o % (LETTER_CLASSES - 27)
+        if seen[at] < LETTER_MOST:
+            bits |= 1 << at * LETTER_MOST + seen[at]
+            seen[at] += 1
+        else:
+            beyond += 1
+    longs = [bits >> 64 * k & (1 << 64) - 1 for k in range(LETTER_LONGS)]
+    return [*(x - (1 << 64) if x >> 63 else x for x in longs), beyond]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def letter_bits(text: pd.Series) -> pd.Series:
+    return pd.Series([letter_counts(x or "") for x in text], dtype=object)

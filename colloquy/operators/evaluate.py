@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import strings as st
 from ..functions import text as tx
 from . import intervals as iv
+from .similar import similar_pairs
 
 
 def edit_counts(pairs: DataFrame) -> DataFrame:
@@ -166,10 +167,8 @@ def der(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
 def precision_recall(gold: DataFrame, found: DataFrame, least: float = 60.0) -> DataFrame:
     """Per meeting: one-to-one matches of (meeting_id, idx, text) by similarity; empty denominators give 1."""
     side = lambda df, x: df.select("meeting_id", F.col("idx").cast("long").alias(x), tx.comparable(F.col("text")).alias(f"{x}_c"))
-    words = lambda x: F.explode(F.array_distinct(F.split(f"{x}_c", " "))).alias("word")
-    met = side(gold, "g").select("*", words("g")).join(side(found, "f").select("*", words("f")), ["meeting_id", "word"]).drop("word").distinct()  # similar texts share a word
-    pairs = met.withColumn("n", st.token_set_similarity("g_c", "f_c")).filter(F.col("n") >= least)
-    matched = map_speakers(pairs.select("meeting_id", F.col("g").cast("string").alias("ref_speaker"), F.col("f").cast("string").alias("hyp_speaker"), "n")).groupBy("meeting_id").agg(F.count("*").alias("hits"))
+    pairs = similar_pairs(side(gold, "i"), side(found, "j"), ["meeting_id"], least, exact=True).withColumn("n", F.col("score"))
+    matched = map_speakers(pairs.select("meeting_id", F.col("i").cast("string").alias("ref_speaker"), F.col("j").cast("string").alias("hyp_speaker"), "n")).groupBy("meeting_id").agg(F.count("*").alias("hits"))
     counts = gold.groupBy("meeting_id").agg(F.count("*").alias("gold")).join(found.groupBy("meeting_id").agg(F.count("*").alias("found")), "meeting_id", "full").join(matched, "meeting_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     rate = lambda a, b: F.when(b > 0, a / b).otherwise(1.0)

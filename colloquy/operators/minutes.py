@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as st
 from ..functions import text as tx
+from .similar import similar_pairs
 
 
 def format_transcript(utterances: DataFrame) -> DataFrame:
@@ -72,19 +73,15 @@ def dedupe_items(items: DataFrame, same: float = 85.0, close: float = 70.0) -> D
     """Groups items of one kind that say the same: meeting_id, kind, idx, kept (the first item it repeats, or itself).
 
     Two are the same from ``same`` on, or from ``close`` if they share an utterance; actions also need one owner or none.
-    Only pairs that share a word are compared, natively joined and scored in batches; which item is kept depends on
-    those kept before, so the scored pairs of a meeting are folded in order.
+    All pairs of a kind are compared (see ``similar``); which item is kept depends on those kept before, so the pairs
+    of a meeting that are alike are folded in order.
     """
     base = items.select("meeting_id", "kind", "idx", "owner", "utterance_ids", normalize(F.col("text")).alias("c"))
-    words = base.select("meeting_id", "kind", "idx", F.explode(F.array_distinct(F.split("c", " "))).alias("word"))
-    one, two = words.alias("a"), words.alias("b")
-    met = one.join(two, ["meeting_id", "kind", "word"]).filter("a.idx < b.idx").select("meeting_id", "kind", F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).distinct()
     side = lambda x: base.select("meeting_id", "kind", F.col("idx").alias(x), F.col("owner").alias(f"{x}_owner"), F.col("utterance_ids").alias(f"{x}_ids"), F.col("c").alias(f"{x}_c"))
-    pairs = met.join(side("i"), ["meeting_id", "kind", "i"]).join(side("j"), ["meeting_id", "kind", "j"])
     free = lambda c: F.coalesce(F.col(c), F.lit("Unassigned")) == "Unassigned"
     owners = (F.col("kind") != "action_item") | free("i_owner") | free("j_owner") | (F.col("i_owner") == F.col("j_owner"))
-    scored = pairs.filter(owners).withColumn("score", st.token_set_similarity("i_c", "j_c"))
-    alike = scored.filter((F.col("score") >= same) | ((F.col("score") >= close) & F.arrays_overlap("i_ids", "j_ids"))).select("meeting_id", "kind", "i", "j")
+    least = F.when(F.arrays_overlap("i_ids", "j_ids"), close).otherwise(same)
+    alike = similar_pairs(side("i"), side("j"), ["meeting_id", "kind"], least, where=(F.col("i") < F.col("j")) & owners).select("meeting_id", "kind", "i", "j")
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         kept: dict = {}
@@ -102,11 +99,8 @@ def dedupe_items(items: DataFrame, same: float = 85.0, close: float = 70.0) -> D
 def resolve_supersession(decisions: DataFrame, same: float = 85.0) -> DataFrame:
     """Earlier decisions on a topic are superseded by the first later one; later ones note the last they replaced."""
     base = decisions.select("meeting_id", "idx", normalize(F.col("topic")).alias("c"))
-    # Similar topics share a word, so pairs are made by words, not within the meeting.
-    words = base.select("meeting_id", "idx", "c", F.explode(F.array_distinct(F.split("c", " "))).alias("word"))
-    a, b = words.select("meeting_id", "word", F.col("idx").alias("i"), F.col("c").alias("ci")), words.select("meeting_id", "word", F.col("idx").alias("j"), F.col("c").alias("cj"))
-    met = a.join(b, ["meeting_id", "word"]).filter("i < j").drop("word").distinct()
-    pairs = met.withColumn("score", F.when(F.col("ci") == F.col("cj"), 100.0).otherwise(st.token_set_similarity("ci", "cj"))).filter(F.col("score") >= same)
+    side = lambda x: base.select("meeting_id", F.col("idx").alias(x), F.col("c").alias(f"{x}_c"))
+    pairs = similar_pairs(side("i"), side("j"), ["meeting_id"], same, where=F.col("i") < F.col("j"), equal=True)
     by = pairs.groupBy("meeting_id", F.col("i").alias("idx")).agg(F.min("j").alias("superseded_by"))
     of = pairs.groupBy("meeting_id", F.col("j").alias("idx")).agg(F.max("i").alias("supersedes"))
     return decisions.join(by, ["meeting_id", "idx"], "left").join(of, ["meeting_id", "idx"], "left").withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise("active"))
