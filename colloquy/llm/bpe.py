@@ -31,6 +31,8 @@ from .common import free_name, small_batches
 
 #: Characters of a leaf. Longer texts are cut.
 LEAF = 32_768
+#: Cells over which the copies of one long text are dealt.
+CELLS = 64
 #: The byte-level splitting pattern, in a form without backtracking.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: The same for the regex module, for scans around a join.
@@ -251,56 +253,46 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     is_long = F.coalesce(F.length(text_col) > leaf, F.lit(False))
     out = docs.filter(~is_long).mapInArrow(short, schema)
 
-    # Long texts: leaf 0 carries the row, the others their text only; equal rows share a key and so their leaves.
-    key, no, part = (free_name([*docs.columns, ids_col], n) for n in ("leaf_key", "leaf_no", "leaf_text"))
+    # Long texts: each distinct one is cut and grown once, in a group of its own; its copies take the ids by a join.
+    # The join is dealt by the copies' other columns too, so that copies of one text spread; ids go only where copies are.
+    taken = [*docs.columns, ids_col]
+    key, no, part, cell = (free_name(taken, n) for n in ("leaf_key", "leaf_no", "leaf_text", "copy_cell"))
     keyed = docs.filter(is_long).withColumn(key, F.sha2(F.col(text_col), 256))
-    cut_schema = T.StructType([*keyed.schema.fields, T.StructField(no, T.IntegerType()), T.StructField(part, T.StringType())])
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    own = [quoted(c) for c in docs.columns if c != text_col and isinstance(docs.schema[c].dataType, T.AtomicType)]
+    copies = keyed.withColumn(cell, F.pmod(F.xxhash64(*own), F.lit(CELLS)) if own else F.lit(0).cast("long")).drop(text_col)
+    cut_schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(no, T.IntegerType()), T.StructField(part, T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                leaves = bpe.leaves(row.column(text_col)[0].as_py(), leaf)
-                n = len(leaves)
-                columns = []
-                for name, column in zip(batch.schema.names, row.columns, strict=True):
-                    if name == key:
-                        columns.append(pa.array([column[0].as_py()] * n, type=column.type))
-                    elif name == text_col:  # comes back from the leaves
-                        columns.append(pa.nulls(n, column.type))
-                    else:
-                        columns.append(pa.concat_arrays([column, pa.nulls(n - 1, column.type)]))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(n), pa.int32()), pa.array(leaves, pa.string())], names=[*batch.schema.names, no, part])
-
-    coded_schema = T.StructType([*cut_schema.fields, T.StructField(ids_col, T.BinaryType())])
+            for name, text in zip(batch.column(key).to_pylist(), batch.column(text_col).to_pylist(), strict=True):
+                leaves = bpe.leaves(text, leaf)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(leaves), pa.string()), pa.array(range(len(leaves)), pa.int32()), pa.array(leaves, pa.string())], names=[key, no, part])
+
+    coded_schema = T.StructType([*cut_schema.fields[:2], T.StructField(ids_col, T.BinaryType())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         kind = np.dtype("<u2") if bpe.size <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
             ids = [bpe.encode(t).astype(kind).tobytes() for t in batch.column(part).to_pylist()]
-            keep = [c if n != part else pa.nulls(batch.num_rows, pa.string()) for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(ids, pa.binary())], names=[*batch.schema.names, ids_col])
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(no), pa.array(ids, pa.binary())], names=[key, no, ids_col])
+
+    grown_schema = T.StructType([cut_schema.fields[0], *([T.StructField(text_col, T.StringType())] if keep_text else []), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def grow(group: pa.Table) -> pa.Table:
         bpe = vocabulary(path)
         kind = np.dtype("<u2") if bpe.size <= 1 << 16 else np.dtype("<u4")
-        numbers = group.column(no).to_pylist()
-        by_no = dict(zip(numbers, group.column(ids_col).to_pylist(), strict=True))
+        by_no = dict(zip(group.column(no).to_pylist(), group.column(ids_col).to_pylist(), strict=True))
         ids = bpe.tree([np.frombuffer(by_no[i], dtype=kind).astype(np.uint32) for i in sorted(by_no)])
-        rows = group.filter(pa.array([n == 0 for n in numbers]))
-        n = rows.num_rows
-        text = [bpe.bytes_of(ids).decode()] * n if keep_text else []
-        return pa.table({c: pa.array(text, pa.string()) if c == text_col else rows.column(c) for c in names} | {ids_col: lists([ids] * n)})
-
-    leaves = keyed.mapInArrow(cut, _nullable(cut_schema)).repartition(key, no)
-    grown = leaves.mapInArrow(code, _nullable(coded_schema)).groupBy(key).applyInArrow(grow, schema)
-    return out.unionByName(grown)
-
+        text = {text_col: pa.array([bpe.bytes_of(ids).decode()], pa.string())} if keep_text else {}
+        return pa.table({key: pa.array([group.column(key)[0].as_py()], pa.string())} | text | {ids_col: lists([ids])})
 
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    leaves = keyed.select(key, text_col).mapInArrow(cut, cut_schema).dropDuplicates([key, no])
+    grown = leaves.mapInArrow(code, coded_schema).groupBy(key).applyInArrow(grow, grown_schema)
+    spread = copies.select(key, cell).distinct().join(grown, key)
+    return out.unionByName(copies.join(spread, [key, cell]).drop(key, cell))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:

@@ -128,3 +128,30 @@ def test_store_edges(spark):
     empty = token_store.new_store(spark)
     token_store.write(docs.limit(0), empty)
     assert token_store.read(spark, empty).count() == 0
+
+
+def _grown(plan):
+    """Rows that come out of the groups that join leaves."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _grown(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _grown(plan.plan())
+    if name == "FlatMapGroupsInArrowExec":
+        return plan.metrics().get("pythonNumRowsReceived").get().value()
+    return sum(_grown(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_copies_of_a_long_text_are_grown_once(spark, library):
+    long, other = "Ab c's " * 400, "é" * 3000
+    rows = [(k % 25, long) for k in range(60)] + [(100, other), (None, long), (7, "short")]
+    for keep in (True, False):
+        coded = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), leaf=100, keep_text=keep)
+        got = coded.collect()
+        assert sorted(r.doc_id or 0 for r in got) == sorted(k or 0 for k, _ in rows)
+        want = {t: library.encode(t, add_special_tokens=False).ids for t in (long, other, "short")}
+        assert all(list(r.ids) == want[other if r.doc_id == 100 else "short" if r.doc_id == 7 and len(r.ids) < 9 else long] for r in got)
+        assert not keep or all(list(r.ids) == want[r.text] for r in got)
+        assert _grown(coded._jdf.queryExecution().executedPlan()) == 2
+    alone = bpe.encode(spark.createDataFrame([(long,)] * 5, "text string"), leaf=100).collect()
+    assert [r.text for r in alone] == [long] * 5
