@@ -71,16 +71,16 @@ def _segs(s, d):
 
 
 def _aligned(s, d):
-    return al.align_words(_words(s, d), _segs(s, d), _odd(s, d))
+    return al.align_words(_words(s, d), _segs(s, d), ln.turns(s, d))
 
 
-query("A4_split_segment")(lambda s, d: al.split_segment(_segs(s, d), _odd(s, d)))
+query("A4_split_segment")(lambda s, d: al.split_segment(_segs(s, d), ln.turns(s, d)))
 query("A5_align_words")(_aligned)
 _SPW = "wd AS (SELECT *, 'x' AS word FROM sp)"
 query("A8_group_by_speaker", w(_T, _WORD, _ODD, _SPAN) + "SELECT meeting_id, word_id, sum(CASE WHEN l IS NULL OR l <> speaker THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, speaker, word_id ROWS UNBOUNDED PRECEDING)::BIGINT AS \"group\" FROM (SELECT *, lag(speaker) OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, speaker, word_id) AS l FROM sp)")(
     lambda s, d: al.group_by_speaker(_spoken(s, d).withColumn("word", F.col("word_id"))).select("meeting_id", "word_id", "group")
 )
-query("A9_merge_fragments")(lambda s, d: al.merge_fragments(al.group_by_speaker(_spoken(s, d))))
+query("A9_merge_fragments")(lambda s, d: al.merge_fragments(al.group_by_speaker(al.speaker_for_span(_words(s, d), ln.turns(s, d)))))
 query("A10_split_long")(lambda s, d: al.split_long(al.group_by_speaker(_aligned(s, d))))
 query(
     "A11_merge_same_speaker_overlaps",
