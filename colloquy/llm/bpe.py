@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small_batches
+from .common import free_name, give_back, small_batches
 
 #: Characters of a leaf. Longer texts are cut.
 LEAF = 32_768
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), ids], names=[*names, ids_col])
 
     is_long = F.coalesce(F.length(text_col) > leaf, F.lit(False))
-    out = docs.filter(~is_long).mapInArrow(short, schema)
+    out = docs.filter(~is_long).mapInArrow(give_back(short), schema)
 
     # Long texts: each distinct one is cut and grown once, in a group of its own; its copies take the ids by a join.
     # The join is dealt by the copies' other columns too, so that copies of one text spread; ids go only where copies are.
@@ -289,8 +289,8 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
         text = {text_col: pa.array([bpe.bytes_of(ids).decode()], pa.string())} if keep_text else {}
         return pa.table({key: pa.array([group.column(key)[0].as_py()], pa.string())} | text | {ids_col: lists([ids])})
 
-    leaves = keyed.select(key, text_col).mapInArrow(cut, cut_schema).dropDuplicates([key, no])
-    grown = leaves.mapInArrow(code, coded_schema).groupBy(key).applyInArrow(grow, grown_schema)
+    leaves = keyed.select(key, text_col).mapInArrow(give_back(cut), cut_schema).dropDuplicates([key, no])
+    grown = leaves.mapInArrow(give_back(code), coded_schema).groupBy(key).applyInArrow(grow, grown_schema)
     spread = copies.select(key, cell).distinct().join(grown, key)
     return out.unionByName(copies.join(spread, [key, cell]).drop(key, cell))
 
@@ -312,4 +312,4 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
                 texts = [bpe.decode(flat[offsets[i] : offsets[i + 1]]) if valid[i] else "" for i in range(a, b)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(give_back(run), schema)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +21,12 @@ BATCH_ROWS = 2_000
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a fresh local one where that is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a fresh local one where that is unset and
+    Spark runs in one process. A cluster without the setting is an error: its executors would not see such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="spark-work-")
@@ -47,6 +54,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, after which a Python worker, which Spark uses again, returns freed memory to the system."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return wrapped
+
+
 #: Characters beyond ASCII that lower() would change too.
 _OTHER_UPPER = r"[[^\x00-\x7F]&&[\p{IsUppercase}\p{Lt}]]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -27,24 +27,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small_batches
+from .common import free_name, give_back, small_batches
 
 #: Components of a vector; letter vectors; the seed that both sides of a run share.
 DIM, SLOTS, SEED = 512, 128, 20_240_607
 #: Labelled texts of a language to learn from, on average at most.
 PER_LANGUAGE = 4_000
 #: Trigram vectors that a worker keeps; others are made anew for each text.
-KEPT = 32_768
+KEPT = 8_192
 
 
 @cache
-def _slots() -> np.ndarray:
-    """The letter vector of each code point; 0 is the boundary."""
-    out = np.zeros(0x110000, dtype=np.int32)
-    for cp in range(0x110000):
-        if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
-            out[cp] = cp - 96 if 97 <= cp <= 122 else 27 + cp - 0xDF if 0xDF <= cp <= 0xFF else 60 + cp * 2654435761 % (1 << 32) % (SLOTS - 60)
-    return out
+def _known() -> np.ndarray:
+    """The letter vector of each code point met so far, 0 for the boundary; -1 where it is not worked out yet."""
+    return np.full(0x110000, -1, dtype=np.int16)
+
+
+def _slots(points: np.ndarray) -> np.ndarray:
+    known = _known()
+    out = known[points]
+    if (out < 0).any():
+        for cp in np.unique(points[out < 0]).tolist():
+            letter = not 0xD800 <= cp < 0xE000 and chr(cp).isalpha()
+            known[cp] = 0 if not letter else cp - 96 if 97 <= cp <= 122 else 27 + cp - 0xDF if 0xDF <= cp <= 0xFF else 60 + cp * 2654435761 % (1 << 32) % (SLOTS - 60)
+        out = known[points]
+    return out.astype(np.int32)
 
 
 @cache
@@ -60,7 +67,7 @@ def vectors(codes: np.ndarray) -> np.ndarray:
 
 def trigrams(text: str | None) -> np.ndarray:
     """Codes of all trigrams of a text, a boundary at either end; none if it has no letter."""
-    s = _slots()[np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype="<u4")]
+    s = _slots(np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype="<u4"))
     if not s.any():
         return np.zeros(0, dtype=np.int32)
     s = np.concatenate([[0], s, [0]])
@@ -69,23 +76,35 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 class Bundler:
-    """Bundles trigram counts into text vectors and keeps the vectors of trigrams seen before."""
+    """Bundles trigram counts into text vectors and keeps the vectors of the first ``KEPT`` trigrams that it meets."""
 
     def __init__(self) -> None:
-        self.place = np.full(SLOTS**3, -1, dtype=np.int32)
-        self.table = np.zeros((1024, DIM), dtype=np.float32)
-        self.n = 0
+        self.codes = np.zeros(0, dtype=np.int32)  # sorted
+        self.rows = np.zeros(0, dtype=np.int32)
+        self.table = np.zeros((0, DIM), dtype=np.float32)
+
+    def _places(self, codes: np.ndarray) -> np.ndarray:
+        """Row of each code in the table, or -1."""
+        if not len(self.codes):
+            return np.full(len(codes), -1, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.rows[at], -1)
 
     def bundle(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        at = self.place[codes]
-        new = codes[at < 0][: KEPT - self.n]
+        at = self._places(codes)
+        new = codes[at < 0][: KEPT - len(self.codes)]
         if len(new):
-            while self.n + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.n : self.n + len(new)] = vectors(new)
-            self.place[new] = np.arange(self.n, self.n + len(new))
-            self.n += len(new)
-            at = self.place[codes]
+            n = len(self.codes)
+            if n + len(new) > len(self.table):
+                more = np.zeros((min(KEPT, max(2 * (n + len(new)), 1024)), DIM), dtype=np.float32)
+                more[:n] = self.table[:n]
+                self.table = more
+            self.table[n : n + len(new)] = vectors(new)
+            both = np.concatenate([self.codes, new.astype(np.int32)])
+            order = np.argsort(both, kind="stable")
+            self.rows = np.concatenate([self.rows, np.arange(n, n + len(new), dtype=np.int32)])[order]
+            self.codes = both[order]
+            at = self._places(codes)
         known = at >= 0
         out = weights[known] @ self.table[at[known]]
         if not known.all():
@@ -100,7 +119,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Prototypes by language. What reaches the driver is bounded by languages times possible trigrams."""
+    """Prototypes by language: of each, ``DIM`` numbers reach the driver."""
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull())
@@ -111,26 +130,36 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part[F.col(lang_col)] * (1 << 30)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
+            held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 codes = trigrams(text)
                 if len(codes):
                     seen, n = np.unique(codes, return_counts=True)
-                    own = sums.setdefault(lang, np.zeros(SLOTS**3, dtype=np.int64))
-                    own[seen] += np.rint(1e6 * n / len(codes)).astype(np.int64)  # whole numbers: sums do not depend on order
+                    held.setdefault(lang, []).append((seen, np.rint(1e6 * n / len(codes)).astype(np.int64)))  # whole numbers: sums do not depend on order
+            for lang, own in held.items():
+                seen, place = np.unique(np.concatenate([c for c, _ in own]), return_inverse=True)
+                sums = np.zeros(len(seen), dtype=np.int64)
+                np.add.at(sums, place, np.concatenate([n for _, n in own]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(sums, pa.int64())], names=["lang", "code", "n"])
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, codes, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "code", "n"))
+            for lang in sorted(set(langs)):
+                own = np.flatnonzero(langs == lang)
+                for k in range(0, len(own), 4096):
+                    some = own[k : k + 4096]
+                    sums[lang] = sums.get(lang, 0.0) + n[some].astype(np.float64) @ vectors(codes[some])  # whole numbers, exact
         for lang, own in sums.items():
-            seen = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(own[seen], pa.int64())], names=["lang", "code", "n"])
-
-    totals = drawn.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    out = {}
-    for lang, own in totals.groupby("lang"):
-        own = own.sort_values("code")
-        total = np.zeros(DIM)
-        for k in range(0, len(own), 65_536):
-            total += own["n"].to_numpy()[k : k + 65_536].astype(np.float64) @ vectors(own["code"].to_numpy()[k : k + 65_536])
-        out[lang] = total
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(range(DIM), pa.int32()), pa.array(np.rint(own).astype(np.int64))], names=["lang", "place", "n"])
+
+    totals = drawn.mapInArrow(give_back(count), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    got = totals.mapInArrow(give_back(bundle), "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).collect()
+    out: dict[str, np.ndarray] = {}
+    for r in got:
+        out.setdefault(r["lang"], np.zeros(DIM))[r["place"]] = r["n"]
     return out
 
 
@@ -159,4 +188,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_out, score_out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(give_back(run), schema)
