@@ -2,7 +2,9 @@
 
 Words are runs of letters a-z (after A-Z are lowered), digits and characters beyond ASCII. A window is ``width``
 consecutive words of a benchmark item; an item with fewer words is one window. The windows' hashes, with the
-windows themselves, go to all tasks; each document's windows are hashed, looked up, and hits verified word by word.
+windows themselves, go to all tasks; each document's windows are hashed (each word once, then its hashes), looked up,
+and hits verified word by word. A benchmark of more than ``BROADCAST_BYTES`` goes in parts of at most about that size,
+one pass over the documents for each: no word of a document is shuffled, and no document waits for another.
 
 Edge cases: null text has no words and no hits; an item without words is no window; windows that several items
 share count for each; repeated documents have a result each; rows without an id are handled as any other. An empty
@@ -14,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free_name
+from .common import ascii_lower, free_name, materialize
 
 #: Words of a window.
 WIDTH = 10
-#: Largest total of benchmark windows that is sent to all tasks; beyond it Spark joins by shuffling.
+#: Bytes of benchmark windows that are sent to all tasks at once.
 BROADCAST_BYTES = 64 << 20
 #: The key of the one row that each document keeps besides its hits.
 _KEPT = 0
@@ -37,49 +39,63 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
         .select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.least(F.col("n"), F.lit(width))))).alias("window"))
         .groupBy("window")
         .agg(F.collect_set("item").alias("items"))
-        .select(F.size("window").alias("length"), _hash(F.col("window")).alias("h"), "window", "items")
+        .select(F.size("window").alias("length"), _hash(_codes(F.col("window"))).alias("h"), "window", "items")
     )
 
 
-def _hash(window: Column) -> Column:
-    h = F.xxhash64(window)
+def _codes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _hash(codes: Column) -> Column:
+    h = F.xxhash64(codes)
     return F.when(h == _KEPT, F.lit(1).cast("long")).otherwise(h)
 
 
 def _probe(n: int, entry):
-    return lambda i: entry(_hash(F.slice("w", i, n)), i, n)
+    return lambda i: entry(_hash(F.slice("codes", i, n)), i, n)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per document (id column doc_id): text_hash, n_words, spans (struct of first word from 1 and length), items (sorted strings)."""
     spark = docs.sparkSession
     found = windows(benchmark, width)
-    sizes = found.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("window", " ")) + 64).alias("bytes")).collect()  # width rows at most
+    size = F.length(F.array_join("window", " ")) + F.length(F.array_join("items", " ")) + 64
+    sizes = found.groupBy("length").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()  # width rows at most
     lengths = sorted(r["length"] for r in sizes) or [width]
     kept = spark.range(1).select(F.lit(0).alias("length"), F.lit(_KEPT).cast("long").alias("h"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"))
-    table = found.unionByName(kept).withColumnRenamed("h", "wh").withColumnRenamed("length", "wl")
-    if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-
     entry = lambda h, at, n: F.struct(h.cast("long").alias("h"), at.cast("int").alias("at"), F.lit(n).alias("length"))
-    probes = [F.array(entry(F.lit(_KEPT), F.lit(0), 0))]
+    probes = []
     for n in lengths:
         starts = F.when(F.col("n_words") >= n, F.sequence(F.lit(1), F.col("n_words") - n + 1)).otherwise(F.array().cast("array<int>"))
         probes.append(F.transform(starts, _probe(n, entry)))
-    probed = (
-        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-        .withColumn("n_words", F.size("w"))
-        .select("doc_id", "text_hash", "n_words", "w", F.explode(F.concat(*probes)).alias("p"))
-        .select("doc_id", "text_hash", "n_words", "w", "p.h", "p.at", "p.length")
-    )
-    verified = probed.join(table, (F.col("h") == F.col("wh")) & (F.col("length") == F.col("wl")) & ((F.col("length") == 0) | (F.slice("w", F.col("at"), F.col("length")) == F.col("window"))))
+    worded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w")).withColumn("codes", _codes(F.col("w")))
+    own = ("doc_id", "text_hash", "n_words")
+
+    def one_pass(table: DataFrame, first: bool) -> DataFrame:
+        """Hits on the windows of ``table``; the first pass has a row for each document besides."""
+        keep = [F.array(entry(F.lit(_KEPT), F.lit(0), 0))] if first else []
+        probed = worded.select(*own, "w", F.explode(F.concat(*keep, *probes)).alias("p")).select(*own, "w", "p.h", "p.at", "p.length")
+        table = F.broadcast((table.unionByName(kept) if first else table).withColumnsRenamed({"h": "wh", "length": "wl"}))
+        same = (F.col("length") == 0) | (F.slice("w", F.col("at"), F.col("length")) == F.col("window"))
+        return probed.join(table, (F.col("h") == F.col("wh")) & (F.col("length") == F.col("wl")) & same).select(*own, "at", "length", "items")
+
+    parts = max(1, -(-sum(r["bytes"] for r in sizes) // BROADCAST_BYTES))
+    if parts == 1:
+        verified = one_pass(found, True)
+    else:
+        found = materialize(found.withColumn("part", F.pmod(F.xxhash64("h", F.lit(3)), F.lit(parts))), "windows")
+        passes = [materialize(one_pass(found.filter(F.col("part") == i).drop("part"), i == 0), "hits") for i in range(parts)]
+        verified = passes[0]
+        for more in passes[1:]:
+            verified = verified.unionByName(more)
     hit = F.col("length") > 0
-    grouped = verified.groupBy("doc_id", "text_hash", "n_words").agg(
+    grouped = verified.groupBy(*own).agg(
         F.collect_set(F.when(hit, F.struct("at", "length"))).alias("spans"),
         F.collect_set(F.when(hit, F.col("items"))).alias("items"),
         F.sum(F.when(hit, 0).otherwise(1)).alias("rows"),
     )
-    return grouped.select("doc_id", "text_hash", "n_words", F.array_sort("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row")).drop("row")
+    return grouped.select(*own, F.array_sort("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row")).drop("row")
 
 
 def n_hit(spans: Column) -> Column:
