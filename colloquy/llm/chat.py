@@ -7,11 +7,11 @@ Log rows: conv_id, seq, kind, the columns that name the message (``by``), role,
 
 * ``message``: the message begins, or begins anew, with this text;
 * ``delta``: text that follows what the message has so far;
-* ``edit``: the text becomes this one;
+* ``edit``: the text becomes this one, and the role stays unless the edit names one;
 * ``regenerate``: the message begins anew with this text, and what was logged before for later messages of the
   conversation is void.
 
-Edge cases: null text is the empty text, null role the empty role; rows of other kinds or without kind are left
+Edge cases: the last role logged counts; null text is the empty text, no role the empty role; rows of other kinds or without kind are left
 out; deltas without a beginning begin the message; rows of equal seq count as beginning first, then by text; equal
 rows count each time. A null conv_id is a conversation of its own, a null ``by`` sorts first. No rows give no
 conversations. Columns besides are left out.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The template's own marks.
@@ -46,31 +46,26 @@ def unescape(text: Column) -> Column:
 
 
 def fold(events: DataFrame, by: Sequence[str] = ("turn",)) -> DataFrame:
-    """The final messages: conv_id, ``by``, role, text. Rows are dealt by conversation and message."""
+    """The final messages: conv_id, ``by``, role, text.
+
+    A message's own log is sorted and folded first. Then the messages of each conversation are put in order, and a running
+    maximum tells the last regeneration of an earlier message, which voids what a message had before.
+    """
     events = events.filter(F.col("kind").isin(*BEGINS, "delta"))
     begins = F.col("kind") != "delta"
     entry = F.struct("seq", (~begins).alias("later"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("role"))
     messages = events.groupBy("conv_id", *by).agg(
-        F.collect_list(entry).alias("log"), F.max(F.when(begins, F.col("seq"))).alias("begun")
-    )
-    # For each regenerated message: the largest seq of it or an earlier one. Only regenerations are gathered.
-    again = (
-        events.filter(F.col("kind") == "regenerate")
-        .groupBy("conv_id", *by)
-        .agg(F.max("seq").alias("seq"))
-        .groupBy(F.col("conv_id").alias("again_conv"))
-        .agg(F.collect_list(F.struct(F.struct(*by).alias("at"), "seq")).alias("again"))
+        F.collect_list(entry).alias("log"), F.max(F.when(begins, F.col("seq"))).alias("begun"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again")
     )
-    joined = messages.join(again, F.col("conv_id").eqNullSafe(F.col("again_conv")), "left")
-    voids = F.array_max(F.transform(F.filter("again", lambda a: a["at"] < F.struct(*by)), lambda a: a["seq"]))
-    lives = lambda e: (F.col("begun").isNull() | (e["seq"] >= F.col("begun"))) & (F.col("void").isNull() | (e["seq"] >= F.col("void")))
-    live = joined.withColumn("void", voids).withColumn("log", F.filter(F.array_sort("log"), lives))
+    earlier = Window.partitionBy("conv_id").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    valid = messages.withColumn("void", F.max("again").over(earlier)).withColumn("log", F.filter(F.array_sort("log"), lambda e: F.col("void").isNull() | (e["seq"] >= F.col("void"))))
+    texts = F.transform(F.filter("log", lambda e: F.col("begun").isNull() | (e["seq"] >= F.col("begun"))), lambda e: e["text"])
     roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
-    return live.filter(F.size("log") > 0).select(
+    return valid.filter(F.size("log") > 0).select(
         "conv_id",
         *by,
-        F.coalesce(F.element_at(F.when(F.size(roles) > 0, roles), 1), F.lit("")).alias("role"),
-        F.array_join(F.transform("log", lambda e: e["text"]), "").alias("text"),
+        F.coalesce(F.element_at(F.when(F.size(roles) > 0, roles), -1), F.lit("")).alias("role"),
+        F.array_join(texts, "").alias("text"),
     )
 
 

@@ -30,6 +30,30 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _server_log(rows: DataFrame, piece: int = 48) -> DataFrame:
+    """Rows (conv_id, turn, copy, role, text) as the log that a model server would leave. The final text of a message is
+    nowhere in one piece: it streams in deltas of ``piece`` characters. Every third message begins with a draft that an
+    edit voids; every fifth is regenerated after another message that came behind it, which is void with it.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    draft = F.concat(F.lit("draft: "), F.reverse(F.substring(text, 1, piece)))
+    parts = F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / piece).cast("int")), lambda i: F.substring(text, i * piece + 1, F.lit(piece))))
+    what = F.pmod(F.xxhash64("conv_id", "turn", "copy"), F.lit(15))
+    event = lambda at, kind, later, role, own: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), F.lit(later).alias("later"), role.alias("role"), own.alias("text"))
+    none, empty = F.lit(None).cast("string"), F.lit("")
+    at = lambda n: F.lit(n)
+    plain = F.array(event(at(0), "message", 0, role, empty))
+    edited = F.array(event(at(0), "message", 0, role, draft), event(at(1), "delta", 0, none, draft), event(at(2), "edit", 0, none, empty))
+    again = F.array(
+        event(at(0), "message", 0, F.lit("void"), draft), event(at(1), "message", 1, role, draft), event(at(2), "delta", 1, none, F.lit("void")), event(at(3), "regenerate", 0, role, empty)
+    )
+    begun = F.when(what % 5 == 0, again).when(what % 3 == 0, edited).otherwise(plain)
+    deltas = F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda p, i: event(i + 10, "delta", 0, none, p))
+    logged = rows.select("conv_id", "turn", "copy", F.explode(F.concat(begun, deltas)).alias("e"))
+    # The message behind is named as one that may never come, or come later.
+    return logged.select("conv_id", F.struct("turn", "copy", "e.at").alias("seq"), "e.kind", "turn", (F.col("copy") + F.col("e.later")).alias("copy"), "e.role", "e.text")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -38,12 +62,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
     # Rows of one turn that differ are messages of their own; equal ones too, so each gets a number.
     numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    seq = F.struct("turn", "copy")
-    # Each row is logged as a model server would: the message begins, and its text arrives.
-    begun = numbered.select("conv_id", seq.alias("seq"), F.lit("message").alias("kind"), "turn", "copy", "role", F.lit("").alias("text"))
-    streamed = numbered.select("conv_id", seq.alias("seq"), F.lit("delta").alias("kind"), "turn", "copy", F.lit(None).cast("string").alias("role"), "text")
     by = ("turn", "copy")
-    out = chat.render(chat.fold(begun.unionByName(streamed), by), by)
+    out = chat.render(chat.fold(_server_log(numbered), by), by)
     out = out.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
     return out.select(
         "conv_id",
