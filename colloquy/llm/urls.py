@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, free_name, small_batches
+from .common import ascii_lower, free_name, give_back, small_batches
 
 #: The rules of the contract.
 RULES = (
@@ -29,10 +29,24 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: One of these blocks.
-STRICT = ("porn", "xxx", "xvideos", "hentai", "milf", "escort", "escorts", "casino", "warez", "torrent")
-#: Several distinct ones block.
-SOFT = ("sex", "adult", "nude", "dating", "bet", "poker", "slots", "pharmacy", "pills", "crack", "keygen", "loan", "free", "cheap", "ref", "utm")
+#: The vocabulary where none is given, of content words only: names of tracking parameters or formats are no content.
+#: One of these blocks.
+STRICT = tuple(
+    """
+    porn porno pornhub xxx xvideos xnxx xhamster redtube youporn hentai milf milfs gangbang blowjob handjob deepthroat creampie
+    cumshot camgirl camgirls sexcam sexcams upskirt escort escorts callgirl callgirls casino sportsbook bookmaker
+    warez torrent torrents thepiratebay crackz keygen keygens serialz nulled cardable fullz carding darknet
+    """.split()
+)
+#: Several distinct ones of these block.
+SOFT = tuple(
+    """
+    sex sexy adult nude nudes naked erotic fetish lingerie hot singles dating hookup swingers bet bets betting gamble gambling
+    poker roulette blackjack slots jackpot lottery bingo wager odds pharmacy pills viagra cialis xanax tramadol steroids
+    replica crack cracked patch serial hack hacks cheat cheats mod apk payday loan loans credit forex binary cheap free win
+    winner bonus prize giveaway followers proxies botnet
+    """.split()
+)
 #: Weight at which a url is blocked; strict terms have it, soft ones weigh 1.
 LIMIT = 2
 
@@ -54,6 +68,20 @@ def rule_of(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str,
     return name, verdict
 
 
+#: Most terms of a vocabulary, which every task holds whole.
+MOST_TERMS = 1_000_000
+
+
+def vocabulary(table: DataFrame) -> dict[str, int]:
+    """Terms and weights of a table (term, weight). Nulls, empty terms and weights below 1 are left out, A-Z lowered; of
+    repeated terms the largest weight counts. More than ``MOST_TERMS`` rows are an error."""
+    rows = table.select(ascii_lower(F.col("term")).alias("term"), F.col("weight").cast("int").alias("weight")).filter("term <> '' AND weight > 0")
+    got = rows.groupBy("term").agg(F.max("weight").alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(got) > MOST_TERMS:
+        raise ValueError(f"the vocabulary has more than {MOST_TERMS} terms")
+    return {r["term"]: r["weight"] for r in got}
+
+
 def automaton(terms: dict[str, int]):
     import ahocorasick
 
@@ -81,11 +109,14 @@ def weight(url: str | None, machine) -> int:
     return sum(found.values())
 
 
-def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, limit: int = LIMIT) -> DataFrame:
-    """``pages`` with host, path, rule, weight and verdict."""
+def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, terms: dict[str, int] | DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+    """``pages`` with host, path, rule, weight and verdict. ``terms``: weights by term, or a table (term, weight)."""
     host_, path_, rule_, weight_, verdict_ = (free_name(pages.columns, n) for n in ("host", "path", "rule", "weight", "verdict"))
     small_batches(pages.sparkSession)
-    terms = dict.fromkeys(soft, 1) | dict.fromkeys(strict, limit)
+    if isinstance(terms, DataFrame):
+        terms = vocabulary(terms)
+    if terms is None:
+        terms = dict.fromkeys(SOFT, 1) | dict.fromkeys(STRICT, limit)
     schema = T.StructType([*pages.schema.fields, T.StructField(weight_, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +125,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str
             weights = [weight(u, machine) for u in batch.column(url_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.int32())], names=[*batch.schema.names, weight_])
 
-    weighed = pages.mapInArrow(run, schema).withColumn(host_, host(F.col(url_col))).withColumn(path_, path(F.col(url_col)))
+    weighed = pages.mapInArrow(give_back(run), schema).withColumn(host_, host(F.col(url_col))).withColumn(path_, path(F.col(url_col)))
     rule, verdict = rule_of(F.col(host_), F.col(path_), rules)
     own = F.when(F.col(weight_) >= limit, "block").otherwise("allow")
     return weighed.select(*pages.columns, host_, path_, rule.alias(rule_), weight_, F.coalesce(verdict, own).alias(verdict_))
