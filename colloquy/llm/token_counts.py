@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import default_path, vocabulary
-from .common import small_batches
+from .common import give_back, small_batches
 
 RULES = ("start", "most", "share")
 
@@ -73,6 +73,8 @@ def attribute(docs: DataFrame, text_col: str = "text", sections_col: str | None
                     chars[1] = np.maximum(chars[0], chars[1])
                     starts, ends = np.append(firsts, len(raw))[chars]
                 parts.append((np.full(len(starts), i), np.arange(len(starts)), chars[0], chars[1], allot(bpe.lengths[bpe.encode(text)], starts, ends, rule)))
+            if not parts:
+                continue
             row, section, start, end, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -82,4 +84,4 @@ def attribute(docs: DataFrame, text_col: str = "text", sections_col: str | None
                 names=schema.names,
             )
 
-    return docs.select("doc_id", text_col, *([sections_col] if sections_col else [])).mapInArrow(run, schema)
+    return docs.select("doc_id", text_col, *([sections_col] if sections_col else [])).mapInArrow(give_back(run), schema)
