@@ -67,25 +67,34 @@ def inherit_short_windows(windows: DataFrame, least_ms: int = 1_500, sure: float
     return out.withColumn("language", F.coalesce("heir", "language")).withColumn("uncertain", F.when(F.col("heir").isNotNull(), False).otherwise(F.col("uncertain"))).drop("heir")
 
 
-def resolve_uncertain(windows: DataFrame, fallback: str = "en") -> DataFrame:
-    """An uncertain window takes the language of its speaker's nearest confident one (the earlier on ties), else the
-    meeting's dominant one, else ``fallback``.
+def resolve_uncertain(windows: DataFrame, fallback: str = "en", width: int = 60_000) -> DataFrame:
+    """An uncertain window takes the language of its speaker's nearest confident one, else the meeting's dominant one,
+    else ``fallback``; all are certain then.
 
-    With a speaker's windows in order of time, the nearest confident one is the last before or the first after.
+    Nearest is the smallest gap, then what begins earlier than the window, then the first in order of time. Where no
+    confident window overlaps or touches it, that is the one with the latest end before or the earliest start after.
     """
-    sure = ~F.col("uncertain") & F.col("language").isNotNull()
+    sure = F.coalesce(~F.col("uncertain") & F.col("language").isNotNull(), F.lit(False))
     own = Window.partitionBy("meeting_id", "speaker").orderBy("start_ms", "end_ms", "seq")
-    entry = F.when(sure, F.struct("end_ms", "seq", "language"))
-    after = F.when(sure, F.struct("start_ms", "seq", "language"))
-    # Windows may contain others, so the nearest end before is the largest one.
+    entry = F.when(sure, F.struct("end_ms", (-F.col("start_ms")).alias("s"), (-F.col("seq")).alias("seq"), "language"))
     before = F.max(entry).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.first(after, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
-    near = windows.withColumn("_before", before).withColumn("_after", behind)
-    gap_b = F.greatest(F.col("start_ms") - F.col("_before.end_ms"), F.lit(0))
-    gap_a = F.greatest(F.col("_after.start_ms") - F.col("end_ms"), F.lit(0))
+    behind = F.first(F.when(sure, F.struct("start_ms", "language")), ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    near = windows.withColumn("_sure", sure).withColumn("_before", before).withColumn("_after", behind)
+    gap_b, gap_a = F.col("start_ms") - F.col("_before.end_ms"), F.col("_after.start_ms") - F.col("end_ms")
     pick = F.when(F.col("_after").isNull() | (F.col("_before").isNotNull() & (gap_b <= gap_a)), F.col("_before.language")).otherwise(F.col("_after.language"))
+
+    # Spans an end longer, so that those that touch meet as well.
+    named = windows.withColumn("_sure", sure).withColumn("_speaker", F.struct(F.col("speaker").isNull().alias("none"), F.coalesce("speaker", F.lit("")).alias("name")))
+    open_ = named.filter("NOT _sure").select("meeting_id", "_speaker", "seq", "start_ms", (F.col("end_ms") + 1).alias("end_ms"))
+    known = named.filter("_sure").select("meeting_id", "_speaker", F.col("seq").alias("b_seq"), F.col("start_ms").alias("b_start_ms"), (F.col("end_ms") + 1).alias("b_end_ms"), "language")
+    met = iv.interval_join(open_, known, ["meeting_id", "_speaker"], width)
+    first = F.min(F.struct((F.col("b_start_ms") >= F.col("start_ms")).alias("later"), "b_start_ms", "b_end_ms", "b_seq", "language"))
+    over = met.groupBy("meeting_id", "seq").agg(first.alias("_over")).select("meeting_id", "seq", F.col("_over.language").alias("_over"))
+
     top = dominant_language(windows, ["meeting_id"]).select("meeting_id", F.col("language").alias("_top"))
-    return near.join(top, "meeting_id", "left").withColumn("language", F.when(sure, F.col("language")).otherwise(F.coalesce(pick, F.col("_top"), F.lit(fallback)))).drop("_before", "_after", "_top")
+    out = near.join(over, ["meeting_id", "seq"], "left").join(top, "meeting_id", "left")
+    found = F.coalesce("_over", pick, F.col("_top"), F.lit(fallback))
+    return out.withColumn("language", F.when(F.col("_sure"), F.col("language")).otherwise(found)).withColumn("uncertain", F.lit(False)).drop("_sure", "_before", "_after", "_over", "_top")
 
 
 def merge_adjacent(windows: DataFrame, gap_ms: int = 500) -> DataFrame:
