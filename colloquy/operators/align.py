@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,10 +81,13 @@ def split_segment(segments: DataFrame, turns: DataFrame, max_gap_ms: int = 1_000
 
 
 def align_words(timed: DataFrame, untimed: DataFrame, turns: DataFrame, max_gap_ms: int = 1_000, width: int = 60_000) -> DataFrame:
-    """Every word with one speaker: timed words by their own spans, the others by their segments'."""
-    a = speaker_for_span(timed, turns, max_gap_ms, width).select("meeting_id", "word", "start_ms", "end_ms", "speaker", "overlapping_speakers", F.lit("word").alias("precision"))
-    b = split_segment(untimed, turns, max_gap_ms, width).select("meeting_id", "word", "start_ms", "end_ms", "speaker", F.array().cast("array<string>").alias("overlapping_speakers"), F.lit("segment").alias("precision"))
-    return a.unionByName(b)
+    """Every word with one speaker: timed words by their own spans, the others by their segments'. Confidence and language stay
+    where timed words have them; languages are told from the words otherwise."""
+    given = lambda c, kind: F.col(c).cast(kind) if c in timed.columns else F.lit(None).cast(kind)
+    language = lambda own: F.coalesce(own, tx.word_language(F.col("word"))).alias("language")
+    a = speaker_for_span(timed, turns, max_gap_ms, width).select("meeting_id", "word", "start_ms", "end_ms", "speaker", "overlapping_speakers", F.lit("word").alias("precision"), given("confidence", "double").alias("confidence"), language(given("language", "string")))
+    b = split_segment(untimed, turns, max_gap_ms, width)
+    return a.unionByName(b.select("meeting_id", "word", "start_ms", "end_ms", "speaker", F.array().cast("array<string>").alias("overlapping_speakers"), F.lit("segment").alias("precision"), F.lit(None).cast("double").alias("confidence"), language(F.lit(None).cast("string"))))
 
 
 _ORDER = ["start_ms", "end_ms", "speaker", "word"]
@@ -95,36 +99,46 @@ def group_by_speaker(words: DataFrame) -> DataFrame:
     return iv.islands(words.withColumn("_new", last.isNull() | (last != F.col("speaker"))), ["meeting_id"], _ORDER, F.col("_new"), "group").drop("_new")
 
 
+def _joined(s: np.ndarray, e: np.ndarray, n: np.ndarray, starts: np.ndarray, min_words: int, gap_ms: int) -> np.ndarray:
+    """For each of a speaker's groups, in order: the group it ends in. Of each: its start, its last word's end, how many words it
+    has, and its last word's start."""
+    s, e, n, starts = (v.astype(np.float64) for v in (s, e, n, starts))
+    into, alive = np.arange(len(s)), np.ones(len(s), dtype=bool)
+    far = lambda i: np.where(alive, np.maximum(np.maximum(s - e[i], s[i] - e), 0), np.inf)
+    i = 0
+    while i < len(s):
+        if alive[i] and n[i] < min_words:
+            gaps = far(i)
+            gaps[i] = np.inf
+            o = int(np.argmin(gaps))
+            if gaps[o] <= gap_ms:
+                if (starts[i], e[i]) > (starts[o], e[o]):  # the end is that of the last word, which begins last
+                    starts[o], e[o] = starts[i], e[i]
+                s[o], n[o] = min(s[o], s[i]), n[o] + n[i]
+                alive[i], into[into == i] = False, o
+                # Only what is near the group that has grown may join now though it could not before.
+                again = np.flatnonzero((far(o) <= gap_ms) & (n < min_words) & alive)
+                i = min(int(again[0]), i + 1) if len(again) else i + 1
+                continue
+        i += 1
+    return into
+
+
 def merge_fragments(grouped: DataFrame, min_words: int = 2, gap_ms: int = 1_000) -> DataFrame:
-    """Groups below ``min_words`` join the nearest group of their speaker within ``gap_ms``, until none can.
-
-    Each join changes what the next one sees, so a meeting is one group of its group spans, not of its words; meetings
-    without a short group are passed by."""
-    spans = grouped.groupBy("meeting_id", "group", "speaker").agg(F.min("start_ms").alias("s"), F.max(F.struct(*_ORDER))["end_ms"].alias("e"), F.count("*").alias("n"))
-    some = spans.filter(F.col("n") < min_words).select("meeting_id").distinct()
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        rows = [[r.group, r.speaker, r.s, r.e, r.n, [r.group]] for r in g.sort_values("group").itertuples(index=False)]
-        changed = True
-        while changed:
-            changed = False
-            for i, (_, speaker, s, e, n, own) in enumerate(rows):
-                if n >= min_words:
-                    continue
-                near = [(max(o[2] - e, s - o[3], 0), j) for j, o in enumerate(rows) if j != i and o[1] == speaker]
-                near = [x for x in near if x[0] <= gap_ms]
-                if near:
-                    o = rows[min(near)[1]]
-                    last_first = e >= o[3]
-                    o[2], o[3], o[4], o[5] = min(o[2], s), e if last_first else o[3], o[4] + n, o[5] + own
-                    del rows[i]
-                    changed = True
-                    break
-        return pd.DataFrame([(g["meeting_id"].iloc[0], x, r[0]) for r in rows for x in r[5]], columns=["meeting_id", "group", "merged"])
-
-    kind = spans.schema["meeting_id"].dataType.simpleString()
-    into = spans.join(some, "meeting_id", "left_semi").groupBy("meeting_id").applyInPandas(fold, f"meeting_id {kind}, group long, merged long")
-    return grouped.join(into, ["meeting_id", "group"], "left").withColumn("group", F.coalesce("merged", "group")).drop("merged")
+    """Groups below ``min_words`` join the nearest group of their speaker within ``gap_ms`` (the first on ties), in order, until
+    none can. Each join changes what the next one sees, but only among a speaker's groups: those of a speaker in a meeting
+    are folded, and their words pass by as they are."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        group, start, end = (table.column(c).to_numpy() for c in ("group", "start_ms", "end_ms"))
+        order = np.lexsort((end, start, group))
+        ids, first = np.unique(group[order], return_index=True)
+        last = np.append(first[1:], len(order)) - 1
+        into = _joined(start[order][first], end[order][last], last - first + 1, start[order][last], min_words, gap_ms)
+        merged = ids[into][np.searchsorted(ids, group)]
+        return table.set_column(table.column_names.index("group"), "group", pa.array(merged, table.schema.field("group").type))
+
+    return grouped.groupBy("meeting_id", "speaker").applyInArrow(fold, grouped.schema)
 
 
 def split_long(grouped: DataFrame, max_ms: int = 30_000) -> DataFrame:
@@ -149,24 +163,39 @@ def merge_same_speaker_overlaps(parts: DataFrame, keys: list[str]) -> DataFrame:
     return iv.islands(far, keys, order, F.col("_reach").isNull() | (F.col("start_ms") >= F.col("_reach")), "u").drop("_reach")
 
 
-def build_utterances(words: DataFrame, max_ms: int = 30_000, min_words: int = 2, gap_ms: int = 1_000) -> DataFrame:
-    """Utterances in order of time, from words (meeting_id, word, start_ms, end_ms, speaker, overlapping_speakers, precision)."""
-    cut = split_long(merge_fragments(group_by_speaker(words), min_words, gap_ms), max_ms)
-    spans = cut.groupBy("meeting_id", "speaker", "group", "part").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    merged = merge_same_speaker_overlaps(spans, ["meeting_id", "speaker"]).select("meeting_id", "speaker", "group", "part", "u")
-    out = cut.join(merged, ["meeting_id", "speaker", "group", "part"]).groupBy("meeting_id", "speaker", "u").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"),
-        F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "word"))).alias("w"),
+def to_utterance(words: DataFrame, keys: list[str]) -> DataFrame:
+    """One utterance for each key of words (word, start_ms, end_ms, speaker, overlapping_speakers, precision, confidence, language).
+
+    In order of time: text; words; base languages, the primary one being the most frequent, then the one heard first; the mean
+    of known confidences to four decimals; speakers that overlap any word.
+    """
+    out = words.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "word", "confidence", "language"))).alias("w"), *([] if "speaker" in keys else [F.min_by("speaker", F.struct("start_ms", "end_ms", "word")).alias("speaker")]), F.avg("confidence").alias("mean"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("overlapping_speakers")))).alias("o"), F.max(F.col("precision") == "segment").alias("seg"),
     )
-    number = F.row_number().over(Window.partitionBy("meeting_id").orderBy("start_ms", "speaker", "u")) - 1
+    out = out.withColumn("heard", F.transform(F.filter("w", lambda x: x["language"].isNotNull()), lambda x: F.substring_index(x["language"], "-", 1))).withColumn("distinct", F.array_distinct("heard"))
+    ranked = F.transform("distinct", lambda x, i: F.struct((-F.size(F.filter("heard", lambda y: y == x))).alias("n"), i.alias("i"), x.alias("language")))
+    start, end = F.col("w")[0]["start_ms"], F.array_max(F.transform("w", lambda x: x["end_ms"]))
     others = F.array_remove("o", F.col("speaker"))
     return out.select(
-        "meeting_id", number.alias("utterance_index"), "speaker", "start_ms", "end_ms", "n_words", tx.join_words(F.transform("w", lambda x: x["word"])).alias("text"),
+        *keys, *([] if "speaker" in keys else ["speaker"]), start.alias("start_ms"), end.alias("end_ms"), (end - start).alias("duration_ms"), F.size("w").cast("long").alias("n_words"), tx.join_words(F.transform("w", lambda x: x["word"])).alias("text"),
+        F.array_min(ranked)["language"].alias("primary_language"), F.array_sort("distinct").alias("languages_present"), (F.size("distinct") > 1).alias("is_code_mixed"), F.round("mean", 4).alias("avg_confidence"),
         (F.size(others) > 0).alias("has_overlap"), others.alias("overlapping_speakers"), F.when(F.col("seg"), "segment").otherwise("word").alias("alignment_precision"),
+        F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["confidence"].alias("confidence"), x["language"].alias("language"))).alias("words"),
     )
 
 
+def build_utterances(words: DataFrame, max_ms: int = 30_000, min_words: int = 2, gap_ms: int = 1_000) -> DataFrame:
+    """Utterances (see ``to_utterance``) in order of time, numbered in each meeting, from words of ``align_words``."""
+    cut = split_long(merge_fragments(group_by_speaker(words), min_words, gap_ms), max_ms)
+    rest = [c for c in cut.columns if c not in {"meeting_id", "speaker", "group", "part"}]
+    parts = cut.groupBy("meeting_id", "speaker", "group", "part").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.collect_list(F.struct(*rest)).alias("w"))
+    merged = merge_same_speaker_overlaps(parts, ["meeting_id", "speaker"]).select("meeting_id", "speaker", "u", F.inline("w"))
+    out = to_utterance(merged, ["meeting_id", "speaker", "u"])
+    number = F.row_number().over(Window.partitionBy("meeting_id").orderBy("start_ms", "speaker", "u")) - 1
+    return out.withColumn("utterance_index", number).drop("u")
+
+
 def alignment_stats(words: DataFrame, turns: DataFrame) -> DataFrame:
     """Per meeting: words, shares assigned, unknown and given by segment, and diarized speakers without a word."""
     stats = words.groupBy("meeting_id").agg(F.count("*").alias("words"), F.avg((F.col("speaker") != UNKNOWN).cast("double")).alias("assigned"), F.avg((F.col("speaker") == UNKNOWN).cast("double")).alias("unknown"), F.avg((F.col("precision") == "segment").cast("double")).alias("segment_level"))
