@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import intervals as iv
+from .language import language_summary
 
 UNKNOWN = "Unknown"
 
@@ -47,15 +48,29 @@ def language_totals(utterances: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("share", F.when(total > 0, F.col("ms") / total).otherwise(0.0)).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ms"), "language")))
 
 
+def _breakdown(utterances: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Languages of each key as an array of language, ms and share, longest first."""
+    rows = language_totals(utterances, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "language", "ms", "share"))).alias(name))
+    return rows.withColumn(name, shares_only(F.col(name)))
+
+
+def shares_only(ranked: Column) -> Column:
+    return F.transform(ranked, lambda x: F.struct(x["language"].alias("language"), x["ms"].cast("long").alias("ms"), x["share"].cast("double").alias("share")))
+
+
+_SHARES = "array<struct<language:string,ms:bigint,share:double>>"
+
+
 def centiseconds(ms: Column) -> Column:
     """Half-even on whole milliseconds, as reported seconds are rounded to two decimals."""
     return F.bround(ms / 10).cast("long")
 
 
-def speaker_stats(turns: DataFrame, utterances: DataFrame, durations: DataFrame, least_ms: int = 500) -> DataFrame:
+def speaker_stats(turns: DataFrame, utterances: DataFrame, durations: DataFrame, least_ms: int = 500, languages: DataFrame | None = None) -> DataFrame:
     """A row for every speaker with turns or utterances, except Unknown; ms and unrounded ratios.
 
-    ``durations``: meeting_id, duration_ms.
+    ``durations``: meeting_id, duration_ms; ``languages``: meeting_id, speaker_label and the breakdown that is known from
+    language ID, which goes before that of the utterances.
     """
     spoken = speaking_time(turns)
     over = iv.overlap_by_speaker(turns).select("meeting_id", "speaker_label", "overlap_ms")
@@ -75,7 +90,9 @@ def speaker_stats(turns: DataFrame, utterances: DataFrame, durations: DataFrame,
     key = ["meeting_id", "speaker_label"]
     out = spoken.join(said, key, "full").join(over, key, "left").join(runs, key, "left").join(made, key, "left").join(received, key, "left").join(durations, "meeting_id", "left")
     speech = iv.total_length(iv.merge_intervals(turns, ["meeting_id"]), ["meeting_id"], name="speech_ms")
-    out = out.join(speech, "meeting_id", "left")
+    out = out.join(speech, "meeting_id", "left").join(_breakdown(known.withColumn("speaker_label", F.col("speaker")), key, "own_languages"), key, "left")
+    if languages is not None:
+        out = out.join(languages.select(*key, F.col("language_breakdown").alias("lid_languages")), key, "left").withColumn("own_languages", F.coalesce(F.when(F.size("lid_languages") > 0, F.col("lid_languages")), F.col("own_languages")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     all_segments = F.sum(zero("num_segments")).over(Window.partitionBy("meeting_id"))
@@ -100,6 +117,7 @@ def speaker_stats(turns: DataFrame, utterances: DataFrame, durations: DataFrame,
         zero("interruptions_received").alias("interruptions_received"),
         zero("overlap_ms").alias("overlap_ms"),
         zero("questions_asked").alias("questions_asked"),
+        F.coalesce("own_languages", F.array().cast(_SHARES)).alias("language_breakdown"),
     )
 
 
@@ -135,8 +153,9 @@ def utterance_language_switches(utterances: DataFrame) -> DataFrame:
     return utterances.filter(F.col("primary_language").isNotNull()).withColumn("_last", last).groupBy("meeting_id").agg(F.count(F.when(F.col("_last") != F.col("primary_language"), 1)).alias("switches"))
 
 
-def meeting_stats(turns: DataFrame, utterances: DataFrame, durations: DataFrame, least_ms: int = 500, stats: DataFrame | None = None) -> DataFrame:
-    """A row per meeting of ``durations``."""
+def meeting_stats(turns: DataFrame, utterances: DataFrame, durations: DataFrame, least_ms: int = 500, stats: DataFrame | None = None, languages: DataFrame | None = None) -> DataFrame:
+    """A row per meeting of ``durations``. ``languages``: meeting_id, language_distribution and language_switches that are
+    known from language ID, which go before those of the utterances."""
     stats = speaker_stats(turns, utterances, durations, least_ms) if stats is None else stats
     key = "meeting_id"
     swept = iv.sweep(iv.speaker_intervals(turns)).withColumn("d", F.col("end_ms") - F.col("start_ms"))
@@ -150,8 +169,11 @@ def meeting_stats(turns: DataFrame, utterances: DataFrame, durations: DataFrame,
         F.max(F.struct((-centiseconds(F.col("speaking_ms"))).alias("c"), "speaker_label")).alias("last"),
     )
     out = durations
-    for part in (speech, mono, said, ordered, gini(stats), utterance_language_switches(known)):
+    for part in (speech, mono, said, ordered, gini(stats), utterance_language_switches(known), _breakdown(known, [key], "own_languages")):
         out = out.join(part, key, "left")
+    if languages is not None:
+        lid = languages.select(key, F.col("language_distribution").alias("lid_languages"), F.col("language_switches").alias("lid_switches"))
+        out = out.join(lid, key, "left").withColumn("own_languages", F.coalesce("lid_languages", "own_languages")).withColumn("switches", F.coalesce("lid_switches", "switches"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     silence = F.greatest(F.col("duration_ms") - zero("speech_ms"), F.lit(0))
     active = F.col("first.c") < 0
@@ -172,6 +194,7 @@ def meeting_stats(turns: DataFrame, utterances: DataFrame, durations: DataFrame,
         participation_balance(F.coalesce("gini", F.lit(0.0)), zero("num_speakers")).alias("balance"),
         F.when(active, F.col("first.speaker_label")).alias("dominant_speaker"),
         F.when(active, F.col("last.speaker_label")).alias("least_active_speaker"),
+        F.coalesce("own_languages", F.array().cast(_SHARES)).alias("language_distribution"),
         zero("switches").alias("language_switches"),
         F.col("mono.speaker_label").alias("monologue_speaker"),
         (-F.col("mono.s")).alias("monologue_start_ms"),
@@ -187,6 +210,63 @@ def meeting_durations(turns: DataFrame, utterances: DataFrame, recorded: DataFra
     return ends.groupBy("meeting_id").agg(F.max("end_ms").alias("duration_ms"))
 
 
+def conversation_analytics(turns: DataFrame, utterances: DataFrame, recorded: DataFrame | None = None, regions: DataFrame | None = None, least_ms: int = 500, bucket_ms: int = 60_000) -> dict[str, DataFrame]:
+    """The whole report: ``meetings``, ``speakers`` and ``timeline``.
+
+    ``regions``: smoothed language regions (meeting_id, speaker, language, start_ms, end_ms). Where a meeting has them they
+    give its languages and switches, and the languages of each speaker that they name; utterances give them elsewhere.
+    """
+    durations = meeting_durations(turns, utterances, recorded)
+    by_meeting = by_speaker = None
+    if regions is not None:
+        summary = language_summary(regions)
+        by_meeting = summary.select("meeting_id", shares_only(F.col("languages")).alias("language_distribution"), F.col("num_switches").alias("language_switches"))
+        by_speaker = summary.select("meeting_id", F.explode("speakers").alias("s")).select("meeting_id", F.col("s.speaker").alias("speaker_label"), shares_only(F.col("s.languages")).alias("language_breakdown"))
+    speakers = speaker_stats(turns, utterances, durations, least_ms, by_speaker)
+    return {"meetings": meeting_stats(turns, utterances, durations, least_ms, speakers, by_meeting), "speakers": speakers, "timeline": timeline(turns, durations, bucket_ms)}
+
+
+#: What the reported metrics mean.
+METRICS = {
+    "speaking_time_seconds": "Length of the union of a speaker's turns, overlapped speech included.",
+    "speaking_time_percent_of_speech": "Speaking time over the meeting's speech time; overlaps push the sum above 100.",
+    "speaking_time_percent_of_meeting": "Speaking time over the meeting's length.",
+    "num_segments": "Utterances that the speaker was given.",
+    "segment_share_percent": "The speaker's part of all utterances with a known speaker.",
+    "num_turns": "How often the floor came to the speaker.",
+    "avg_utterance_seconds": "Average length of the speaker's utterances.",
+    "median_utterance_seconds": "Median length of the speaker's utterances.",
+    "longest_utterance": "The speaker's longest utterance and when it was said.",
+    "word_count": "Words that the speaker was given.",
+    "words_per_minute": "Words over speaking minutes.",
+    "first_spoke_at": "When the speaker's first turn begins.",
+    "last_spoke_at": "When the speaker's last turn ends.",
+    "interruptions_made": "Turns begun inside somebody else's that overlap it for long enough.",
+    "interruptions_received": "Turns of others begun inside this speaker's in that way.",
+    "overlap_seconds": "Time in which the speaker and somebody else talk.",
+    "language_breakdown": "Time and share of each language that the speaker uses.",
+    "questions_asked": "Utterances with a question mark at the end or a Hindi or Odia question word.",
+    "meeting_duration_seconds": "Length of the recording, extended to the last speech.",
+    "total_speech_seconds": "Time with at least one speaker.",
+    "total_silence_seconds": "The rest of the meeting.",
+    "total_turn_switches": "Passes of the floor to another speaker.",
+    "overlap_seconds_meeting": "Time with two speakers or more.",
+    "overlap_percent": "Overlap over speech time.",
+    "overlap_double_counted_seconds": "Speaking times added up, less the speech time.",
+    "gini_coefficient": "Inequality of speaking times, from 0 (equal) towards 1.",
+    "participation_balance": "The Gini coefficient in words.",
+    "dominant_speaker": "Who speaks most.",
+    "least_active_speaker": "Who speaks least.",
+    "num_language_switches": "Changes of language from one region to the next.",
+    "longest_monologue": "Longest time that one speaker holds the floor.",
+    "timeline": "Speaking time of each speaker in windows of equal length.",
+}
+
+
+def metric_definitions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(METRICS.items()), "metric string, definition string")
+
+
 def analytics_context(meetings: DataFrame, stats: DataFrame) -> DataFrame:
     """A compact text per meeting."""
     line = F.format_string("%s: %.0fs (%.0f%% of speech), %d words, %d questions", F.col("speaker_label"), F.col("speaking_ms") / 1000, 100 * F.col("share_of_speech"), F.col("word_count"), F.col("questions_asked"))
