@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings as st
@@ -142,39 +142,113 @@ def _assignment(cost: list[list[int]]) -> int:
     return sum(cost[row_of[j]][j] for j in range(n))
 
 
-def der(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+def _edges(spans: DataFrame, side: str) -> DataFrame:
+    """Begins and ends of spans, counted on one of the sides r, h and x."""
+    edge = lambda t, d: F.struct(F.col(t).alias("t"), F.lit(d).alias("d"))
+    each = spans.select("meeting_id", F.explode(F.array(edge("start_ms", 1), edge("end_ms", -1))).alias("e"))
+    return each.select("meeting_id", "e.t", *[(F.col("e.d") if s == side else F.lit(0)).alias(s) for s in ("r", "h", "x")])
+
+
+def collars(reference: DataFrame, collar_ms: int) -> DataFrame:
+    """Spans of ``collar_ms`` around every begin and end of a reference turn, half on each side, as a union."""
+    half = collar_ms // 2
+    ends = reference.filter("end_ms > start_ms").select("meeting_id", F.explode(F.array("start_ms", "end_ms")).alias("t"))
+    return iv.merge_intervals(ends.select("meeting_id", (F.col("t") - half).alias("start_ms"), (F.col("t") + half).alias("end_ms")), ["meeting_id"])
+
+
+def der(reference: DataFrame, hypothesis: DataFrame, collar_ms: int = 0, width: int = 60_000) -> DataFrame:
     """Diarization error per meeting: missed, false and confused speaker time over reference speaker time.
 
-    Elementary segments of both sides are swept; labels are mapped greedily by shared time.
+    Elementary segments of both sides are swept, without those in collars around the reference's boundaries; overlaps are
+    scored. Labels are mapped one to one so that the time in common is largest.
     """
     ref, hyp = iv.speaker_intervals(reference), iv.speaker_intervals(hypothesis)
-    edge = lambda df, side: df.select("meeting_id", F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d")))).alias("e")).select("meeting_id", F.col("e.t").alias("t"), *[(F.col("e.d") if s == side else F.lit(0)).alias(s) for s in ("r", "h")])
-    steps = edge(ref, "r").unionByName(edge(hyp, "h")).groupBy("meeting_id", "t").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    from pyspark.sql import Window
-
+    out_of = collars(reference, collar_ms) if collar_ms else None
+    edges = _edges(ref, "r").unionByName(_edges(hyp, "h"))
+    if out_of is not None:
+        edges = edges.unionByName(_edges(out_of, "x"))
+    steps = edges.groupBy("meeting_id", "t").agg(*[F.sum(c).alias(c) for c in ("r", "h", "x")])
     w = Window.partitionBy("meeting_id").orderBy("t")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    seg = steps.select("meeting_id", (F.lead("t").over(w) - F.col("t")).alias("d"), F.sum("r").over(run).alias("r"), F.sum("h").over(run).alias("h"))
-    sums = seg.groupBy("meeting_id").agg(F.sum(F.col("d") * F.col("r")).alias("total"), F.sum(F.col("d") * F.greatest(F.col("r") - F.col("h"), F.lit(0))).alias("missed"), F.sum(F.col("d") * F.greatest(F.col("h") - F.col("r"), F.lit(0))).alias("false_alarm"), F.sum(F.col("d") * F.least("r", "h")).alias("both"))
+    seg = steps.select("meeting_id", (F.lead("t").over(w) - F.col("t")).alias("d"), *[F.sum(c).over(run).alias(c) for c in ("r", "h", "x")]).withColumn("d", F.when(F.col("x") == 0, F.col("d")).otherwise(0))
+    total = lambda n: F.sum(F.col("d") * n)
+    sums = seg.groupBy("meeting_id").agg(
+        total(F.col("r")).alias("total"), total(F.greatest(F.col("r") - F.col("h"), F.lit(0))).alias("missed"), total(F.greatest(F.col("h") - F.col("r"), F.lit(0))).alias("false_alarm"), total(F.least("r", "h")).alias("both")
+    )
     other = hyp.select("meeting_id", F.col("speaker_label").alias("hyp_speaker"), F.col("start_ms").alias("b_start_ms"), F.col("end_ms").alias("b_end_ms"))
-    met = iv.interval_join(ref.withColumnRenamed("speaker_label", "ref_speaker"), other, ["meeting_id"], 60_000)
-    counts = met.groupBy("meeting_id", "ref_speaker", "hyp_speaker").agg(F.sum(F.least("end_ms", "b_end_ms") - F.greatest("start_ms", "b_start_ms")).alias("n"))
-    right = counts.join(map_speakers(counts), ["meeting_id", "ref_speaker", "hyp_speaker"]).groupBy("meeting_id").agg(F.sum("n").alias("right"))
+    met = iv.interval_join(ref.withColumnRenamed("speaker_label", "ref_speaker"), other, ["meeting_id"], width)
+    met = met.select("meeting_id", "ref_speaker", "hyp_speaker", F.greatest("start_ms", "b_start_ms").alias("start_ms"), F.least("end_ms", "b_end_ms").alias("end_ms"))
+    key = ["meeting_id", "ref_speaker", "hyp_speaker"]
+    counts = met.groupBy(*key).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("n"))
+    if out_of is not None:
+        inside = iv.interval_join(met, out_of.withColumnsRenamed({"start_ms": "b_start_ms", "end_ms": "b_end_ms"}), ["meeting_id"], width)
+        less = inside.groupBy(*key).agg(F.sum(F.least("end_ms", "b_end_ms") - F.greatest("start_ms", "b_start_ms")).alias("less"))
+        counts = counts.join(less, key, "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
+    right = best_common(counts)
     out = sums.join(right, "meeting_id", "left").withColumn("confusion", F.greatest(F.col("both") - F.coalesce("right", F.lit(0)), F.lit(0)))
     return out.select("meeting_id", "total", "missed", "false_alarm", "confusion", F.when(F.col("total") > 0, (F.col("missed") + F.col("false_alarm") + F.col("confusion")) / F.col("total")).alias("der"))
 
 
+def best_common(counts: DataFrame) -> DataFrame:
+    """Per meeting the largest total of ``n`` under a one-to-one map of labels (meeting_id, ref_speaker, hyp_speaker, n)."""
+
+    def assign(g: pd.DataFrame) -> pd.DataFrame:
+        n = {(r.ref_speaker, r.hyp_speaker): int(r.n) for r in g.itertuples(index=False)}
+        rs, hs = sorted({r for r, _ in n}), sorted({h for _, h in n})
+        size = max(len(rs), len(hs))
+        cost = [[-n.get((rs[i], hs[j]), 0) if i < len(rs) and j < len(hs) else 0 for j in range(size)] for i in range(size)]
+        return pd.DataFrame([(g["meeting_id"].iloc[0], -_assignment(cost))], columns=["meeting_id", "right"])
+
+    kind = counts.schema["meeting_id"].dataType.simpleString()
+    return counts.groupBy("meeting_id").applyInPandas(assign, f"meeting_id {kind}, right long")
+
+
 def precision_recall(gold: DataFrame, found: DataFrame, least: float = 60.0) -> DataFrame:
-    """Per meeting: one-to-one matches of (meeting_id, idx, text) by similarity; empty denominators give 1."""
-    side = lambda df, x: df.select("meeting_id", F.col("idx").cast("long").alias(x), tx.comparable(F.col("text")).alias(f"{x}_c"))
-    pairs = similar_pairs(side(gold, "i"), side(found, "j"), ["meeting_id"], least, exact=True).withColumn("n", F.col("score"))
-    matched = map_speakers(pairs.select("meeting_id", F.col("i").cast("string").alias("ref_speaker"), F.col("j").cast("string").alias("hyp_speaker"), "n")).groupBy("meeting_id").agg(F.count("*").alias("hits"))
-    counts = gold.groupBy("meeting_id").agg(F.count("*").alias("gold")).join(found.groupBy("meeting_id").agg(F.count("*").alias("found")), "meeting_id", "full").join(matched, "meeting_id", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rate = lambda a, b: F.when(b > 0, a / b).otherwise(1.0)
-    return counts.select("meeting_id", z("hits").alias("hits"), rate(z("hits"), z("found")).alias("precision"), rate(z("hits"), z("gold")).alias("recall"))
+    """Per meeting and kind, of items (meeting_id, kind, idx, text, owner): gold, found, hits, precision, recall, owner_hits.
+
+    Items match one to one, the most similar pairs first (on ties those of larger idx); ratios over nothing are 1. Owner
+    accuracy is owner_hits / hits.
+    """
+    side = lambda df, x: df.select("meeting_id", "kind", F.col("idx").cast("long").alias(x), F.coalesce("owner", F.lit("")).alias(f"{x}_owner"), tx.squeeze(F.lower("text")).alias(f"{x}_c"))
+    key = ["meeting_id", "kind"]
+    pairs = similar_pairs(side(gold, "i"), side(found, "j"), key, least, exact=True).select(*key, "i", "j", "score", (F.col("i_owner") == F.col("j_owner")).alias("same"))
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        left, right, hits, owners = set(), set(), 0, 0
+        for r in g.sort_values(["score", "i", "j"], ascending=False).itertuples(index=False):
+            if r.i not in left and r.j not in right:
+                left.add(r.i)
+                right.add(r.j)
+                hits, owners = hits + 1, owners + bool(r.same)
+        return pd.DataFrame([(g["meeting_id"].iloc[0], g["kind"].iloc[0], hits, owners)], columns=["meeting_id", "kind", "hits", "owner_hits"])
+
+    kind = gold.schema["meeting_id"].dataType.simpleString()
+    matched = pairs.groupBy(*key).applyInPandas(fold, f"meeting_id {kind}, kind string, hits long, owner_hits long")
+    count = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
+    out = count(gold, "gold").join(count(found, "found"), key, "full").join(matched, key, "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return _rates(out.select(*key, z("gold"), z("found"), z("hits"), z("owner_hits")))
+
+
+def _rates(counts: DataFrame) -> DataFrame:
+    rate = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(1.0)
+    return counts.withColumn("precision", rate("hits", "found")).withColumn("recall", rate("hits", "gold"))
+
+
+def overall_scores(scores: DataFrame, reports: DataFrame) -> DataFrame:
+    """Over all meetings, by kind: precision, recall and owner accuracy (null without hits), and the grounding rate of the
+    reports (evidence_checked, evidence_passed; 1 without evidence)."""
+    sums = _rates(scores.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("gold", "found", "hits", "owner_hits")]))
+    sums = sums.withColumn("owner_accuracy", F.when(F.col("hits") > 0, F.col("owner_hits") / F.col("hits")))
+    total = reports.agg(F.sum("evidence_passed").alias("p"), F.sum("evidence_checked").alias("n"))
+    return sums.crossJoin(F.broadcast(total.select(F.when(F.col("n") > 0, F.col("p") / F.col("n")).otherwise(1.0).alias("grounding_rate"))))  # one row
 
 
 def meeting_scores(scores: DataFrame, keys: list[str], metrics: list[str], right: Column) -> DataFrame:
-    """Means of metrics by key, with the share of meetings whose speaker count is right."""
-    return scores.groupBy(*keys).agg(F.count("*").alias("meetings"), *[F.avg(m).alias(f"mean_{m}") for m in metrics], F.avg(right.cast("double")).alias("speaker_count_accuracy"))
+    """Means of metrics by key (a source, say), with the share of meetings whose speaker count is right. With wall_ms,
+    duration_ms and status there: the mean real-time factor of the meetings that completed, and their number."""
+    aggs = [F.count("*").alias("meetings"), *[F.avg(m).alias(f"mean_{m}") for m in metrics], F.avg(right.cast("double")).alias("speaker_count_accuracy")]
+    if {"wall_ms", "duration_ms", "status"} <= set(scores.columns):
+        factor = F.when(F.col("status").startswith("completed") & (F.col("duration_ms") > 0), F.col("wall_ms") / F.col("duration_ms"))
+        aggs += [F.avg(factor).alias("rtf"), F.count(factor).alias("completed")]
+    return scores.groupBy(*keys).agg(*aggs)

@@ -86,3 +86,17 @@ def relink_chunks(voices: DataFrame, threshold: float = 0.6) -> DataFrame:
 
     kind = voices.schema["meeting_id"].dataType.simpleString()
     return voices.select("meeting_id", F.col("chunk").cast("long").alias("chunk"), F.col("label").cast("string").alias("label"), "emb").groupBy("meeting_id").applyInPandas(link, f"meeting_id {kind}, chunk long, label string, voice int")
+
+
+def relink_segments(chunks: DataFrame, segments: DataFrame, voices: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """One timeline of a meeting's chunks: meeting_id, start_ms, end_ms, speaker_label.
+
+    ``chunks``: meeting_id, chunk, start_ms, end_ms; ``segments``: meeting_id, chunk, label, start_ms, end_ms from the chunk's
+    begin; ``voices``: see ``relink_chunks``. Segments are shifted and cut to the half of each overlap that their chunk owns.
+    """
+    begins = chunks.select("meeting_id", "chunk", F.col("start_ms").alias("offset"))
+    shifted = segments.join(begins, ["meeting_id", "chunk"]).withColumn("start_ms", F.col("start_ms") + F.col("offset")).withColumn("end_ms", F.col("end_ms") + F.col("offset")).drop("offset")
+    cut = iv.clip_to_chunks(shifted, iv.chunk_ownership(chunks))
+    linked = relink_chunks(voices, threshold)
+    name = F.concat(F.lit("SPEAKER_G"), F.when(F.col("voice") < 100, F.lpad(F.col("voice").cast("string"), 2, "0")).otherwise(F.col("voice").cast("string")))
+    return cut.join(linked, ["meeting_id", "chunk", "label"]).select("meeting_id", "start_ms", "end_ms", name.alias("speaker_label"))
