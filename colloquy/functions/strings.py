@@ -5,6 +5,9 @@ Similarity is 100 * 2 * LCS / (length of both), from the longest common subseque
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,15 +31,31 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with any part of that length of the longer (shorter parts at the ends too)."""
+    """The best ratio of the shorter text with any part of that length of the longer (shorter parts at the ends too).
+
+    Parts are tried in order of the characters that they have in common with the shorter text, which bounds their ratio.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    n, best = len(a), 0.0
+    n, missing, shared, bounds = len(a), Counter(a), 0, []
     for k in range(1 - n, len(b)):
+        if k + n <= len(b):  # a character comes in
+            c = b[k + n - 1]
+            shared += missing[c] > 0
+            missing[c] -= 1
+        if k > 0:  # and one goes
+            c = b[k - 1]
+            missing[c] += 1
+            shared -= missing[c] > 0
+        bounds.append((200.0 * shared / (n + min(k + n, len(b)) - max(k, 0)), k))
+    best = 0.0
+    for most, k in sorted(bounds, reverse=True):
+        if most <= best:
+            break
         best = max(best, ratio(a, b[max(k, 0) : k + n]))
     return best
 
@@ -57,13 +76,19 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def edits(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Levenshtein distance of two sequences, a row of the table at a time."""
+    if len(a) < len(b):
+        a, b = b, a
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(v, len(codes)) for v in s], dtype=np.int64) for s in (a, b))
+    steps = np.arange(len(y) + 1)
+    row = steps.copy()
+    for i, v in enumerate(x, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != v))
+        row = np.minimum.accumulate(new - steps) + steps  # an insertion costs 1 for each step to the right
+    return int(row[-1])
 
 
 @F.pandas_udf(T.DoubleType())

@@ -111,15 +111,19 @@ def _count(word: Column, pattern: str) -> Column:
     return F.regexp_count(word, F.lit(pattern))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def script_of(word: Column) -> Column:
-    """Script of most letters and marks (the first by name on ties); null without any."""
+    """Script of most letters and marks (the first by name on ties); null without any. ASCII words need no counting."""
     counts = F.struct(
         _count(word, r"[\x{0900}-\x{097F}&&[\p{L}\p{M}]]").alias("deva"),
         _count(word, r"[\x{0B00}-\x{0B7F}&&[\p{L}\p{M}]]").alias("orya"),
         _count(word, r"[\p{IsLatin}&&[\p{L}]]").alias("latn"),
         _count(word, r"[\p{L}\p{M}]").alias("all"),
     )
-    return _let(counts, _script)
+    return F.when(is_ascii(word), F.when(F.upper(word) != F.lower(word), "Latn")).otherwise(_let(counts, _script))
 
 
 def _let(value: Column, f) -> Column:
@@ -133,10 +137,23 @@ def _script(c: Column) -> Column:
     return F.when(best > 0, F.when(c["deva"] == best, "Deva").when(c["latn"] == best, "Latn").when(c["orya"] == best, "Orya").otherwise("Other"))
 
 
-def word_language(word: Column, script: Column) -> Column:
-    key = F.lower(F.regexp_replace(word, r"\P{L}", ""))
-    latin = F.when(key.isin(*ROMAN_HINDI), "hi-Latn").when(key.isin(*ROMAN_ODIA), "or-Latn").otherwise("en")
-    return _let(script, lambda s: F.when(s == "Deva", "hi").when(s == "Orya", "or").when(s == "Latn", latin))
+#: ASCII characters that are no letters.
+_NO_LETTERS = "".join(c for c in map(chr, range(128)) if not c.isalpha())
+
+
+def _roman(word: Column) -> Column:
+    """Language of a word in Latin script, by its letters alone."""
+    plain = F.translate(F.lower(word), _NO_LETTERS, "")
+    key = F.when(is_ascii(word), plain).otherwise(F.lower(F.regexp_replace(word, r"\P{L}", "")))
+    return F.when(key.isin(*ROMAN_HINDI), "hi-Latn").when(key.isin(*ROMAN_ODIA), "or-Latn").otherwise("en")
+
+
+def word_language(word: Column, script: Column | None = None) -> Column:
+    """``script``: where it is a column already; it is worked out for words beyond ASCII only."""
+    if script is not None:
+        return F.when(script == "Deva", "hi").when(script == "Orya", "or").when(script == "Latn", _roman(word))
+    other = _let(script_of(word), lambda s: F.when(s == "Deva", "hi").when(s == "Orya", "or").when(s == "Latn", _roman(word)))
+    return F.when(is_ascii(word), F.when(F.upper(word) != F.lower(word), _roman(word))).otherwise(other)
 
 
 def is_question(text: Column) -> Column:

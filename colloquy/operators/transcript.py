@@ -92,7 +92,7 @@ def merge_chunk_transcripts(segments: DataFrame, owned: DataFrame, similar: floa
 def tagged_words(segments: DataFrame, keys: list[str]) -> DataFrame:
     """A row per word: pos, word, script, language."""
     words = segments.select(*keys, F.posexplode(tx.tokens(F.col("text"))).alias("pos", "word"))
-    return words.withColumn("script", tx.script_of(F.col("word"))).withColumn("word_language", tx.word_language(F.col("word"), F.col("script")))
+    return words.withColumn("script", tx.script_of(F.col("word"))).withColumn("word_language", tx.word_language(F.col("word")))
 
 
 def code_mix(words: DataFrame, fallbacks: DataFrame, keys: list[str]) -> DataFrame:
