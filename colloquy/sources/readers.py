@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,9 @@ def ms(seconds: Column) -> Column:
     return F.round(seconds * 1000).cast("long")
 
 
-def read_meeting_fixtures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Utterances and gold items of JSON meetings; the file's stem is the meeting."""
-    raw = spark.read.schema(MEETING).option("multiLine", True).json(path).withColumn("meeting_id", _stem(F.col("_metadata.file_path")))
+def read_meeting_fixtures(spark: SparkSession, path: str, key: Callable[[Column], Column] = _stem) -> tuple[DataFrame, DataFrame]:
+    """Utterances and gold items of JSON meetings; the file's stem, or another ``key`` of its path, is the meeting."""
+    raw = spark.read.schema(MEETING).option("multiLine", True).json(path).withColumn("meeting_id", key(F.col("_metadata.file_path")))
     u = raw.select("meeting_id", F.explode("utterances").alias("u")).select("meeting_id", F.col("u.id").alias("utterance_index"), "u.speaker", ms(F.col("u.start")).alias("start_ms"), ms(F.col("u.end")).alias("end_ms"), F.col("u.lang").alias("primary_language"), "u.text")
     item = lambda kind, field, text, who: raw.select("meeting_id", F.lit(kind).alias("kind"), F.posexplode(f"gold.{field}").alias("idx", "g")).select("meeting_id", "kind", "idx", F.col(f"g.{text}").alias("text"), F.col(f"g.{who}").alias("owner"))
     return u, item("decision", "decisions", "text", "made_by").unionByName(item("action_item", "action_items", "task", "owner"))
@@ -40,22 +42,27 @@ def read_reference_words(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("meeting_id", F.col("f")[2].alias("speaker"), F.col("f")[3].alias("word"), ms(F.col("f")[0].cast("double")).alias("start_ms"), ms(F.col("f")[1].cast("double")).alias("end_ms"))
 
 
-def flatten_transcript(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def flatten_transcript(spark: SparkSession, path: str, key: Callable[[Column], Column] = _stem) -> tuple[DataFrame, DataFrame]:
     """Utterance spans and attributed words of transcript documents."""
-    raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path).select(_stem(F.col("_metadata.file_path")).alias("meeting_id"), F.explode("utterances").alias("u"))
+    raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path).select(key(F.col("_metadata.file_path")).alias("meeting_id"), F.explode("utterances").alias("u"))
     spans = raw.select("meeting_id", F.col("u.speaker").alias("speaker_label"), ms(F.col("u.start")).alias("start_ms"), ms(F.col("u.end")).alias("end_ms"))
     words = raw.select("meeting_id", F.col("u.speaker").alias("speaker"), F.explode("u.words").alias("w")).select("meeting_id", "speaker", F.col("w.text").alias("word"), ms(F.col("w.start")).alias("start_ms"), ms(F.col("w.end")).alias("end_ms"))
     return spans, words
 
 
-def _texts(spark: SparkSession, path: str, name: str) -> DataFrame:
+def _parent(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+
+
+def _texts(spark: SparkSession, path: str, name: str, key: Callable[[Column], Column], language: Callable[[Column], Column]) -> DataFrame:
     p = F.col("_metadata.file_path")
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(_stem(p).alias("stem"), F.regexp_extract(p, r"([^/]+)/[^/]+$", 1).alias("language"), F.trim("value").alias(name))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(key(p).alias("stem"), language(p).alias("language"), F.trim("value", F.lit(" \t\r\n")).alias(name))
 
 
-def pair_by_stem(spark: SparkSession, hypotheses: str, references: str) -> tuple[DataFrame, DataFrame]:
-    """Files of one stem in both folders, the language being the reference's parent folder; and the unpaired stems."""
-    h, r = _texts(spark, hypotheses, "hypothesis").drop("language"), _texts(spark, references, "reference")
+def pair_by_stem(spark: SparkSession, hypotheses: str, references: str, key: Callable[[Column], Column] = _stem, language: Callable[[Column], Column] = _parent) -> tuple[DataFrame, DataFrame]:
+    """Files of one stem in both folders, the language being the reference's parent folder; and the unpaired stems. ``key`` and
+    ``language`` may read them from another part of the path."""
+    h, r = _texts(spark, hypotheses, "hypothesis", key, language).drop("language"), _texts(spark, references, "reference", key, language)
     skipped = h.join(r, "stem", "left_anti").select("stem").unionByName(r.join(h, "stem", "left_anti").select("stem"))
     return r.join(h, "stem"), skipped
 

@@ -12,22 +12,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.ops import WEIGHTS
 
 
-def live_progress(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Weighted progress of each run (run_id, ts, stage_name, status), as its stage events arrive."""
+def live_progress(events: DataFrame, lateness: str = "1 hour", keep_ms: int = 86_400_000) -> DataFrame:
+    """Weighted progress of each run (run_id, ts, stage_name, status), as its stage events arrive. What is known of a run goes
+    once event time has moved on by ``keep_ms`` without an event of it."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done = set(state.get[0].split(",")) - {""} if state.exists else set()
+        if state.hasTimedOut:  # nothing has come for as long as a run is followed
+            state.remove()
+            return
         for b in batches:
             done |= set(b.loc[b["status"] == "completed", "stage_name"])
         state.update((",".join(sorted(done)),))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
         part = sum(WEIGHTS.get(s, 0) for s in done) / sum(WEIGHTS.values())
         yield pd.DataFrame({"run_id": [key[0]], "stages": [len(done)], "fraction": [part if part >= 1 else min(part, 0.99)]})
 
-    return events.withWatermark("ts", lateness).groupBy("run_id").applyInPandasWithState(update, "run_id long, stages int, fraction double", "done string", "update", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", lateness).groupBy("run_id").applyInPandasWithState(update, "run_id long, stages int, fraction double", "done string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stale_heartbeats(beats: DataFrame, silence_ms: int = 600_000, lateness: str = "0 seconds") -> DataFrame:
-    """Runs (run_id, ts) without an event for ``silence_ms`` of event time, once each."""
+    """Runs (run_id, ts) without an event for ``silence_ms`` of event time, once each; times in ms since 1970, whatever the
+    session's time zone."""
+    beats = beats.withColumn("ms", F.unix_millis("ts"))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -37,7 +44,7 @@ def stale_heartbeats(beats: DataFrame, silence_ms: int = 600_000, lateness: str
             return
         last = state.get[0] if state.exists else 0
         for b in batches:
-            last = max(last, int(b["ts"].max().timestamp() * 1000))
+            last = max(last, int(b["ms"].max()))
         state.update((last,))
         state.setTimeoutTimestamp(max(last + silence_ms, state.getCurrentWatermarkMs() + 1))
 
