@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400_000
+#: Documents of a source by id that make one meeting, so that meetings grow in number with the table and not in size.
+BLOCK = 500
+
+
+def _sources(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("meeting_id", F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / BLOCK).cast("string")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +54,12 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lid_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("dur_ms", (F.col("n_chars") % 4000 + 200).cast("long"))
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    docs = _sources(table(spark, sf_dir, "documents")).withColumn("dur_ms", (F.col("n_chars") % 4000 + 200).cast("long"))
+    before = Window.partitionBy("meeting_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     base = docs.withColumn("start_ms", F.coalesce(F.sum("dur_ms").over(before), F.lit(0)).cast("long"))
     conf = (F.col("doc_id") * 37 % 100) / 100
     return base.select(
-        F.col("source").alias("meeting_id"),
+        "meeting_id",
         F.col("doc_id").alias("seq"),
         "start_ms",
         (F.col("start_ms") + F.col("dur_ms")).alias("end_ms"),
@@ -66,11 +72,11 @@ def lid_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript segments: the documents' texts as if recognised, 60 ms a character."""
-    docs = table(spark, sf_dir, "documents").withColumn("dur_ms", F.least(F.length("text") * 60, F.lit(30_000)).cast("long"))
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    docs = _sources(table(spark, sf_dir, "documents")).withColumn("dur_ms", F.least(F.length("text") * 60, F.lit(30_000)).cast("long"))
+    before = Window.partitionBy("meeting_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     base = docs.withColumn("start_ms", F.coalesce(F.sum("dur_ms").over(before), F.lit(0)).cast("long"))
     return base.select(
-        F.col("source").alias("meeting_id"),
+        "meeting_id",
         F.col("doc_id").alias("id"),
         "start_ms",
         (F.col("start_ms") + F.col("dur_ms")).alias("end_ms"),
@@ -123,12 +129,12 @@ SQL = {
   len(list_filter(regexp_split_to_array(trim(t), '\s+'), lambda x: x <> ''))::BIGINT AS n_words,
   CASE WHEN length(t) % 3 = 0 THEN 'hi' WHEN length(t) % 7 = 0 THEN 'or' ELSE 'en' END AS primary_language
   FROM (SELECT *, coalesce(text, '') AS t, (60 * coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 500 * turn)::BIGINT AS s FROM conversations))""",
-    "lid_windows": """lid_windows AS (SELECT source AS meeting_id, doc_id AS seq, s AS start_ms, s + d AS end_ms,
+    "lid_windows": f"""lid_windows AS (SELECT source || '-' || (doc_id // {BLOCK}) AS meeting_id, doc_id AS seq, s AS start_ms, s + d AS end_ms,
   CASE WHEN doc_id % 11 <> 0 THEN 'Person ' || (doc_id % 4 + 1) END AS speaker, lang AS language, (doc_id * 37 % 100) / 100 AS confidence, (doc_id * 37 % 100) / 100 < 0.5 AS uncertain
-  FROM (SELECT *, coalesce(sum(d) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM (SELECT *, n_chars % 4000 + 200 AS d FROM documents)))""",
-    "segments": """segments AS (SELECT source AS meeting_id, doc_id AS id, s AS start_ms, s + d AS end_ms, text, lang AS language, (doc_id * 37 % 100) / 100 AS avg_confidence,
+  FROM (SELECT *, coalesce(sum(d) OVER (PARTITION BY source, doc_id // {BLOCK} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM (SELECT *, n_chars % 4000 + 200 AS d FROM documents)))""",
+    "segments": f"""segments AS (SELECT source || '-' || (doc_id // {BLOCK}) AS meeting_id, doc_id AS id, s AS start_ms, s + d AS end_ms, text, lang AS language, (doc_id * 37 % 100) / 100 AS avg_confidence,
   (doc_id * 53 % 100) / 100 AS no_speech_prob, 1 + (doc_id * 29 % 30) / 10 AS compression_ratio
-  FROM (SELECT *, coalesce(sum(d) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM (SELECT *, least(length(text) * 60, 30000)::BIGINT AS d FROM documents)))""",
+  FROM (SELECT *, coalesce(sum(d) OVER (PARTITION BY source, doc_id // {BLOCK} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM (SELECT *, least(length(text) * 60, 30000)::BIGINT AS d FROM documents)))""",
     "runs": """runs AS (SELECT o_custkey AS meeting_id, o_orderkey AS run_id, (epoch_us(o_orderdate) // 1000) AS started_ms,
   CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'processing' ELSE 'completed_with_errors' END AS status, o_totalprice, o_orderpriority FROM orders)""",
     "stage_results": f"""stage_results AS (SELECT l_orderkey AS run_id, l_linenumber AS stage_no, {list(STAGES)}[l_linenumber] AS stage_name, (sum(l_quantity) * 1000)::BIGINT AS duration_ms,

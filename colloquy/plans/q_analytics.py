@@ -177,14 +177,42 @@ query(
 )(lambda s, d: tn.clean_turns(ln.turns(s, d))[0])
 query(
     "R4_cosine_similarity",
-    "SELECT a.vec_id, CASE WHEN sa = 0 OR sb = 0 THEN 0 ELSE dot / (sqrt(sa) * sqrt(sb)) END > 0.5 AS close FROM (SELECT a.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot, list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS sa, list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sb FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a",
-)(lambda s, d: ln.table(s, d, "embeddings").alias("a").join(ln.table(s, d, "embeddings").alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select(F.col("a.vec_id"), (tn.cosine(F.col("a.embedding"), F.col("b.embedding")) > 0.5).alias("close")))
-query("R5_relink_chunks")(lambda s, d: tn.relink_chunks(ln.table(s, d, "embeddings").select((F.col("vec_id") % 10).alias("meeting_id"), F.floor(F.col("vec_id") / 50).alias("chunk"), F.concat(F.lit("S"), F.col("vec_id").cast("string")).alias("label"), F.col("embedding").cast("array<double>").alias("emb"))))
-
+    "SELECT a.vec_id, round(CASE WHEN sa = 0 OR sb = 0 THEN 0 ELSE dot / (sqrt(sa) * sqrt(sb)) END, 6) AS cosine FROM (SELECT a.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot, list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS sa, list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sb FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a",
+)(lambda s, d: ln.table(s, d, "embeddings").alias("a").join(ln.table(s, d, "embeddings").alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select(F.col("a.vec_id"), F.round(tn.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine")))
+def _chunked(s, d):
+    """A hundred vectors make a meeting of ten chunks, with two segments for each."""
+    n = F.col("vec_id")
+    voices = ln.table(s, d, "embeddings").select(F.floor(n / 100).alias("meeting_id"), F.floor(n % 100 / 10).alias("chunk"), F.concat(F.lit("S"), (n % 10).cast("string")).alias("label"), F.col("embedding").cast("array<double>").alias("emb"), n)
+    chunks = voices.select("meeting_id", "chunk").distinct().withColumn("start_ms", F.col("chunk") * 50_000).withColumn("end_ms", F.col("chunk") * 50_000 + 60_000)
+    begins = F.explode(F.array(n % 10 * 2_000, n % 10 * 2_000 + 35_000))
+    segments = voices.select("meeting_id", "chunk", "label", begins.alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 6_000)
+    return chunks, segments, voices.drop("vec_id")
+
+
+query("R5_relink_chunks")(lambda s, d: tn.relink_segments(*_chunked(s, d)))
 query("V1_speaking_time", w(_T, OWN) + "SELECT meeting_id, speaker_label, sum(end_ms - start_ms)::BIGINT AS speaking_ms, min(start_ms) AS first_spoke_ms, max(end_ms) AS last_spoke_ms FROM own GROUP BY 1, 2")(lambda s, d: an.speaking_time(ln.turns(s, d)))
 query("V2_floor_runs", w(_T, RUNS) + "SELECT * FROM floor_runs")(lambda s, d: an.floor_runs(ln.turns(s, d)))
 query("V3_interruptions", w(_T, CUTS) + "SELECT * FROM cuts")(lambda s, d: an.interruptions(ln.turns(s, d)))
-query("V4_is_question", r"SELECT doc_id, regexp_matches(text, '[?？]\s*$') AS is_question FROM documents")(lambda s, d: ln.table(s, d, "documents").select("doc_id", tx.is_question(F.col("text")).alias("is_question")))
+# Two fifths of the texts get a question word, with marks around it, in the middle of what is then said.
+_KYA = "\u0915\u094d\u092f\u093e"
+_ASKED = f"CASE doc_id % 5 WHEN 0 THEN text || ' ({_KYA}?), so it is' WHEN 1 THEN text || ' {_KYA}\u092a so' ELSE text END"
+
+
+def _asked(s, d):
+    n, text = F.col("doc_id") % 5, F.col("text")
+    return ln.table(s, d, "documents").withColumn("t", F.when(n == 0, F.concat(text, F.lit(f" ({_KYA}?), so it is"))).when(n == 1, F.concat(text, F.lit(f" {_KYA}\u092a so"))).otherwise(text))
+
+
+_EDGE = "[" + "".join("\\" + c if c.isascii() else c for c in tx.STRIPPED) + "]+"
+_QWORDS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in tx.QUESTION_WORDS) + "]"
+query("V4_is_question", rf"SELECT doc_id, regexp_matches(t, '[?？]\s*$') OR len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: list_contains({_QWORDS}, regexp_replace(x, '^{_EDGE}|{_EDGE}$', '', 'g')))) > 0 AS is_question FROM (SELECT doc_id, {_ASKED} AS t FROM documents)")(
+    lambda s, d: _asked(s, d).select("doc_id", tx.is_question(F.col("t")).alias("is_question"))
+)
+
+
+def _listed(frame, column):
+    """Languages as text, so that they compare."""
+    return frame.withColumn(column, F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["language"], x["ms"].cast("string"), F.format_string("%.6f", x["share"]))), ","))
 
 
 def _stats(s, d):
@@ -192,8 +220,12 @@ def _stats(s, d):
     return an.speaker_stats(t, u, an.meeting_durations(t, u))
 
 
-query("V5_speaker_stats", w(*FULL) + "SELECT * FROM stats")(_stats)
-query("V5_speaker_stats_conversations", w(_U, UTURNS, OWN, UNION, SWEEP, OVER, RUNS, CUTS, DUR, STATS) + "SELECT * FROM stats")(lambda s, d: an.speaker_stats(*_talk(s, d), an.meeting_durations(*_talk(s, d))))
+_SHARE = "string_agg(language || ':' || ms || ':' || printf('%.6f', CASE WHEN t > 0 THEN ms / t ELSE 0 END), ',' ORDER BY ms DESC, language)"
+_LB = f"lb AS (SELECT meeting_id, speaker AS speaker_label, {_SHARE} AS language_breakdown FROM (SELECT *, sum(ms) OVER (PARTITION BY meeting_id, speaker) AS t FROM (SELECT meeting_id, speaker, primary_language AS language, sum(end_ms - start_ms)::BIGINT AS ms FROM utterances WHERE speaker <> 'Unknown' AND primary_language IS NOT NULL GROUP BY 1, 2, 3)) GROUP BY 1, 2)"
+_LD = f"ld AS (SELECT meeting_id, {_SHARE} AS language_distribution FROM (SELECT *, sum(ms) OVER (PARTITION BY meeting_id) AS t FROM (SELECT meeting_id, primary_language AS language, sum(end_ms - start_ms)::BIGINT AS ms FROM utterances WHERE speaker <> 'Unknown' AND primary_language IS NOT NULL GROUP BY 1, 2)) GROUP BY 1)"
+_V5 = "SELECT stats.*, coalesce(language_breakdown, '') AS language_breakdown FROM stats LEFT JOIN lb USING (meeting_id, speaker_label)"
+query("V5_speaker_stats", w(*FULL, _LB) + _V5)(lambda s, d: _listed(_stats(s, d), "language_breakdown"))
+query("V5_speaker_stats_conversations", w(_U, UTURNS, OWN, UNION, SWEEP, OVER, RUNS, CUTS, DUR, STATS, _LB) + _V5)(lambda s, d: _listed(an.speaker_stats(*_talk(s, d), an.meeting_durations(*_talk(s, d))), "language_breakdown"))
 query("V6_gini", w(*FULL, GINI) + "SELECT meeting_id, num_speakers, gini FROM gi")(lambda s, d: an.gini(_stats(s, d)))
 query("V7_participation_balance", w(*FULL, GINI) + f"SELECT meeting_id, {BALANCE.format(n='num_speakers', g='gini')} AS balance FROM gi")(lambda s, d: an.gini(_stats(s, d)).select("meeting_id", an.participation_balance(F.col("gini"), F.col("num_speakers")).alias("balance")))
 query(
@@ -223,23 +255,39 @@ def _mstats(s, d):
     return an.meeting_stats(t, u, an.meeting_durations(t, u))
 
 
-query("V10_meeting_stats", w(*FULL, GINI, _SW, MSTATS) + "SELECT * FROM mstats")(_mstats)
-query("V10_meeting_stats_conversations", w(_U, UTURNS, OWN, UNION, SWEEP, OVER, RUNS, CUTS, DUR, STATS, GINI, _SW, MSTATS) + "SELECT * FROM mstats")(lambda s, d: an.meeting_stats(*_talk(s, d), an.meeting_durations(*_talk(s, d))))
+_V10 = "SELECT mstats.*, coalesce(language_distribution, '') AS language_distribution FROM mstats LEFT JOIN ld USING (meeting_id)"
+query("V10_meeting_stats", w(*FULL, GINI, _SW, MSTATS, _LD) + _V10)(lambda s, d: _listed(_mstats(s, d), "language_distribution"))
+query("V10_meeting_stats_conversations", w(_U, UTURNS, OWN, UNION, SWEEP, OVER, RUNS, CUTS, DUR, STATS, GINI, _SW, MSTATS, _LD) + _V10)(lambda s, d: _listed(an.meeting_stats(*_talk(s, d), an.meeting_durations(*_talk(s, d))), "language_distribution"))
 
 
-@query("V11_conversation_analytics", w(*FULL, GINI, _SW, MSTATS) + """SELECT m.meeting_id, m.duration_ms, m.speech_ms, m.balance, s.speaker_label, s.speaking_ms, s.num_turns, l.language, l.ms AS language_ms, l.share AS language_share
-FROM mstats m JOIN stats s USING (meeting_id) LEFT JOIN (SELECT *, ms / sum(ms) OVER (PARTITION BY meeting_id, speaker) AS share, row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY ms DESC, language) AS k FROM (SELECT meeting_id, speaker, primary_language AS language, sum(end_ms - start_ms)::BIGINT AS ms FROM utterances GROUP BY 1, 2, 3)) l
-ON l.meeting_id = s.meeting_id AND l.speaker = s.speaker_label AND l.k = 1""")
-def _(s, d):
+# Language regions of two thirds of the meetings, and of some of their speakers: turns, each in a language by its number.
+_REGION = """rg AS (SELECT meeting_id, CASE WHEN turn_id % 7 > 0 THEN speaker_label END AS speaker, start_ms, end_ms, ['en', 'hi', 'or'][1 + turn_id % 3] AS language FROM turns WHERE meeting_id % 3 > 0 AND end_ms > start_ms AND speaker_label <> 'Person 2'),
+rsw AS (SELECT meeting_id, count(*) FILTER (l <> language) AS n FROM (SELECT *, lag(language) OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms) AS l FROM rg) GROUP BY 1),
+rs AS (SELECT meeting_id, speaker, language, sum(end_ms - start_ms)::BIGINT AS ms FROM rg GROUP BY 1, 2, 3),"""
+_RLD = f"rld AS (SELECT meeting_id, {_SHARE} AS v FROM (SELECT *, sum(ms) OVER (PARTITION BY meeting_id) AS t FROM (SELECT meeting_id, language, sum(ms)::BIGINT AS ms FROM rs GROUP BY 1, 2)) GROUP BY 1), rlb AS (SELECT meeting_id, speaker, {_SHARE} AS v FROM (SELECT *, sum(ms) OVER (PARTITION BY meeting_id, speaker) AS t FROM rs WHERE speaker IS NOT NULL) GROUP BY 1, 2)"
+
+
+def _report(s, d):
     t, u = _both(s, d)
-    dur = an.meeting_durations(t, u)
-    stats = an.speaker_stats(t, u, dur)
-    m = an.meeting_stats(t, u, dur, stats=stats).select("meeting_id", "duration_ms", "speech_ms", "balance")
-    lang = an.language_totals(u, ["meeting_id", "speaker"]).filter("rank = 1").select("meeting_id", F.col("speaker").alias("speaker_label"), "language", F.col("ms").alias("language_ms"), F.col("share").alias("language_share"))
-    return m.join(stats.select("meeting_id", "speaker_label", "speaking_ms", "num_turns"), "meeting_id").join(lang, ["meeting_id", "speaker_label"], "left")
+    n = F.col("turn_id")
+    rows = t.filter("meeting_id % 3 > 0 AND end_ms > start_ms AND speaker_label <> 'Person 2'")
+    # Of turns that begin and end together the order is open; one is enough for a region.
+    regions = rows.select("meeting_id", F.when(n % 7 > 0, F.col("speaker_label")).alias("speaker"), "start_ms", "end_ms", F.element_at(F.array(F.lit("en"), F.lit("hi"), F.lit("or")), (1 + n % 3).cast("int")).alias("language"))
+    return an.conversation_analytics(t, u, regions=regions)
+
+
+query("V11_conversation_analytics", w(*FULL, GINI, _SW, MSTATS, _LD, _REGION + _RLD) + """SELECT m.meeting_id, duration_ms, speech_ms, balance, coalesce(rsw.n, language_switches) AS language_switches, coalesce(rld.v, ld.language_distribution, '') AS language_distribution
+FROM mstats m LEFT JOIN ld USING (meeting_id) LEFT JOIN rld USING (meeting_id) LEFT JOIN rsw USING (meeting_id)""")(
+    lambda s, d: _listed(_report(s, d)["meetings"].select("meeting_id", "duration_ms", "speech_ms", "balance", "language_switches", "language_distribution"), "language_distribution")
+)
+query("V11_speaker_languages", w(*FULL, _LB, _REGION + _RLD) + """SELECT s.meeting_id, s.speaker_label, speaking_ms, num_turns, coalesce(rlb.v, lb.language_breakdown, '') AS language_breakdown
+FROM stats s LEFT JOIN lb USING (meeting_id, speaker_label) LEFT JOIN rlb ON rlb.meeting_id = s.meeting_id AND rlb.speaker = s.speaker_label""")(
+    lambda s, d: _listed(_report(s, d)["speakers"].select("meeting_id", "speaker_label", "speaking_ms", "num_turns", "language_breakdown"), "language_breakdown")
+)
 
 
-@query("V12_analytics_context")
+@query("V12_analytics_context", w(*FULL, GINI, _SW, MSTATS) + """SELECT m.meeting_id, printf('duration %.0fs, %d speakers, balance: %s, dominant speaker: %s', duration_ms / 1000, num_speakers, balance, coalesce(dominant_speaker, '-'))
+|| coalesce((SELECT chr(10) || string_agg(printf('%s: %.0fs (%.0f%% of speech), %d words, %d questions', speaker_label, speaking_ms / 1000, 100 * share_of_speech, word_count, questions_asked), chr(10) ORDER BY -round_even(speaking_ms / 10, 0), speaker_label) FROM stats s WHERE s.meeting_id = m.meeting_id), '') AS context FROM mstats m""")
 def _(s, d):
     t, u = _both(s, d)
     dur = an.meeting_durations(t, u)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import minutes as mi
+from ..operators import analytics as an
 from ..sources import documents as dc
 from ..sources import readers as rd
+from ..sources import sinks as sk
 from ..streaming import live, replay
 from . import lenses as ln
 from .q_analytics import _T, _mstats, _stats, w
-from .q_words import _M5, _said
+from .q_ops import _W
+from .q_words import _M5, _TALKED, _items, _talked
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -55,20 +57,85 @@ def _(s, d):
     return rd.normalize_documents(docs)["rollup"].withColumn("detected_languages", F.array_join("detected_languages", ","))
 
 
-query("S8_file_manifest")(lambda s, d: rd.file_manifest(s, f"{d}/benchmark.parquet"))
+def _part(name):
+    return lambda path: F.regexp_extract(path, f"/{name}=([^/]+)/", 1)
+
+
+def _json_meetings(s, d):
+    """The conversations as JSON files, fifty in each, which is then one meeting."""
+    path = replay.folder(s, "meetings")
+    u = ln.utterances(s, d).withColumn("file", F.concat(F.lit("m"), F.floor(F.col("meeting_id") / 50).cast("string")))
+    word = F.struct(F.lit("a").alias("text"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"))
+    row = F.struct(F.col("meeting_id").alias("at"), F.col("utterance_index").cast("int").alias("id"), "speaker", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("primary_language").alias("lang"), "text", F.array(word, word).alias("words"))
+    gold = F.struct(F.array(F.struct(F.concat("file", F.lit(" agreed")).alias("text"), F.lit("group").alias("made_by"))).alias("decisions"), F.array(F.struct(F.lit("send it").alias("task"), F.lit("user").alias("owner"))).alias("action_items"))
+    files = u.groupBy("file").agg(F.array_sort(F.collect_list(row)).alias("utterances")).select("file", F.to_json(F.struct(F.col("file").alias("title"), F.lit("2026-01-01").alias("date"), "utterances", gold.alias("gold"))).alias("value"))
+    files.write.partitionBy("file").text(path)
+    return path
+
+
+_FILE = "'m' || (meeting_id // 50)"
+query("S1_read_meeting_fixtures", w(_U) + f"SELECT {_FILE} AS meeting_id, utterance_index::INT AS utterance_index, speaker, start_ms, end_ms, primary_language, text FROM utterances")(lambda s, d: rd.read_meeting_fixtures(s, _json_meetings(s, d), _part("file"))[0])
+query("S1_read_gold_items", w(_U) + f"SELECT DISTINCT {_FILE} AS meeting_id, 'decision' AS kind, 0 AS idx, {_FILE} || ' agreed' AS text, 'group' AS owner FROM utterances UNION ALL SELECT DISTINCT {_FILE}, 'action_item', 0, 'send it', 'user' FROM utterances")(lambda s, d: rd.read_meeting_fixtures(s, _json_meetings(s, d), _part("file"))[1])
+query("S4_flatten_transcript", w(_U) + f"SELECT {_FILE} AS meeting_id, speaker, 'a' AS word, start_ms, end_ms FROM utterances, range(2)")(lambda s, d: rd.flatten_transcript(s, _json_meetings(s, d), _part("file"))[1])
+
+
+def _paired(s, d):
+    """Blocks of documents of one language as reference files, and two thirds of the blocks as hypotheses."""
+    base = replay.folder(s, "pairs")
+    block = F.floor(F.col("doc_id") / ln.BLOCK)
+    docs = ln.table(s, d, "documents").groupBy("lang", block.alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("value"))
+    docs = docs.withColumn("stem", F.concat("lang", F.lit("-"), F.col("n").cast("string")))
+    docs.select("lang", "stem", "value").write.partitionBy("lang", "stem").text(f"{base}/ref")
+    docs.filter("n % 3 < 2").select("stem", F.concat("value", F.lit(" heard")).alias("value")).write.partitionBy("stem").text(f"{base}/hyp")
+    return rd.pair_by_stem(s, f"{base}/hyp", f"{base}/ref", _part("stem"), _part("lang"))
+
+
+_BLOCKS = f"bl AS (SELECT lang, lang || '-' || (doc_id // {ln.BLOCK}) AS stem, doc_id // {ln.BLOCK} AS n, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS v FROM documents GROUP BY 1, 2, 3)"
+query("S5_pair_by_stem", w(_BLOCKS) + "SELECT stem, lang AS language, md5(trim(v, e' \t\r\n')) AS reference, md5(trim(substr(v, 1, length(v) - 1) || ' heard', e' \t\r\n')) AS hypothesis FROM bl WHERE n % 3 < 2")(lambda s, d: _paired(s, d)[0].select("stem", "language", F.md5("reference").alias("reference"), F.md5("hypothesis").alias("hypothesis")))
+query("S5_unpaired_stems", w(_BLOCKS) + "SELECT stem FROM bl WHERE n % 3 = 2")(lambda s, d: _paired(s, d)[1])
+
+
+@query("K10_replace_partitions", w(_U) + "SELECT meeting_id % 10 AS part, meeting_id, utterance_index, CASE WHEN meeting_id % 10 < 3 THEN 'again' ELSE 'first' END AS version FROM utterances WHERE meeting_id % 10 >= 3 OR utterance_index % 2 = 0")
+def _(s, d):
+    """An index of all utterances, of which three parts are replaced by fewer rows; the others stay."""
+    path = replay.folder(s, "index")
+    rows = ln.utterances(s, d).select((F.col("meeting_id") % 10).alias("part"), "meeting_id", "utterance_index", F.lit("first").alias("version"))
+    sk.replace_partitions(rows, path, ["part"])
+    sk.replace_partitions(rows.filter("part < 3 AND utterance_index % 2 = 0").withColumn("version", F.lit("again")), path, ["part"])
+    return s.read.parquet(path).select(F.col("part").cast("long").alias("part"), "meeting_id", "utterance_index", "version")
+
+
+@query("K1_speakers_csv_file", w(_T) + "SELECT meeting_id::VARCHAR AS meeting_id, speaker_label AS speaker, count(*)::VARCHAR AS num_turns FROM turns GROUP BY 1, 2")
+def _(s, d):
+    path = replay.folder(s, "csv")
+    sk.write_speakers_csv(ln.turns(s, d).groupBy("meeting_id", F.col("speaker_label").alias("speaker")).agg(F.count("*").alias("num_turns")), path)
+    return s.read.option("header", True).csv(path)
+
+
+def _manifest(s, d):
+    """The files of blocks of documents, by what names them."""
+    path = replay.folder(s, "files")
+    block = F.floor(F.col("doc_id") / ln.BLOCK)
+    docs = ln.table(s, d, "documents").groupBy("lang", block.alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("value"))
+    docs.select(F.concat("lang", F.lit("-"), F.col("n").cast("string")).alias("stem"), "value").write.partitionBy("stem").text(path)
+    return rd.file_manifest(s, path).filter(F.col("path").endswith(".txt")).withColumn("stem", _part("stem")(F.col("path"))).drop("path")
+
+
+query("S8_file_manifest", w(_BLOCKS) + "SELECT stem, strlen(v) AS bytes, sha256(v) AS sha256 FROM bl")(_manifest)
+query("V13_metric_definitions")(lambda s, d: _mstats(s, d).agg(F.count("*").alias("meetings")).crossJoin(F.broadcast(an.metric_definitions(s))))
 
 
 def _documents(s, d):
-    t = ln.turns(s, d)
-    u = _said(s, d)
-    items = mi.extract_items(u).withColumn("idx", F.col("utterance_index"))
+    """The conversations' minutes: their own turns, items and languages."""
+    u = _talked(s, d)
     m = u.select("meeting_id").distinct().withColumn("title", F.concat(F.lit("Meeting "), F.col("meeting_id").cast("string")))
-    stats = t.groupBy((F.col("meeting_id") % 50).alias("meeting_id"), "speaker_label").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speaking_ms"))
-    return dc.minutes_document(m, stats, items, u.select("meeting_id", F.lit("en").alias("language")))
+    stats = u.groupBy("meeting_id", F.col("speaker").alias("speaker_label")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speaking_ms"))
+    return dc.minutes_document(m, stats, _items(s, d), u.select("meeting_id", F.col("primary_language").alias("language")))
 
 
-query("K6_minutes_document", w(_M5) + "SELECT meeting_id, count(*) FILTER (f)::INT AS key_points, count(*) FILTER (utterance_index % 5 IN (0, 2))::INT AS decisions, count(*) FILTER (utterance_index % 5 = 1)::INT AS action_items, count(*) FILTER (utterance_index % 5 = 2)::INT AS open_questions FROM k GROUP BY 1")(
-    lambda s, d: _documents(s, d).select("meeting_id", *[F.size(c).alias(c) for c in ("key_points", "decisions", "action_items", "open_questions")])
+_KIND = lambda kind: f"coalesce(string_agg(md5(text), ',' ORDER BY utterance_index) FILTER (kind = '{kind}'), '') AS {kind}s"
+query("K6_minutes_document", w(*_TALKED, _M5) + f"SELECT meeting_id, {_KIND('key_point')}, {_KIND('decision')}, {_KIND('action_item')}, {_KIND('open_question')} FROM items GROUP BY 1 UNION ALL SELECT DISTINCT meeting_id, '', '', '', '' FROM utterances WHERE meeting_id NOT IN (SELECT meeting_id FROM items)")(
+    lambda s, d: _documents(s, d).select("meeting_id", *[F.array_join(F.transform(c, lambda x: F.md5(x["text"])), ",").alias(c) for c in ("key_points", "decisions", "action_items", "open_questions")])
 )
 query("K7_minutes_markdown")(lambda s, d: dc.minutes_markdown(_documents(s, d)))
 query("K8_summary_markdown")(lambda s, d: dc.summary_markdown(_documents(s, d), _documents(s, d).select("meeting_id", F.size("decisions").alias("checked"), F.size("decisions").alias("passed"))))
@@ -92,7 +159,24 @@ def _(s, d):
     return replay.run(live.first_events(replay.event_stream(s, d).select("event_id", "ts"), ["event_id"]), "first").agg(F.count("*").alias("n"))
 
 
-@query("O9_live_conversation_stats")
+@query("O9_live_conversation_stats", "SELECT user_id % 20 AS meeting_id, 'Person ' || (user_id % 5 + 1) AS speaker_label, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS turns, sum(trunc(value * 2000)::BIGINT)::BIGINT AS speaking_ms FROM events GROUP BY 1, 2, 3")
+def _(s, d):
+    turns = replay.event_stream(s, d).select((F.col("user_id") % 20).alias("meeting_id"), F.concat(F.lit("Person "), (F.col("user_id") % 5 + 1).cast("string")).alias("speaker_label"), "ts", (F.col("value") * 2000).cast("long").alias("dur_ms"))
+    got = replay.run_updates(live.live_conversation_stats(turns, "1 hour"), "live", ["meeting_id", "speaker_label", "start"])
+    return got.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("O3_live_progress", w(ln.SQL["stage_results"]) + f"SELECT run_id, count(*) FILTER (status = 'completed')::INT AS stages, round(CASE WHEN sum(CASE WHEN status = 'completed' THEN {_W} ELSE 0 END) >= 100 THEN 1 ELSE least(sum(CASE WHEN status = 'completed' THEN {_W} ELSE 0 END) / 100, 0.99) END, 6) AS fraction FROM stage_results GROUP BY 1")
+def _(s, d):
+    """Stage results as a stream of events, a table that is written first."""
+    path = replay.folder(s, "stages")
+    ln.stage_results(s, d).select("run_id", F.timestamp_seconds(F.col("run_id") * 60 + F.col("stage_no")).alias("ts"), "stage_name", "status").write.parquet(path)
+    events = s.readStream.schema("run_id long, ts timestamp, stage_name string, status string").parquet(path)
+    got = replay.run_updates(live.live_progress(events), "progress", ["run_id"])
+    return got.withColumn("fraction", F.round("fraction", 6))
+
+
+@query("O6_sliding_counts", "SELECT event_type, epoch_us(ts) // 600000000 * 600 - 600 * k AS start_s, count(*) AS n FROM events, range(6) t(k) GROUP BY 1, 2")
 def _(s, d):
-    turns = replay.event_stream(s, d).select(F.lit(1).alias("meeting_id"), F.concat(F.lit("Person "), (F.col("user_id") % 5 + 1).cast("string")).alias("speaker_label"), "ts", (F.col("value") * 2000).cast("long").alias("dur_ms"))
-    return replay.run(live.live_conversation_stats(turns, "1 hour"), "live")
+    got = replay.run_updates(live.sliding_counts(replay.event_stream(s, d), "event_type", "1 hour", "10 minutes"), "sliding", ["start", "event_type"])
+    return got.select("event_type", F.unix_seconds("start").alias("start_s"), "n")

@@ -33,7 +33,7 @@ query("Q1_list_meetings", w(*_M) + "SELECT meeting_id, title, coalesce(duration_
     lambda s, d: se.list_meetings(ln.meetings(s, d), "duration_seconds", status="completed", language="hi", min_speakers=2).select("meeting_id", "title", F.coalesce("duration_seconds", F.lit(-1.0)).alias("duration"))
 )
 query("Q2_keyset_page", w(*_M) + "SELECT meeting_id, created_ms FROM meetings WHERE created_ms < 852076800000 OR (created_ms = 852076800000 AND meeting_id < 700) ORDER BY created_ms DESC, meeting_id DESC LIMIT 51")(lambda s, d: se.list_meetings(ln.meetings(s, d), "created_ms", cursor=(852076800000, 700), limit=50).select("meeting_id", "created_ms"))
-query("Q2_cursor_codec", w(*_M) + "SELECT meeting_id, meeting_id AS back FROM meetings")(lambda s, d: ln.meetings(s, d).select("meeting_id", se.decode_cursor(se.encode_cursor(F.col("created_ms"), F.col("meeting_id")), "v long, id long")["id"].alias("back")))
+query("Q2_cursor_codec", w(*_M) + "SELECT meeting_id, created_ms AS v, meeting_id AS id FROM meetings")(lambda s, d: ln.meetings(s, d).select("meeting_id", se.decode_cursor(se.encode_cursor(F.col("created_ms"), F.col("meeting_id")), "v long, id long").alias("c")).select("meeting_id", "c.v", "c.id"))
 query("Q3_query_utterances", w(_U) + "SELECT meeting_id, utterance_index, start_ms FROM utterances WHERE speaker = 'assistant' AND primary_language = 'en' AND end_ms >= 20000 AND start_ms <= 200000 AND contains(lower(text), 'the')")(lambda s, d: se.query_utterances(ln.utterances(s, d), "assistant", "en", 20_000, 200_000, "THE").select("meeting_id", "utterance_index", "start_ms"))
 _DEF = "ranked AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY status IN ('completed', 'completed_with_errors') DESC, started_ms DESC, run_id) = 1 AS is_default FROM runs)"
 query("Q4_default_run", w(_R, _DEF) + "SELECT meeting_id, run_id, status, started_ms FROM ranked WHERE is_default")(lambda s, d: se.default_run(ln.runs(s, d)).select("meeting_id", "run_id", "status", "started_ms"))
@@ -55,7 +55,7 @@ def _index(s, d):
 
 
 query("Q10_search", w(_U) + "SELECT meeting_id, utterance_index AS ref, start_ms, score FROM (SELECT *, len(list_filter(regexp_split_to_array(trim(lower(text), e' \\n\\t'), '\\s+'), lambda t: t IN ('the', 'of')))::INT AS score FROM utterances) WHERE score > 0 OR contains(lower(text), 'the of') ORDER BY score DESC, start_ms NULLS FIRST, meeting_id, ref LIMIT 20")(lambda s, d: se.search(_index(s, d), "The of").select("meeting_id", "ref", "start_ms", "score"))
-query("Q10_search_by_trigrams", w(_U) + "SELECT meeting_id, utterance_index AS ref FROM utterances WHERE contains(lower(text), 'tion the')")(lambda s, d: se.search_by_trigrams(_index(s, d), se.trigram_table(_index(s, d)), "tion The").select("meeting_id", "ref"))
+query("Q10_search_by_trigrams", w(_U) + "SELECT meeting_id, utterance_index AS ref FROM utterances WHERE contains(lower(text), 'tion the')")(lambda s, d: se.search_by_trigrams(_index(s, d), se.trigram_table(_index(s, d), se.trigrams_of("tion The")), "tion The").select("meeting_id", "ref"))
 _NAMES = "(SELECT conv_id AS meeting_id, role AS label, nullif(left(trim(CASE WHEN conv_id % 3 = 0 THEN '  ' WHEN conv_id % 3 = 1 THEN ' ' || upper(role) || ' ' END), 100), '') AS shown FROM conversations GROUP BY 1, 2)"
 
 

@@ -54,23 +54,42 @@ _INH = """heir AS (SELECT meeting_id, seq, l FROM (SELECT b.meeting_id, b.seq, t
   WHERE b.end_ms - b.start_ms < 1500 AND b.confidence < 0.75 AND t.ms - CASE WHEN NOT b.uncertain AND b.language = t.l THEN b.end_ms - b.start_ms ELSE 0 END > 0) WHERE k = 1),
 inh AS (SELECT b.meeting_id, b.seq, b.start_ms, b.end_ms, b.speaker, coalesce(h.l, b.language) AS language, b.confidence, CASE WHEN h.l IS NOT NULL THEN false ELSE b.uncertain END AS uncertain FROM lid_windows b LEFT JOIN heir h USING (meeting_id, seq))"""
 query("L6_inherit_short_windows", w(_L, _INH) + "SELECT * FROM inh")(lambda s, d: lg.inherit_short_windows(_lid(s, d)))
+def _laid(s, d):
+    """Language windows of which some reach into those behind them."""
+    return _lid(s, d).withColumn("end_ms", F.col("end_ms") + F.col("seq") % 4 * 6000)
+
+
+_LAID = "lid_windows AS (SELECT * REPLACE (end_ms + seq % 4 * 6000 AS end_ms) FROM lid_bare)"
+_LL = (_L.replace("lid_windows AS", "lid_bare AS", 1), _LAID)
+# Of all confident windows of the speaker: the smallest gap, then those that begin before the window, then the first.
 _RES = _DOM.format(src="inh") + """,
-near AS (SELECT u.meeting_id, u.seq, arg_min(c.language, (greatest(c.start_ms - u.end_ms, u.start_ms - c.end_ms, 0), c.start_ms, c.seq)) AS l FROM inh u JOIN inh c ON c.meeting_id = u.meeting_id AND c.speaker IS NOT DISTINCT FROM u.speaker AND NOT c.uncertain AND c.seq <> u.seq WHERE u.uncertain GROUP BY 1, 2),
-res AS (SELECT u.meeting_id, u.seq, u.start_ms, u.end_ms, u.speaker, CASE WHEN u.uncertain THEN coalesce(n.l, d.language, 'en') ELSE u.language END AS language, u.confidence, u.uncertain FROM inh u LEFT JOIN near n USING (meeting_id, seq) LEFT JOIN dom d ON d.meeting_id = u.meeting_id)"""
-query("L7_resolve_uncertain", w(_L, _INH, _RES) + "SELECT * FROM res")(lambda s, d: lg.resolve_uncertain(lg.inherit_short_windows(_lid(s, d))))
-_ADJ = """adj AS (SELECT meeting_id, any_value(speaker) AS speaker, any_value(language) AS language, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM (
-  SELECT *, sum(CASE WHEN l IS NULL OR l <> language OR ls IS DISTINCT FROM speaker OR start_ms - le > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, seq ROWS UNBOUNDED PRECEDING) AS g FROM (
-  SELECT *, lag(language) OVER v AS l, lag(speaker) OVER v AS ls, lag(end_ms) OVER v AS le FROM res WINDOW v AS (PARTITION BY meeting_id ORDER BY start_ms, end_ms, seq))) GROUP BY meeting_id, g)"""
-query("L8_merge_adjacent", w(_L, _INH, _RES, _ADJ) + "SELECT * FROM adj")(lambda s, d: lg.smooth(_lid(s, d)).drop("confidence"))
-query("L9_smooth_regions")(lambda s, d: lg.regions(lg.smooth(_lid(s, d))))
+pos AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, seq) AS i, NOT uncertain AND language IS NOT NULL AS sure FROM inh),
+near AS (SELECT meeting_id, seq, l FROM (SELECT u.meeting_id, u.seq, c.language AS l, row_number() OVER (PARTITION BY u.meeting_id, u.seq ORDER BY greatest(0, c.start_ms - u.end_ms, u.start_ms - c.end_ms), CASE WHEN c.start_ms < u.start_ms THEN 0 ELSE 1 END, c.i) AS k
+  FROM pos u JOIN pos c ON c.meeting_id = u.meeting_id AND c.speaker IS NOT DISTINCT FROM u.speaker AND c.sure AND c.seq <> u.seq WHERE NOT u.sure) WHERE k = 1),
+res AS (SELECT u.meeting_id, u.seq, u.start_ms, u.end_ms, u.speaker, CASE WHEN u.sure THEN u.language ELSE coalesce(n.l, d.language, 'en') END AS language, u.confidence, false AS uncertain FROM pos u LEFT JOIN near n USING (meeting_id, seq) LEFT JOIN dom d ON d.meeting_id = u.meeting_id)"""
+query("L7_resolve_uncertain", w(*_LL, _INH, _RES) + "SELECT * FROM res")(lambda s, d: lg.resolve_uncertain(lg.inherit_short_windows(_laid(s, d))))
+# Runs of one speaker and language are cut where the reach of the run so far ends too early, with confidences folded in order.
+_FOLD = """, ord AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, seq) AS i FROM res),
+fold AS (WITH RECURSIVE f AS (SELECT meeting_id, i, speaker, language, start_ms AS s, end_ms AS e, confidence::DOUBLE AS c, 1 AS g FROM ord WHERE i = 1 UNION ALL
+  SELECT o.meeting_id, o.i, o.speaker, o.language, CASE WHEN j THEN f.s ELSE o.start_ms END, CASE WHEN j THEN greatest(f.e, o.end_ms) ELSE o.end_ms END,
+    CASE WHEN NOT j THEN o.confidence::DOUBLE WHEN (f.e - f.s) + (o.end_ms - o.start_ms) > 0 THEN (f.c * (f.e - f.s) + o.confidence * (o.end_ms - o.start_ms)) / ((f.e - f.s) + (o.end_ms - o.start_ms)) ELSE o.confidence::DOUBLE END, CASE WHEN j THEN f.g ELSE f.g + 1 END
+  FROM f JOIN (SELECT * FROM ord) o ON o.meeting_id = f.meeting_id AND o.i = f.i + 1, LATERAL (SELECT o.speaker IS NOT DISTINCT FROM f.speaker AND o.language = f.language AND o.start_ms - f.e <= 500) AS t(j)) SELECT * FROM f),
+adj AS (SELECT meeting_id, speaker, language, s AS start_ms, e AS end_ms, c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, g ORDER BY i DESC) AS k FROM fold) WHERE k = 1)"""
+query("L8_merge_adjacent", w(*_LL, _INH, _RES + _FOLD) + "SELECT meeting_id, speaker, language, start_ms, end_ms, round(confidence, 6) AS confidence FROM adj")(lambda s, d: lg.smooth(_laid(s, d)).withColumn("confidence", F.round("confidence", 6)))
+query("L9_smooth_regions")(lambda s, d: lg.regions(lg.smooth(_laid(s, d))))
 _SH = "SELECT meeting_id, language, ms, CASE WHEN sum(ms) OVER (PARTITION BY meeting_id) > 0 THEN ms / sum(ms) OVER (PARTITION BY meeting_id) ELSE 0 END AS share, row_number() OVER (PARTITION BY meeting_id ORDER BY ms DESC, language)::INT AS rank FROM (SELECT meeting_id, language, sum(end_ms - start_ms)::BIGINT AS ms FROM lid_windows GROUP BY 1, 2)"
 query("L10_language_shares", w(_L) + _SH)(lambda s, d: lg.language_shares(_lid(s, d), ["meeting_id"]))
+def _named(languages):
+    return F.array_join(F.transform(languages, lambda x: F.concat(x["language"], F.lit(":"), x["ms"].cast("string"))), ",")
+
+
 _SWP = "sp AS (SELECT * FROM (SELECT meeting_id, start_ms AS at_ms, lag(language) OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms) AS from_language, language AS to_language, speaker FROM lid_windows) WHERE from_language <> to_language)"
 query("L11_switch_points", w(_L, _SWP) + "SELECT * FROM sp")(lambda s, d: lg.switch_points(_lid(s, d)))
-query("L12_language_summary", w(_L, _SWP, f"sh AS ({_SH})") + "SELECT s.meeting_id, any_value(language) FILTER (rank = 1) AS dominant, string_agg(language || ':' || ms, ',' ORDER BY rank) AS languages, (SELECT count(*) FROM sp WHERE sp.meeting_id = s.meeting_id) AS num_switches, (SELECT count(DISTINCT coalesce(speaker, 'unknown')) FROM lid_windows l WHERE l.meeting_id = s.meeting_id)::INT AS num_speakers FROM sh s GROUP BY 1")(
-    lambda s, d: lg.language_summary(_lid(s, d)).select("meeting_id", "dominant", F.array_join(F.transform("languages", lambda x: F.concat(x["language"], F.lit(":"), x["ms"].cast("string"))), ",").alias("languages"), "num_switches", F.size("speakers").alias("num_speakers"))
+_SPK = "sk AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY ms DESC, language) AS rank FROM (SELECT meeting_id, coalesce(speaker, 'unknown') AS speaker, language, sum(end_ms - start_ms)::BIGINT AS ms FROM lid_windows GROUP BY 1, 2, 3)), ss AS (SELECT meeting_id, string_agg(speaker || '=' || l, ';' ORDER BY coalesce(try_cast(nullif(regexp_extract(speaker, '([0-9]+)$', 1), '') AS INT), 1 << 30), speaker) AS speakers FROM (SELECT meeting_id, speaker, string_agg(language || ':' || ms, ',' ORDER BY rank) AS l FROM sk GROUP BY 1, 2) GROUP BY 1)"
+query("L12_language_summary", w(_L, _SWP, f"sh AS ({_SH})", _SPK) + "SELECT s.meeting_id, any_value(language) FILTER (rank = 1) AS dominant, string_agg(language || ':' || ms, ',' ORDER BY rank) AS languages, list(round(share, 9) ORDER BY rank) AS shares, (SELECT count(*) FROM sp WHERE sp.meeting_id = s.meeting_id) AS num_switches, any_value(speakers) AS speakers FROM sh s JOIN ss ON ss.meeting_id = s.meeting_id GROUP BY 1")(
+    lambda s, d: lg.language_summary(_lid(s, d)).select("meeting_id", "dominant", _named(F.col("languages")).alias("languages"), F.transform("languages", lambda x: F.round(x["share"], 9)).alias("shares"), "num_switches", F.array_join(F.transform("speakers", lambda x: F.concat(x["speaker"], F.lit("="), _named(x["languages"]))), ";").alias("speakers"))
 )
-query("L13_batch_regions")(lambda s, d: lg.batch_regions(lg.regions(lg.smooth(_lid(s, d)))))
+query("L13_batch_regions")(lambda s, d: lg.batch_regions(lg.regions(lg.smooth(_laid(s, d)))))
 query("L14_route_by_language", w(_L) + "SELECT meeting_id, seq, CASE language WHEN 'en' THEN 'large' WHEN 'fr' THEN 'latin' ELSE 'general' END AS backend, language IN ('en', 'fr') AS supported FROM lid_windows")(lambda s, d: lg.route_by_language(_lid(s, d), {"en": "large", "fr": "latin"}, "general").select("meeting_id", "seq", "backend", "supported"))
 
 query("T1_normalize_text", r"SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS h FROM documents")(lambda s, d: ln.table(s, d, "documents").select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("h")))
@@ -80,7 +99,10 @@ query("T3_compression_ratio")(lambda s, d: ln.table(s, d, "documents").select("d
 _FILL = "[" + ", ".join(f"'{x}'" for x in tx.FILLERS) + "]"
 _INVENT = "[" + ", ".join(f"'{x}'" for x in tx.INVENTED) + "]"
 _ISFILL = f"(len(list_filter(string_split(c, ' '), lambda x: x <> '' AND NOT list_contains({_FILL}, x))) = 0 OR list_contains({_INVENT}, c))"
-query("T4_is_filler_only", f"SELECT doc_id, {_ISFILL} AS filler FROM (SELECT doc_id, trim(regexp_replace(lower(left(text, 4)), '[^a-z ]', ' ', 'g')) AS c FROM documents)")(lambda s, d: ln.table(s, d, "documents").select("doc_id", tx.is_filler_only(F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 4)), "[^a-z ]", " "))).alias("filler")))
+query("T4_is_filler_only", f"SELECT doc_id, {_ISFILL} AS filler FROM (SELECT doc_id, {_CMP} AS c FROM documents)")(lambda s, d: ln.table(s, d, "documents").select("doc_id", tx.is_filler_only(tx.comparable(F.col("text"))).alias("filler")))
+query("T4_filler_lines", f"SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({_ISFILL}) AS n_filler FROM (SELECT doc_id, {_CMP} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)) GROUP BY 1")(
+    lambda s, d: ln.table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", tx.is_filler_only(tx.comparable(F.col("line"))).alias("f")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(F.col("f"), 1)).alias("n_filler"))
+)
 _T5 = f"""t5a AS (SELECT *, {_CMP} AS c FROM segments),
 t5b AS (SELECT *, CASE WHEN c = '' THEN 'empty' WHEN no_speech_prob >= 0.6 AND {_ISFILL} THEN 'filler_in_silence' WHEN compression_ratio > 2.4 AND length(text) >= 20 THEN 'compression_ratio' END AS r FROM t5a),
 t5 AS (SELECT *, coalesce(r, CASE WHEN r IS NULL AND lag(c) OVER (PARTITION BY meeting_id, r IS NULL ORDER BY start_ms, end_ms, id) = c THEN 'repeated' END) AS dropped FROM t5b)"""
@@ -109,29 +131,44 @@ ac AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY meeting_id, id ORDER B
 )(lambda s, d: tr.approximate_words(_seg(s, d), ["meeting_id", "id"]))
 query("T12_finalize_transcript")(lambda s, d: tr.finalize_transcript(_seg(s, d)).drop("words"))
 
-_WORDS = r"wd AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(trim(text, e' \n\t'), '\s+'), lambda x: x <> '')) AS word FROM documents)"
+# A third of the documents is seen in Devanagari or Odia letters, word by word.
+_ROMAN, _DEVA, _ORYA = "aeiounrtklm", "\u0905\u090f\u0907\u0913\u0909\u0928\u0930\u0924\u0915\u0932\u092e", "\u0b05\u0b0f\u0b07\u0b13\u0b09\u0b28\u0b30\u0b24\u0b15\u0b32\u0b2e"
+_SEEN = f"CASE WHEN doc_id % 6 = 1 THEN translate(text, '{_ROMAN}', '{_DEVA}') WHEN doc_id % 6 = 2 THEN translate(text, '{_ROMAN}', '{_ORYA}') ELSE text END"
+_WORDS = rf"docs AS (SELECT * REPLACE ({_SEEN} AS text) FROM documents), wd AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(trim(text, e' \n\t'), '\s+'), lambda x: x <> '')) AS word FROM docs)"
 _LATN = r"length(regexp_replace(word, '[^\p{Latin}]', '', 'g'))"
+_DEV = r"length(regexp_replace(regexp_replace(word, '[^\x{0900}-\x{097F}]', '', 'g'), '[^\p{L}\p{M}]', '', 'g'))"
+_ORI = r"length(regexp_replace(regexp_replace(word, '[^\x{0B00}-\x{0B7F}]', '', 'g'), '[^\p{L}\p{M}]', '', 'g'))"
 _LM = r"length(regexp_replace(word, '[^\p{L}\p{M}]', '', 'g'))"
-query("C1_script_of", w(_WORDS) + f"SELECT script, count(*) AS n FROM (SELECT CASE WHEN {_LM} = 0 THEN NULL WHEN {_LATN} >= {_LM} - {_LATN} THEN 'Latn' ELSE 'Other' END AS script FROM wd) GROUP BY 1")(lambda s, d: ln.table(s, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word")).select(tx.script_of(F.col("word")).alias("script")).groupBy("script").agg(F.count("*").alias("n")))
+_SCRIPT = f"sc AS (SELECT *, CASE WHEN lm = 0 THEN NULL WHEN dv = top THEN 'Deva' WHEN la = top THEN 'Latn' WHEN ori = top THEN 'Orya' ELSE 'Other' END AS script FROM (SELECT *, greatest(dv, la, ori, lm - dv - la - ori) AS top FROM (SELECT *, {_LM} AS lm, {_DEV} AS dv, {_LATN} AS la, {_ORI} AS ori FROM wd)))"
+
+
+def _seen(s, d):
+    n, text = F.col("doc_id") % 6, F.col("text")
+    return ln.table(s, d, "documents").withColumn("text", F.when(n == 1, F.translate(text, _ROMAN, _DEVA)).when(n == 2, F.translate(text, _ROMAN, _ORYA)).otherwise(text)).withColumnRenamed("lang", "language")
+
+
+query("C1_script_of", w(_WORDS, _SCRIPT) + "SELECT doc_id, script, count(*) AS n FROM sc GROUP BY 1, 2")(lambda s, d: _seen(s, d).select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("word")).select("doc_id", tx.script_of(F.col("word")).alias("script")).groupBy("doc_id", "script").agg(F.count("*").alias("n")))
 _HI = "[" + ", ".join(f"'{x}'" for x in dict.fromkeys(tx.ROMAN_HINDI)) + "]"
 _OR = "[" + ", ".join(f"'{x}'" for x in tx.ROMAN_ODIA) + "]"
 _KEY = r"lower(regexp_replace(word, '\P{L}', '', 'g'))"
-_TAG = f"tg AS (SELECT *, CASE WHEN {_LM} = 0 OR {_LATN} < {_LM} - {_LATN} THEN NULL WHEN list_contains({_HI}, {_KEY}) THEN 'hi-Latn' WHEN list_contains({_OR}, {_KEY}) THEN 'or-Latn' ELSE 'en' END AS tag FROM wd)"
-query("C2_word_language", w(_WORDS, _TAG) + "SELECT doc_id, coalesce(tag, '-') AS tag, count(*) AS n FROM tg GROUP BY 1, 2")(lambda s, d: tr.tagged_words(ln.table(s, d, "documents"), ["doc_id"]).groupBy("doc_id", F.coalesce("word_language", F.lit("-")).alias("tag")).agg(F.count("*").alias("n")))
+_TAG = _SCRIPT + f", tg AS (SELECT *, CASE script WHEN 'Deva' THEN 'hi' WHEN 'Orya' THEN 'or' WHEN 'Latn' THEN CASE WHEN list_contains({_HI}, {_KEY}) THEN 'hi-Latn' WHEN list_contains({_OR}, {_KEY}) THEN 'or-Latn' ELSE 'en' END END AS tag FROM sc)"
+query("C2_word_language", w(_WORDS, _TAG) + "SELECT doc_id, coalesce(tag, '-') AS tag, count(*) AS n FROM tg GROUP BY 1, 2")(lambda s, d: tr.tagged_words(_seen(s, d), ["doc_id"]).groupBy("doc_id", F.coalesce("word_language", F.lit("-")).alias("tag")).agg(F.count("*").alias("n")))
 _MIX = """ct AS (SELECT doc_id, split_part(tag, '-', 1) AS lang, count(*) AS n FROM tg WHERE tag IS NOT NULL GROUP BY 1, 2),
 mx AS (SELECT d.doc_id, any_value(d.lang) AS fallback, min((-n, NOT coalesce(ct.lang = d.lang, false), ct.lang)) FILTER (ct.lang IS NOT NULL) AS b, list(ct.lang ORDER BY ct.lang) FILTER (ct.lang IS NOT NULL) AS langs, sum(n)::BIGINT AS t FROM documents d LEFT JOIN ct ON ct.doc_id = d.doc_id GROUP BY 1),
 cm AS (SELECT doc_id, coalesce(b[3], fallback) AS primary_language, array_to_string(coalesce(langs, [fallback]), ',') AS languages_present, coalesce(len(langs), 0) > 1 AS is_code_mixed, CASE WHEN t > 0 THEN 1 + b[1] / t ELSE 0 END AS code_mix_ratio FROM mx)"""
 
 
 def _mix(s, d):
-    docs = ln.table(s, d, "documents").withColumnRenamed("lang", "language")
+    docs = _seen(s, d)
     return tr.code_mix(tr.tagged_words(docs, ["doc_id"]), docs, ["doc_id"]).withColumn("languages_present", F.array_join("languages_present", ","))
 
 
 query("C3_code_mix_stats", w(_WORDS, _TAG, _MIX) + "SELECT * FROM cm")(_mix)
-query("C4_tag_segment", w(_WORDS, _TAG, _MIX) + "SELECT doc_id, source, primary_language, is_code_mixed FROM documents JOIN cm USING (doc_id)")(lambda s, d: tr.tag_segments(ln.table(s, d, "documents").withColumnRenamed("lang", "language"), ["doc_id"]).select("doc_id", "source", "primary_language", "is_code_mixed"))
-query("A6_join_words", r"SELECT doc_id, md5(regexp_replace(array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''), ' ') || ' .', ' (\.)$', '\1')) AS h FROM documents WHERE NOT regexp_matches(' ' || replace(text, chr(10), ' ') || ' ', ' \p{P}+ ')")(
-    lambda s, d: ln.table(s, d, "documents").filter(~F.concat(F.lit(" "), F.translate("text", "\n", " "), F.lit(" ")).rlike(r" \p{P}+ ")).select("doc_id", F.md5(tx.join_words(F.concat(F.split(F.translate("text", "\n", " "), " "), F.array(F.lit("."))))).alias("h"))
+query("C4_tag_segment", w(_WORDS, _TAG, _MIX) + "SELECT doc_id, source, primary_language, is_code_mixed FROM documents JOIN cm USING (doc_id)")(lambda s, d: tr.tag_segments(_seen(s, d), ["doc_id"]).select("doc_id", "source", "primary_language", "is_code_mixed"))
+# Punctuation is set apart first, so that joining has something to do.
+query("A6_join_words", r"""SELECT doc_id, md5(array_to_string(list_transform(l, lambda x, i: CASE WHEN i > 1 AND NOT regexp_full_match(x, '\p{P}+') THEN ' ' || x ELSE x END), '')) AS h
+FROM (SELECT doc_id, list_filter(string_split(regexp_replace(replace(text, chr(10), ' '), '([.,;:!?])', ' \1 ', 'g'), ' '), lambda x: x <> '') AS l FROM documents)""")(
+    lambda s, d: ln.table(s, d, "documents").select("doc_id", F.md5(tx.join_words(F.split(F.regexp_replace(F.translate("text", "\n", " "), "([.,;:!?])", " $1 "), " "))).alias("h"))
 )
 query("A7_ends_sentence", r"""SELECT doc_id, regexp_matches(text, '[.?!।॥]["'')\]}»”’]*$') AS ends FROM documents""")(lambda s, d: ln.table(s, d, "documents").select("doc_id", tx.ends_sentence(F.col("text")).alias("ends")))
 
