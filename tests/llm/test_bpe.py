@@ -155,3 +155,25 @@ def test_copies_of_a_long_text_are_grown_once(spark, library):
         assert _grown(coded._jdf.queryExecution().executedPlan()) == 2
     alone = bpe.encode(spark.createDataFrame([(long,)] * 5, "text string"), leaf=100).collect()
     assert [r.text for r in alone] == [long] * 5
+
+
+def test_op1_edges(spark, library):
+    """Null, empty and very long texts, repeated rows, no rows, and columns with names of the result."""
+    rows = [(1, None, 7), (2, "", 7), (3, "one\n" * 30_000, 7), (4, "two\n\nlines", 7), (4, "two\n\nlines", 7), (None, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, section int").withColumn("start", F.lit(1)).withColumn("n_tokens", F.lit(2))
+    got = token_counts.attribute(docs)
+    assert got.columns == ["doc_id", "section", "start", "end", "n_tokens"]
+    sums = {r.doc_id: (r.n, r.lines) for r in got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("lines")).collect()}
+    size = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    assert sums == {1: (0, 1), 2: (0, 1), 3: (size(rows[2][1]), 30_001), 4: (2 * size(rows[3][1]), 6), None: (1, 1)}
+    assert token_counts.attribute(docs.limit(0)).count() == 0
+
+
+def test_op6_very_long_text(spark, library, tmp_path):
+    rows = [(1, "ab c\n" * 60_000), (2, None), (3, "x" * 20_000)]
+    spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n_tokens int, start int").write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for r in queries.op6_token_store(spark, str(tmp_path)).orderBy("doc_id").collect():
+        ids = [*library.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)

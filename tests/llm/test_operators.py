@@ -54,6 +54,32 @@ def test_op3_conversation_minus_seven(spark, sf_dir):
     assert r.turns_sha256 == hashlib.sha256(f"user\n{both}\nassistant\n{both}\n".encode()).hexdigest()
 
 
+def test_op3_over_null_empty_and_repeated_rows(spark, tmp_path):
+    dice = random.Random(9)
+    rows = [(c, t, dice.choice(["user", "assistant", None]), dice.choice([None, "", "x", "word " * dice.randint(1, 60), "</s> <|im_end|>\n"])) for c in (1, 2, None) for t in [*range(6), 2, 2]]
+    rows += [(3, 0, "assistant", "long " * 40_000)]
+    rows += rows[3:6] * 2
+    folder = f"{tmp_path}/conversations.parquet"
+    spark.createDataFrame([(*r, 1, 2) for r in dice.sample(rows, len(rows))], "conv_id long, turn int, role string, text string, copy int, kind int").write.parquet(folder)
+    got = {r.conv_id: r for r in queries.op3_chat_format(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, None, -7}
+    for c in (1, 2, 3, None):
+        own = sorted(((t, r or "", x or "") for i, t, r, x in rows if i == c), key=lambda v: (v[0], v[1].encode(), v[2].encode()))
+        loss = "".join(x for _, r, x in own if r == "assistant")
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    spark.read.parquet(folder).limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert [r.conv_id for r in queries.op3_chat_format(spark, f"{tmp_path}/none").collect()] == [-7]
+
+
+def test_server_log_hides_final_texts(spark):
+    rows = spark.createDataFrame([(i, 0, 1, "user", f"text {i} " * 30) for i in range(60)], "conv_id long, turn long, copy int, role string, text string")
+    log = queries._server_log(rows)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    assert log.join(rows.select("text"), "text").isEmpty()
+    assert log.filter("role = 'void' OR text LIKE 'draft%'").count() > 0
+
+
 # -- decontamination -----------------------------------------------------------
 
 
@@ -61,7 +87,9 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def test_hits_by_brute_force(spark):
+@pytest.mark.parametrize("most", [64 << 20, 3_000])
+def test_hits_by_brute_force(spark, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)  # a benchmark of one part, or of several
     dice = random.Random(4)
     vocabulary = ["a", "B", "é", "É", "c1", "İ", "ß"]
     items = [(i, " ".join(dice.choice(vocabulary) for _ in range(n))) for i, n in enumerate([3, 5, 10, 11, 14, 2])] + [(6, None), (7, "!!"), (8, "c1 c1 É")]
@@ -157,6 +185,40 @@ def test_classes_by_brute_force(spark, width, num, den):
     assert got == brute_classes(rows, width, num, den)
 
 
+def test_classes_of_repeated_ids(spark):
+    """An id with several texts joins the components of all of them."""
+    dice = random.Random(12)
+    texts = [" ".join(dice.choice("abcdefghijklmnop") + dice.choice("qrstuvwxyz") for _ in range(40)) for _ in range(30)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (5, texts[0]), (5, texts[1]), (5, texts[2])]
+    for i in range(10, 40):
+        rows += [(i, dice.choice(texts[3:])) for _ in range(dice.choice([1, 1, 2, 3, 5]))]
+    rows += rows[-5:] * 3
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs_of(spark, rows), 3, 90, 100).collect())
+    assert got == brute_classes(rows, 3, 90, 100)
+
+
+@pytest.mark.parametrize("cell", [2, 5])
+def test_classes_around_hubs(spark, cell, monkeypatch):
+    """Lists of many members that are alike, but mostly not alike enough, dealt over small cells."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    dice = random.Random(cell)
+    hub = [f"h{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        own = list(hub)
+        for _ in range(dice.choice([1, 3, 6, 9, 12, 15])):
+            own[dice.randrange(60)] = f"x{dice.randint(0, 12)}"
+        rows.append((dice.randint(0, 120), " ".join(own[: dice.choice([60, 60, 40, 20])])))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs_of(spark, rows).repartition(4), 1, 80, 100).collect())
+    assert got == brute_classes(rows, 1, 80, 100)
+
+
+def test_keep_one_of_repeated_ids(spark):
+    rows = [(1, "a b c d e f g"), (1, "quite other words stand in here"), (1, "a b c d e f g"), (2, "quite other words stand in here"), (3, ""), (3, None)]
+    kept = sorted((r.doc_id, r.text or "") for r in jaccard.keep_one(docs_of(spark, rows)).collect())
+    assert kept == [(1, "a b c d e f g"), (1, "quite other words stand in here"), (3, ""), (3, "")]
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words are here now"), (3, "other words are here now"), (None, "a b c d e f g"), (4, None), (5, None)]
     kept = sorted((r.doc_id or 0) for r in jaccard.keep_one(docs_of(spark, rows)).collect())
@@ -217,6 +279,18 @@ def test_urls(spark):
     assert {r.url: (r._host, r.path, r["rule"], r.verdict) for r in clash.collect()} == cases
 
 
+def test_url_terms(spark):
+    same = "https://news.example.org/story?ref=home&utm_source=mail"
+    far = "http://x.org/" + "a" * 100_000 + "/poker?free"
+    rows = [(1, same), (1, same), (2, far), (3, "http://x.org/KIWI"), (4, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    assert sorted((r.page_id, r.verdict) for r in urls.judge(pages).collect()) == [(1, "allow"), (1, "allow"), (2, "block"), (3, "allow"), (4, "allow")]
+    table = spark.createDataFrame([("Kiwi", 2), ("kiwi", 1), (None, 3), ("", 9), ("poker", 0)], "term string, weight int")
+    assert urls.vocabulary(table) == {"kiwi": 2}
+    assert sorted((r.page_id, r.verdict) for r in urls.judge(pages, terms=table).collect()) == [(1, "allow"), (1, "allow"), (2, "allow"), (3, "block"), (4, "allow")]
+    assert {r.verdict for r in urls.judge(pages, terms=table.limit(0)).collect()} == {"allow"}
+
+
 # -- top-k ---------------------------------------------------------------------
 
 
@@ -240,6 +314,39 @@ def test_top_k_by_brute_force(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_over_many_pages(spark, monkeypatch):
+    """Several cells, rings and pages, a cell of equal vectors, and columns besides."""
+    for name, value in {"PAGE": 40, "BLOCK": 7, "LEAF": 8, "GROUP": 2, "RINGS": 3}.items():
+        monkeypatch.setattr(topk, name, value)
+    dice = np.random.default_rng(5)
+    x = (dice.normal(size=(9, 6))[dice.integers(0, 9, 900)] * 3 + dice.normal(size=(900, 6)) * 0.2).astype(np.float32)
+    x[300:620] = x[300]
+    frame = spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, cell int, dim int").select("vec_id", topk.quantize(F.col("embedding")).alias("x"), "cell", "dim")
+    got = {}
+    for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = np.floor(64 * x.astype(np.float64)).astype(np.int64)
+    for q in range(0, 900, 20):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
+def test_bounds_avoid_computations():
+    """On clustered vectors most scores are ruled out by stored distances."""
+    dice = np.random.default_rng(6)
+    x = np.floor(64 * (dice.normal(size=(40, 16))[np.arange(4000) % 40] + dice.normal(size=(4000, 16)) * 0.05))
+    centre = x.mean(axis=0)
+    space = topk.Space(centre, float(((x - centre) ** 2).sum(axis=1).max()))
+    pivot = space.lift(x[:1])[0]
+    order, *tree = topk.build_page(x, pivot, space)
+    q = x[:100]
+    none = np.zeros(100, dtype=np.int64)
+    (at, ids, score), computed = topk.search_page(q, np.arange(100), none, none > 0, 20, order, x[order], tuple(tree), pivot, space)
+    (_, again, _), less = topk.search_page(q, np.arange(100), score[19::20], none == 0, 20, order, x[order], tuple(tree), pivot, space)
+    assert (ids == again).all() and less < 0.3 * q.shape[0] * len(x)
+    assert less <= computed
+
+
 def test_top_k_of_large_components(spark):
     frame = spark.createDataFrame([(0, [2.0**40, 3.0]), (1, [2.0**13 + 1, 1.0]), (2, [2.0**13, 2.0**43])], "vec_id long, x array<double>")
     got = [(r.vec_id, r.score) for r in topk.top_k(frame, F.col("vec_id") == 0).orderBy("rank").collect()]
