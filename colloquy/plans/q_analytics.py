@@ -212,7 +212,7 @@ query("V4_is_question", rf"SELECT doc_id, regexp_matches(t, '[?？]\s*$') OR len
 
 def _listed(frame, column):
     """Languages as text, so that they compare."""
-    return frame.withColumn(column, F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["language"], x["ms"].cast("string"), F.format_string("%.6f", x["share"]))), ","))
+    return frame.withColumn(column, F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["language"], x["ms"].cast("string"), F.format_string("%.9f", x["share"]))), ","))
 
 
 def _stats(s, d):
@@ -220,7 +220,7 @@ def _stats(s, d):
     return an.speaker_stats(t, u, an.meeting_durations(t, u))
 
 
-_SHARE = "string_agg(language || ':' || ms || ':' || printf('%.6f', CASE WHEN t > 0 THEN ms / t ELSE 0 END), ',' ORDER BY ms DESC, language)"
+_SHARE = "string_agg(language || ':' || ms || ':' || printf('%.9f', CASE WHEN t > 0 THEN ms / t ELSE 0 END), ',' ORDER BY ms DESC, language)"
 _LB = f"lb AS (SELECT meeting_id, speaker AS speaker_label, {_SHARE} AS language_breakdown FROM (SELECT *, sum(ms) OVER (PARTITION BY meeting_id, speaker) AS t FROM (SELECT meeting_id, speaker, primary_language AS language, sum(end_ms - start_ms)::BIGINT AS ms FROM utterances WHERE speaker <> 'Unknown' AND primary_language IS NOT NULL GROUP BY 1, 2, 3)) GROUP BY 1, 2)"
 _LD = f"ld AS (SELECT meeting_id, {_SHARE} AS language_distribution FROM (SELECT *, sum(ms) OVER (PARTITION BY meeting_id) AS t FROM (SELECT meeting_id, primary_language AS language, sum(end_ms - start_ms)::BIGINT AS ms FROM utterances WHERE speaker <> 'Unknown' AND primary_language IS NOT NULL GROUP BY 1, 2)) GROUP BY 1)"
 _V5 = "SELECT stats.*, coalesce(language_breakdown, '') AS language_breakdown FROM stats LEFT JOIN lb USING (meeting_id, speaker_label)"
