@@ -188,6 +188,12 @@ query(
     "K5_utterances_markdown",
     w(_U) + f"SELECT meeting_id, md5('# Transcript' || chr(10) || chr(10) || string_agg(CASE WHEN l IS NULL OR l <> speaker THEN '**' || speaker || '** · ' || {_HMS.format('start_ms')} || chr(10) || chr(10) ELSE '' END || text || chr(10), chr(10) ORDER BY k)) AS markdown FROM (SELECT *, lag(speaker) OVER (PARTITION BY meeting_id ORDER BY k) AS l FROM {_NUM}) GROUP BY 1",
 )(lambda s, d: sk.utterances_markdown(ln.utterances(s, d)).withColumn("markdown", F.md5("markdown")))
-query("K1_speakers_csv", w(*FULL) + "SELECT meeting_id, speaker_label AS speaker, speaker_label AS display_name, num_segments, num_turns, word_count, interruptions_made, interruptions_received, questions_asked FROM stats")(
-    lambda s, d: sk.speakers_table(_stats(s, d), _both(s, d)[1]).select("meeting_id", "speaker", "display_name", "num_segments", "num_turns", "word_count", "interruptions_made", "interruptions_received", "questions_asked")
+# Seconds and percentages are half-even on their two decimals; ratios of whole numbers are close enough to none to be told apart.
+_SEC = lambda c: f"round_even({c} / 10, 0) / 100"
+_LANGS = "string_agg(language || ':' || CASE WHEN t > 0 THEN round_even(ms / t * 100, 2)::DOUBLE ELSE 0 END, ';' ORDER BY ms DESC, language)"
+_KL = f"kl AS (SELECT meeting_id, speaker AS speaker_label, {_LANGS} AS languages FROM (SELECT *, sum(ms) OVER (PARTITION BY meeting_id, speaker) AS t FROM (SELECT meeting_id, speaker, primary_language AS language, sum(end_ms - start_ms)::BIGINT AS ms FROM utterances WHERE primary_language IS NOT NULL GROUP BY 1, 2, 3)) GROUP BY 1, 2)"
+query("K1_speakers_csv", w(*FULL, _KL) + f"""SELECT meeting_id, speaker_label AS speaker, speaker_label AS display_name, {_SEC('speaking_ms')} AS speaking_time_seconds, round_even(share_of_speech * 100, 2) AS speaking_time_percent_of_speech, round_even(share_of_meeting * 100, 2) AS speaking_time_percent_of_meeting,
+num_segments, round_even(segment_share * 100, 2) AS segment_share_percent, num_turns, {_SEC('longest_ms')} AS longest_utterance_seconds, {_SEC('longest_start_ms')} AS longest_utterance_start, {_SEC('longest_end_ms')} AS longest_utterance_end, word_count,
+{_SEC('first_spoke_ms')} AS first_spoke_at, {_SEC('last_spoke_ms')} AS last_spoke_at, interruptions_made, interruptions_received, {_SEC('overlap_ms')} AS overlap_seconds, questions_asked, coalesce(languages, '') AS languages FROM stats LEFT JOIN kl USING (meeting_id, speaker_label)""")(
+    lambda s, d: sk.speakers_table(_stats(s, d), _both(s, d)[1]).drop("avg_utterance_seconds", "median_utterance_seconds", "words_per_minute")
 )
