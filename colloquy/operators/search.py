@@ -116,11 +116,12 @@ def search(index: DataFrame, q: str, limit: int = 20, meeting_id=None) -> DataFr
 def trigram_table(index: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """Each row's distinct trigrams, to be written once and looked up by equality; only those ``wanted``, if given."""
     low = F.lower("text")
-    starts = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.substring(low, i, F.lit(3)))
     if wanted is not None:
-        grams = F.filter(grams, lambda g: g.isin(*wanted))
-    return index.select("meeting_id", "ref", F.explode(F.array_distinct(grams)).alias("gram"))
+        grams = F.array_compact(F.array(*[F.when(low.contains(g), g) for g in wanted]))
+    else:
+        starts = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
+        grams = F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(3))))
+    return index.select("meeting_id", "ref", F.explode(grams).alias("gram"))
 
 
 def trigrams_of(q: str) -> list[str]:
