@@ -167,8 +167,13 @@ def to_utterance(words: DataFrame, keys: list[str]) -> DataFrame:
     """One utterance for each key of words (word, start_ms, end_ms, speaker, overlapping_speakers, precision, confidence, language).
 
     In order of time: text; words; base languages, the primary one being the most frequent, then the one heard first; the mean
-    of known confidences to four decimals; speakers that overlap any word.
+    of known confidences to four decimals; speakers that overlap any word. Words without a column of languages are told by
+    their letters; confidences may be missing.
     """
+    if "language" not in words.columns:
+        words = words.withColumn("language", tx.word_language(F.col("word")))
+    if "confidence" not in words.columns:
+        words = words.withColumn("confidence", F.lit(None).cast("double"))
     out = words.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "word", "confidence", "language"))).alias("w"), *([] if "speaker" in keys else [F.min_by("speaker", F.struct("start_ms", "end_ms", "word")).alias("speaker")]), F.avg("confidence").alias("mean"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("overlapping_speakers")))).alias("o"), F.max(F.col("precision") == "segment").alias("seg"),
