@@ -76,7 +76,8 @@ fold AS (WITH RECURSIVE f AS (SELECT meeting_id, i, speaker, language, start_ms
   FROM f JOIN (SELECT * FROM ord) o ON o.meeting_id = f.meeting_id AND o.i = f.i + 1, LATERAL (SELECT o.speaker IS NOT DISTINCT FROM f.speaker AND o.language = f.language AND o.start_ms - f.e <= 500) AS t(j)) SELECT * FROM f),
 adj AS (SELECT meeting_id, speaker, language, s AS start_ms, e AS end_ms, c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, g ORDER BY i DESC) AS k FROM fold) WHERE k = 1)"""
 query("L8_merge_adjacent", w(*_LL, _INH, _RES + _FOLD) + "SELECT meeting_id, speaker, language, start_ms, end_ms, round(confidence, 6) AS confidence FROM adj")(lambda s, d: lg.smooth(_laid(s, d)).withColumn("confidence", F.round("confidence", 6)))
-query("L9_smooth_regions")(lambda s, d: lg.regions(lg.smooth(_laid(s, d))))
+_REG = """, reg AS (SELECT meeting_id, speaker, language, greatest(start_ms, coalesce(c, start_ms)) AS start_ms, end_ms, confidence FROM (SELECT *, max(end_ms) OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, language ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM adj) WHERE end_ms > greatest(start_ms, coalesce(c, start_ms)))"""
+query("L9_smooth_regions", w(*_LL, _INH, _RES + _FOLD + _REG) + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM reg")(lambda s, d: lg.regions(lg.smooth(_laid(s, d))).withColumn("confidence", F.round("confidence", 6)))
 _SH = "SELECT meeting_id, language, ms, CASE WHEN sum(ms) OVER (PARTITION BY meeting_id) > 0 THEN ms / sum(ms) OVER (PARTITION BY meeting_id) ELSE 0 END AS share, row_number() OVER (PARTITION BY meeting_id ORDER BY ms DESC, language)::INT AS rank FROM (SELECT meeting_id, language, sum(end_ms - start_ms)::BIGINT AS ms FROM lid_windows GROUP BY 1, 2)"
 query("L10_language_shares", w(_L) + _SH)(lambda s, d: lg.language_shares(_lid(s, d), ["meeting_id"]))
 def _named(languages):
@@ -89,7 +90,15 @@ _SPK = "sk AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, speaker ORD
 query("L12_language_summary", w(_L, _SWP, f"sh AS ({_SH})", _SPK) + "SELECT s.meeting_id, any_value(language) FILTER (rank = 1) AS dominant, string_agg(language || ':' || ms, ',' ORDER BY rank) AS languages, list(round(share, 9) ORDER BY rank) AS shares, (SELECT count(*) FROM sp WHERE sp.meeting_id = s.meeting_id) AS num_switches, any_value(speakers) AS speakers FROM sh s JOIN ss ON ss.meeting_id = s.meeting_id GROUP BY 1")(
     lambda s, d: lg.language_summary(_lid(s, d)).select("meeting_id", "dominant", _named(F.col("languages")).alias("languages"), F.transform("languages", lambda x: F.round(x["share"], 9)).alias("shares"), "num_switches", F.array_join(F.transform("speakers", lambda x: F.concat(x["speaker"], F.lit("="), _named(x["languages"]))), ";").alias("speakers"))
 )
-query("L13_batch_regions")(lambda s, d: lg.batch_regions(lg.regions(lg.smooth(_laid(s, d)))))
+# A batch takes the next region of its language while its span stays within 30 s; confidences are weighed by what regions last.
+_BATCH = """, rn AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms) AS i FROM reg),
+bat AS (WITH RECURSIVE f AS (SELECT meeting_id, i, language, start_ms AS s, end_ms AS e, confidence::DOUBLE AS c, (end_ms - start_ms)::DOUBLE AS wt, 1 AS b FROM rn WHERE i = 1 UNION ALL
+  SELECT r.meeting_id, r.i, r.language, CASE WHEN j THEN f.s ELSE r.start_ms END, CASE WHEN j THEN greatest(f.e, r.end_ms) ELSE r.end_ms END, CASE WHEN j AND f.wt + (r.end_ms - r.start_ms) > 0 THEN (f.c * f.wt + r.confidence * (r.end_ms - r.start_ms)) / (f.wt + (r.end_ms - r.start_ms)) ELSE r.confidence::DOUBLE END,
+    CASE WHEN j THEN f.wt + (r.end_ms - r.start_ms) ELSE (r.end_ms - r.start_ms)::DOUBLE END, CASE WHEN j THEN f.b ELSE f.b + 1 END
+  FROM f JOIN (SELECT * FROM rn) r ON r.meeting_id = f.meeting_id AND r.i = f.i + 1, LATERAL (SELECT r.language = f.language AND r.end_ms - f.s <= 30000) AS t(j)) SELECT * FROM f)"""
+query("L13_batch_regions", w(*_LL, _INH, _RES + _FOLD + _REG + _BATCH) + "SELECT meeting_id, language, s AS start_ms, e AS end_ms, round(c, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, b ORDER BY i DESC) AS k FROM bat) WHERE k = 1")(
+    lambda s, d: lg.batch_regions(lg.regions(lg.smooth(_laid(s, d)))).withColumn("confidence", F.round("confidence", 6))
+)
 query("L14_route_by_language", w(_L) + "SELECT meeting_id, seq, CASE language WHEN 'en' THEN 'large' WHEN 'fr' THEN 'latin' ELSE 'general' END AS backend, language IN ('en', 'fr') AS supported FROM lid_windows")(lambda s, d: lg.route_by_language(_lid(s, d), {"en": "large", "fr": "latin"}, "general").select("meeting_id", "seq", "backend", "supported"))
 
 query("T1_normalize_text", r"SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS h FROM documents")(lambda s, d: ln.table(s, d, "documents").select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("h")))
