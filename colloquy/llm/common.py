@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -47,6 +48,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done: it does so once the driver has collected its garbage, which
+    may be long after the many jobs of an iterative operator have filled the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the batches that go to Python workers, unless the session has set bounds of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -3,41 +3,56 @@
 A document is its set of distinct word shingles (words between ASCII white space, A-Z lowered), as 64-bit hashes.
 Two documents link when their sets' Jaccard similarity is at least ``num / den``.
 
-1. One pass counts shingles in a sketch of fixed size (all documents, added up across tasks). It only orders them:
-   rare first, the same order for every document, so its errors cost time and never links.
+1. One pass counts shingles in a sketch, sized by the bytes of all texts (all documents, added up across tasks). It
+   only orders them: rare first, the same order for every document, so its errors cost time and never links.
 2. Documents with equal sets become one class. Each class keeps the first shingles of its set: if a pair must share
    o of its n shingles, prefixes of n - o + k shingles share k of them. Each document chooses k by estimated cost
    (postings to read against candidates to verify); a pair must share as many as the smaller k of the two.
 3. Round one compares every posting list with one member only, its hub, on whole sets, so a group of near copies
    becomes one component with about as many pairs as members. Members near a hub that stay outside its component are
-   then compared by their differences from it (``_around_hubs``). Round two joins the members of a list that are in
-   different components still and not both near its hub, counts shared shingles, and verifies. A link is thus within
+   then compared by their differences from it (``_around_hubs``). Lists with many members near
+   no hub get further ones. Round two joins the members of a list that are in
+   different components still and not both near one hub, counts shared shingles, and verifies. A link is thus within
    a component of round one, or found in one of the other two ways: none is lost, and no group's pairs are all listed.
+   A long list is dealt over cells, each with two parts of its members.
 
 Edge cases: a text with fewer words than a shingle is one shingle of all of them; a text that is null or without words
-has an empty set and links with nothing; rows of equal doc_id are one document that has the links of each of its
-rows, and each row is returned; rows without doc_id link with nothing and have no component. Columns besides stay out
-of ``classes``; ``keep_one`` keeps them.
+has an empty set and links with nothing; in ``classes`` rows of equal doc_id are one document that has the links of
+each of its rows, and each row is returned; rows without doc_id link with nothing and have no component. Columns besides
+stay out of ``classes``; ``keep_one`` keeps them, and takes rows of one doc_id with different texts for different
+documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, small_batches
+from .common import free_name, give_back, let_go, materialize, small_batches
 from .components import components
 
-#: Counters of the sketch (a power of two), and the parts in which tasks send it.
-SKETCH_BITS, PARTS = 23, 32
+#: The sketch has a counter (of a byte, once added up) for about ``SKETCH_BYTES`` bytes of text, and 2 to a power within
+#: ``SKETCH_BITS`` of them; beyond that, shingles rarer than the mean counter cannot be told apart, which costs time.
+SKETCH_BYTES, SKETCH_BITS = 128, (20, 25)
+#: The parts in which tasks send it, and shingles that a task holds before it counts them.
+PARTS, HELD = 32, 250_000
 #: Largest number of shared shingles that a prefix may ask for.
 MOST = 8
-#: Bits of the filter that tells which documents are in any candidate pair.
-FILTER_BITS = 23
+#: Bits of the filter that tells which documents are in any candidate pair: so many for each of them, and 2 to a power
+#: within ``FILTER_BITS``; a full filter lets more documents through to the join, which decides.
+FILTER_EACH, FILTER_BITS = 16, (16, 28)
+#: A member is near a hub if ALIKE times what they share is at least the sizes of both: 4 for a similarity of a third.
+ALIKE = 4
+#: Members near no hub from which a list gets a further hub, and how often at most; round two joins what is left.
+LONG, MORE = 64, 3
+#: Members of a posting list, of either side, that meet in one cell; hubs of a group that a member remembers.
+CELL, HUBS = 256, 4
+#: Words whose hashes a worker keeps.
+KEPT = 50_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,7 +71,7 @@ class WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < KEPT:
             self[word] = h
         return h
 
@@ -80,35 +95,40 @@ def _levels() -> np.ndarray:
     return np.concatenate([np.arange(64), np.rint(64 * 2 ** (np.arange(192) / 8))]).astype(np.float64)
 
 
+def _bits(n: float, within: tuple[int, int]) -> int:
+    return min(max(int(np.ceil(np.log2(max(n, 1)))), within[0]), within[1])
+
+
 def _sketched(docs: DataFrame, width: int) -> np.ndarray:
-    """Counts of shingles by the high bits of their hashes, as bytes (see ``_levels``): 2**SKETCH_BITS of them,
-    whatever the input's size."""
-    size = 1 << SKETCH_BITS
+    """Counts of shingles by the high bits of their hashes, as bytes (see ``_levels``)."""
+    total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = _bits(total_bytes / SKETCH_BYTES, SKETCH_BITS)
+    size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=1)
-        total, held, n = np.zeros(size, dtype=np.uint32), [], 0
+        total, held, n = np.zeros(size, dtype=np.uint16), [], 0  # of one task; full at 65,535
 
         def add() -> None:
             nonlocal held, n
             if held:
-                at, times = np.unique((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
-                total[at] += times.astype(np.uint32)
+                at, times = np.unique((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+                total[at] = np.minimum(total[at] + times, 65_535)
             held, n = [], 0
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 held.append(shingles(text, width, hashes))
                 n += len(held[-1])
-                if n > 2_000_000:
+                if n > HELD:
                     add()
         add()
         if total.any():
-            kind = next(k for k in ("<u1", "<u2", "<u4") if total.max() <= np.iinfo(k).max)
-            parts = [squeeze.compress(p.astype(kind).tobytes()) for p in np.split(total, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([kind] * PARTS), pa.array(parts, pa.binary())], names=["part", "kind", "counts"])
+            kind = "<u1" if total.max() <= 255 else "<u2"
+            for i, part in enumerate(np.split(total, PARTS)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([kind]), pa.array([squeeze.compress(part.astype(kind).tobytes())], pa.binary())], names=["part", "kind", "counts"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -123,7 +143,7 @@ def _sketched(docs: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(["<u1"] * len(sums), pa.string()), pa.array(codes, pa.binary())], names=["part", "kind", "counts"])
 
     schema = "part int, kind string, counts binary"
-    got = docs.select("text").mapInArrow(run, schema).repartition(PARTS, "part").mapInArrow(add_up, schema).collect()  # a byte for each counter
+    got = docs.select("text").mapInArrow(give_back(run), schema).repartition(PARTS, "part").mapInArrow(give_back(add_up), schema).collect()  # 2**SKETCH_BITS[1] bytes at most
     out = np.zeros((PARTS, size // PARTS), dtype=np.uint8)
     for r in got:
         out[r["part"]] = np.frombuffer(r["counts"], dtype=np.uint8)
@@ -135,7 +155,7 @@ def prefix(own: np.ndarray, counts: np.ndarray, noise: float, num: int, den: int
     n = len(own)
     if not n:
         return 1, 0, own
-    codes = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    codes = counts[(own >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)]
     order = np.lexsort((own, codes))
     own, seen = own[order], _LEVELS[codes[order]]
     postings = np.cumsum(np.maximum(seen - noise, 1.0))
@@ -152,10 +172,10 @@ _LEVELS = _levels()
 
 
 def _profiles(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, n (set size), f1 and f2 (its 128-bit fingerprint), k, common, prefix."""
+    """Per row: doc_id, th (a hash of its text), n (set size), f1 and f2 (its 128-bit fingerprint), k, common, prefix."""
     counts = _sketched(docs, width)
     noise = float(_LEVELS[counts].mean())
-    sent = docs.sparkSession.sparkContext.broadcast(counts)  # 2**SKETCH_BITS bytes
+    sent = docs.sparkSession.sparkContext.broadcast(counts)  # 2**SKETCH_BITS[1] bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -173,12 +193,10 @@ def _profiles(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 ks.append(k)
                 common.append(many)
                 prefixes.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(ks, pa.int64()), pa.array(common, pa.int64()), _lists(prefixes)],
-                names=["doc_id", "n", "f1", "f2", "k", "common", "prefix"],
-            )
+            numbers = [pa.array(v, pa.int64()) for v in (size, first, second, ks, common)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *numbers, _lists(prefixes)], names=["doc_id", "th", "n", "f1", "f2", "k", "common", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, k long, common long, prefix array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(give_back(run), "doc_id long, th long, n long, f1 long, f2 long, k long, common long, prefix array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -186,16 +204,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Whole sets of (at least) the documents in ``nodes``: node, own. They are told by a bitmap of fixed size."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Whole sets of (at least) the rows with the (doc_id, th) that are wanted, once each: doc_id, th, own."""
+    bits_ = _bits(FILTER_EACH * wanted.count(), FILTER_BITS)
+    slot = F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << bits_))
     bits = (
-        nodes.select(slot("node").alias("s"))
+        wanted.select(slot.alias("s"))
         .groupBy(F.floor(F.col("s") / 32768).cast("int").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.pmod("s", F.lit(32768))).alias("bits"))
-        .collect()  # 2**FILTER_BITS bits at most
+        .collect()  # 2**FILTER_BITS[1] bits at most
     )
-    table = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    table = np.zeros((1 << bits_) // 8, dtype=np.uint8)
     for r in bits:
         table[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(table)
@@ -207,18 +226,20 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             chosen = np.flatnonzero(sent.value[s >> 3] >> (s & 7).astype(np.uint8) & 1)
             some = batch.take(pa.array(chosen))
             own = [shingles(t, width, hashes).view(np.int64) for t in some.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), _lists(own)], names=["node", "own"])
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("th"), _lists(own)], names=["doc_id", "th", "own"])
 
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, "node long, own array<long>")
+    found = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "th", "text", slot.alias("slot")).mapInArrow(give_back(run), "doc_id long, th long, own array<long>")
+    return found.groupBy("doc_id", "th").agg(F.first("own").alias("own"))  # repeated rows
 
 
-def _met(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) with the whole sets of both (one, two) and the number of shingles they share."""
+def _met(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of nodes with the whole sets of both (one, two) and the number of shingles they share."""
+    places = reps.select("node", "doc_id", "th")
+    wanted = {side: materialize(pairs.select(F.col(side).alias("node")).distinct().join(places, "node"), "wanted") for side in ("b", "a")}
     for side, own in (("b", "two"), ("a", "one")):
-        sets = _sets(docs, pairs.select(F.col(side).alias("node")), width)
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("own").alias(own)), side)
-    both = pairs
-    return both.withColumn("shared", F.size(F.array_intersect("one", "two")))
+        sets = _sets(docs, wanted[side], width).withColumnRenamed("own", own)
+        pairs = pairs.join(wanted[side].withColumnRenamed("node", side), side).join(sets, ["doc_id", "th"]).drop("doc_id", "th")
+    return pairs.withColumn("shared", F.size(F.array_intersect("one", "two")))
 
 
 def _alike(num: int, den: int):
@@ -260,74 +281,171 @@ def _around_hubs(near: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     return links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def _near(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a: hub, b: node) met, those near the hub: hub, node, h (the hub's size), linked, diff (what only one of them
+    has) and its cost (see ``_around_hubs``)."""
+    lacks, extra = F.array_except("one", "two"), F.array_except("two", "one")
+    halves = met.filter(F.col("shared") * ALIKE >= F.size("one") + F.size("two"))
+    out = halves.select(
+        F.col("a").alias("hub"), F.col("b").alias("node"), F.size("one").alias("h"), _alike(num, den).alias("linked"), F.concat(lacks, extra).alias("diff"),
+        (F.size(lacks) * den + F.size(extra) * num).alias("cost"),
+    )
+    near = materialize(out, "near")
+    let_go(near.sparkSession)
+    return near
+
+
+def _with_hubs(near: DataFrame, links: DataFrame | None, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links so far with those to and around the hubs of ``near``, and the components of them."""
+    own = near.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = own if links is None else links.unionByName(own)
+    labels = _labels(links)
+    more = materialize(_around_hubs(near, labels, num, den), "links")
+    if more.isEmpty():
+        return links, labels
+    links = links.unionByName(more)
+    return links, _labels(links)
+
+
 def _labels(links: DataFrame) -> DataFrame:
-    return materialize(components(links), "components")
+    out = materialize(components(links), "components")
+    let_go(links.sparkSession)
+    return out
 
 
-def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included)."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = materialize(_profiles(docs, width, num, den), "profiles")
-    some = profiles.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = materialize(some.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "k", "common", "prefix")).alias("r")).select("f1", "f2", "r.*"), "classes")
+def _rank() -> Column:
+    """A member's rank within a list: by its common shingles, then by a hash."""
+    return F.shiftleft(F.shiftright("nk", 8).bitwiseAND(4095), 48) + F.shiftrightunsigned(F.xxhash64("node"), 16)
 
+
+def _lists_of(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, Callable, Callable]:
+    """Posting lists of two members and more: tok, node, nk, hub, hub_nk; and what tells of nk whether two sizes fit,
+    and how many shingles a member asks for."""
     least = lambda c: F.col(c).bitwiseAND(255)
     fits = lambda a, b: F.least(F.shiftright(a, 20), F.shiftright(b, 20)) * den >= F.greatest(F.shiftright(a, 20), F.shiftright(b, 20)) * num
-    # n, common and k of a member in one number; its rank within a list is by common, then by a hash.
+    # n, common and k of a member in one number.
     packed = F.shiftleft("n", 20) + F.shiftleft(F.least("common", F.lit(4095)), 8) + F.col("k")
-    rank = F.shiftleft(F.shiftright("nk", 8).bitwiseAND(4095), 48) + F.shiftrightunsigned(F.xxhash64("node"), 16)
-    postings = reps.select(F.explode("prefix").alias("tok"), F.col("doc_id").alias("node"), packed.alias("nk"))
+    rank = _rank()
+    postings = reps.select(F.explode("prefix").alias("tok"), "node", packed.alias("nk"))
     # A list's hub is the member with most common shingles, so that of a group of copies the least edited one leads.
     tops = postings.groupBy("tok").agg(F.max(rank).alias("top"), F.min(rank).alias("low")).filter("top <> low").select("tok", "top")
     listed = materialize(postings.join(tops, "tok"), "postings")
     hubs = listed.filter(rank == F.col("top")).groupBy("tok").agg(F.min(F.struct("node", "nk")).alias("h")).select("tok", F.col("h.node").alias("hub"), F.col("h.nk").alias("hub_nk"))
     shared = materialize(listed.drop("top").join(hubs, "tok"), "postings")
+    let_go(shared.sparkSession)
+    return shared, fits, least
+
+
+def _rest(shared: DataFrame, near: DataFrame, labels: DataFrame) -> DataFrame:
+    """What round two has to join: tok, node, nk, component, hubs, near.
+
+    ``hubs``: some of the hubs that a member is near, the most popular ones. Two members that are near one hub have been
+    compared around it. In each list one such hub is the most frequent; ``near`` tells who is near that one. Lists within one
+    component, and those whose members are all near one hub, are left out.
+    """
+    labelled = shared.select("tok", "node", "nk").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("tok")
+    around = near.select("hub", "node").unionByName(near.select("hub", F.col("hub").alias("node"))).distinct()
+    popular = around.groupBy("hub").agg((-F.count("*")).alias("n"))
+    own = around.join(popular, "hub").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "hub"))), 1, HUBS).alias("h")).select("node", F.transform("h", lambda x: x["hub"]).alias("hubs"))
+    rest = labelled.join(mixed, "tok").join(own, "node", "left").withColumn("hubs", F.coalesce("hubs", F.array().cast("array<long>")))
+    rest = materialize(rest, "postings")
+    often = rest.select("tok", F.explode("hubs").alias("hub")).groupBy("tok", "hub").agg(F.count("*").alias("n")).groupBy("tok").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    marked = rest.join(often, "tok", "left").withColumn("near", F.coalesce(F.array_contains("hubs", F.col("hub")), F.lit(False))).drop("hub")
+    open_ = marked.groupBy("tok").agg(F.min("near").alias("all")).filter(~F.col("all")).select("tok")
+    return materialize(marked.join(open_, "tok"), "postings")
+
+
+def _meeting(rest: DataFrame, fits: Callable, least: Callable) -> DataFrame:
+    """Pairs of members of one list, in different components and not both near a hub, that share as many shingles as they
+    must. Only members that are not near the list's hub look for partners. Lists are dealt over cells of at most about ``CELL``
+    members of either side."""
+    some = lambda c: F.greatest(F.ceil(F.count(c) / CELL), F.lit(1)).cast("int")
+    sizes = rest.groupBy("tok").agg(some(F.when(~F.col("near"), 1)).alias("ones"), some("node").alias("twos"))
+    dealt = rest.join(sizes, "tok")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = lambda i: {c: f"{c}_{i}" for c in ("node", "nk", "component", "near", "hubs", "p", "q")}
+    one = dealt.filter("NOT near").withColumn("p", part("ones")).withColumn("q", every("twos")).drop("ones", "twos").withColumnsRenamed(names(1))
+    two = dealt.withColumn("q", part("twos")).withColumn("p", every("ones")).drop("ones", "twos").withColumnsRenamed(names(2))
+    # Of two that look for partners, the one of the smaller node counts the pair.
+    fit = (F.col("near_2") | (F.col("node_1") < F.col("node_2"))) & (F.col("component_1") != F.col("component_2")) & fits("nk_1", "nk_2") & ~F.arrays_overlap("hubs_1", "hubs_2")
+    together = one.join(two, (one["tok"] == two["tok"]) & (one["p_1"] == two["p_2"]) & (one["q_1"] == two["q_2"]) & fit)
+    counted = together.groupBy(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).agg(F.count("*").alias("times"), F.min(F.least(least("nk_1"), least("nk_2"))).alias("k"))
+    return counted.filter("times >= k").select("a", "b")
+
+
+def _classified(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` (doc_id, th, n, f1, f2) and classes of equal sets (f1, f2, node, doc_id and th of the row that
+    stands for it, and the component: the smallest node that links lead to)."""
+    profiles = materialize(_profiles(docs, width, num, den), "profiles")
+    some = profiles.filter("n > 0 AND doc_id IS NOT NULL")
+    least_row = some.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th", "n", "k", "common", "prefix")).alias("r"))
+    reps = materialize(least_row.select("f1", "f2", "r.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    shared, fits, least = _lists_of(reps, num, den)
 
     # Round one: each list's members with its hub, where they share as many shingles as they must, or three.
     pairs = shared.filter((F.col("hub") != F.col("node")) & fits("hub_nk", "nk")).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("times"), F.min(F.least(least("hub_nk"), least("nk"))).alias("k"))
-    met = _met(materialize(pairs.filter("times >= least(k, 3)").select("a", "b"), "pairs"), docs, width)
-    lacks, extra = F.array_except("one", "two"), F.array_except("two", "one")
-    halves = met.filter(F.col("shared") * 3 >= F.size("one") + F.size("two"))  # at least half alike
-    near = materialize(
-        halves.select(
-            F.col("a").alias("hub"), F.col("b").alias("node"), F.size("one").alias("h"), _alike(num, den).alias("linked"), F.concat(lacks, extra).alias("diff"),
-            (F.size(lacks) * den + F.size(extra) * num).alias("cost"),
-        ), "near")
-    first = near.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    labels = _labels(first)
-    second = materialize(_around_hubs(near, labels, num, den), "links")
-    first = first.unionByName(second)
-    labels = _labels(first)
-
-    # Round two: members of different components, unless both are near the list's hub. Lists within one component are done.
-    close = near.select("hub", "node", F.lit(True).alias("near")).distinct()
-    labelled = shared.join(close, ["hub", "node"], "left").withColumn("near", F.coalesce("near", F.col("hub") == F.col("node"))).drop("hub", "hub_nk")
-    labelled = labelled.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("near").alias("all_near")).filter("lo <> hi AND NOT all_near").select("tok")
-    rest = materialize(labelled.join(mixed, "tok"), "postings")
-    one, two = (rest.withColumnsRenamed({c: f"{c}_{i}" for c in ("node", "nk", "component", "near")}) for i in (1, 2))
-    fit = (F.col("node_1") < F.col("node_2")) & (F.col("component_1") != F.col("component_2")) & ~(F.col("near_1") & F.col("near_2")) & fits("nk_1", "nk_2")
-    together = one.join(two, (one["tok"] == two["tok"]) & fit)
-    pairs = together.groupBy(F.col("node_1").alias("a"), F.col("node_2").alias("b")).agg(F.count("*").alias("times"), F.min(F.least(least("nk_1"), least("nk_2"))).alias("k")).filter("times >= k").select("a", "b")
-    second = materialize(_met(materialize(pairs, "pairs"), docs, width).filter(_alike(num, den)).select("a", "b").distinct(), "links")
-    final = _labels(first.unionByName(second))
-
-    by_class = reps.select("f1", "f2", F.col("doc_id").alias("node")).join(final, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
-    out = some.select("doc_id", "n", "f1", "f2").join(by_class, ["f1", "f2"])
-    # Rows of one doc_id are one document: what any of them links with.
-    several = out.groupBy("doc_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    joins = _labels(several.select(F.col("lo").alias("a"), F.col("hi").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    out = out.join(joins, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("joined", "component").alias("component_id"))
+    near = _near(_met(materialize(pairs.filter("times >= least(k, 3)").select("a", "b"), "pairs"), docs, reps, width), num, den)
+    links, labels = _with_hubs(near, None, num, den)
+    rest = _rest(shared, near, labels)
+    for _ in range(MORE):  # long lists of which many are near no hub get another one, of those
+        far = rest.filter("NOT near AND size(hubs) = 0")
+        long = far.groupBy("tok").agg(F.count("*").alias("n"), F.max_by("node", _rank()).alias("hub"), F.max_by("nk", _rank()).alias("hub_nk")).filter(F.col("n") >= LONG)
+        pairs = far.join(long, "tok").filter((F.col("node") != F.col("hub")) & fits("hub_nk", "nk")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        more = _near(_met(pairs, docs, reps, width), num, den)
+        links, labels = _with_hubs(more, links, num, den)
+        near = near.unionByName(more)
+        rest = _rest(shared, near, labels)
+
+    # Round two: members of one list in different components that are not near one hub.
+    pairs = materialize(_meeting(rest, fits, least), "pairs")
+    second = materialize(_met(pairs, docs, reps, width).filter(_alike(num, den)).select("a", "b").distinct(), "links")
+    final = labels if second.isEmpty() else _labels(links.unionByName(second))
+    by_class = reps.select("f1", "f2", "node", "doc_id", "th").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return profiles.drop("k", "common", "prefix"), by_class
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
+def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included)."""
+    profiles, by_class = _classified(_rows(docs), width, num, den)
+    leads = by_class.groupBy("component").agg(F.min("doc_id").alias("lead"))
+    by_class = by_class.join(leads, "component").select("f1", "f2", "lead")
+    out = profiles.filter("n > 0 AND doc_id IS NOT NULL").join(by_class, ["f1", "f2"]).select("doc_id", "n", "lead")
+    out = materialize(out, "leads")
+    # Rows of one doc_id are one document: it joins all that any of them links with.
+    several = out.groupBy("doc_id").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    links = out.join(several, "doc_id").filter("lead <> lo").select(F.col("lead").alias("a"), F.col("lo").alias("b")).distinct()
+    joins = _labels(links).select(F.col("node").alias("lead"), F.col("component").alias("joined"))
+    out = out.join(joins, "lead", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("joined", "lead").alias("component_id"))
     empty = profiles.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id; its repeated rows and rows without id stay once and all."""
-    name, drop, several = (free_name(docs.columns, n) for n in ("seen_id", "seen_drop", "seen_several"))
-    found = classes(docs, width, num, den).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(name))
-    marked = found.agg(F.max(F.col("component_id") != F.col("doc_id")).alias(drop), (F.count("*") > 1).alias(several)).filter(F.col(drop) | F.col(several))
-    kept = docs.join(marked, F.col("doc_id") == F.col(name), "left").filter(~F.coalesce(drop, F.lit(False)))
-    many = F.coalesce(several, F.lit(False))
-    return kept.filter(~many).select(docs.columns).unionByName(kept.filter(many).select(docs.columns).dropDuplicates(["doc_id"]))
+    """``docs`` with one row of each component: that with the smallest doc_id (then hash of text, then hash of the row).
+
+    Rows without doc_id, and those without words, all stay.
+    """
+    names = ("seen_id", "seen_text", "seen_lead", "seen_lead_text", "seen_times", "own_text")
+    key, th, lead, lead_th, times, own = (free_name(docs.columns, n) for n in names)
+    profiles, by_class = _classified(_rows(docs), width, num, den)
+    first = by_class.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    by_class = by_class.join(first, "component").select("f1", "f2", "first")
+    found = profiles.filter("n > 0 AND doc_id IS NOT NULL").join(by_class, ["f1", "f2"]).groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.min("first.doc_id").alias(lead), F.min("first.th").alias(lead_th), F.count("*").alias(times))
+    found = found.filter((F.col(key) != F.col(lead)) | (F.col(th) != F.col(lead_th)) | (F.col(times) > 1))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    joined = hashed.join(found, (hashed["doc_id"].cast("long") == found[key]) & (hashed[own] == found[th]), "left")
+    plain = joined.filter(F.col(key).isNull()).select(docs.columns)
+    leads = joined.filter((F.col(key) == F.col(lead)) & (F.col(th) == F.col(lead_th)))  # rows that are there several times
+    rows = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    one = leads.groupBy(key, th).agg(F.min_by(rows, F.xxhash64(rows)).alias("row")).select("row.*")
+    return plain.unionByName(one)
