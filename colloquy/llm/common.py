@@ -48,6 +48,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table that may go to all tasks at once.
+SENT_BYTES = 32 << 20
+
+
+def is_small(table: DataFrame, row_bytes: int) -> bool:
+    """Whether ``table`` (written, so that counting is cheap) may go to all tasks: its rows of ``row_bytes`` are within
+    ``SENT_BYTES``."""
+    return table.count() * row_bytes <= SENT_BYTES
+
+
+def sent_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """``table``, marked to be sent to all tasks if it is small; else as it is, and a join shuffles both sides."""
+    return F.broadcast(table) if is_small(table, row_bytes) else table
+
+
 def let_go(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs that are done: it does so once the driver has collected its garbage, which
     may be long after the many jobs of an iterative operator have filled the disks."""

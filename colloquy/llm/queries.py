@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, line_dedup, token_counts, token_store, topk, urls
+from . import bpe, chat, decontaminate, divergence, interaction, jaccard, langid, line_dedup, spotsigs, token_counts, token_store, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +119,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spotsigs.fingerprints(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -130,8 +151,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_filter_interaction": op12_filter_interaction,
+    "op13_spot_signatures": op13_spot_signatures,
 }
 
+
 def _url_sql() -> str:
     """The verdict where no rule fits: each term between characters that are no letter a-z or digit."""
     has = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
@@ -152,7 +177,72 @@ _LINES = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _interaction_sql() -> str:
+    """Every order is applied to every document, filter after filter."""
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) < doc_id AS e FROM d),
+f AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+    CASE WHEN len(w) < {interaction.MIN_WORDS} THEN 'A' ELSE '' END ||
+    CASE WHEN 100 * len(list_distinct(w)) < {interaction.MIN_DISTINCT} * len(w) THEN 'B' ELSE '' END ||
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {interaction.MAX_CAPITALS} * length(t) THEN 'C' ELSE '' END ||
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN labels USING (doc_id)),
+l(x) AS (SELECT unnest(['A', 'B', 'C', 'D', 'E'])),
+o AS (SELECT a.x || b.x || c.x || g.x || h.x AS filter_order FROM l a, l b, l c, l g, l h
+  WHERE len(list_distinct([a.x, b.x, c.x, g.x, h.x])) = 5),
+s AS (SELECT part, filter_order, step, good, toxic, fails, filter_order[step] AS letter, contains(fails, filter_order[step]) AS fail,
+    len(list_filter(string_split(fails, ''), lambda x: x <> '' AND contains(left(filter_order, step - 1), x))) > 0 AS gone
+  FROM f, o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, filter_order, step, letter, count(*) FILTER (NOT gone AND NOT fail) AS kept, count(*) FILTER (NOT gone AND fail) AS removed,
+    count(*) FILTER (gone AND fail) AS redundant, count(*) FILTER (fails = letter) AS unique_fails,
+    count(*) FILTER (NOT gone AND fail AND good) AS good_lost, count(*) FILTER (NOT gone AND fail AND toxic) AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r"""
+
+
+def _spot_sql() -> str:
+    common = ", ".join(f"'{a}'" for a in sorted(set(spotsigs.ANCHORS)))
+    chain = spotsigs.CHAIN
+    near = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))::DOUBLE END"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS follows FROM documents
+  WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, left(t, length(t) - length(t) // 4) || left(follows, length(t) // 4) AS edit FROM d),
+x AS (SELECT doc_id, 'own' AS what, t FROM e UNION ALL SELECT doc_id, 'edit', edit FROM e UNION ALL SELECT doc_id, 'next', follows FROM e),
+w AS (SELECT doc_id, what, regexp_extract_all({_LOW.format("t")}, '{_WORD}') AS w FROM x),
+p AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] IN ({common})) AS spots, list_filter(w, lambda x: x NOT IN ({common})) AS content FROM w),
+g AS (SELECT doc_id, what, w, list_sort(list_distinct(list_filter(list_transform(spots, lambda i, j: CASE WHEN i - j + {chain} <= len(content)
+    THEN w[i] || ' ' || array_to_string(content[i - j + 1:i - j + {chain}], ' ') END), lambda s: s IS NOT NULL))) AS g FROM p),
+s AS (SELECT doc_id, what, CASE WHEN len(g) > 0 THEN g WHEN len(w) > 0 THEN [' ' || array_to_string(w, ' ')] ELSE [] END AS g FROM g),
+a AS (SELECT doc_id, max(g) FILTER (what = 'own') AS g, max(g) FILTER (what = 'edit') AS ge, max(g) FILTER (what = 'next') AS gn FROM s GROUP BY 1)
+SELECT doc_id, length(t) AS n_chars, sha256(edit) AS edited_sha256, sha256(array_to_string(g, chr(10))) AS fingerprint,
+  sha256(array_to_string(ge, chr(10))) AS edited_fingerprint, {near("g", "ge")} AS near_edited, {near("g", "gn")} AS near_next
+FROM e JOIN a USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOW.format("text")} AS t FROM documents),
+t AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {divergence.MIN_DOCS}),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + ({divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + {divergence.SMOOTH}) // (coalesce(n.n, 0) + {divergence.SMOOTH} * l.v)) AS p,
+    1 + ({divergence.SCALE}::HUGEINT * (k.n + {divergence.SMOOTH}) // (l.n + {divergence.SMOOTH} * l.v)) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+m AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT * FROM s WHERE part = 'pair' OR rank <= {divergence.RANKS}""",
+    "op12_filter_interaction": _interaction_sql(),
+    "op13_spot_signatures": _spot_sql(),
     "op3_chat_format": rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
