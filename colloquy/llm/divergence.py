@@ -37,7 +37,7 @@ from .common import ascii_lower, is_small, materialize, sent_if_small
 
 MIN_DOCS, SMOOTH, SCALE, RANKS = 30, 5, 1_000_000_000, 50
 #: Sources of a block, and counts of terms in a cell, about.
-BLOCK, CELL = 64, 50_000
+BLOCK, CELL = 64, 4_000
 #: Characters that no term has.
 _OTHER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _GROUP = ("lang", "source")
@@ -119,14 +119,16 @@ def _share(n: str, total: str, terms: str) -> Column:
 
 
 def _group_table(docs: DataFrame, groups: DataFrame, kept: DataFrame) -> DataFrame:
-    """Every group: lang, source, no (of the source in its language, from 0), total, terms, base, lang_total, cells, blocks."""
+    """Every group: lang, source, no (of the source in its language, from 0), block, total, terms, base, lang_total, cells, blocks."""
     own = groups.groupBy(*_GROUP).agg(F.sum("n").alias("total"), F.count("*").alias("listed"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
     every = _rows(docs).select(*_GROUP).distinct().join(own, list(_GROUP), "left").join(langs, "lang", "left").fillna(0, ["total", "listed", "terms", "lang_total"])
     by_lang = Window.partitionBy("lang")
+    no = F.row_number().over(by_lang.orderBy("source")) - 1
     return every.select(
         *_GROUP,
-        (F.row_number().over(by_lang.orderBy("source")) - 1).alias("no"),
+        no.alias("no"),
+        F.floor(no / BLOCK).cast("int").alias("block"),
         "total",
         "terms",
         "lang_total",
@@ -144,7 +146,7 @@ def _differences(cell: pd.DataFrame) -> pd.DataFrame:
     term = found.groupby(["digest", "alt"], sort=False).ngroup().to_numpy()
     shares = np.repeat(base[:, None], term.max(initial=-1) + 1, axis=1)
     shares[np.searchsorted(no, found["no"].to_numpy()), term] = found["share"].to_numpy()
-    block = no // BLOCK
+    block = marks["block"].to_numpy()[at]
     lang, low, high = marks["lang"].iloc[0], marks["low"].iloc[0], marks["high"].iloc[0]
     ones, twos, values = [], [], []
     for i in np.flatnonzero(block == low):
@@ -153,13 +155,14 @@ def _differences(cell: pd.DataFrame) -> pd.DataFrame:
         twos.append(no[j])
         values.append((np.abs(shares[j] - shares[i]) - np.abs(base[j] - base[i])[:, None]).sum(axis=1))
     one, two, value = (np.concatenate(x).astype(np.int64) for x in (ones, twos, values))
-    return pd.DataFrame({"lang": [lang] * len(one), "one": one, "two": two, "value": value})
+    return pd.DataFrame({"lang": pd.Series([lang] * len(one), dtype=object), "one": one, "two": two, "value": value})
 
 
 def _pairs(shares: DataFrame, table: DataFrame) -> DataFrame:
     """Every two sources of a language, in both orders: lang, source, item (the other), value."""
-    blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.floor(F.col("no") / BLOCK)).cast("int").alias("low"), F.greatest(b, F.floor(F.col("no") / BLOCK)).cast("int").alias("high"))))
-    columns = ("lang", "cell", "low", "high", "no", "mark", "digest", "alt", "share")
+    both = lambda b: F.struct(F.least(b, "block").alias("low"), F.greatest(b, "block").alias("high"))
+    blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), both))
+    columns = ("lang", "cell", "low", "high", "no", "block", "mark", "digest", "alt", "share")
     listed = shares.withColumn("cell", F.pmod(F.xxhash64("digest", "alt"), F.col("cells")).cast("int")).withColumn("b", blocks).select("*", "b.*").withColumn("mark", F.lit(False))
     marks = table.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("b", blocks).select("*", "b.*")
     marks = marks.select("*", F.lit(True).alias("mark"), F.lit(0).cast("long").alias("digest"), F.lit("").alias("alt"), F.col("base").alias("share"))
