@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Folders of written tables, by the identity of the table.
+_paths: dict[int, str] = {}
 
 #: Most rows that Spark hands to a Python worker at once; it bounds the bytes itself.
 BATCH_ROWS = 2_000
@@ -45,7 +48,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
 
 
 #: Bytes of a table that may go to all tasks at once.
@@ -63,11 +69,25 @@ def sent_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if is_small(table, row_bytes) else table
 
 
-def let_go(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are done: it does so once the driver has collected its garbage, which
-    may be long after the many jobs of an iterative operator have filled the disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Empties tables that ``materialize`` wrote and nothing reads any more."""
+    for t in tables:
+        if path := _paths.pop(id(t), None):
+            t.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes a query's shuffle files when the query has ended, and not once the driver happens to collect its
+    garbage: the many small jobs of an iterative operator would fill the disks until then. What is still lazy when the
+    block ends runs as the session is set."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, give_back, let_go, materialize, small_batches
+from .common import discard, free_name, freed_shuffles, give_back, materialize, small_batches
 from .components import components
 
 #: The sketch has a counter (of a byte, once added up) for about ``SKETCH_BYTES`` bytes of text, and 2 to a power within
@@ -232,14 +232,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.groupBy("doc_id", "th").agg(F.first("own").alias("own"))  # repeated rows
 
 
-def _met(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of nodes with the whole sets of both (one, two) and the number of shingles they share."""
+def _met(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Pairs (a, b) of nodes with the whole sets of both (one, two) and the number of shingles they share; and the tables that
+    can go once these have been used."""
     places = reps.select("node", "doc_id", "th")
     wanted = {side: materialize(pairs.select(F.col(side).alias("node")).distinct().join(places, "node"), "wanted") for side in ("b", "a")}
     for side, own in (("b", "two"), ("a", "one")):
         sets = _sets(docs, wanted[side], width).withColumnRenamed("own", own)
         pairs = pairs.join(wanted[side].withColumnRenamed("node", side), side).join(sets, ["doc_id", "th"]).drop("doc_id", "th")
-    return pairs.withColumn("shared", F.size(F.array_intersect("one", "two")))
+    return pairs.withColumn("shared", F.size(F.array_intersect("one", "two"))), tuple(wanted.values())
 
 
 def _alike(num: int, den: int):
@@ -278,12 +279,15 @@ def _around_hubs(near: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     both = pairs.join(info.select("hub", F.col("node").alias("x"), "h", F.col("cost").alias("cx"), F.col("diff").alias("dx")), ["hub", "x"])
     both = both.join(info.select("hub", F.col("node").alias("y"), F.col("cost").alias("cy"), F.col("diff").alias("dy")), ["hub", "y"])
     links = both.filter(F.size(F.array_intersect("dx", "dy")) * (den + num) >= F.col("cx") + F.col("cy") - spare)
-    return links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    out = materialize(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+    discard(n)
+    return out
 
 
-def _near(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a: hub, b: node) met, those near the hub: hub, node, h (the hub's size), linked, diff (what only one of them
-    has) and its cost (see ``_around_hubs``)."""
+def _near(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Of ``pairs`` (a: hub, b: node), which can go then, those near the hub: hub, node, h (the hub's size), linked, diff (what
+    only one of them has) and its cost (see ``_around_hubs``)."""
+    met, used = _met(pairs, docs, reps, width)
     lacks, extra = F.array_except("one", "two"), F.array_except("two", "one")
     halves = met.filter(F.col("shared") * ALIKE >= F.size("one") + F.size("two"))
     out = halves.select(
@@ -291,7 +295,7 @@ def _near(met: DataFrame, num: int, den: int) -> DataFrame:
         (F.size(lacks) * den + F.size(extra) * num).alias("cost"),
     )
     near = materialize(out, "near")
-    let_go(near.sparkSession)
+    discard(pairs, *used)
     return near
 
 
@@ -300,17 +304,16 @@ def _with_hubs(near: DataFrame, links: DataFrame | None, num: int, den: int) ->
     own = near.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = own if links is None else links.unionByName(own)
     labels = _labels(links)
-    more = materialize(_around_hubs(near, labels, num, den), "links")
+    more = _around_hubs(near, labels, num, den)
     if more.isEmpty():
         return links, labels
     links = links.unionByName(more)
+    discard(labels)
     return links, _labels(links)
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    out = materialize(components(links), "components")
-    let_go(links.sparkSession)
-    return out
+    return materialize(components(links), "components")
 
 
 def _rank() -> Column:
@@ -332,7 +335,7 @@ def _lists_of(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, Callable,
     listed = materialize(postings.join(tops, "tok"), "postings")
     hubs = listed.filter(rank == F.col("top")).groupBy("tok").agg(F.min(F.struct("node", "nk")).alias("h")).select("tok", F.col("h.node").alias("hub"), F.col("h.nk").alias("hub_nk"))
     shared = materialize(listed.drop("top").join(hubs, "tok"), "postings")
-    let_go(shared.sparkSession)
+    discard(listed)
     return shared, fits, least
 
 
@@ -349,11 +352,13 @@ def _rest(shared: DataFrame, near: DataFrame, labels: DataFrame) -> DataFrame:
     popular = around.groupBy("hub").agg((-F.count("*")).alias("n"))
     own = around.join(popular, "hub").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "hub"))), 1, HUBS).alias("h")).select("node", F.transform("h", lambda x: x["hub"]).alias("hubs"))
     rest = labelled.join(mixed, "tok").join(own, "node", "left").withColumn("hubs", F.coalesce("hubs", F.array().cast("array<long>")))
-    rest = materialize(rest, "postings")
+    rest = labelled_rest = materialize(rest, "postings")
     often = rest.select("tok", F.explode("hubs").alias("hub")).groupBy("tok", "hub").agg(F.count("*").alias("n")).groupBy("tok").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
     marked = rest.join(often, "tok", "left").withColumn("near", F.coalesce(F.array_contains("hubs", F.col("hub")), F.lit(False))).drop("hub")
     open_ = marked.groupBy("tok").agg(F.min("near").alias("all")).filter(~F.col("all")).select("tok")
-    return materialize(marked.join(open_, "tok"), "postings")
+    out = materialize(marked.join(open_, "tok"), "postings")
+    discard(labelled_rest)
+    return out
 
 
 def _meeting(rest: DataFrame, fits: Callable, least: Callable) -> DataFrame:
@@ -378,7 +383,12 @@ def _meeting(rest: DataFrame, fits: Callable, least: Callable) -> DataFrame:
 def _classified(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` (doc_id, th, n, f1, f2) and classes of equal sets (f1, f2, node, doc_id and th of the row that
     stands for it, and the component: the smallest node that links lead to)."""
-    profiles = materialize(_profiles(docs, width, num, den), "profiles")
+    with freed_shuffles(docs.sparkSession):
+        profiles = materialize(_profiles(docs, width, num, den), "profiles")
+        return profiles.drop("k", "common", "prefix"), _linked(profiles, docs, width, num, den)
+
+
+def _linked(profiles: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     some = profiles.filter("n > 0 AND doc_id IS NOT NULL")
     least_row = some.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th", "n", "k", "common", "prefix")).alias("r"))
     reps = materialize(least_row.select("f1", "f2", "r.*").withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -386,7 +396,7 @@ def _classified(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFr
 
     # Round one: each list's members with its hub, where they share as many shingles as they must, or three.
     pairs = shared.filter((F.col("hub") != F.col("node")) & fits("hub_nk", "nk")).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("times"), F.min(F.least(least("hub_nk"), least("nk"))).alias("k"))
-    near = _near(_met(materialize(pairs.filter("times >= least(k, 3)").select("a", "b"), "pairs"), docs, reps, width), num, den)
+    near = _near(materialize(pairs.filter("times >= least(k, 3)").select("a", "b"), "pairs"), docs, reps, width, num, den)
     links, labels = _with_hubs(near, None, num, den)
     rest = _rest(shared, near, labels)
     for _ in range(MORE):  # long lists of which many are near no hub get another one, of those
@@ -396,17 +406,21 @@ def _classified(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFr
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             break
-        more = _near(_met(pairs, docs, reps, width), num, den)
+        more = _near(pairs, docs, reps, width, num, den)
+        discard(labels, rest)
         links, labels = _with_hubs(more, links, num, den)
         near = near.unionByName(more)
         rest = _rest(shared, near, labels)
+    discard(shared)
 
     # Round two: members of one list in different components that are not near one hub.
     pairs = materialize(_meeting(rest, fits, least), "pairs")
-    second = materialize(_met(pairs, docs, reps, width).filter(_alike(num, den)).select("a", "b").distinct(), "links")
+    met, used = _met(pairs, docs, reps, width)
+    second = materialize(met.filter(_alike(num, den)).select("a", "b").distinct(), "links")
+    discard(rest, pairs, *used)
     final = labels if second.isEmpty() else _labels(links.unionByName(second))
     by_class = reps.select("f1", "f2", "node", "doc_id", "th").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return profiles.drop("k", "common", "prefix"), by_class
+    return by_class
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -416,16 +430,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included)."""
-    profiles, by_class = _classified(_rows(docs), width, num, den)
-    leads = by_class.groupBy("component").agg(F.min("doc_id").alias("lead"))
-    by_class = by_class.join(leads, "component").select("f1", "f2", "lead")
-    out = profiles.filter("n > 0 AND doc_id IS NOT NULL").join(by_class, ["f1", "f2"]).select("doc_id", "n", "lead")
-    out = materialize(out, "leads")
-    # Rows of one doc_id are one document: it joins all that any of them links with.
-    several = out.groupBy("doc_id").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
-    links = out.join(several, "doc_id").filter("lead <> lo").select(F.col("lead").alias("a"), F.col("lo").alias("b")).distinct()
-    joins = _labels(links).select(F.col("node").alias("lead"), F.col("component").alias("joined"))
-    out = out.join(joins, "lead", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("joined", "lead").alias("component_id"))
+    with freed_shuffles(docs.sparkSession):
+        profiles, by_class = _classified(_rows(docs), width, num, den)
+        leads = by_class.groupBy("component").agg(F.min("doc_id").alias("lead"))
+        by_class = by_class.join(leads, "component").select("f1", "f2", "lead")
+        out = profiles.filter("n > 0 AND doc_id IS NOT NULL").join(by_class, ["f1", "f2"]).select("doc_id", "n", "lead")
+        out = materialize(out, "leads")
+        # Rows of one doc_id are one document: it joins all that any of them links with.
+        several = out.groupBy("doc_id").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+        links = out.join(several, "doc_id").filter("lead <> lo").select(F.col("lead").alias("a"), F.col("lo").alias("b")).distinct()
+        joins = _labels(links).select(F.col("node").alias("lead"), F.col("component").alias("joined"))
+        out = out.join(joins, "lead", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("joined", "lead").alias("component_id"))
     empty = profiles.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
 
