@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import intervals as iv
+from . import slices as sl
 from .transcript import approximate_words
 
 UNKNOWN = "Unknown"
@@ -93,10 +94,14 @@ def align_words(timed: DataFrame, untimed: DataFrame, turns: DataFrame, max_gap_
 _ORDER = ["start_ms", "end_ms", "speaker", "word"]
 
 
-def group_by_speaker(words: DataFrame) -> DataFrame:
+def group_by_speaker(words: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Numbers runs of words of one speaker, in order of time."""
-    last = F.lag("speaker").over(Window.partitionBy("meeting_id").orderBy(*_ORDER))
-    return iv.islands(words.withColumn("_new", last.isNull() | (last != F.col("speaker"))), ["meeting_id"], _ORDER, F.col("_new"), "group").drop("_new")
+    keys, new = ["meeting_id"], F.col("_last").isNull() | (F.col("_last") != F.col("speaker"))
+    if slice_ms is None:
+        last = F.lag("speaker").over(Window.partitionBy(*keys).orderBy(*_ORDER))
+        return iv.islands(words.withColumn("_last", last), keys, _ORDER, new, "group").drop("_last")
+    before = sl.Scan(keys, _ORDER).last_before("_last", F.col("speaker")).over(sl.cut(words, keys, "start_ms", slice_ms))
+    return sl.Scan(keys, _ORDER).sum_upto("group", F.when(new, 1).otherwise(0)).over(before).drop("_last", sl.SLICE)
 
 
 def _joined(s: np.ndarray, e: np.ndarray, n: np.ndarray, starts: np.ndarray, min_words: int, gap_ms: int) -> np.ndarray:

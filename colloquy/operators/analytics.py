@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import intervals as iv
+from . import slices as sl
 from .language import language_summary
 
 UNKNOWN = "Unknown"
@@ -17,11 +18,16 @@ def speaking_time(turns: DataFrame) -> DataFrame:
     return own.groupBy("meeting_id", "speaker_label").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speaking_ms"), F.min("start_ms").alias("first_spoke_ms"), F.max("end_ms").alias("last_spoke_ms"))
 
 
-def floor_runs(turns: DataFrame) -> DataFrame:
+def floor_runs(turns: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Consecutive turns of one speaker as one run that ends with the latest of them."""
-    order = ["start_ms", "speaker_label", "end_ms", "turn_id"]
-    last = F.lag("speaker_label").over(Window.partitionBy("meeting_id").orderBy(*order))
-    numbered = iv.islands(turns.withColumn("_begins", last.isNull() | (last != F.col("speaker_label"))), ["meeting_id"], order, F.col("_begins"), "run")
+    keys, order = ["meeting_id"], ["start_ms", "speaker_label", "end_ms", "turn_id"]
+    begins = F.col("_last").isNull() | (F.col("_last") != F.col("speaker_label"))
+    if slice_ms is None:
+        last = F.lag("speaker_label").over(Window.partitionBy(*keys).orderBy(*order))
+        numbered = iv.islands(turns.withColumn("_last", last), keys, order, begins, "run")
+    else:
+        before = sl.Scan(keys, order).last_before("_last", F.col("speaker_label")).over(sl.cut(turns, keys, "start_ms", slice_ms))
+        numbered = sl.Scan(keys, order).sum_upto("run", F.when(begins, 1).otherwise(0)).over(before)
     return numbered.groupBy("meeting_id", "run").agg(F.first("speaker_label").alias("speaker_label"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 
 
@@ -268,9 +274,9 @@ def metric_definitions(spark: SparkSession) -> DataFrame:
 
 
 def analytics_context(meetings: DataFrame, stats: DataFrame) -> DataFrame:
-    """A compact text per meeting."""
-    line = F.format_string("%s: %.0fs (%.0f%% of speech), %d words, %d questions", F.col("speaker_label"), F.col("speaking_ms") / 1000, 100 * F.col("share_of_speech"), F.col("word_count"), F.col("questions_asked"))
+    """A compact text per meeting; seconds and percentages are rounded half to even."""
+    line = F.format_string("%s: %.0fs (%.0f%% of speech), %d words, %d questions", F.col("speaker_label"), F.bround(F.col("speaking_ms") / 1000), F.bround(100 * F.col("share_of_speech")), F.col("word_count"), F.col("questions_asked"))
     lines = stats.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct((-centiseconds(F.col("speaking_ms"))).alias("c"), "speaker_label", line.alias("line")))).alias("lines"))
-    head = F.format_string("duration %.0fs, %d speakers, balance: %s, dominant speaker: %s", F.col("duration_ms") / 1000, F.col("num_speakers"), F.col("balance"), F.coalesce("dominant_speaker", F.lit("-")))
+    head = F.format_string("duration %.0fs, %d speakers, balance: %s, dominant speaker: %s", F.bround(F.col("duration_ms") / 1000), F.col("num_speakers"), F.col("balance"), F.coalesce("dominant_speaker", F.lit("-")))
     joined = meetings.join(lines, "meeting_id", "left")
     return joined.select("meeting_id", F.concat_ws("\n", head, F.transform(F.coalesce("lines", F.array()), lambda x: x["line"])).alias("context"))

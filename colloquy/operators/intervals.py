@@ -1,4 +1,8 @@
-"""Interval algebra. Times are whole milliseconds, spans half open; everything is keyed, and windows are per key."""
+"""Interval algebra. Times are whole milliseconds, spans half open; everything is keyed, and windows are per key.
+
+Functions with ``slice_ms`` scan a key in one task where it is None; with a length, in time slices (``slices``), for keys of
+very many spans. Results are the same.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import slices as sl
+
 Keys = Sequence[str]
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
@@ -22,14 +28,22 @@ def reach(keys: Keys, order: Sequence[str], end: str = "end_ms") -> Column:
     return F.max(end).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_BEFORE))
 
 
-def merge_intervals(df: DataFrame, keys: Keys, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """The union of each key's spans; empty ones are dropped and touching ones merge."""
-    some = df.filter(F.col(end) > F.col(start)).select(*keys, start, end)
-    flagged = some.withColumn("_reach", reach(keys, [start, end], end))
-    numbered = islands(flagged, keys, [start, end], F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), "_island")
+def _united(spans: DataFrame, keys: Keys, gap_ms: int, start: str, end: str, slice_ms: int | None) -> DataFrame:
+    """Spans of a key as one while each begins less than ``gap_ms`` after what came before."""
+    order, late = [start, end], F.col("_reach").isNull() | (F.col(start) - F.col("_reach") >= gap_ms)
+    if slice_ms is None:
+        numbered = islands(spans.withColumn("_reach", reach(keys, order, end)), keys, order, late, "_island")
+    else:
+        reached = sl.Scan(keys, order).max_before("_reach", F.col(end)).over(sl.cut(spans, keys, start, slice_ms))
+        numbered = sl.Scan(keys, order).sum_upto("_island", F.when(late, 1).otherwise(0)).over(reached)
     return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
+def merge_intervals(df: DataFrame, keys: Keys, start: str = "start_ms", end: str = "end_ms", slice_ms: int | None = None) -> DataFrame:
+    """The union of each key's spans; empty ones are dropped and touching ones merge."""
+    return _united(df.filter(F.col(end) > F.col(start)).select(*keys, start, end), keys, 1, start, end, slice_ms)
+
+
 def total_length(df: DataFrame, keys: Keys, start: str = "start_ms", end: str = "end_ms", name: str = "total_ms") -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias(name))
 
@@ -59,57 +73,71 @@ def intersect_intervals(a: DataFrame, b: DataFrame, keys: Keys, width: int = 60_
     return pairs.select(*keys, F.greatest("start_ms", "b_start_ms").alias("start_ms"), F.least("end_ms", "b_end_ms").alias("end_ms"))
 
 
-def speaker_intervals(turns: DataFrame) -> DataFrame:
-    return merge_intervals(turns, ["meeting_id", "speaker_label"])
+def speaker_intervals(turns: DataFrame, slice_ms: int | None = None) -> DataFrame:
+    return merge_intervals(turns, ["meeting_id", "speaker_label"], slice_ms=slice_ms)
 
 
-def sweep(spans: DataFrame) -> DataFrame:
+def sweep(spans: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Elementary segments of each meeting's merged speaker spans: start_ms, end_ms, active (speakers), id_sum.
 
     Where one speaker is active, id_sum is that speaker's number (``speaker_no``, by label)."""
-    numbered = spans.withColumn("speaker_no", F.dense_rank().over(Window.partitionBy("meeting_id").orderBy("speaker_label")))
+    by_label = Window.partitionBy("meeting_id").orderBy("speaker_label")
+    if slice_ms is None:
+        numbered = spans.withColumn("speaker_no", F.dense_rank().over(by_label))
+    else:
+        numbered = spans.join(spans.select("meeting_id", "speaker_label").distinct().withColumn("speaker_no", F.row_number().over(by_label)), ["meeting_id", "speaker_label"])
     edges = numbered.select("meeting_id", F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d")))).alias("e"), "speaker_no")
     steps = edges.groupBy("meeting_id", F.col("e.t").alias("start_ms")).agg(F.sum("e.d").alias("d"), F.sum(F.col("e.d") * F.col("speaker_no")).alias("i"))
     w = Window.partitionBy("meeting_id").orderBy("start_ms")
     run = w.rowsBetween(*_UPTO)
-    out = steps.select("meeting_id", "start_ms", F.lead("start_ms").over(w).alias("end_ms"), F.sum("d").over(run).alias("active"), F.sum("i").over(run).alias("id_sum"))
+    if slice_ms is None:
+        out = steps.select("meeting_id", "start_ms", F.lead("start_ms").over(w).alias("end_ms"), F.sum("d").over(run).alias("active"), F.sum("i").over(run).alias("id_sum"))
+    else:
+        scan = sl.Scan(["meeting_id"], ["start_ms"]).next_after("end_ms", F.col("start_ms")).sum_upto("active", F.col("d")).sum_upto("id_sum", F.col("i"))
+        out = scan.over(sl.cut(steps, ["meeting_id"], "start_ms", slice_ms)).select("meeting_id", "start_ms", "end_ms", "active", "id_sum")
     return out.filter(F.col("end_ms").isNotNull() & (F.col("active") > 0))
 
 
-def overlap_by_speaker(turns: DataFrame) -> DataFrame:
+def overlap_by_speaker(turns: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Per speaker: speaking_ms, solo_ms, overlap_ms (time while others speak too)."""
-    own = speaker_intervals(turns)
+    own = speaker_intervals(turns, slice_ms)
     total = own.groupBy("meeting_id", "speaker_label").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speaking_ms"))
     total = total.withColumn("speaker_no", F.dense_rank().over(Window.partitionBy("meeting_id").orderBy("speaker_label")))
-    solo = sweep(own).filter("active = 1").groupBy("meeting_id", F.col("id_sum").alias("speaker_no")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("solo_ms"))
+    solo = sweep(own, slice_ms).filter("active = 1").groupBy("meeting_id", F.col("id_sum").alias("speaker_no")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("solo_ms"))
     out = total.join(solo, ["meeting_id", "speaker_no"], "left").withColumn("solo_ms", F.coalesce("solo_ms", F.lit(0)))
     return out.select("meeting_id", "speaker_label", "speaking_ms", "solo_ms", (F.col("speaking_ms") - F.col("solo_ms")).alias("overlap_ms"))
 
 
-def find_overlap_regions(turns: DataFrame, width: int = 60_000) -> DataFrame:
+def find_overlap_regions(turns: DataFrame, width: int = 60_000, slice_ms: int | None = None) -> DataFrame:
     """Spans in which two or more speak, with their sorted labels; touching spans of one set merge."""
-    own = speaker_intervals(turns)
-    double = sweep(own).filter("active > 1").select("meeting_id", "start_ms", "end_ms")
+    own = speaker_intervals(turns, slice_ms)
+    double = sweep(own, slice_ms).filter("active > 1").select("meeting_id", "start_ms", "end_ms")
     who = own.select("meeting_id", "speaker_label", F.col("start_ms").alias("b_start_ms"), F.col("end_ms").alias("b_end_ms"))
     sets = interval_join(double, who, ["meeting_id"], width).groupBy("meeting_id", "start_ms", "end_ms").agg(F.array_sort(F.collect_set("speaker_label")).alias("speakers"))
-    w = Window.partitionBy("meeting_id").orderBy("start_ms")
-    begins = F.lag("end_ms").over(w).isNull() | (F.lag("end_ms").over(w) != F.col("start_ms")) | (F.lag("speakers").over(w) != F.col("speakers"))
-    numbered = islands(sets.withColumn("_begins", begins), ["meeting_id"], ["start_ms"], F.col("_begins"), "_island")
+    keys, order = ["meeting_id"], ["start_ms"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    begins = F.col("_end").isNull() | (F.col("_end") != F.col("start_ms")) | (F.col("_speakers") != F.col("speakers"))
+    if slice_ms is None:
+        numbered = islands(sets.withColumn("_end", F.lag("end_ms").over(w)).withColumn("_speakers", F.lag("speakers").over(w)), keys, order, begins, "_island")
+    else:
+        before = sl.Scan(keys, order).last_before("_end", F.col("end_ms")).last_before("_speakers", F.col("speakers")).over(sl.cut(sets, keys, "start_ms", slice_ms))
+        numbered = sl.Scan(keys, order).sum_upto("_island", F.when(begins, 1).otherwise(0)).over(before)
     return numbered.groupBy("meeting_id", "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("speakers").alias("speakers")).drop("_island")
 
 
-def clip_non_overlapping(df: DataFrame, keys: Keys, order: Sequence[str]) -> DataFrame:
-    """Each span starts no earlier than the end of those before it; what is left of nothing is dropped."""
-    cursor = reach(keys, order)
-    return df.withColumn("_cursor", cursor).withColumn("start_ms", F.greatest("start_ms", F.coalesce("_cursor", F.col("start_ms")))).filter("end_ms > start_ms").drop("_cursor")
+def clip_non_overlapping(df: DataFrame, keys: Keys, order: Sequence[str], slice_ms: int | None = None) -> DataFrame:
+    """Each span starts no earlier than the end of those before it; what is left of nothing is dropped. ``order`` begins with
+    start_ms."""
+    if slice_ms is None:
+        reached = df.withColumn("_cursor", reach(keys, order))
+    else:
+        reached = sl.Scan(keys, order).max_before("_cursor", F.col("end_ms")).over(sl.cut(df, keys, "start_ms", slice_ms)).drop(sl.SLICE)
+    return reached.withColumn("start_ms", F.greatest("start_ms", F.coalesce("_cursor", F.col("start_ms")))).filter("end_ms > start_ms").drop("_cursor")
 
 
-def gap_merge(df: DataFrame, keys: Keys, max_gap_ms: int) -> DataFrame:
+def gap_merge(df: DataFrame, keys: Keys, max_gap_ms: int, slice_ms: int | None = None) -> DataFrame:
     """Merges spans of a key whose gap to what came before is below ``max_gap_ms``."""
-    order = ["start_ms", "end_ms"]
-    flagged = df.select(*keys, "start_ms", "end_ms").withColumn("_reach", reach(keys, order))
-    numbered = islands(flagged, keys, order, F.col("_reach").isNull() | (F.col("start_ms") - F.col("_reach") >= max_gap_ms), "_island")
-    return numbered.groupBy(*keys, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
+    return _united(df.select(*keys, "start_ms", "end_ms"), keys, max_gap_ms, "start_ms", "end_ms", slice_ms)
 
 
 def plan_chunks(df: DataFrame, length_ms: int, overlap_ms: int, duration: str = "duration_ms") -> DataFrame:

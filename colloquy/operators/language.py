@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals as iv
+from . import slices as sl
 
 
 def restrict_scores(scores: Column, allowed: list[str]) -> Column:
@@ -97,16 +98,25 @@ def resolve_uncertain(windows: DataFrame, fallback: str = "en", width: int = 60_
     return out.withColumn("language", F.when(F.col("_sure"), F.col("language")).otherwise(found)).withColumn("uncertain", F.lit(False)).drop("_sure", "_before", "_after", "_over", "_top")
 
 
-def merge_adjacent(windows: DataFrame, gap_ms: int = 500) -> DataFrame:
+def merge_adjacent(windows: DataFrame, gap_ms: int = 500, slice_ms: int | None = None) -> DataFrame:
     """Neighbours in order of time with equal speaker and language, no further apart than ``gap_ms``, become one.
 
     The confidence is a running mean in which the merged span so far, gaps included, has its length as weight.
     """
-    w = Window.partitionBy("meeting_id").orderBy("start_ms", "end_ms", "seq")
-    same = F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) & (F.lag("language").over(w) == F.col("language")) & F.lag("seq").over(w).isNotNull()
-    runs = iv.islands(windows.withColumn("_new", ~F.coalesce(same, F.lit(False))), ["meeting_id"], ["start_ms", "end_ms", "seq"], F.col("_new"), "_run")
-    far = runs.withColumn("_reach", iv.reach(["meeting_id", "_run"], ["start_ms", "end_ms", "seq"]))
-    numbered = iv.islands(far, ["meeting_id", "_run"], ["start_ms", "end_ms", "seq"], F.col("_reach").isNull() | (F.col("start_ms") - F.col("_reach") > gap_ms), "_island")
+    keys, order = ["meeting_id"], ["start_ms", "end_ms", "seq"]
+    here = F.struct("speaker", "language")
+    new = F.col("_prior").isNull() | ~F.col("_prior.speaker").eqNullSafe(F.col("speaker")) | ~F.coalesce(F.col("_prior.language") == F.col("language"), F.lit(False))
+    late = F.col("_reach").isNull() | (F.col("start_ms") - F.col("_reach") > gap_ms)
+    if slice_ms is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        runs = iv.islands(windows.withColumn("_prior", F.lag(here).over(w)), keys, order, new, "_run")
+        far = runs.withColumn("_reach", iv.reach([*keys, "_run"], order))
+        numbered = iv.islands(far, [*keys, "_run"], order, late, "_island")
+    else:
+        prior = sl.Scan(keys, order).last_before("_prior", here).over(sl.cut(windows, keys, "start_ms", slice_ms))
+        runs = sl.Scan(keys, order).sum_upto("_run", F.when(new, 1).otherwise(0)).over(prior)
+        far = sl.Scan([*keys, "_run"], order).max_before("_reach", F.col("end_ms")).over(runs)
+        numbered = sl.Scan([*keys, "_run"], order).sum_upto("_island", F.when(late, 1).otherwise(0)).over(far)
     parts = numbered.groupBy("meeting_id", "_run", "_island").agg(
         F.first("speaker").alias("speaker"), F.first("language").alias("language"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "seq", "confidence"))).alias("parts"),

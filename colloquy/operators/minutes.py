@@ -136,23 +136,35 @@ def dedupe_items(items: DataFrame, same: float = 85.0, close: float = 70.0) -> D
 def merge_items(items: DataFrame, groups: DataFrame) -> DataFrame:
     """One item for each of ``groups`` (see ``dedupe_items``), in its first one's words, with what the others add.
 
-    ``evidence``: the distinct lists of utterances in order; the first due date, rationale and owner that are given, the
-    highest confidence and priority, and the speakers in order. Columns that ``items`` lacks are left out.
+    ``evidence`` has the distinct lists of utterances of all, in order. The rest depends on the kind: decisions take the highest
+    confidence and the first rationale that is given; actions the highest priority, the first due date and the first owner
+    that are given; key points (``speakers_involved``) the speakers of all, in order, each once. Anything else is the
+    first item's own. Columns that ``items`` lacks are left out.
     """
     at = F.struct(F.coalesce(F.array_min("utterance_ids"), F.lit(0)).alias("first"), F.col("idx").cast("long").alias("idx"))
     rows = items.join(groups, ["meeting_id", "kind", "idx"]).withColumn("_at", at)
-    has = lambda c: c in items.columns
-    first = lambda c, ok: F.min(F.when(ok, F.struct("_at", c)))[c].alias(c)
-    rank = lambda c: F.array_position(F.array(*map(F.lit, _RANKS)), F.col(c))
+    first = lambda c, ok: F.min(F.when(ok, F.struct("_at", c)))[c]
+    own = lambda c: first(c, F.col("idx") == F.col("kept"))
     given = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-    aggs = [F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_at", "utterance_ids"))), lambda x: x["utterance_ids"])).alias("evidence"), F.count("*").alias("n_merged")]
-    aggs += [first(c, F.col("idx") == F.col("kept")) for c in ("text", "topic") if has(c)]
-    aggs += [first(c, given(c)) for c in ("due", "rationale") if has(c)]
-    aggs += [F.element_at(F.array(*map(F.lit, _RANKS)), F.max(rank(c)).cast("int")).alias(c) for c in ("confidence", "priority") if has(c)]
-    if has("owner"):
-        aggs.append(F.coalesce(first("owner", F.col("owner") != UNASSIGNED), F.lit(UNASSIGNED)).alias("owner"))
-    if has("speaker"):
-        aggs.append(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_at", "speaker"))), lambda x: x["speaker"])).alias("speakers_involved"))
+    ranks = F.array(*map(F.lit, _RANKS))
+    highest = lambda c: F.get(ranks, F.max(F.array_position(ranks, F.col(c))).cast("int") - 1)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_at", c))), lambda x: x[c])
+    merged = {
+        "text": (None, None),
+        "topic": (None, None),
+        "confidence": ("decision", lambda: highest("confidence")),
+        "rationale": ("decision", lambda: first("rationale", given("rationale"))),
+        "priority": ("action_item", lambda: highest("priority")),
+        "due": ("action_item", lambda: first("due", given("due"))),
+        "owner": ("action_item", lambda: first("owner", F.col("owner") != UNASSIGNED)),
+    }
+    aggs = [F.array_distinct(listed("utterance_ids")).alias("evidence"), F.count("*").alias("n_merged")]
+    for c, (kind, of_all) in merged.items():
+        if c in items.columns:
+            value = F.when(F.col("kind") == kind, F.coalesce(of_all(), own(c))).otherwise(own(c)) if kind else own(c)
+            aggs.append((F.coalesce(value, F.lit(UNASSIGNED)) if c == "owner" else value).alias(c))
+    if "speaker" in items.columns:
+        aggs.append(F.when(F.col("kind") == "key_point", F.array_distinct(listed("speaker"))).otherwise(F.array_compact(F.array(own("speaker")))).alias("speakers_involved"))
     return rows.groupBy("meeting_id", "kind", F.col("kept").alias("idx")).agg(*aggs)
 
 

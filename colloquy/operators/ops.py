@@ -90,3 +90,59 @@ def latency_report(requests: DataFrame, name: str, value: str, failed: Column, a
         .withColumn(name, F.when(F.col("_g") == 1, "Aggregated").otherwise(F.col(name)))
         .drop("_g")
     )
+
+
+#: Bounds of the real-time factor's buckets.
+FACTORS = (0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 1, 2, 5)
+
+
+def factor_histogram(stages: DataFrame, runs: DataFrame) -> DataFrame:
+    """Stages (run_id, stage_name, duration_ms) by the time that they took over that of their run's audio (run_id, audio_ms), in
+    buckets; runs without audio are left out."""
+    known = stages.join(runs.filter("audio_ms > 0").select("run_id", "audio_ms"), "run_id")
+    return histogram(known, ["stage_name"], F.col("duration_ms") / F.col("audio_ms"), list(FACTORS))
+
+
+def run_measures(runs: DataFrame, calls: DataFrame) -> DataFrame:
+    """Totals as measure, label and value: runs by status, minutes of audio of runs (status, audio_ms) that completed, tokens by
+    kind of model calls (kind, tokens, cost), and their cost."""
+    row = lambda df, name, label, value: df.select(F.lit(name).alias("measure"), label.alias("label"), value.cast("double").alias("value"))
+    done = runs.filter(F.col("status").startswith("completed"))
+    parts = [
+        row(runs.groupBy("status").count(), "runs", F.col("status"), F.col("count")),
+        row(done.agg(F.coalesce(F.sum("audio_ms"), F.lit(0)).alias("ms")), "audio_minutes", F.lit("completed"), F.col("ms") / 60_000),
+        row(calls.groupBy("kind").agg(F.sum("tokens").alias("n")), "tokens", F.col("kind"), F.col("n")),
+        row(calls.agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("c")), "cost", F.lit("all"), F.col("c")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# -- sketches that merge -----------------------------------------------------------------
+
+#: Sizes of the quantile and distinct sketches. A quantile's rank is off by at most ``RANK_ERROR`` (with 99 % confidence), a
+#: distinct count by about ``COUNT_ERROR`` (one standard error), however often sketches were merged.
+QUANTILE_K, COUNT_LOG_K = 400, 12
+RANK_ERROR, COUNT_ERROR = 2.296 / QUANTILE_K**0.9723, 1.04 / 2 ** (COUNT_LOG_K / 2)
+
+
+def window_sketches(events: DataFrame, keys: list[str], value: str, distinct: str, at: str = "at_ms", width_ms: int = 300_000) -> DataFrame:
+    """Per key and window of ``width_ms``: start_ms, n, least, most, and sketches of the values (q) and of the distinct ones (d)
+    of another column. A window is a row of some kilobytes, however many events it has; to be stored once and merged."""
+    start = (F.floor(F.col(at) / width_ms) * width_ms).alias("start_ms")
+    x = F.col(value).cast("double")
+    return events.groupBy(*keys, start).agg(F.count("*").alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.kll_sketch_agg_double(x, F.lit(QUANTILE_K)).alias("q"), F.hll_sketch_agg(distinct, F.lit(COUNT_LOG_K)).alias("d"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str], width_ms: int | None = None) -> DataFrame:
+    """Sketches of wider windows, or of all time, and of fewer keys."""
+    by = [*keys] if width_ms is None else [*keys, (F.floor(F.col("start_ms") / width_ms) * width_ms).alias("start_ms")]
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("q").alias("q"), F.hll_union_agg("d").alias("d"))
+
+
+def sketch_estimates(sketches: DataFrame, points: dict[str, float]) -> DataFrame:
+    """What sketches tell: quantiles by name, and n_distinct; instead of the sketches."""
+    quantiles = [F.kll_sketch_get_quantile_double("q", F.lit(float(p))).alias(name) for name, p in points.items()]
+    return sketches.select(*(c for c in sketches.columns if c not in ("q", "d")), *quantiles, F.hll_sketch_estimate("d").alias("n_distinct"))

@@ -113,33 +113,6 @@ def search(index: DataFrame, q: str, limit: int = 20, meeting_id=None) -> DataFr
     return found.orderBy(F.desc("score"), F.asc_nulls_first("start_ms"), "meeting_id", "ref").limit(limit)
 
 
-def trigram_table(index: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """Each row's distinct trigrams, to be written once and looked up by equality; only those ``wanted``, if given."""
-    low = F.lower("text")
-    if wanted is not None:
-        grams = F.array_compact(F.array(*[F.when(low.contains(g), g) for g in wanted]))
-    else:
-        starts = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
-        grams = F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(3))))
-    return index.select("meeting_id", "ref", F.explode(grams).alias("gram"))
-
-
-def trigrams_of(q: str) -> list[str]:
-    low = q.lower()
-    return sorted({low[i : i + 3] for i in range(len(low) - 2)})
-
-
-def search_by_trigrams(index: DataFrame, grams: DataFrame, q: str) -> DataFrame:
-    """Rows that hold ``q``: those with all of its trigrams in the written table ``grams``, verified; queries of fewer than
-    three characters are looked for in all rows. Without a written table ``search`` or a plain ``contains`` is cheaper."""
-    wanted = trigrams_of(q)
-    found = index.filter(F.lower("text").contains(q.lower()))
-    if not wanted:
-        return found
-    some = grams.filter(F.col("gram").isin(*wanted)).groupBy("meeting_id", "ref").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(wanted)).drop("n")
-    return found.join(some, ["meeting_id", "ref"])
-
-
 def clean_name(name: Column) -> Column:
     kept = F.substring(tx.strip(name), 1, 100)
     return F.when(kept != "", kept)

@@ -122,3 +122,22 @@ def finalize_transcript(segments: DataFrame, threshold: float = 0.5) -> DataFram
     clean = segments.withColumn("text", tx.normalize(F.col("text")))
     kept = filter_hallucinations(clean).filter("dropped IS NULL").drop("dropped")
     return renumber(tag_segments(flag_low_confidence(kept, threshold), ["meeting_id", "id"]))
+
+
+def transcript_report(segments: DataFrame, final: DataFrame) -> DataFrame:
+    """Per meeting of ``segments``: what became of them in ``final`` (see ``finalize_transcript``): n_segments, n_dropped,
+    n_low_confidence, n_code_mixed, and the time of each language (as recognised, not as tagged), longest first."""
+    before = segments.groupBy("meeting_id").agg(F.count("*").alias("n_all"))
+    counts = final.groupBy("meeting_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("low_confidence"), 1)).alias("low"), F.count(F.when(F.col("is_code_mixed"), 1)).alias("mixed"))
+    langs = language_durations(final).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("rank", "language", "ms"))).alias("l"))
+    out = before.join(counts, "meeting_id", "left").join(langs, "meeting_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    none = F.array().cast("array<struct<language:string,ms:bigint>>")
+    return out.select(
+        "meeting_id",
+        zero("n").alias("n_segments"),
+        (F.col("n_all") - zero("n")).alias("n_dropped"),
+        zero("low").alias("n_low_confidence"),
+        zero("mixed").alias("n_code_mixed"),
+        F.coalesce(F.transform("l", lambda x: F.struct(x["language"].alias("language"), x["ms"].cast("long").alias("ms"))), none).alias("detected_languages"),
+    )

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400_000
+#: Users whose events of a day are one meeting, so that meetings grow in number with the table; a meeting's clock runs faster by
+#: ``PACE``, so that its turns overlap.
+USERS, PACE = 15, 32
 #: Documents of a source by id that make one meeting, so that meetings grow in number with the table and not in size.
 BLOCK = 500
 
@@ -23,11 +26,30 @@ def epoch_ms(ts: Column | str) -> Column:
     return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(ts) if isinstance(ts, str) else ts)
 
 
+def meeting_of_event() -> Column:
+    return (F.floor(epoch_ms("ts") / DAY) * 1_000_000 + F.floor(F.col("user_id") / USERS)).cast("long")
+
+
+def meeting_clock() -> Column:
+    return F.floor(epoch_ms("ts") % DAY / PACE).cast("long")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = epoch_ms("ts")
-    start = ms % DAY
+    start = meeting_clock()
     return table(spark, sf_dir, "events").select(
-        F.floor(ms / DAY).cast("long").alias("meeting_id"),
+        meeting_of_event().alias("meeting_id"),
+        F.col("event_id").alias("turn_id"),
+        F.concat(F.lit("Person "), (F.col("user_id") % 5 + 1).cast("string")).alias("speaker_label"),
+        start.alias("start_ms"),
+        (start + F.floor(F.col("value") * 2000 + 0.5)).cast("long").alias("end_ms"),
+    )
+
+
+def one_meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as turns of one meeting of months, whose clock runs as fast as that of ``turns``."""
+    start = F.floor(epoch_ms("ts") / PACE).cast("long")
+    return table(spark, sf_dir, "events").select(
+        F.lit(0).cast("long").alias("meeting_id"),
         F.col("event_id").alias("turn_id"),
         F.concat(F.lit("Person "), (F.col("user_id") % 5 + 1).cast("string")).alias("speaker_label"),
         start.alias("start_ms"),
@@ -122,9 +144,14 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+EVENT_MEETING = f"((epoch_us(ts) // 1000) // {DAY} * 1000000 + user_id // {USERS})"
+EVENT_CLOCK = f"((epoch_us(ts) // 1000) % {DAY} // {PACE})"
+
 SQL = {
-    "turns": f"""turns AS (SELECT (epoch_us(ts) // 1000) // {DAY} AS meeting_id, event_id AS turn_id, 'Person ' || (user_id % 5 + 1) AS speaker_label,
-  (epoch_us(ts) // 1000) % {DAY} AS start_ms, (epoch_us(ts) // 1000) % {DAY} + floor(value * 2000 + 0.5)::BIGINT AS end_ms FROM events)""",
+    "turns": f"""turns AS (SELECT {EVENT_MEETING} AS meeting_id, event_id AS turn_id, 'Person ' || (user_id % 5 + 1) AS speaker_label,
+  {EVENT_CLOCK} AS start_ms, {EVENT_CLOCK} + floor(value * 2000 + 0.5)::BIGINT AS end_ms FROM events)""",
+    "one_meeting": f"""turns AS (SELECT 0::BIGINT AS meeting_id, event_id AS turn_id, 'Person ' || (user_id % 5 + 1) AS speaker_label,
+  epoch_us(ts) // 1000 // {PACE} AS start_ms, epoch_us(ts) // 1000 // {PACE} + floor(value * 2000 + 0.5)::BIGINT AS end_ms FROM events)""",
     "utterances": r"""utterances AS (SELECT conv_id AS meeting_id, turn::BIGINT AS utterance_index, role AS speaker, s AS start_ms, s + 60 * length(t) AS end_ms, t AS text,
   len(list_filter(regexp_split_to_array(trim(t), '\s+'), lambda x: x <> ''))::BIGINT AS n_words,
   CASE WHEN length(t) % 3 = 0 THEN 'hi' WHEN length(t) % 7 = 0 THEN 'or' ELSE 'en' END AS primary_language

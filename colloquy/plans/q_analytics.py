@@ -93,13 +93,17 @@ def _talk(spark, d):
 
 
 def _both(spark, d):
-    """Day-long meetings: turns from events, no words."""
+    """Meetings of the events' turns, with what the events say: their type once or more, what came with them, and a question
+    mark at the end of some."""
     t = ln.turns(spark, d)
-    u = t.select("meeting_id", F.col("turn_id").alias("utterance_index"), F.col("speaker_label").alias("speaker"), "start_ms", "end_ms", F.lit("a b?").alias("text"), F.lit(2).cast("long").alias("n_words"), F.when(F.col("turn_id") % 3 == 0, "hi").otherwise("en").alias("primary_language"))
-    return t, u
+    text = F.concat(F.expr("repeat(concat(event_type, ' '), cast(user_id % 4 + 1 as int))"), F.coalesce("props", F.lit("-")), F.when(F.col("value") > 50, "?").otherwise(""))
+    said = ln.table(spark, d, "events").select(F.col("event_id").alias("turn_id"), text.alias("text"))
+    u = t.join(said, "turn_id").withColumn("n_words", F.size(tx.tokens(F.col("text"))).cast("long"))
+    return t, u.select("meeting_id", F.col("turn_id").alias("utterance_index"), F.col("speaker_label").alias("speaker"), "start_ms", "end_ms", "text", "n_words", F.when(F.col("turn_id") % 3 == 0, "hi").otherwise("en").alias("primary_language"))
 
 
-BOTH = "utterances AS (SELECT meeting_id, turn_id AS utterance_index, speaker_label AS speaker, start_ms, end_ms, 'a b?' AS text, 2::BIGINT AS n_words, CASE WHEN turn_id % 3 = 0 THEN 'hi' ELSE 'en' END AS primary_language FROM turns)"
+BOTH = """utterances AS (SELECT meeting_id, turn_id AS utterance_index, speaker_label AS speaker, start_ms, end_ms, text, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))::BIGINT AS n_words,
+  CASE WHEN turn_id % 3 = 0 THEN 'hi' ELSE 'en' END AS primary_language FROM turns JOIN (SELECT event_id AS turn_id, repeat(event_type || ' ', user_id % 4 + 1) || coalesce(props, '-') || CASE WHEN value > 50 THEN '?' ELSE '' END AS text FROM events) USING (turn_id))"""
 FULL = (_T, BOTH, OWN, UNION, SWEEP, OVER, RUNS, CUTS, DUR, STATS)
 
 query("I1_merge_intervals", w(_T, UNION) + "SELECT * FROM merged")(lambda s, d: iv.merge_intervals(ln.turns(s, d), ["meeting_id"]))
@@ -212,7 +216,7 @@ query("V4_is_question", rf"SELECT doc_id, regexp_matches(t, '[?？]\s*$') OR len
 
 def _listed(frame, column):
     """Languages as text, so that they compare."""
-    return frame.withColumn(column, F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["language"], x["ms"].cast("string"), F.format_string("%.9f", x["share"]))), ","))
+    return frame.withColumn(column, F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["language"], x["ms"].cast("string"), F.format_string("%.9f", F.bround(x["share"], 9)))), ","))
 
 
 def _stats(s, d):
@@ -293,3 +297,19 @@ def _(s, d):
     dur = an.meeting_durations(t, u)
     stats = an.speaker_stats(t, u, dur)
     return an.analytics_context(an.meeting_stats(t, u, dur, stats=stats), stats)
+
+# All events as one meeting, scanned in slices; the SQL has one window over it.
+_ONE, SLICE_MS = ln.SQL["one_meeting"], 600_000
+
+
+def _sliced(f):
+    return lambda s, d: f(ln.one_meeting(s, d))
+
+
+query("I1_merge_intervals_one_meeting", w(_ONE, UNION) + "SELECT * FROM merged")(_sliced(lambda t: iv.merge_intervals(t, ["meeting_id"], slice_ms=SLICE_MS)))
+query("I5_overlap_one_meeting", w(_ONE, OWN, SWEEP, OVER) + "SELECT * FROM over")(_sliced(lambda t: iv.overlap_by_speaker(t, slice_ms=SLICE_MS)))
+query("I6_overlap_regions_one_meeting", w(_ONE, OWN, SWEEP, REGIONS) + "SELECT meeting_id, start_ms, end_ms, array_to_string(speakers, ',') AS speakers FROM regions")(
+    _sliced(lambda t: iv.find_overlap_regions(t, slice_ms=SLICE_MS).withColumn("speakers", F.array_join("speakers", ",")))
+)
+query("I8_gap_merge_one_meeting", w(_ONE, GAPS.format(gap=60000)) + "SELECT * FROM gaps")(_sliced(lambda t: iv.gap_merge(t, ["meeting_id", "speaker_label"], 60_000, slice_ms=SLICE_MS)))
+query("V2_floor_runs_one_meeting", w(_ONE, RUNS) + "SELECT * FROM floor_runs")(_sliced(lambda t: an.floor_runs(t, slice_ms=SLICE_MS)))

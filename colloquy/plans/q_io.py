@@ -10,8 +10,8 @@ from ..sources import readers as rd
 from ..sources import sinks as sk
 from ..streaming import live, replay
 from . import lenses as ln
-from .q_analytics import _T, _mstats, _stats, w
-from .q_ops import _W
+from .q_analytics import _T, OWN, _mstats, _talk, w
+from .q_ops import _W, O7
 from .q_words import _M5, _TALKED, _items, _talked
 
 QUERIES: dict = {}
@@ -141,11 +141,55 @@ query("K7_minutes_markdown")(lambda s, d: dc.minutes_markdown(_documents(s, d)))
 query("K8_summary_markdown")(lambda s, d: dc.summary_markdown(_documents(s, d), _documents(s, d).select("meeting_id", F.size("decisions").alias("checked"), F.size("decisions").alias("passed"))))
 
 
-@query("K9_meeting_result")
+_TITLED = "'Meeting ' || meeting_id AS title, count(*) || ' utterances' AS executive_summary"
+_LINES = "string_agg(CASE kind WHEN 'key_point' THEN coalesce(topic, '') || '. ' || text ELSE text END, chr(10) ORDER BY CASE kind WHEN 'key_point' THEN 1 WHEN 'decision' THEN 2 ELSE 3 END, utterance_index)"
+
+
+@query("K10_index_summary", w(*_TALKED, _M5, f"m AS (SELECT meeting_id, {_TITLED} FROM utterances GROUP BY 1), l AS (SELECT meeting_id, {_LINES} AS lines FROM items WHERE kind <> 'open_question' GROUP BY 1)")
+    + "SELECT 'summary' AS kind, meeting_id, 'summary' AS ref, md5(concat_ws(chr(10), title, executive_summary, lines)) AS text FROM m LEFT JOIN l USING (meeting_id)")
+def _(s, d):
+    titled = F.concat(F.lit("Meeting "), F.col("meeting_id").cast("string")).alias("title")
+    m = _talked(s, d).groupBy("meeting_id").agg(F.concat(F.count("*").cast("string"), F.lit(" utterances")).alias("executive_summary")).select("meeting_id", titled, "executive_summary")
+    return sk.summary_rows(m, _items(s, d)).select("kind", "meeting_id", "ref", F.md5("text").alias("text"))
+
+
+def _results(s, d):
+    """The conversations' whole results; their runs are those of the customer of that number, the last one of each."""
+    t, u = _talk(s, d)
+    durations = an.meeting_durations(t, u)
+    stats = an.speaker_stats(t, u, durations)
+    m = u.groupBy("meeting_id").agg(F.count("*").alias("n_utterances")).withColumn("title", F.concat(F.lit("Meeting "), F.col("meeting_id").cast("string")))
+    run = ln.runs(s, d).groupBy("meeting_id").agg(F.max_by(F.struct("run_id", "status", "started_ms"), F.struct("started_ms", "run_id")).alias("r")).select("meeting_id", "r.*")
+    stages = ln.stage_results(s, d).select("run_id", "stage_no", F.col("stage_name").alias("name"), "status", "duration_ms", F.when(F.col("status") == "failed", F.concat(F.lit("code "), F.col("duration_ms").cast("string"))).alias("error"))
+    heard = an.meeting_stats(t, u, durations, stats=stats).select("meeting_id", F.struct("silence_ms", "silence_ratio").alias("value"), F.array_compact(F.array(F.when(F.col("silence_ratio") > 0.001, F.lit("silent")))).alias("warnings"), F.struct("speech_ms", "total_words").alias("all"))
+    own = stats.select("meeting_id", F.col("speaker_label").alias("label"), F.when(F.col("speaker_label") == "user", F.lit("The user")).alias("display_name"), F.struct("speaking_ms", "word_count").alias("stats"))
+    docs = _documents(s, d)
+    parts = {
+        "run": run, "stages": stages, "quality": heard.select("meeting_id", "value", "warnings"), "languages": u.groupBy("meeting_id").agg(F.array_sort(F.collect_set("primary_language")).alias("value")), "speakers": own,
+        "utterances": u, "transcript": m.filter("n_utterances < 4").select("meeting_id", F.array(F.lit("short")).alias("warnings")), "analytics": heard.select("meeting_id", F.col("all").alias("value")),
+        "summary": docs.select("meeting_id", F.struct("participants", F.size("decisions").alias("n_decisions")).alias("value"), F.struct(F.size("decisions").alias("checked")).alias("report")),
+    }
+    return dc.whole_result(m, parts)
+
+
+@query(
+    "K9_meeting_result",
+    w(_U, ln.SQL["runs"], ln.SQL["stage_results"], "m AS (SELECT meeting_id, count(*) AS n FROM utterances GROUP BY 1)", "r AS (SELECT meeting_id, arg_max(run_id, (started_ms, run_id)) AS run_id FROM runs GROUP BY 1)",
+      "f AS (SELECT run_id, list(stage_name || ' failed: code ' || duration_ms ORDER BY stage_no) AS e, count(*) AS k FROM stage_results WHERE status = 'failed' GROUP BY 1)")
+    + """SELECT m.meeting_id, '1.0.0' AS version, n AS n_utterances, r.run_id, CASE WHEN r.run_id IS NOT NULL THEN n END AS n_transcript, coalesce(array_to_string(e, ';'), '') AS failures, r.run_id IS NOT NULL AND n < 4 AS short,
+  'transcript,analytics,summary' AS included, CASE WHEN r.run_id IS NOT NULL THEN (SELECT md5(string_agg(CASE WHEN speaker = 'user' THEN 'The user' ELSE '' END || text, chr(10) ORDER BY utterance_index)) FROM utterances u WHERE u.meeting_id = m.meeting_id) END AS said
+  FROM m LEFT JOIN r USING (meeting_id) LEFT JOIN f USING (run_id)""",
+)
 def _(s, d):
-    m = _mstats(s, d)
-    speakers = _stats(s, d).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("speaker_label", "speaking_ms", "num_turns"))).alias("value"))
-    return dc.meeting_result(m.select("meeting_id", "duration_ms"), {"speakers": speakers, "meeting": m.select("meeting_id", F.struct("speech_ms", "overlap_ms", "balance").alias("value"))}, [m.select("meeting_id", F.filter(F.array(F.when(F.col("silence_ratio") > 0.6, "mostly_silent")), lambda x: x.isNotNull()).alias("warnings"))])
+    """What the documents say, read back from their JSON."""
+    row = "STRUCT<schema_version: STRING, meeting: STRUCT<n_utterances: BIGINT>, processing: STRUCT<run_id: BIGINT>, transcript: ARRAY<STRUCT<speaker_name: STRING, text: STRING>>, warnings: ARRAY<STRING>, included: ARRAY<STRING>>"
+    r = _results(s, d).withColumn("r", F.from_json("result", row))
+    failed = F.filter("r.warnings", lambda x: x.contains(" failed: "))
+    said = F.array_join(F.transform("r.transcript", lambda x: F.concat(F.coalesce(x["speaker_name"], F.lit("")), x["text"])), "\n")
+    return r.select(
+        "meeting_id", F.col("r.schema_version").alias("version"), "r.meeting.n_utterances", "r.processing.run_id", F.when(F.col("r.transcript").isNotNull(), F.size("r.transcript")).cast("long").alias("n_transcript"),
+        F.array_join(failed, ";").alias("failures"), F.array_contains("r.warnings", "short").alias("short"), F.array_join("r.included", ",").alias("included"), F.md5(said).alias("said"),
+    )
 
 
 @query("O4_stale_heartbeats")
@@ -159,11 +203,34 @@ def _(s, d):
     return replay.run(live.first_events(replay.event_stream(s, d).select("event_id", "ts"), ["event_id"]), "first").agg(F.count("*").alias("n"))
 
 
-@query("O9_live_conversation_stats", "SELECT user_id % 20 AS meeting_id, 'Person ' || (user_id % 5 + 1) AS speaker_label, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS turns, sum(trunc(value * 2000)::BIGINT)::BIGINT AS speaking_ms FROM events GROUP BY 1, 2, 3")
+_MINUTES = 600_000
+_SPOKEN = f"""turns AS (SELECT {ln.EVENT_MEETING} AS meeting_id, 'Person ' || (user_id % 5 + 1) AS speaker_label, epoch_us(ts) // 1000 AS start_ms,
+  epoch_us(ts) // 1000 + floor(value * 2000 + 0.5)::BIGINT AS end_ms FROM events)"""
+_LIVE = f"""parts AS (SELECT meeting_id, speaker_label, b * {_MINUTES} AS bucket, sum(least(end_ms, (b + 1) * {_MINUTES}) - greatest(start_ms, b * {_MINUTES}))::BIGINT AS ms
+  FROM (SELECT *, unnest(range(start_ms // {_MINUTES}, (end_ms - 1) // {_MINUTES} + 1)) AS b FROM own) GROUP BY ALL),
+begun AS (SELECT meeting_id, speaker_label, start_ms // {_MINUTES} * {_MINUTES} AS bucket, count(*) AS n FROM turns GROUP BY ALL)
+SELECT meeting_id, speaker_label, bucket AS start_ms, coalesce(n, 0) AS turns, coalesce(ms, 0) AS speaking_ms FROM parts FULL JOIN begun USING (meeting_id, speaker_label, bucket)"""
+
+
+@query("O9_live_conversation_stats", w(_SPOKEN, OWN, _LIVE))
+def _(s, d):
+    """Turns at the time of their events, as a stream; ten minutes to a bucket."""
+    start = ln.epoch_ms("at").alias("start_ms")
+    events = replay.event_stream(s, d).withColumn("at", F.col("ts").cast("timestamp_ntz"))
+    turns = events.select(
+        (F.floor(ln.epoch_ms("at") / ln.DAY) * 1_000_000 + F.floor(F.col("user_id") / ln.USERS)).cast("long").alias("meeting_id"),
+        F.concat(F.lit("Person "), (F.col("user_id") % 5 + 1).cast("string")).alias("speaker_label"),
+        "ts",
+        start,
+        (ln.epoch_ms("at") + F.floor(F.col("value") * 2000 + 0.5)).cast("long").alias("end_ms"),
+    )
+    return replay.run_updates(live.live_conversation_stats(turns, _MINUTES), "live", ["meeting_id", "speaker_label", "start_ms"]).drop("late")
+
+
+@query("O7_idempotent_stream", f"SELECT user_id, k, {O7}")
 def _(s, d):
-    turns = replay.event_stream(s, d).select((F.col("user_id") % 20).alias("meeting_id"), F.concat(F.lit("Person "), (F.col("user_id") % 5 + 1).cast("string")).alias("speaker_label"), "ts", (F.col("value") * 2000).cast("long").alias("dur_ms"))
-    got = replay.run_updates(live.live_conversation_stats(turns, "1 hour"), "live", ["meeting_id", "speaker_label", "start"])
-    return got.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    events = replay.event_stream(s, d).select("user_id", F.floor(F.col("event_id") / 100).alias("k"), "event_id", "event_type", "ts")
+    return replay.run_updates(live.idempotent_events(events, ["user_id", "k"], ["event_type"], "event_id"), "keys", ["user_id", "k"])
 
 
 @query("O3_live_progress", w(ln.SQL["stage_results"]) + f"SELECT run_id, count(*) FILTER (status = 'completed')::INT AS stages, round(CASE WHEN sum(CASE WHEN status = 'completed' THEN {_W} ELSE 0 END) >= 100 THEN 1 ELSE least(sum(CASE WHEN status = 'completed' THEN {_W} ELSE 0 END) / 100, 0.99) END, 6) AS fraction FROM stage_results GROUP BY 1")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import ops
 from ..operators import search as se
+from ..operators import trigrams as tg
+from ..streaming import replay
 from . import lenses as ln
 from .q_analytics import w
 
@@ -55,7 +58,25 @@ def _index(s, d):
 
 
 query("Q10_search", w(_U) + "SELECT meeting_id, utterance_index AS ref, start_ms, score FROM (SELECT *, len(list_filter(regexp_split_to_array(trim(lower(text), e' \\n\\t'), '\\s+'), lambda t: t IN ('the', 'of')))::INT AS score FROM utterances) WHERE score > 0 OR contains(lower(text), 'the of') ORDER BY score DESC, start_ms NULLS FIRST, meeting_id, ref LIMIT 20")(lambda s, d: se.search(_index(s, d), "The of").select("meeting_id", "ref", "start_ms", "score"))
-query("Q10_search_by_trigrams", w(_U) + "SELECT meeting_id, utterance_index AS ref FROM utterances WHERE contains(lower(text), 'tion the')")(lambda s, d: se.search_by_trigrams(_index(s, d), se.trigram_table(_index(s, d), se.trigrams_of("tion The")), "tion The").select("meeting_id", "ref"))
+
+
+def _gram_index(s, d):
+    """An index of the utterances that is written; a tenth of the meetings is then written again, without every third utterance
+    and with words added to the others."""
+    path, rows = replay.folder(s, "trigrams"), _index(s, d)
+    tg.write(rows, path)
+    tg.upsert(rows.filter("meeting_id % 10 = 3 AND ref % 3 <> 0").withColumn("text", F.concat("text", F.lit(" Addition The end"))), path)
+    return path
+
+
+_EDITED = "edited AS (SELECT meeting_id, utterance_index AS ref, CASE WHEN meeting_id % 10 = 3 THEN text || ' Addition The end' ELSE text END AS text FROM utterances WHERE meeting_id % 10 <> 3 OR utterance_index % 3 <> 0)"
+
+
+@query("Q10_search_by_trigrams", w(_U, _EDITED) + "SELECT meeting_id, ref, md5(text) AS text FROM edited WHERE contains(lower(text), 'tion the')")
+def _(s, d):
+    return tg.lookup(s, _gram_index(s, d), "tion The").select("meeting_id", "ref", F.md5("text").alias("text"))
+
+
 _NAMES = "(SELECT conv_id AS meeting_id, role AS label, nullif(left(trim(CASE WHEN conv_id % 3 = 0 THEN '  ' WHEN conv_id % 3 = 1 THEN ' ' || upper(role) || ' ' END), 100), '') AS shown FROM conversations GROUP BY 1, 2)"
 
 
@@ -110,6 +131,53 @@ query("O3_progress", w(_G, f"p AS (SELECT run_id, sum(CASE WHEN status = 'comple
 query("O5_stage_histograms", w(_G) + "SELECT stage_name, CASE WHEN duration_ms <= 10000 THEN 10 WHEN duration_ms <= 25000 THEN 25 WHEN duration_ms <= 40000 THEN 40 ELSE 'infinity'::DOUBLE END::DOUBLE AS le, count(*) AS n FROM stage_results GROUP BY 1, 2")(lambda s, d: ops.histogram(ln.stage_results(s, d), ["stage_name"], F.col("duration_ms") / 1000, [10, 25, 40]))
 query("O5_stage_percentiles", w(_G) + "SELECT stage_name, status, count(*) AS n, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.95) AS p95 FROM stage_results GROUP BY 1, 2")(lambda s, d: ln.stage_results(s, d).groupBy("stage_name", "status").agg(F.count("*").alias("n"), F.percentile("duration_ms", F.lit(0.5)).alias("p50"), F.percentile("duration_ms", F.lit(0.95)).alias("p95")))
 query("O5_hourly_rollup", "SELECT (epoch_us(ts) // 3600000000) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")(lambda s, d: ln.table(s, d, "events").groupBy(F.floor(ln.epoch_ms("ts") / 3_600_000).alias("hour"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")))
+# Audio of a run, from its price; model calls, from the conversations.
+_AUDIO = "audio AS (SELECT run_id, status, (o_totalprice * 100)::BIGINT AS audio_ms FROM runs)"
+_PRICES = {"user": 0.15, "assistant": 0.6}
+
+
+def _audio(s, d):
+    return ln.runs(s, d).select("run_id", "status", F.round(F.col("o_totalprice") * 100).cast("long").alias("audio_ms"))
+
+
+def _calls(s, d):
+    """Tokens of each turn, and their cost in units of a millionth."""
+    price = F.create_map(*[F.lit(x) for kv in _PRICES.items() for x in kv])
+    u = ln.utterances(s, d).select(F.col("speaker").alias("kind"), tx.estimate_tokens(F.col("text")).alias("tokens"))
+    return u.withColumn("cost", F.round(F.col("tokens") * F.coalesce(F.element_at(price, F.col("kind")), F.lit(0.0)) * 100).cast("long"))
+
+
+query("O5_factor_histogram", w(_R, _G, _AUDIO) + f"""SELECT stage_name, CASE {" ".join(f"WHEN f <= {b} THEN {b}" for b in ops.FACTORS)} ELSE 'infinity'::DOUBLE END::DOUBLE AS le, count(*) AS n
+  FROM (SELECT stage_name, duration_ms / audio_ms AS f FROM stage_results JOIN audio USING (run_id) WHERE audio_ms > 0) GROUP BY 1, 2""")(lambda s, d: ops.factor_histogram(ln.stage_results(s, d), _audio(s, d)))
+query("O5_run_measures", w(_R, _U, _AUDIO, r"calls AS (SELECT speaker AS kind, ceil((length(text) + length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))) / 4)::BIGINT AS tokens FROM utterances)")
+    + f"""SELECT 'runs' AS measure, status AS label, count(*)::DOUBLE AS value FROM audio GROUP BY 2 UNION ALL SELECT 'audio_minutes', 'completed', coalesce(sum(audio_ms), 0) / 60000 FROM audio WHERE starts_with(status, 'completed')
+UNION ALL SELECT 'tokens', kind, sum(tokens)::DOUBLE FROM calls GROUP BY 2 UNION ALL SELECT 'cost', 'all', coalesce(sum(round(tokens * CASE kind WHEN 'user' THEN {_PRICES["user"]} WHEN 'assistant' THEN {_PRICES["assistant"]} ELSE 0 END * 100)::BIGINT), 0)::DOUBLE FROM calls""")(
+    lambda s, d: ops.run_measures(_audio(s, d), _calls(s, d))
+)
+
+
+@query("O5_sketch_rollup", "SELECT event_type, epoch_us(ts) // 86400000000 * 86400000 AS start_ms, count(*) AS n, min(value) AS least, max(value) AS most, true AS p50_near, true AS p95_near, true AS users_near FROM events GROUP BY 1, 2")
+def _(s, d):
+    """Sketches of five minutes, written and merged to hours and then to days; of the estimates, whether they are as near to
+    the exact ranks and counts as stated."""
+    events = ln.table(s, d, "events").select("event_type", "user_id", "value", ln.epoch_ms("ts").alias("at_ms"))
+    path, day = replay.folder(s, "sketches"), 86_400_000
+    ops.window_sketches(events, ["event_type"], "value", "user_id").write.parquet(path)
+    hours = ops.merge_sketches(s.read.parquet(path), ["event_type"], 3_600_000)
+    days = ops.sketch_estimates(ops.merge_sketches(hours, ["event_type"], day), {"p50": 0.5, "p95": 0.95})
+    key = ["event_type", "start_ms"]
+    each = events.withColumn("start_ms", F.floor(F.col("at_ms") / day) * day).join(days.select(*key, "p50", "p95"), key)
+    side = lambda p, sign: F.avg(F.when(F.col("value") < F.col(p) if sign else F.col("value") <= F.col(p), 1.0).otherwise(0.0))
+    ranks = each.groupBy(*key).agg(*(side(p, sign).alias(f"{p}_{name}") for p in ("p50", "p95") for name, sign in (("below", 1), ("upto", 0))), F.count_distinct("user_id").alias("users"), F.count("*").alias("rows"))
+    # A rank is a span where values tie; one row is the least that it can be off.
+    slack = ops.RANK_ERROR * 1.5 + 1 / F.col("rows")
+    near = lambda p, at: ((F.col(f"{p}_below") - slack <= at) & (F.col(f"{p}_upto") + slack >= at)).alias(f"{p}_near")
+    users = (F.abs(F.col("n_distinct") - F.col("users")) <= F.greatest(4 * ops.COUNT_ERROR * F.col("users"), F.lit(1))).alias("users_near")
+    return days.join(ranks, key).select(*key, "n", "least", "most", near("p50", 0.5), near("p95", 0.95), users)
+
+
 query("O6_moving_window_counts", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM events")(lambda s, d: ops.moving_window_counts(ln.table(s, d, "events").withColumn("epoch_s", F.floor(ln.epoch_ms("ts") / 1000)), ["user_id"], width_s=3600).select("event_id", "in_window"))
-query("O7_dedupe_events", "SELECT user_id, k, event_id, event_type, c > 1 AS conflict, n AS events FROM (SELECT user_id, k, min((event_id, event_type)) AS f, count(DISTINCT event_type) AS c, count(*) AS n, f[1] AS event_id, f[2] AS event_type FROM (SELECT *, event_id // 100 AS k FROM events) GROUP BY 1, 2)")(lambda s, d: ops.dedupe_events(ln.table(s, d, "events").withColumn("k", F.floor(F.col("event_id") / 100)), ["user_id", "k"], ["event_type"], ["event_id"]))
+O7 = """event_id, event_type, c > 1 AS conflict, n AS events FROM (SELECT user_id, k, min((event_id, event_type)) AS f, count(DISTINCT event_type) AS c, count(*) AS n, f[1] AS event_id, f[2] AS event_type
+  FROM (SELECT *, event_id // 100 AS k FROM events) GROUP BY 1, 2)"""
+query("O7_dedupe_events", f"SELECT user_id, k, {O7}")(lambda s, d: ops.dedupe_events(ln.table(s, d, "events").withColumn("k", F.floor(F.col("event_id") / 100)), ["user_id", "k"], ["event_type"], ["event_id"]))
 query("O8_latency_report", "SELECT coalesce(event_type, 'Aggregated') AS event_type, count(*) AS requests, count(*) FILTER (user_id % 10 = 0) AS failures, median(value) AS median, avg(value) AS mean, min(value) AS min, max(value) AS max, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY ROLLUP (event_type)")(lambda s, d: ops.latency_report(ln.table(s, d, "events"), "event_type", "value", F.col("user_id") % 10 == 0))

@@ -140,6 +140,14 @@ ac AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY meeting_id, id ORDER B
 )(lambda s, d: tr.approximate_words(_seg(s, d), ["meeting_id", "id"]))
 query("T12_finalize_transcript")(lambda s, d: tr.finalize_transcript(_seg(s, d)).drop("words"))
 
+
+@query("T12_transcript_report")
+def _(s, d):
+    seg = _seg(s, d)
+    return tr.transcript_report(seg, tr.finalize_transcript(seg)).withColumn("detected_languages", F.to_json("detected_languages"))
+
+
+
 # A third of the documents is seen in Devanagari or Odia letters, word by word.
 _ROMAN, _DEVA, _ORYA = "aeiounrtklm", "\u0905\u090f\u0907\u0913\u0909\u0928\u0930\u0924\u0915\u0932\u092e", "\u0b05\u0b0f\u0b07\u0b13\u0b09\u0b28\u0b30\u0b24\u0b15\u0b32\u0b2e"
 _SEEN = f"CASE WHEN doc_id % 6 = 1 THEN translate(text, '{_ROMAN}', '{_DEVA}') WHEN doc_id % 6 = 2 THEN translate(text, '{_ROMAN}', '{_ORYA}') ELSE text END"

@@ -11,6 +11,7 @@ from ..operators import align as al
 from ..operators import evaluate as ev
 from ..operators import language as lg
 from ..operators import minutes as mi
+from ..streaming import replay
 from . import lenses as ln
 from .q_analytics import w
 
@@ -32,15 +33,14 @@ _T = ln.SQL["turns"]
 _U = ln.SQL["utterances"]
 _L = ln.SQL["lid_windows"]
 
-# Words: each event is one, at about the event's time, in the meeting of its day; a quarter comes 20 minutes later, where some
+# Words: each event is one, at about the event's time, in the event's meeting; a quarter comes 20 minutes later, where some
 # meet no turn.
-_WORD = "words AS (SELECT *, start_ms + 350 AS end_ms FROM (SELECT epoch_us(ts) // 86400000000 AS meeting_id, event_id AS word_id, (epoch_us(ts) // 1000) % 86400000 + (event_id % 3) * 400 + CASE WHEN event_id % 4 = 0 THEN 1200000 ELSE 0 END AS start_ms FROM events))"
+_WORD = f"words AS (SELECT *, start_ms + 350 AS end_ms FROM (SELECT {ln.EVENT_MEETING} AS meeting_id, event_id AS word_id, {ln.EVENT_CLOCK} + (event_id % 3) * 400 + CASE WHEN event_id % 4 = 0 THEN 1200000 ELSE 0 END AS start_ms FROM events))"
 
 
 def _words(s, d):
-    ms = ln.epoch_ms("ts")
-    start = (ms % ln.DAY + (F.col("event_id") % 3) * 400 + F.when(F.col("event_id") % 4 == 0, 1_200_000).otherwise(0)).cast("long")
-    return ln.table(s, d, "events").select(F.floor(ms / ln.DAY).alias("meeting_id"), F.col("event_id").alias("word_id"), F.col("event_type").alias("word"), start.alias("start_ms"), (start + 350).alias("end_ms"))
+    start = (ln.meeting_clock() + (F.col("event_id") % 3) * 400 + F.when(F.col("event_id") % 4 == 0, 1_200_000).otherwise(0)).cast("long")
+    return ln.table(s, d, "events").select(ln.meeting_of_event().alias("meeting_id"), F.col("event_id").alias("word_id"), F.col("event_type").alias("word"), start.alias("start_ms"), (start + 350).alias("end_ms"))
 
 
 def _odd(s, d):
@@ -66,9 +66,10 @@ query("A3_has_word_timings", "SELECT user_id, count(*) FILTER (value < 1) = 0 AS
 
 
 def _segs(s, d):
-    """Untimed segments: benchmark-sized texts laid over the day's turns."""
-    u = ln.utterances(s, d)
-    return u.select((F.col("meeting_id") % 30 + 19723).alias("meeting_id"), (F.col("meeting_id") * 1000 + F.col("utterance_index")).alias("id"), (F.col("meeting_id") % 100 * 600_000 + F.col("start_ms")).alias("start_ms"), (F.col("meeting_id") % 100 * 600_000 + F.col("end_ms")).alias("end_ms"), "text")
+    """Untimed segments: each conversation's texts, laid over the turns of one meeting."""
+    u, conv = ln.utterances(s, d), F.col("meeting_id")
+    meeting = ((conv % 30 + 19_723) * 1_000_000 + F.floor(conv / 10)).cast("long")
+    return u.select(meeting.alias("meeting_id"), (conv * 1000 + F.col("utterance_index")).alias("id"), "start_ms", "end_ms", "text")
 
 
 def _aligned(s, d):
@@ -155,15 +156,40 @@ def _pairs(s, d, plain: bool = False):
 
 query("M6_token_set_similarity")(lambda s, d: _pairs(s, d).select("file", st.token_set_similarity("reference", "hypothesis").alias("similarity")))
 
+def _written(df, name: str):
+    """``df`` written once, for queries that use it several times."""
+    path = replay.folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _again(items, seed: int):
+    """About half of the items, whatever their kind, drawn by a hash and without their last word."""
+    half = F.pmod(F.xxhash64("meeting_id", "idx", F.lit(seed)), F.lit(2)) == 0
+    return items.filter(half).withColumn("text", F.regexp_replace("text", r"\s\S+$", ""))
+
+
 def _twice(s, d):
-    """Items as overlapping chunks give them: a part of them again, in other words and of other owners."""
+    """Items as overlapping chunks give them: a part of them again, in other words, without or of another owner, of another
+    confidence, and with a priority."""
     i = F.col("idx")
-    again = _found(s, d).withColumn("idx", i + 1_000_000).withColumn("confidence", F.when(i % 3 == 0, "low").otherwise(F.col("confidence")))
-    return _items(s, d).unionByName(again)
+    items = _written(_items(s, d), "items").withColumn("priority", F.when(i % 2 == 0, "low").otherwise("medium"))
+    again = _again(items, 1).withColumn("idx", i + 1_000_000).withColumn("confidence", F.when(i % 3 == 0, "low").otherwise(F.col("confidence")))
+    again = again.withColumn("owner", F.when(i % 3 == 0, mi.UNASSIGNED).when(i % 3 == 1, "nobody").otherwise(F.col("owner"))).withColumn("priority", F.lit("high"))
+    return items.unionByName(again)
+
+
+@query("M7_dedupe_items")
+def _(s, d):
+    return mi.dedupe_items(_written(_twice(s, d), "twice"))
+
+
+@query("M7_merge_items")
+def _(s, d):
+    items = _written(_twice(s, d), "twice")
+    return mi.merge_items(items, mi.dedupe_items(items)).withColumn("text", F.md5("text"))
 
 
-query("M7_dedupe_items")(lambda s, d: mi.dedupe_items(_twice(s, d)))
-query("M7_merge_items")(lambda s, d: mi.merge_items(_twice(s, d), mi.dedupe_items(_twice(s, d))).withColumn("text", F.md5("text")))
 query("M8_resolve_supersession")(lambda s, d: mi.resolve_supersession(_items(s, d).filter("kind = 'decision'").select("meeting_id", "idx", "topic", "text")))
 
 
@@ -284,11 +310,15 @@ query("E8_meeting_scores", w(ln.SQL["runs"], ln.SQL["stage_results"], "b AS (SEL
 )
 
 
-def _found(s, d):
-    """What was found of the gold items: every second one, without its last word, and some of nobody."""
-    i = F.col("idx")
-    return _items(s, d).filter("idx % 2 = 0").withColumn("text", F.regexp_replace("text", r"\s\S+$", "")).withColumn("owner", F.when(i % 3 == 0, "nobody").otherwise(F.col("owner")))
+def _found(gold):
+    """What was found of the gold items: about half of them, without their last word, and some of nobody."""
+    return _again(gold, 2).withColumn("owner", F.when(F.col("idx") % 3 == 0, "nobody").otherwise(F.col("owner")))
+
+
+def _scored(s, d):
+    gold = _written(_items(s, d), "gold")
+    return ev.precision_recall(gold, _found(gold))
 
 
-query("E9_precision_recall")(lambda s, d: ev.precision_recall(_items(s, d), _found(s, d)))
-query("E9_overall")(lambda s, d: ev.overall_scores(ev.precision_recall(_items(s, d), _found(s, d)), mi.verification_report(*_grounded(s, d))))
+query("E9_precision_recall")(_scored)
+query("E9_overall")(lambda s, d: ev.overall_scores(_scored(s, d), mi.verification_report(*_grounded(s, d))))

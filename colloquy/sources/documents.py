@@ -67,3 +67,67 @@ def meeting_result(meetings: DataFrame, sections: dict[str, DataFrame], warnings
         out = out.join(df.select("meeting_id", F.col("warnings").alias(f"_w{i}")), "meeting_id", "left")
     told = F.concat(*[F.coalesce(f"_w{i}", none) for i in range(len(warnings))]) if warnings else none
     return out.select("meeting_id", F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), *meetings.columns, *sections, told.alias("warnings"))).alias("result"))
+
+
+#: Sections that can be left out, in their order.
+SECTIONS = ("transcript", "analytics", "summary")
+
+
+def whole_result(meetings: DataFrame, parts: dict[str, DataFrame], include: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """The consolidated document of each of ``meetings``, from what is known of them; all parts may be missing, and are then null.
+
+    ``parts``: ``run`` (meeting_id, run_id, status, started_ms), one for each meeting; ``stages`` (run_id, stage_no, name, status,
+    duration_ms, error); ``quality`` (meeting_id, value, warnings); ``languages`` (meeting_id, value); ``speakers``
+    (meeting_id, label, display_name, stats); ``utterances`` (meeting_id, utterance_index, speaker, start_ms, end_ms, text);
+    ``transcript`` (meeting_id, warnings); ``analytics`` and ``summary`` (meeting_id, value; the latter with report).
+
+    Only a meeting with a run has stages, quality, languages and the sections of ``include``. Warnings come in order: failed
+    stages, the audio's, the transcript's. Speakers' display names are put to utterances.
+    """
+    none, key = F.array().cast("array<string>"), "meeting_id"
+    out = meetings
+    have = {n: df for n, df in parts.items() if df is not None}
+    told: list[Column] = []
+
+    def add(df: DataFrame) -> None:
+        nonlocal out
+        out = out.join(df, key, "left")
+
+    ran = have["run"]
+    info = F.struct("run_id", "status", "started_ms", "stages").alias("processing")
+    stages = have["stages"].groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("stage_no", "name", "status", "duration_ms", "error"))).alias("stages"))
+    failed = F.transform(F.filter(F.coalesce("stages", F.array()), lambda x: x["status"] == "failed"), lambda x: F.concat(x["name"], F.lit(" failed: "), F.coalesce(x["error"], F.lit("None"))))
+    add(ran.join(stages, "run_id", "left").select(key, info, failed.alias("_failed")))
+    told.append(F.coalesce("_failed", none))
+    names = have["speakers"].filter("display_name <> ''").select(key, F.col("label").alias("speaker"), F.col("display_name").alias("speaker_name"))
+    known = {"processing": "processing"}
+    if "quality" in have:
+        add(have["quality"].select(key, F.col("value").alias("audio_quality"), F.col("warnings").alias("_heard")))
+        told.append(F.coalesce("_heard", none))
+        known["audio_quality"] = "audio_quality"
+    if "languages" in have:
+        add(have["languages"].select(key, F.col("value").alias("languages")))
+        known["languages"] = "languages"
+    listed = have["speakers"].groupBy(key).agg(F.array_sort(F.collect_list(F.struct("label", "display_name", "stats"))).alias("speakers"))
+    add(listed)
+    if "transcript" in include and "utterances" in have:
+        rows = have["utterances"].join(names, [key, "speaker"], "left")
+        row = F.struct("utterance_index", "speaker", "speaker_name", "start_ms", "end_ms", "text")
+        add(rows.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("transcript")))
+        known["transcript"] = "transcript"
+        if "transcript" in have:
+            add(have["transcript"].select(key, F.col("warnings").alias("_written")))
+            told.append(F.coalesce("_written", none))
+    if "analytics" in include and "analytics" in have:
+        add(have["analytics"].select(key, F.col("value").alias("analytics")))
+        known["analytics"] = "analytics"
+    if "summary" in include and "summary" in have:
+        add(have["summary"].select(key, F.col("value").alias("summary"), F.col("report").alias("verification_report")))
+        known |= {"summary": "summary", "verification_report": "verification_report"}
+    has_run = F.col("processing").isNotNull()
+    fields = [F.when(has_run, F.col(c)).alias(n) for n, c in known.items()]
+    warnings = F.when(has_run, F.concat(*told)).otherwise(none).alias("warnings")
+    included = F.array(*[F.lit(x) for x in SECTIONS if x in include]).alias("included")
+    return out.select(
+        key, F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(*meetings.columns).alias("meeting"), *fields, F.coalesce("speakers", F.array()).alias("speakers"), warnings, included)).alias("result")
+    )

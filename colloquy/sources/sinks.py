@@ -109,6 +109,21 @@ def write_speakers_csv(table: DataFrame, path: str) -> None:
     table.write.option("header", True).csv(path)
 
 
+def summary_rows(meetings: DataFrame, items: DataFrame) -> DataFrame:
+    """The search rows of summaries: one text for each of ``meetings`` (meeting_id, title, executive_summary), of its title, its
+    summary, and of ``items`` (meeting_id, kind, idx, topic, text) the key points with their topic, decisions and actions;
+    a line each, in order. Kinds and columns are those of the index: kind, meeting_id, ref, start_ms, speaker, text."""
+    place = F.element_at(F.create_map(F.lit("key_point"), F.lit(1), F.lit("decision"), F.lit(2), F.lit("action_item"), F.lit(3)), F.col("kind"))
+    line = F.when(F.col("kind") == "key_point", F.concat(F.coalesce("topic", F.lit("")), F.lit(". "), F.coalesce("text", F.lit("")))).otherwise(F.coalesce("text", F.lit("")))
+    told = items.withColumn("_place", place).filter(F.col("_place").isNotNull()).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("_place", "idx", line.alias("line")))).alias("_lines"))
+    head = F.array(F.coalesce("title", F.lit("")), F.coalesce("executive_summary", F.lit("")))
+    lines = F.coalesce(F.transform("_lines", lambda x: x["line"]), F.array().cast("array<string>"))
+    out = meetings.join(told, "meeting_id", "left")
+    return out.select(
+        F.lit("summary").alias("kind"), "meeting_id", F.lit("summary").alias("ref"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("string").alias("speaker"), F.array_join(F.concat(head, lines), "\n").alias("text")
+    )
+
+
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     """Writes ``df`` so that the partitions it holds replace those of the same keys, and others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

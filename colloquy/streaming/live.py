@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,18 +18,20 @@ def live_progress(events: DataFrame, lateness: str = "1 hour", keep_ms: int = 86
     once event time has moved on by ``keep_ms`` without an event of it."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = set(state.get[0].split(",")) - {""} if state.exists else set()
+        done, last = (set(state.get[0].split(",")) - {""}, state.get[1]) if state.exists else (set(), 0)
         if state.hasTimedOut:  # nothing has come for as long as a run is followed
             state.remove()
             return
         for b in batches:
             done |= set(b.loc[b["status"] == "completed", "stage_name"])
-        state.update((",".join(sorted(done)),))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
+            last = max(last, int(b["ms"].max()))
+        state.update((",".join(sorted(done)), last))
+        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
         part = sum(WEIGHTS.get(s, 0) for s in done) / sum(WEIGHTS.values())
         yield pd.DataFrame({"run_id": [key[0]], "stages": [len(done)], "fraction": [part if part >= 1 else min(part, 0.99)]})
 
-    return events.withWatermark("ts", lateness).groupBy("run_id").applyInPandasWithState(update, "run_id long, stages int, fraction double", "done string", "update", GroupStateTimeout.EventTimeTimeout)
+    timed = events.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", lateness)
+    return timed.groupBy("run_id").applyInPandasWithState(update, "run_id long, stages int, fraction double", "done string, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stale_heartbeats(beats: DataFrame, silence_ms: int = 600_000, lateness: str = "0 seconds") -> DataFrame:
@@ -56,13 +59,102 @@ def first_events(events: DataFrame, keys: list[str], lateness: str = "1 hour") -
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
 
 
+def idempotent_events(events: DataFrame, keys: list[str], shape: list[str], order: str, lateness: str = "1 hour", keep_ms: int = 86_400_000) -> DataFrame:
+    """What each key was first used for, as events (keys, shape, order, ts) arrive, in update mode: keys, the smallest ``order``
+    and the ``shape`` of that event (whatever came first, the earliest counts), whether any other of the key's events differs
+    from it (conflict), and how many there were.
+
+    A key is forgotten once event time has moved on by ``keep_ms`` without an event of it. What is held of a key is one
+    event and whether a second shape was seen, however often it is used. Keys that are null are a key as any other.
+    """
+    fields = [order, *shape]
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    out = ", ".join(f"`{c}` {types[c]}" for c in [*keys, *fields]) + ", conflict boolean, events long"
+    held = ", ".join(f"`{c}` {types[c]}" for c in fields) + ", conflict boolean, events long, last long"
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, conflict, n, last = (tuple(state.get[: len(fields)]), *state.get[len(fields) :]) if state.exists else (None, False, 0, 0)
+        for b in batches:
+            rows = list(b[fields].itertuples(index=False, name=None))
+            least = min(rows, key=lambda r: r[0])
+            first = least if first is None or least[0] < first[0] else first
+            conflict = conflict or len({r[1:] for r in rows} | {first[1:]}) > 1 or (state.exists and tuple(state.get[1 : len(fields)]) != first[1:])
+            n, last = n + len(rows), max(last, int(b["_ms"].max()))
+        first = tuple(x.item() if hasattr(x, "item") else x for x in first)
+        state.update((*first, bool(conflict), n, last))
+        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, *first, bool(conflict), n)], columns=[*keys, *fields, "conflict", "events"])
+
+    return events.withColumn("_ms", F.unix_millis("ts")).withWatermark("ts", lateness).groupBy(*keys).applyInPandasWithState(update, out, held, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def sliding_counts(events: DataFrame, key: str, width: str = "1 minute", step: str = "10 seconds", lateness: str = "1 minute") -> DataFrame:
     w = F.window("ts", width, step)
     return events.withWatermark("ts", lateness).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def live_conversation_stats(turns: DataFrame, bucket: str = "1 minute", lateness: str = "5 minutes") -> DataFrame:
-    """Turns and speaking time (meeting_id, speaker_label, ts, dur_ms) per bucket; turns later than the watermark are dropped."""
-    w = F.window("ts", bucket)
-    out = turns.withWatermark("ts", lateness).groupBy(w, "meeting_id", "speaker_label").agg(F.count("*").alias("turns"), F.sum("dur_ms").alias("speaking_ms"))
-    return out.select("meeting_id", "speaker_label", F.col("window.start").alias("start"), "turns", "speaking_ms")
+#: Days by which no turn is late.
+_FAR = 36_500
+
+
+def _union(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def live_conversation_stats(turns: DataFrame, bucket_ms: int = 60_000, lateness: str = "5 minutes") -> DataFrame:
+    """Speaking time of each speaker in each bucket of time, as turns (meeting_id, speaker_label, ts: when it begins, start_ms and
+    end_ms since 1970) arrive in any order; in update mode: meeting_id, speaker_label, start_ms (of the bucket), turns
+    (that begin in it), speaking_ms (length of the union of the speaker's turns, cut at the bucket's ends), late.
+
+    A bucket is closed once the watermark has passed its end; until then its totals are those of the batch operators. Of a
+    speaker the union of the turns in open buckets is held, and no turn. What a turn has in closed buckets is lost: turns that
+    begin in one are counted in a row of their own (start_ms null, late: how many so far). A speaker's state goes with the last
+    of its open buckets.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"spans": [], "turns": {}, "late": 0}
+        closed = max(state.getCurrentWatermarkMs(), 0) // bucket_ms * bucket_ms
+        began = {int(b): n for b, n in held["turns"].items() if int(b) >= closed}
+        spans, late, touched = [[max(s, closed), e] for s, e in held["spans"] if e > closed], 0, set()
+        if state.hasTimedOut:
+            if not spans and not began:
+                state.remove()
+                return
+        for b in batches if not state.hasTimedOut else ():
+            for s, e in zip(b["start_ms"].tolist(), b["end_ms"].tolist()):
+                if s < closed:
+                    late += 1
+                else:
+                    at = s // bucket_ms * bucket_ms
+                    began[at] = began.get(at, 0) + 1
+                    touched.add(at)
+                if e > max(s, closed):
+                    spans.append([max(s, closed), e])
+                    touched.update(range(max(s, closed) // bucket_ms * bucket_ms, e, bucket_ms))
+        spans = _union(spans)
+        state.update((json.dumps({"spans": spans, "turns": began, "late": held["late"] + late}),))
+        ends = [e for _, e in spans] + [at + bucket_ms for at in began]
+        state.setTimeoutTimestamp(max(-(-max(ends, default=0) // bucket_ms) * bucket_ms, closed + bucket_ms))
+        inside = lambda at: sum(max(0, min(e, at + bucket_ms) - max(s, at)) for s, e in spans)
+        rows = [(*key, at, began.get(at, 0), inside(at), None) for at in sorted(touched)]
+        rows += [(*key, None, None, None, held["late"] + late)] if late else []
+        if rows:
+            out = pd.DataFrame(rows, columns=["meeting_id", "speaker_label", "start_ms", "turns", "speaking_ms", "late"], dtype=object)
+            yield out.astype(dict.fromkeys(("start_ms", "turns", "speaking_ms", "late"), "Int64"))
+
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
+    schema = f"meeting_id {kinds['meeting_id']}, speaker_label {kinds['speaker_label']}, start_ms long, turns long, speaking_ms long, late long"
+    # Event time and the watermark's delay are both put off by as much: the watermark stays what it is, and Spark, which would
+    # drop late turns uncounted, takes none for late.
+    marked = turns.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {_FAR} DAYS")).withWatermark("ts", f"{_FAR} days {lateness}")
+    return marked.groupBy("meeting_id", "speaker_label").applyInPandasWithState(update, schema, "held string", "update", GroupStateTimeout.EventTimeTimeout)

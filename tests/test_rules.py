@@ -10,7 +10,6 @@ from colloquy.operators import align as al
 from colloquy.operators import evaluate as ev
 from colloquy.operators import language as lg
 from colloquy.operators import minutes as mi
-from colloquy.operators import search as se
 from colloquy.operators import turns as tn
 from pyspark.sql import functions as F
 
@@ -73,10 +72,47 @@ def test_merged_items(spark):
     rows = [("action_item", "send the report", "Unassigned", [3], "low", "medium", None, None, "A"), ("action_item", "send the report now", "B", [4], "high", "low", "friday", None, "B"), ("action_item", "send the report", "B", [3], "low", "low", "monday", None, "A")]
     frame = items_of(spark, rows)
     (r,) = mi.merge_items(frame, mi.dedupe_items(frame)).collect()
-    assert (r.text, r.owner, r.evidence, r.confidence, r.priority, r.due, r.speakers_involved, r.n_merged) == ("send the report", "B", [[3], [4]], "high", "medium", "monday", ["A", "B"], 3)
+    assert (r.text, r.owner, r.evidence, r.confidence, r.priority, r.due, r.speakers_involved, r.n_merged) == ("send the report", "B", [[3], [4]], "low", "medium", "monday", ["A"], 3)
     assert mi.dedupe_items(frame.limit(0)).count() == 0
 
 
+def brute_merge(rows):
+    """Each group of ``brute_dedupe`` by the rules of its kind, one item joining after the other."""
+    into, out = brute_dedupe([r[:4] for r in rows]), {}
+    rank = ["low", "medium", "high"].index
+    for i, (kind, text, owner, ids, confidence, priority, due, rationale, speaker) in sorted(enumerate(rows), key=lambda x: (min(x[1][3], default=0), x[0])):
+        if into[i] == i:
+            out[i] = {"kind": kind, "text": text, "owner": owner, "evidence": [ids], "confidence": confidence, "priority": priority, "due": due, "rationale": rationale, "speakers_involved": [speaker]}
+            continue
+        k = out[into[i]]
+        k["evidence"] += [ids] if ids not in k["evidence"] else []
+        if kind == "decision":
+            k["confidence"] = max(k["confidence"], confidence, key=rank)
+            k["rationale"] = k["rationale"] or rationale
+        if kind == "action_item":
+            k["owner"] = owner if k["owner"] == "Unassigned" else k["owner"]
+            k["due"] = k["due"] or due
+            k["priority"] = max(k["priority"], priority, key=rank)
+        if kind == "key_point":
+            k["speakers_involved"] += [speaker] if speaker not in k["speakers_involved"] else []
+    return out
+
+
+def test_merge_by_kind_against_plain_python(spark):
+    dice = random.Random(6)
+    words, ranks = ["budget", "budgets", "plan", "plans", "review", "team", "ship"], ["low", "medium", "high"]
+    rows = [
+        (dice.choice(["action_item", "decision", "key_point", "open_question"]), " ".join(dice.choice(words) for _ in range(dice.randint(1, 3))), dice.choice(["A", "B", "Unassigned"]), sorted(dice.sample(range(12), dice.randint(0, 2))),
+         dice.choice(ranks), dice.choice(ranks), dice.choice([None, "", "friday", "monday"]), dice.choice([None, "", "cheap", "fast"]), dice.choice("ABC"))
+        for _ in range(90)
+    ]
+    frame = items_of(spark, rows)
+    got = {r.idx: r.asDict() for r in mi.merge_items(frame, mi.dedupe_items(frame)).collect()}
+    want = brute_merge(rows)
+    assert sum(len(g["evidence"]) > 1 for g in want.values()) > 10
+    assert {i: {c: (r[c] or None) for c in want[i]} for i, r in got.items()} == {i: {c: (v or None) for c, v in k.items()} for i, k in want.items()}
+
+
 def test_supersession(spark):
     rows = [(1, i, topic, f"d{i}") for i, topic in enumerate(["vendor selection", "vendors selections", "", "", "vendor selection"])]
     got = mi.resolve_supersession(spark.createDataFrame(rows, "meeting_id long, idx long, topic string, text string")).orderBy("idx").collect()
@@ -233,13 +269,6 @@ def test_edits_and_partial_ratio():
         assert st.partial_ratio(a, b) == pytest.approx(want)
 
 
-def test_trigrams_of_letters_that_grow(spark):
-    index = spark.createDataFrame([(1, 0, "abİxyz"), (1, 1, "xy")], "meeting_id long, ref long, text string")
-    table = se.trigram_table(index)
-    assert [r.ref for r in se.search_by_trigrams(index, table, "XYZ").collect()] == [0]
-    assert [r.ref for r in se.search_by_trigrams(index, table, "xy").orderBy("ref").collect()] == [0, 1]
-
-
 def test_relinked_segments_are_cut_to_what_chunks_own(spark):
     chunks = spark.createDataFrame([(1, 0, 0, 60), (1, 1, 40, 100)], "meeting_id long, chunk long, start_ms long, end_ms long")
     segments = spark.createDataFrame([(1, 0, "a", 30, 58), (1, 1, "z", 0, 30), (1, 1, "q", 40, 60)], "meeting_id long, chunk long, label string, start_ms long, end_ms long")
