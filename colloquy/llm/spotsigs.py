@@ -10,14 +10,18 @@ words. The fingerprint is a hash of the set, and likeness is the sets' Jaccard s
 first document of each bucket goes to the bucket before too, so that every document finds its next one in its own bucket:
 each text is shuffled once, and no task holds more than a bucket's rows in order.
 
-``near_copies`` finds documents alike over the whole table. Sets are partitioned by length so that two sets with a
-similarity at the threshold are in one partition or in neighbouring ones; each posts the signatures of its prefix in both;
-sets of unlike size are pruned, and the others compared on whole sets.
+``near_copies`` searches the whole table for documents alike. Equal sets are one class. Sets are partitioned by length, so that
+two that can be alike are in one partition or in neighbouring ones; each class posts the rarest signatures of its set, as many
+as it takes for alike sets to share one, in its partition and in the next. A posting list compares its longest member with
+the others, on whole sets and only where sizes fit; members of one component need not meet any more, so a group of copies has
+about as many comparisons as members. After ``ROUNDS`` longest members, what is left of a list meets pairwise, dealt over
+cells of ``CELL`` members by all others.
 
 Edge cases: null text is empty; a text without words has no signatures and is like nothing but another such text; equal
 fingerprints have a likeness of 1; rows without doc_id come before all others and take part; repeated rows are
 documents of their own, next to each other; a table of one row is its own next document; an empty table gives no rows.
-Other columns are not read by ``fingerprints`` and ``near_copies``.
+Other columns are not read. In ``near_copies`` rows of one doc_id have the links of
+each of them, and rows without signatures or doc_id are alone.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, freed_shuffles, materialize
+from .components import components
 from .decontaminate import words
 
 #: Content words after an anchor that make a signature with it.
@@ -44,6 +49,8 @@ ANCHORS = tuple(
 )
 #: Bytes of text in a bucket of neighbouring documents, about, and the most buckets that there can be.
 BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 65_536
+#: Members of a posting list that are compared with all others, one after the other, before the rest meets; members of a cell.
+ROUNDS, CELL = 4, 256
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -131,3 +138,99 @@ def fingerprints(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chain: int
     both = changed.withColumn("edited_sigs", signatures(F.col("edited_text"), anchors, chain))
     near = {name: likeness(F.col("sigs"), F.col(other)).alias(name) for name, other in (("near_edited", "edited_sigs"), ("near_next", "next_sigs"))}
     return both.select("doc_id", "text", "sigs", "edited_text", "edited_sigs", *near.values())
+
+
+# -- alike documents of the whole table -------------------------------------------------------
+
+
+def length_bounds(most: int, num: int, den: int) -> list[int]:
+    """The smallest length of each partition: no set is alike to one two partitions further."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * den // num + 1)
+    return out
+
+
+def _classes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Per class of equal sets: node, fp, doc_id (the smallest), n, part, codes (its signatures' hashes), prefix (the rarest)."""
+    own = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("codes").alias("codes"))
+    own = materialize(own.withColumn("node", F.monotonically_increasing_id()), "spot-classes")
+    parts = own.select("node", "n", F.explode("codes").alias("c"))
+    ranked = parts.join(parts.groupBy("c").agg(F.count("*").alias("m")), "c").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("m", "c"))).alias("r"))
+    least = F.ceil(F.col("n") * num / den)  # shared at least with any set alike
+    prefix = F.transform(F.slice("r", F.lit(1), (F.col("n") - least + 1).cast("int")), lambda x: x["c"])
+    bounds = F.array(*map(F.lit, length_bounds(own.agg(F.max("n")).first()[0] or 0, num, den)))
+    part = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
+    return materialize(own.join(ranked.select("node", prefix.alias("prefix")), "node").withColumn("part", part), "spot-classes")
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sets are alike."""
+    side = lambda name: classes.select(F.col("node").alias(name), F.col("codes").alias(f"{name}_codes"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("a_codes", "b_codes"))
+    return both.filter(shared * den >= (F.size("a_codes") + F.size("b_codes") - shared) * num).select("a", "b")
+
+
+def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between classes that lead to all that are alike: node, component."""
+    homes = F.array(*(F.struct((F.col("part") + k).alias("p"), F.lit(bool(k)).alias("up")) for k in (0, 1)))
+    posted = classes.select("node", "n", F.explode("prefix").alias("c"), homes.alias("homes")).select("node", "n", "c", F.explode("homes").alias("h"))
+    lists = posted.select("node", "n", "h.up", F.xxhash64("c", "h.p").alias("tok"))
+    fits = (F.least("n", "n_2") * den >= F.greatest("n", "n_2") * num) & ~(F.col("up") & F.col("up_2"))
+    labels, links = classes.select("node", F.col("node").alias("component")), None
+
+    def open_lists(now: DataFrame) -> DataFrame:
+        """What is in lists of more than one component still."""
+        labelled = now.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("tok")
+        return materialize(labelled.join(mixed, "tok"), "spot-lists")
+
+    for round_ in range(ROUNDS + 1):
+        live = open_lists(lists)
+        if live.isEmpty():
+            break
+        other = lambda df: df.withColumnsRenamed({c: f"{c}_2" for c in ("node", "n", "up", "component")})
+        if round_ < ROUNDS:
+            first = F.struct("n", "node", "up", "component")
+            hubs = live.groupBy("tok").agg(F.max(first).alias("f")).select("tok", "f.*")
+            met = live.join(other(hubs), "tok")
+        else:
+            cells = live.groupBy("tok").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+            dealt = live.join(cells, "tok")
+            one = dealt.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).drop("cells")
+            two = other(dealt.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells"))
+            met = one.join(two, ["tok", "cell"]).filter("node < node_2")
+        pairs = met.filter(fits & (F.col("component") != F.col("component_2"))).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+        found = materialize(_alike(pairs, classes, num, den), "spot-links")
+        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            labels = materialize(components(links), "spot-components")
+        # The longest member has met all others of its list.
+        lists = live.select("node", "n", "up", "tok")
+        if round_ < ROUNDS:
+            lists = lists.join(hubs.select("tok", "node", "up"), ["tok", "node", "up"], "left_anti").select("node", "n", "up", "tok")
+            lists = materialize(lists, "spot-lists")
+        discard(live)
+    return labels
+
+
+def near_copies(docs: DataFrame, num: int = 80, den: int = 100, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """Per row: doc_id, n_sigs, fingerprint and class_id, the smallest doc_id that links of a similarity of ``num / den`` lead to,
+    itself included. Signatures are compared by 64-bit hashes."""
+    with freed_shuffles(docs.sparkSession):
+        sigs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text"), anchors, chain).alias("sigs"))
+        sets = materialize(sigs.select("doc_id", F.size("sigs").alias("n"), fingerprint(F.col("sigs")).alias("fp"), F.transform("sigs", lambda x: F.xxhash64(x)).alias("codes")), "spots")
+        classes = _classes(sets, num, den)
+        found = classes.select("fp", "node").join(_links(classes, num, den), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+        rows = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "fp").distinct().join(found, "fp")
+        # A document with several rows joins their components.
+        by_doc = rows.select("doc_id", "component").distinct()
+        lead = by_doc.groupBy("doc_id").agg(F.min("component").alias("lo"))
+        bridges = by_doc.join(lead, "doc_id").select(F.col("component").alias("a"), F.col("lo").alias("b")).filter("a <> b").distinct()
+        joined = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        whole = materialize(by_doc.join(joined, "component", "left").select("doc_id", F.coalesce("whole", "component").alias("whole")).distinct(), "spot-leads")
+        leads = whole.groupBy("whole").agg(F.min("doc_id").alias("class_id"))
+        of = materialize(whole.join(leads, "whole").select(F.col("doc_id").alias("_d"), "class_id").distinct(), "spot-leads")
+    joined = sets.join(of, (F.col("doc_id") == F.col("_d")) & (F.col("n") > 0), "left")
+    return joined.select("doc_id", F.col("n").alias("n_sigs"), F.col("fp").alias("fingerprint"), F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -187,7 +187,53 @@ def test_fingerprints_by_brute_force(spark, monkeypatch, size):
 
 
 def test_fingerprint_is_of_the_set(spark):
-    df = spark.createDataFrame([("the cat dog runs. The cat dog runs",), ("the cat dog runs",)], "text string")
-    a, b = df.select(spotsigs.fingerprint(spotsigs.signatures(F.col("text")))).collect()
-    assert a[0] != b[0]  # "dog runs the cat" and "runs the cat" chains of the first
-    assert spotsigs.fingerprint and b[0] == hashlib.sha256(b"the cat dog runs").hexdigest()
+    df = spark.createDataFrame([("the cat dog runs. The cat dog runs",), ("the cat dog runs",), ("the cat dog ran",)], "text string")
+    a, b, c = (r[0] for r in df.select(spotsigs.fingerprint(spotsigs.signatures(F.col("text")))).collect())
+    assert a == b != c
+    assert b == hashlib.sha256(b"the cat dog runs").hexdigest()
+
+
+def brute_near(rows, num, den):
+    sets = [(i, set(brute_signatures(t))) for i, t in rows]
+    lead = {i: i for i, _ in rows if i is not None}
+
+    def root(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if i is not None and j is not None and a and b and den * len(a & b) >= num * len(a | b):
+            lead[max(root(i), root(j))] = min(root(i), root(j))
+    return Counter((i, len(s), None if i is None else root(i) if s else i) for i, s in sets)
+
+
+@pytest.mark.parametrize(("rounds", "cell"), [(4, 256), (0, 3), (1, 2)])
+def test_near_copies_by_brute_force(spark, monkeypatch, rounds, cell):
+    monkeypatch.setattr(spotsigs, "ROUNDS", rounds)
+    monkeypatch.setattr(spotsigs, "CELL", cell)
+    dice = random.Random(14)
+    content = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(dice.choice(["the", "of", "is", *content, *content]) for _ in range(n))
+    rows, base = [], [text(150) for _ in range(4)]
+    for i in range(60):
+        words = dice.choice(base).split()
+        for _ in range(dice.choice([0, 1, 2, 4, 8])):
+            words[dice.randrange(len(words))] = dice.choice(content)
+        rows.append((i * 7 % 61, " ".join(words[: dice.choice([150, 150, 135, 120])])))
+    rows += [(100 + i, text(dice.randint(0, 40))) for i in range(10)] + [(200, None), (201, "!"), (202, "no anchors here"), (203, "no anchors here"), (None, base[0]), (300, base[1]), (300, base[2]), (0, base[3])]
+    docs = with_clashes(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.n_sigs, r.class_id) for r in spotsigs.near_copies(docs, 80, 100).collect())
+    want = brute_near(rows, 80, 100)
+    # A row without signatures of an id whose other rows have some is alone.
+    assert got == want
+    assert len({c for _, _, c in want}) < 45
+    assert spotsigs.near_copies(docs.limit(0)).collect() == []
+
+
+def test_length_partitions():
+    bounds = spotsigs.length_bounds(5_000, 80, 100)
+    part = lambda n: sum(b <= n for b in bounds)
+    for a in range(1, 1_500):
+        b = a * 100 // 80  # the longest that can be alike
+        assert part(b) - part(a) <= 1
