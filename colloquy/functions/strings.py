@@ -30,10 +30,56 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not n else 200.0 * lcs(a, b) / n
 
 
+#: Parts of a text that are scored at once.
+PARTS = 256
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _bounds(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each part of y that begins at 1 - len(x) and on: how many characters it has in common with x at most, and its length."""
+    n, m = len(x), len(y)
+    begin = np.clip(np.arange(1 - n, m), 0, m)
+    end = np.clip(np.arange(1, m + n), 0, m)
+    shared = np.zeros(len(begin), dtype=np.int64)
+    for c, k in zip(*np.unique(x, return_counts=True), strict=True):
+        seen = np.concatenate([[0], np.cumsum(y == c)])
+        shared += np.minimum(seen[end] - seen[begin], k)
+    return shared, end - begin
+
+
+def _lcs_of_parts(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """LCS of x with each part of y that begins at ``at`` and is as long as x, all at once: a bit for each character of x, in
+    machine words; an addition passes its carry on to the next word. What is outside y matches nothing."""
+    n, words = len(x), -(-len(x) // 64)
+    kinds, of_x = np.unique(x, return_inverse=True)
+    masks = np.zeros((len(kinds) + 1, words), dtype=np.uint64)
+    for i, k in enumerate(of_x.ravel()):
+        masks[k, i // 64] |= np.uint64(1 << i % 64)
+    found = np.searchsorted(kinds, y)
+    of_y = np.where(kinds[np.minimum(found, len(kinds) - 1)] == y, found, len(kinds))
+    padded = np.concatenate([np.full(n, len(kinds)), of_y, np.full(n, len(kinds))])
+    rows = np.full((words, len(at)), ~np.uint64(0))
+    for j in range(n):
+        hit = masks[padded[at + n + j]]
+        carry = np.zeros(len(at), dtype=np.uint64)
+        for k in range(words):
+            own, u = rows[k], rows[k] & hit[:, k]
+            part = own + u
+            total = part + carry
+            rows[k] = total | (own - u)
+            carry = ((part < u) | (total < carry)).astype(np.uint64)
+    rows[-1] |= ~np.uint64((1 << (n - 1) % 64 + 1) - 1)  # what is beyond x
+    return np.bitwise_count(~rows).sum(axis=0).astype(np.int64)
+
+
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter text with any part of that length of the longer (shorter parts at the ends too).
 
-    Parts are tried in order of the characters that they have in common with the shorter text, which bounds their ratio.
+    Parts are tried some hundred at once, in order of the characters that they have in common with the shorter text, which bounds
+    their ratio.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -41,22 +87,16 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    n, missing, shared, bounds = len(a), Counter(a), 0, []
-    for k in range(1 - n, len(b)):
-        if k + n <= len(b):  # a character comes in
-            c = b[k + n - 1]
-            shared += missing[c] > 0
-            missing[c] -= 1
-        if k > 0:  # and one goes
-            c = b[k - 1]
-            missing[c] += 1
-            shared -= missing[c] > 0
-        bounds.append((200.0 * shared / (n + min(k + n, len(b)) - max(k, 0)), k))
-    best = 0.0
-    for most, k in sorted(bounds, reverse=True):
-        if most <= best:
+    x, y = _codes(a), _codes(b)
+    shared, length = _bounds(x, y)
+    bounds = 200.0 * shared / (len(x) + length)
+    order, best = np.argsort(-bounds, kind="stable"), 0.0
+    for i in range(0, len(order), PARTS):
+        some = order[i : i + PARTS]
+        some = some[bounds[some] > best]
+        if not len(some):
             break
-        best = max(best, ratio(a, b[max(k, 0) : k + n]))
+        best = max(best, float((200.0 * _lcs_of_parts(x, y, some + 1 - len(x)) / (len(x) + length[some])).max()))
     return best
 
 
@@ -76,19 +116,32 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def edits(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences, a row of the table at a time."""
-    if len(a) < len(b):
+    """Levenshtein distance of two sequences, a column of the table at a time: its steps up and down are the bits of two
+    machine integers of any size. Equal beginnings and ends are left out."""
+    first, last = 0, 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if len(a) > len(b):
         a, b = b, a
-    codes: dict = {}
-    x, y = (np.array([codes.setdefault(v, len(codes)) for v in s], dtype=np.int64) for s in (a, b))
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, v in enumerate(x, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != v))
-        row = np.minimum.accumulate(new - steps) + steps  # an insertion costs 1 for each step to the right
-    return int(row[-1])
+    if not a:
+        return len(b)
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full, top, out = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0
+    for y in b:
+        x = where.get(y, 0) | down
+        same = (((x & up) + up) ^ up) | x
+        fewer, more = up & same, down | (full & ~(up | same))
+        out += (more & top > 0) - (fewer & top > 0)
+        more = more << 1 | 1
+        down = more & same & full
+        up = (fewer << 1 | ~(more | same)) & full
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
