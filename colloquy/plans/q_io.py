@@ -49,12 +49,51 @@ def _(s, d):
     return rd.read_reference_words(s, path).drop("meeting_id")
 
 
-@query("S6_normalize_documents", w(_U) + "SELECT meeting_id::VARCHAR AS meeting_id, string_agg(DISTINCT primary_language, ',' ORDER BY primary_language) AS detected_languages, count(DISTINCT speaker) AS num_speakers FROM utterances GROUP BY 1")
-def _(s, d):
-    u = ln.utterances(s, d)
-    rows = F.collect_list(F.struct(F.col("utterance_index").cast("int").alias("id"), "speaker", "start_ms", "end_ms", "text", F.col("primary_language").alias("language")))
-    docs = u.groupBy(F.col("meeting_id").cast("string").alias("meeting_id")).agg(rows.alias("transcript")).select(F.to_json(F.struct("meeting_id", "transcript")).alias("document"))
-    return rd.normalize_documents(docs)["rollup"].withColumn("detected_languages", F.array_join("detected_languages", ","))
+def _legacy(s, d):
+    """The conversations as nested documents, with the runs of the customer of that number; written, and read as JSON text."""
+    u = ln.utterances(s, d).withColumn("meeting_id", F.col("meeting_id").cast("string"))
+    row = F.struct(F.col("utterance_index").cast("int").alias("id"), "speaker", "start_ms", "end_ms", "text", F.col("primary_language").alias("language"))
+    told = u.groupBy("meeting_id").agg(F.collect_list(row).alias("transcript"), F.count("*").alias("n"))
+    stages = ln.stage_results(s, d).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(F.col("stage_name").alias("name"), "status", "duration_ms"))).alias("stages"))
+    ran = ln.runs(s, d).join(stages, "run_id", "left").groupBy(F.col("meeting_id").cast("string").alias("meeting_id")).agg(F.collect_list(F.struct(F.col("run_id").cast("string").alias("run_id"), "status", "stages")).alias("runs"))
+    m, speaker = F.col("meeting_id").cast("long"), lambda x: F.struct(F.lit(x).alias("speaker"))
+    odd = told.join(ran, "meeting_id", "left").select(
+        "meeting_id", "transcript", "runs", F.when(m % 3 == 0, F.array(speaker("guest"), speaker("Unknown"))).alias("turns"), F.when(m % 4 == 0, F.array(speaker("host"))).alias("analytics"),
+        F.when(m % 2 == 0, F.create_map(F.lit("user"), F.lit("The user"), F.lit("late"), F.lit("Latecomer"))).alias("names"),
+        F.when(m % 5 > 0, F.struct(F.concat(F.lit("Meeting "), "meeting_id").alias("title"), F.concat(F.col("n").cast("string"), F.lit(" utterances")).alias("text"))).alias("summary"), F.lit("new").alias("added_later"),
+    )
+    path = replay.folder(s, "documents")
+    odd.select(F.to_json(F.struct(*odd.columns)).alias("document")).write.text(path)
+    return rd.normalize_documents(s.read.text(path).withColumnRenamed("value", "document"))
+
+
+_LABELS = """m AS (SELECT DISTINCT meeting_id FROM utterances),
+lab AS (SELECT DISTINCT meeting_id, speaker AS label FROM utterances UNION SELECT meeting_id, 'guest' FROM m WHERE meeting_id % 3 = 0 UNION SELECT meeting_id, 'host' FROM m WHERE meeting_id % 4 = 0
+  UNION SELECT meeting_id, unnest(['user', 'late']) FROM m WHERE meeting_id % 2 = 0),
+sm AS (SELECT meeting_id, 'Meeting ' || meeting_id AS title, count(*) || ' utterances' AS text FROM utterances WHERE meeting_id % 5 > 0 GROUP BY 1)"""
+_S6 = {
+    "runs": (ln.SQL["runs"], "SELECT r.meeting_id::VARCHAR AS meeting_id, run_id::VARCHAR AS run_id, status FROM runs r JOIN m ON r.meeting_id = m.meeting_id"),
+    "stages": (f"{ln.SQL['runs']}, {ln.SQL['stage_results']}", "SELECT g.run_id::VARCHAR AS run_id, stage_name AS name, g.status, duration_ms FROM stage_results g JOIN runs r ON r.run_id = g.run_id JOIN m ON r.meeting_id = m.meeting_id"),
+    "utterances": ("", "SELECT meeting_id::VARCHAR AS meeting_id, utterance_index::INT AS id, speaker, start_ms, end_ms, md5(text) AS text, primary_language AS language FROM utterances"),
+    "speakers": ("", "SELECT meeting_id::VARCHAR AS meeting_id, label, CASE WHEN meeting_id % 2 = 0 THEN CASE label WHEN 'user' THEN 'The user' WHEN 'late' THEN 'Latecomer' END END AS display_name FROM lab"),
+    "summaries": ("", "SELECT meeting_id::VARCHAR AS meeting_id, title, md5(text) AS text FROM sm"),
+    "search": ("", "SELECT 'utterance' AS kind, meeting_id::VARCHAR AS meeting_id, utterance_index::INT AS ref, md5(text) AS text FROM utterances UNION ALL SELECT 'summary', meeting_id::VARCHAR, NULL, md5(title || chr(10) || text) FROM sm"),
+    "rollup": ("", "SELECT u.meeting_id::VARCHAR AS meeting_id, string_agg(DISTINCT primary_language, ',' ORDER BY primary_language) AS detected_languages, (SELECT count(*) FROM lab WHERE lab.meeting_id = u.meeting_id) AS num_speakers FROM utterances u GROUP BY u.meeting_id"),
+}
+
+
+def _legacy_table(name):
+    def f(s, d):
+        t = _legacy(s, d)[name]
+        if name == "rollup":
+            return t.withColumn("detected_languages", F.array_join("detected_languages", ","))
+        return t.withColumn("text", F.md5("text")) if "text" in t.columns else t
+
+    return f
+
+
+for _name, (_more, _sql) in _S6.items():
+    query("S6_normalize_documents" if _name == "rollup" else f"S6_documents_{_name}", w(*[x for x in (_U, _more, _LABELS) if x]) + _sql)(_legacy_table(_name))
 
 
 def _part(name):
