@@ -56,7 +56,7 @@ def _parent(path: Column) -> Column:
 
 def _texts(spark: SparkSession, path: str, name: str, key: Callable[[Column], Column], language: Callable[[Column], Column]) -> DataFrame:
     p = F.col("_metadata.file_path")
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(key(p).alias("stem"), language(p).alias("language"), F.trim("value", F.lit(" \t\r\n")).alias(name))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(key(p).alias("stem"), language(p).alias("language"), F.trim("value", F.lit(" \t\r\n")).alias(name))
 
 
 def pair_by_stem(spark: SparkSession, hypotheses: str, references: str, key: Callable[[Column], Column] = _stem, language: Callable[[Column], Column] = _parent) -> tuple[DataFrame, DataFrame]:
@@ -67,6 +67,17 @@ def pair_by_stem(spark: SparkSession, hypotheses: str, references: str, key: Cal
     return r.join(h, "stem"), skipped
 
 
+def read_language_spans(spark: SparkSession, path: str, key: Callable[[Column], Column] | None = None, pattern: str = "*.lang.json") -> DataFrame:
+    """Who speaks which language when, of files beside the references: stem, start_ms, end_ms, language. Each file is a JSON array of
+    spans with start and end in seconds; spans without both, or without a language, are left out."""
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.lang\.json$", "")
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    spans = F.from_json("value", "array<struct<start: double, end: double, language: string>>")
+    each = raw.select((key(F.col("_metadata.file_path")) if key else name).alias("stem"), F.explode(spans).alias("s"))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return each.select("stem", ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), "s.language").filter("start_ms IS NOT NULL AND end_ms IS NOT NULL AND language IS NOT NULL")
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return raw.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -7,6 +7,7 @@ import pytest
 from colloquy.operators import ops
 from colloquy.operators import transcript as tr
 from colloquy.sources import documents as dc
+from colloquy.sources import readers as rd
 from colloquy.sources import sinks as sk
 from pyspark.sql import functions as F
 
@@ -99,3 +100,13 @@ def test_sketches_merge_within_their_errors(spark, shape):
         users = len({w for k, w, _, _ in rows if k == r.kind})
         assert abs(r.n_distinct - users) <= 4 * ops.COUNT_ERROR * users
     assert ops.merge_sketches(small.filter(F.lit(False)), ["kind"]).count() == 0
+
+
+def test_language_spans(spark, tmp_path):
+    (tmp_path / "en").mkdir()
+    (tmp_path / "en" / "a.b.lang.json").write_text('[{"start": 0.5, "end": 1.25, "language": "en"}, {"start": 2, "end": 3}, {"start": 1.2, "language": "hi"}]')
+    (tmp_path / "c.lang.json").write_text('[{"end": 9, "start": 8, "language": "or", "note": "x"}]')
+    (tmp_path / "d.lang.json").write_text("no json")
+    (tmp_path / "a.txt").write_text("[]")
+    got = sorted(map(tuple, rd.read_language_spans(spark, str(tmp_path)).collect()))
+    assert got == [("a.b", 500, 1_250, "en"), ("c", 8_000, 9_000, "or")]
