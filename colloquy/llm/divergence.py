@@ -97,7 +97,9 @@ def counted(docs: DataFrame, min_docs: int = MIN_DOCS, digest: Digest = F.xxhash
 
     kept = materialize(of_lang(counts, "digest"), "kept-terms")
     wanted = materialize(kept.select("digest").distinct(), "kept-digests")
-    spans = materialize(_strings(rows, wanted, digest).groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")), "spans")
+    # With a count, or Spark would leave the strings of each task as often as they are there, and sort them.
+    spans = _strings(rows, wanted, digest).groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last"), F.count("*").alias("strings"))
+    spans = materialize(spans, "spans")
     collided = materialize(spans.filter("term <> last").select("digest"), "collisions")
     alone = F.lit("").alias("alt")
     terms = spans.filter("term = last").select("digest", alone, "term")
