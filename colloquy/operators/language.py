@@ -145,7 +145,7 @@ def language_shares(spans: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("share", F.when(total > 0, F.col("ms") / total).otherwise(0.0)).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ms"), "language")))
 
 
-def switch_points(spans: DataFrame, order: tuple[str, ...] = ("start_ms", "end_ms")) -> DataFrame:
+def switch_points(spans: DataFrame, order: tuple[str, ...] = ("start_ms", "end_ms", "language", "speaker")) -> DataFrame:
     last = F.lag("language").over(Window.partitionBy("meeting_id").orderBy(*order))
     return spans.withColumn("from_language", last).filter("from_language <> language").select("meeting_id", F.col("start_ms").alias("at_ms"), "from_language", F.col("language").alias("to_language"), "speaker")
 
