@@ -9,7 +9,7 @@ from ..operators import language as lg
 from ..operators import transcript as tr
 from ..sources import sinks as sk
 from . import lenses as ln
-from .q_analytics import BOTH, FULL, _both, _stats, w
+from .q_analytics import BOTH, FULL, _both, _stats, half_even, w
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -84,7 +84,7 @@ def _named(languages):
     return F.array_join(F.transform(languages, lambda x: F.concat(x["language"], F.lit(":"), x["ms"].cast("string"))), ",")
 
 
-_SWP = "sp AS (SELECT * FROM (SELECT meeting_id, start_ms AS at_ms, lag(language) OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms) AS from_language, language AS to_language, speaker FROM lid_windows) WHERE from_language <> to_language)"
+_SWP = "sp AS (SELECT * FROM (SELECT meeting_id, start_ms AS at_ms, lag(language) OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, language NULLS FIRST, speaker NULLS FIRST) AS from_language, language AS to_language, speaker FROM lid_windows) WHERE from_language <> to_language)"
 query("L11_switch_points", w(_L, _SWP) + "SELECT * FROM sp")(lambda s, d: lg.switch_points(_lid(s, d)))
 _SPK = "sk AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY ms DESC, language) AS rank FROM (SELECT meeting_id, coalesce(speaker, 'unknown') AS speaker, language, sum(end_ms - start_ms)::BIGINT AS ms FROM lid_windows GROUP BY 1, 2, 3)), ss AS (SELECT meeting_id, string_agg(speaker || '=' || l, ';' ORDER BY coalesce(try_cast(nullif(regexp_extract(speaker, '([0-9]+)$', 1), '') AS INT), 1 << 30), speaker) AS speakers FROM (SELECT meeting_id, speaker, string_agg(language || ':' || ms, ',' ORDER BY rank) AS l FROM sk GROUP BY 1, 2) GROUP BY 1)"
 query("L12_language_summary", w(_L, _SWP, f"sh AS ({_SH})", _SPK) + "SELECT s.meeting_id, any_value(language) FILTER (rank = 1) AS dominant, string_agg(language || ':' || ms, ',' ORDER BY rank) AS languages, list(round(share, 9) ORDER BY rank) AS shares, (SELECT count(*) FROM sp WHERE sp.meeting_id = s.meeting_id) AS num_switches, any_value(speakers) AS speakers FROM sh s JOIN ss ON ss.meeting_id = s.meeting_id GROUP BY 1")(
@@ -205,12 +205,13 @@ query(
     "K5_utterances_markdown",
     w(_U) + f"SELECT meeting_id, md5('# Transcript' || chr(10) || chr(10) || string_agg(CASE WHEN l IS NULL OR l <> speaker THEN '**' || speaker || '** · ' || {_HMS.format('start_ms')} || chr(10) || chr(10) ELSE '' END || text || chr(10), chr(10) ORDER BY k)) AS markdown FROM (SELECT *, lag(speaker) OVER (PARTITION BY meeting_id ORDER BY k) AS l FROM {_NUM}) GROUP BY 1",
 )(lambda s, d: sk.utterances_markdown(ln.utterances(s, d)).withColumn("markdown", F.md5("markdown")))
-# Seconds and percentages are half-even on their two decimals; ratios of whole numbers are close enough to none to be told apart.
+# Seconds and percentages are half-even on their two decimals, percentages by the whole numbers that they are ratios of.
 _SEC = lambda c: f"round_even({c} / 10, 0) / 100"
-_LANGS = "string_agg(language || ':' || CASE WHEN t > 0 THEN round_even(ms / t * 100, 2)::DOUBLE ELSE 0 END, ';' ORDER BY ms DESC, language)"
+_PCT = lambda a, b: f"CASE WHEN {b} > 0 THEN {half_even(a, b, 4)}::DOUBLE / 100 ELSE 0 END"
+_LANGS = f"string_agg(language || ':' || {_PCT('ms', 't')}, ';' ORDER BY ms DESC, language)"
 _KL = f"kl AS (SELECT meeting_id, speaker AS speaker_label, {_LANGS} AS languages FROM (SELECT *, sum(ms) OVER (PARTITION BY meeting_id, speaker) AS t FROM (SELECT meeting_id, speaker, primary_language AS language, sum(end_ms - start_ms)::BIGINT AS ms FROM utterances WHERE primary_language IS NOT NULL GROUP BY 1, 2, 3)) GROUP BY 1, 2)"
-query("K1_speakers_csv", w(*FULL, _KL) + f"""SELECT meeting_id, speaker_label AS speaker, speaker_label AS display_name, {_SEC('speaking_ms')} AS speaking_time_seconds, round_even(share_of_speech * 100, 2) AS speaking_time_percent_of_speech, round_even(share_of_meeting * 100, 2) AS speaking_time_percent_of_meeting,
-num_segments, round_even(segment_share * 100, 2) AS segment_share_percent, num_turns, {_SEC('longest_ms')} AS longest_utterance_seconds, {_SEC('longest_start_ms')} AS longest_utterance_start, {_SEC('longest_end_ms')} AS longest_utterance_end, word_count,
-{_SEC('first_spoke_ms')} AS first_spoke_at, {_SEC('last_spoke_ms')} AS last_spoke_at, interruptions_made, interruptions_received, {_SEC('overlap_ms')} AS overlap_seconds, questions_asked, coalesce(languages, '') AS languages FROM stats LEFT JOIN kl USING (meeting_id, speaker_label)""")(
+query("K1_speakers_csv", w(*FULL, _KL) + f"""SELECT meeting_id, speaker_label AS speaker, speaker_label AS display_name, {_SEC('speaking_ms')} AS speaking_time_seconds, {_PCT('speaking_ms', 'speech.t')} AS speaking_time_percent_of_speech, {_PCT('speaking_ms', 'duration_ms')} AS speaking_time_percent_of_meeting,
+num_segments, {_PCT('num_segments', 'sum(num_segments) OVER (PARTITION BY meeting_id)')} AS segment_share_percent, num_turns, {_SEC('longest_ms')} AS longest_utterance_seconds, {_SEC('longest_start_ms')} AS longest_utterance_start, {_SEC('longest_end_ms')} AS longest_utterance_end, word_count,
+{_SEC('first_spoke_ms')} AS first_spoke_at, {_SEC('last_spoke_ms')} AS last_spoke_at, interruptions_made, interruptions_received, {_SEC('overlap_ms')} AS overlap_seconds, questions_asked, coalesce(languages, '') AS languages FROM stats LEFT JOIN kl USING (meeting_id, speaker_label) LEFT JOIN speech USING (meeting_id) LEFT JOIN durations USING (meeting_id)""")(
     lambda s, d: sk.speakers_table(_stats(s, d), _both(s, d)[1]).drop("avg_utterance_seconds", "median_utterance_seconds", "words_per_minute")
 )

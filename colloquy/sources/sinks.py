@@ -67,17 +67,22 @@ def _seconds(ms: Column) -> Column:
     return centiseconds(ms) / 100
 
 
+def _percent(share: Column) -> Column:
+    """Two decimals, half-even on the share's own digits: a hundred times the share may lie beside the half that it is."""
+    return F.bround(F.bround(share, 4) * 100, 2)
+
+
 def speakers_table(stats: DataFrame, utterances: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """The export of speaker statistics: seconds and percentages with two decimals, languages as ``lang:pct;…``."""
     shares = language_totals(utterances, ["meeting_id", "speaker"]).groupBy("meeting_id", F.col("speaker").alias("speaker_label"))
-    entry = F.struct("rank", F.concat("language", F.lit(":"), F.bround(F.col("share") * 100, 2).cast("string")).alias("e"))
+    entry = F.struct("rank", F.concat("language", F.lit(":"), _percent(F.col("share")).cast("string")).alias("e"))
     langs = shares.agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]), ";").alias("languages"))
     out = stats.join(langs, ["meeting_id", "speaker_label"], "left")
     if names is not None:
         out = out.join(names.select("meeting_id", "speaker_label", "display_name"), ["meeting_id", "speaker_label"], "left")
     else:
         out = out.withColumn("display_name", F.lit(None).cast("string"))
-    pct = lambda c: F.bround(F.col(c) * 100, 2)
+    pct = lambda c: _percent(F.col(c))
     return out.select(
         "meeting_id",
         F.col("speaker_label").alias("speaker"),
@@ -88,8 +93,8 @@ def speakers_table(stats: DataFrame, utterances: DataFrame, names: DataFrame | N
         "num_segments",
         pct("segment_share").alias("segment_share_percent"),
         "num_turns",
-        F.bround(F.col("avg_utterance_ms") / 1000, 2).alias("avg_utterance_seconds"),
-        F.bround(F.col("median_utterance_ms") / 1000, 2).alias("median_utterance_seconds"),
+        _seconds(F.col("avg_utterance_ms")).alias("avg_utterance_seconds"),
+        _seconds(F.col("median_utterance_ms")).alias("median_utterance_seconds"),
         _seconds(F.col("longest_ms")).alias("longest_utterance_seconds"),
         _seconds(F.col("longest_start_ms")).alias("longest_utterance_start"),
         _seconds(F.col("longest_end_ms")).alias("longest_utterance_end"),

@@ -27,13 +27,22 @@ def tables(tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["V5_speaker_stats", "V10_meeting_stats", "V11_conversation_analytics", "V11_speaker_languages", "I4_speaker_intervals", "I8_gap_merge"])
+@pytest.mark.parametrize("name", ["K1_speakers_csv", "V5_speaker_stats", "V10_meeting_stats", "V11_conversation_analytics", "V11_speaker_languages", "I4_speaker_intervals", "I8_gap_merge"])
 def test_halves_and_equal_turns(spark, tables, name):
     path, con = tables
     frame, wanted = registry.queries()[name](spark, path), con.sql(registry.oracle_sql()[name])
     assert rows(frame.columns, [tuple(r) for r in frame.collect()]) == rows(wanted.columns, wanted.fetchall())
 
 
+def test_percentages_are_half_even_on_the_ratio(spark, tables):
+    from colloquy.sources.sinks import _percent
+    from pyspark.sql import functions as F
+
+    # 0.625, 6.875, 33.125, 14.375 and 0.14375 per cent
+    parts = spark.createDataFrame([(1, 160), (11, 160), (53, 160), (2_875, 20_000), (23, 16_000)], "a long, b long")
+    assert [r[0] for r in parts.select(_percent(F.col("a") / F.col("b"))).collect()] == [0.62, 6.88, 33.12, 14.38, 0.14]
+
+
 def test_switches_between_regions_of_equal_times(spark):
     spans = spark.createDataFrame([(1, 0, 10, x, "A") for x in ("hi", "en", "hi", "en", "hi", "en")], "meeting_id long, start_ms long, end_ms long, language string, speaker string")
     assert lg.switch_points(spans.repartition(3)).count() == 1
