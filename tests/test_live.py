@@ -102,3 +102,23 @@ def test_idempotent_keys_expire(spark, tmp_path):
     rows = {r.key: (r.n, r.method, r.conflict, r.events) for r in found.collect()}
     assert rows == {"x": (4, "PUT", False, 1), "y": (2, "POST", False, 2)}  # x had been forgotten
     assert found.filter(F.col("conflict")).count() == 0
+
+
+RUNS = "run_id long, ts timestamp, stage_name string, status string"
+
+
+def test_progress_of_many_runs_in_few_states(spark, tmp_path):
+    at = lambda run, stage, status, hours: (run, BASE + timedelta(hours=hours), stage, status)
+    runs = range(2 * live.STATES)
+    first = [at(r, "transcribe", "completed" if r % 3 else "failed", 0) for r in runs] + [at(r, "odd", "completed", 0) for r in runs if r % 2] + [at(None, "align", "completed", 0)]
+    stream = stream_of(spark, str(tmp_path / "in"), [first, [at(0, "align", "completed", 30)], [at(0, "align", "completed", 31)], [at(1, "align", "completed", 32)]], RUNS)
+    told = []
+    query = live.live_progress(stream).writeStream.foreachBatch(lambda b, n: told.append({r.run_id: (r.stages, r.fraction) for r in b.collect()})).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination()
+    part = lambda *stages: sum(ops.WEIGHTS[s] for s in stages) / 100
+    assert sum(ops.WEIGHTS.values()) == 100
+    assert told[0] == {r: ((r % 3 > 0) + r % 2, part("transcribe") if r % 3 else 0) for r in runs} | {None: (1, part("align"))}
+    assert told[1] == told[2] == {0: (1, part("align"))}  # run 0 began with a failure
+    assert told[3] == {1: (1, part("align"))}  # what was known of it is gone
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) <= live.STATES and held[-1] <= 2
