@@ -122,3 +122,12 @@ def test_progress_of_many_runs_in_few_states(spark, tmp_path):
     assert told[3] == {1: (1, part("align"))}  # what was known of it is gone
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert 0 < max(held) <= live.STATES and held[-1] <= 2
+
+
+def test_idempotent_keys_and_shapes_that_are_whole_numbers_or_null(spark, tmp_path):
+    big, none = 2**60, None
+    kinds = "owner long, n long, size long, ts timestamp"
+    rows = [(big, 1, big, BASE), (big, 2, big + 1, BASE), (none, 3, none, BASE), (none, 4, none, BASE), (big + 1, 5, none, BASE), (big + 1, 6, 0, BASE), (0, 7, 0, BASE)]
+    stream = stream_of(spark, str(tmp_path / "in"), [rows[:4], rows[4:]], kinds)
+    found = replay.run_updates(live.idempotent_events(stream, ["owner"], ["size"], "n"), "keys-null", ["owner"]).collect()
+    assert {tuple(r) for r in found} == {(big, 1, big, True, 2), (none, 3, none, False, 2), (big + 1, 5, none, True, 2), (0, 7, 0, False, 1)}
