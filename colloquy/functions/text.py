@@ -6,6 +6,7 @@ import unicodedata
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,9 +72,21 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(strip(text), _SPACES), "")
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+#: Texts that are Python strings at a time; a batch of long texts has many times its size as such.
+_AT_ONCE = 128
+
+
+@F.arrow_udf(T.StringType())
+def _nfc(text: pa.Array) -> pa.Array:
+    """Most texts are in NFC as they are, and pass as Arrow memory."""
+    parts = []
+    for i in range(0, len(text), _AT_ONCE):
+        part = text.slice(i, _AT_ONCE)
+        plain = part.to_pylist()
+        if not all(t is None or unicodedata.is_normalized("NFC", t) for t in plain):
+            part = pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in plain], part.type)
+        parts.append(part)
+    return pa.concat_arrays(parts) if parts else text
 
 
 def nfc(text: Column) -> Column:
