@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
@@ -108,6 +109,12 @@ def comparable(text: Column) -> Column:
     return squeeze(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]", " ")))
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def running_sums(values: pd.Series) -> pd.Series:
+    """Sums of each array up to each of its elements, which are longs."""
+    return values.map(lambda v: None if v is None else np.cumsum(v, dtype=np.int64))
+
+
 @F.pandas_udf(T.DoubleType())
 def compression_ratio(text: pd.Series) -> pd.Series:
     """Bytes over zlib-compressed bytes; 0 for no text."""

@@ -53,12 +53,12 @@ def language_durations(segments: DataFrame) -> DataFrame:
 
 def approximate_words(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Words of ``text`` with times in proportion to their length plus one; none for spans without length."""
-    words = segments.filter("end_ms > start_ms").select(*keys, F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.posexplode(tx.tokens(F.col("text"))).alias("pos", "word"))
-    own = Window.partitionBy(*keys)
-    upto = F.sum(F.length("word") + 1).over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(F.length("word") + 1).over(own)
-    at = lambda n: F.col("s") + F.floor((F.col("e") - F.col("s")) * n / total + 0.5).cast("long")
-    return words.select(*keys, "pos", "word", at(upto - F.length("word") - 1).alias("start_ms"), at(upto).alias("end_ms"))
+    # The sums are over a segment's own array: a window would sort all words of a task.
+    spans = segments.filter("end_ms > start_ms").select(*keys, F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), tx.tokens(F.col("text")).alias("w"))
+    spans = spans.withColumn("upto", tx.running_sums(F.transform("w", lambda x: (F.length(x) + 1).cast("long"))))
+    words = spans.select(*keys, "s", "e", F.try_element_at("upto", F.lit(-1)).alias("total"), F.posexplode(F.arrays_zip("w", "upto")).alias("pos", "x"))
+    at = lambda n: F.col("s") + F.floor((F.col("e") - F.col("s")) * n / F.col("total") + 0.5).cast("long")
+    return words.select(*keys, "pos", F.col("x.w").alias("word"), at(F.col("x.upto") - F.length("x.w") - 1).alias("start_ms"), at(F.col("x.upto")).alias("end_ms"))
 
 
 def merge_chunk_transcripts(segments: DataFrame, owned: DataFrame, similar: float = 0.8) -> DataFrame:
