@@ -95,11 +95,16 @@ def tagged_words(segments: DataFrame, keys: list[str]) -> DataFrame:
     return words.withColumn("script", tx.script_of(F.col("word"))).withColumn("word_language", tx.word_language(F.col("word")))
 
 
+def tagged_counts(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers (n) of a text's words by word_language: ``tagged_words`` counted where the text is, without a row for each word."""
+    return segments.select(*keys, F.inline(tx.language_counts(F.col("text"))))
+
+
 def code_mix(words: DataFrame, fallbacks: DataFrame, keys: list[str]) -> DataFrame:
-    """Per segment of ``fallbacks`` (keys, language): primary language (ties to the fallback if among the leaders, else
+    """From ``tagged_words`` or ``tagged_counts``, per segment of ``fallbacks`` (keys, language): primary language (ties to the fallback if among the leaders, else
     the first by name), languages, whether mixed, and the ratio of words outside the primary one."""
     base = F.substring_index("word_language", "-", 1)
-    counts = words.filter(F.col("word_language").isNotNull()).groupBy(*keys, base.alias("lang")).agg(F.count("*").alias("n"))
+    counts = words.filter(F.col("word_language").isNotNull()).groupBy(*keys, base.alias("lang")).agg((F.sum("n") if "n" in words.columns else F.count("*")).alias("n"))
     ranked = fallbacks.select(*keys, F.col("language").alias("fallback")).join(counts, keys, "left")
     best = F.min(F.when(F.col("lang").isNotNull(), F.struct((-F.col("n")).alias("n"), (~F.coalesce(F.col("lang") == F.col("fallback"), F.lit(False))).alias("f"), "lang")))
     out = ranked.groupBy(*keys).agg(F.first("fallback").alias("fallback"), best.alias("best"), F.array_sort(F.collect_set("lang")).alias("langs"), F.sum("n").alias("total"))
@@ -114,7 +119,22 @@ def code_mix(words: DataFrame, fallbacks: DataFrame, keys: list[str]) -> DataFra
 
 
 def tag_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
-    return segments.join(code_mix(tagged_words(segments, keys), segments, keys), keys, "left")
+    """Segments with the columns of ``code_mix``. Words are counted where the text is, and segments of equal keys are tagged
+    together in a window, so that nothing is worked out twice and no text is joined."""
+    own, base = Window.partitionBy(*keys), lambda x: F.substring_index(x["word_language"], "-", 1)
+    out = segments.withColumn("_own", tx.language_counts(F.col("text"))).withColumn("_all", F.flatten(F.collect_list("_own").over(own)))
+    out = out.withColumn("_fallback", F.first("language").over(own)).withColumn("_fallbacks", F.collect_set("language").over(own)).withColumn("_rows", F.count("*").over(own))
+    out = out.withColumn("_langs", F.array_sort(F.array_distinct(F.transform("_all", base))))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    ranked = F.transform("_langs", lambda y: F.struct((-total(F.filter("_all", lambda x: base(x) == y))).alias("n"), (~F.array_contains("_fallbacks", y)).alias("f"), y.alias("lang")))
+    out = out.withColumn("_best", F.array_min(ranked)).withColumn("_total", total(F.col("_all")) * F.col("_rows"))
+    return out.select(
+        *segments.columns,
+        F.coalesce("_best.lang", "_fallback").alias("primary_language"),
+        F.when(F.size("_langs") > 0, F.col("_langs")).otherwise(F.array_compact(F.array("_fallback"))).alias("languages_present"),
+        (F.size("_langs") > 1).alias("is_code_mixed"),
+        F.when(F.col("_total") > 0, 1 + F.col("_best.n") / F.col("_total")).otherwise(0.0).alias("code_mix_ratio"),
+    )
 
 
 def finalize_transcript(segments: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -128,9 +148,12 @@ def transcript_report(segments: DataFrame, final: DataFrame) -> DataFrame:
     """Per meeting of ``segments``: what became of them in ``final`` (see ``finalize_transcript``): n_segments, n_dropped,
     n_low_confidence, n_code_mixed, and the time of each language (as recognised, not as tagged), longest first."""
     before = segments.groupBy("meeting_id").agg(F.count("*").alias("n_all"))
-    counts = final.groupBy("meeting_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("low_confidence"), 1)).alias("low"), F.count(F.when(F.col("is_code_mixed"), 1)).alias("mixed"))
-    langs = language_durations(final).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("rank", "language", "ms"))).alias("l"))
-    out = before.join(counts, "meeting_id", "left").join(langs, "meeting_id", "left")
+    # Everything is counted by language first, so that ``final`` is worked out once.
+    count = lambda c: F.count(F.when(F.col(c), 1)).alias(c)
+    parts = final.groupBy("meeting_id", F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.count("*").alias("n"), count("low_confidence"), count("is_code_mixed"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
+    entry = F.struct(F.col("ms").isNull().alias("none"), (-F.col("ms")).alias("rank"), "language", "ms")
+    counts = parts.groupBy("meeting_id").agg(F.sum("n").alias("n"), F.sum("low_confidence").alias("low"), F.sum("is_code_mixed").alias("mixed"), F.array_sort(F.collect_list(entry)).alias("l"))
+    out = before.join(counts, "meeting_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     none = F.array().cast("array<struct<language:string,ms:bigint>>")
     return out.select(

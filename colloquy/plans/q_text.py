@@ -177,7 +177,7 @@ cm AS (SELECT doc_id, coalesce(b[3], fallback) AS primary_language, array_to_str
 
 def _mix(s, d):
     docs = _seen(s, d)
-    return tr.code_mix(tr.tagged_words(docs, ["doc_id"]), docs, ["doc_id"]).withColumn("languages_present", F.array_join("languages_present", ","))
+    return tr.code_mix(tr.tagged_counts(docs, ["doc_id"]), docs, ["doc_id"]).withColumn("languages_present", F.array_join("languages_present", ","))
 
 
 query("C3_code_mix_stats", w(_WORDS, _TAG, _MIX) + "SELECT * FROM cm")(_mix)
