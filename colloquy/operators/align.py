@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from . import intervals as iv
@@ -25,18 +26,19 @@ def speaker_for_span(words: DataFrame, turns: DataFrame, max_gap_ms: int = 1_000
     w = words.withColumn("_end", F.greatest("end_ms", F.col("start_ms") + 1))
     spans = w.select("meeting_id", "word_id", "start_ms", F.col("_end").alias("end_ms"))
     t = turns.select("meeting_id", "speaker_label", F.col("start_ms").alias("b_start_ms"), F.col("end_ms").alias("b_end_ms"))
-    pairs = iv.interval_join(spans, t, ["meeting_id"], width)
-    shared = F.least("end_ms", "b_end_ms") - F.greatest("start_ms", "b_start_ms")
-    sums = pairs.groupBy("meeting_id", "word_id", "speaker_label").agg(F.sum(shared).alias("ms"), F.min("b_start_ms").alias("first"))
-    ranked = sums.groupBy("meeting_id", "word_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("ms")).alias("ms"), "first", "speaker_label"))).alias("r"))
-    best = ranked.select("meeting_id", "word_id", F.col("r")[0]["speaker_label"].alias("speaker"), F.array_sort(F.transform(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(1))), lambda x: x["speaker_label"])).alias("overlapping_speakers"))
-    # What overlaps nothing: spans and turns are widened by the gap, end to end.
-    alone = spans.join(best.select("meeting_id", "word_id"), ["meeting_id", "word_id"], "left_anti")
-    wide = alone.select("meeting_id", "word_id", (F.col("start_ms") - max_gap_ms - 1).alias("start_ms"), (F.col("end_ms") + max_gap_ms + 1).alias("end_ms"))
-    gap = F.greatest(F.col("b_start_ms") - (F.col("end_ms") - max_gap_ms - 1), (F.col("start_ms") + max_gap_ms + 1) - F.col("b_end_ms"))
-    near = iv.interval_join(wide, t, ["meeting_id"], width).withColumn("gap", gap).filter(F.col("gap") <= max_gap_ms)
-    nearest = near.groupBy("meeting_id", "word_id").agg(F.min(F.struct("gap", "b_start_ms", "speaker_label")).alias("n")).select("meeting_id", "word_id", F.col("n.speaker_label").alias("_near"))
-    out = w.drop("_end").join(best, ["meeting_id", "word_id"], "left").join(nearest, ["meeting_id", "word_id"], "left")
+    # One join for both: spans are widened by the gap, end to end, and what overlaps a span itself comes first.
+    wide = spans.select("meeting_id", "word_id", (F.col("start_ms") - max_gap_ms - 1).alias("start_ms"), (F.col("end_ms") + max_gap_ms + 1).alias("end_ms"))
+    s, e = F.col("start_ms") + max_gap_ms + 1, F.col("end_ms") - max_gap_ms - 1
+    met = iv.interval_join(wide, t, ["meeting_id"], width).withColumn("gap", F.greatest(F.col("b_start_ms") - e, s - F.col("b_end_ms"))).withColumn("hit", (s < F.col("b_end_ms")) & (F.col("b_start_ms") < e)).filter(F.col("hit") | (F.col("gap") <= max_gap_ms))
+    shared = F.least(e, F.col("b_end_ms")) - F.greatest(s, F.col("b_start_ms"))
+    sums = met.groupBy("meeting_id", "word_id", "speaker_label").agg(F.sum(F.when(F.col("hit"), shared)).alias("ms"), F.min(F.when(F.col("hit"), F.col("b_start_ms"))).alias("first"), F.min(F.when(~F.col("hit"), F.struct("gap", "b_start_ms", "speaker_label"))).alias("near"))
+    ranked = sums.groupBy("meeting_id", "word_id").agg(F.sort_array(F.collect_list(F.when(F.col("ms").isNotNull(), F.struct((-F.col("ms")).alias("ms"), "first", "speaker_label")))).alias("r"), F.min("near").alias("near"))
+    some = F.size("r") > 0
+    best = ranked.select(
+        "meeting_id", "word_id", F.when(some, F.get("r", F.lit(0))["speaker_label"]).alias("speaker"), F.when(~some, F.col("near.speaker_label")).alias("_near"),
+        F.when(some, F.array_sort(F.transform(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(1))), lambda x: x["speaker_label"]))).alias("overlapping_speakers"),
+    )
+    out = w.drop("_end").join(best, ["meeting_id", "word_id"], "left")
     return out.withColumn("speaker", F.coalesce("speaker", "_near", F.lit(UNKNOWN))).withColumn("overlapping_speakers", F.coalesce("overlapping_speakers", F.array().cast("array<string>"))).drop("_near")
 
 
@@ -129,36 +131,60 @@ def _joined(s: np.ndarray, e: np.ndarray, n: np.ndarray, starts: np.ndarray, min
     return into
 
 
+def _merged(group: np.ndarray, start: np.ndarray, end: np.ndarray, min_words: int, gap_ms: int) -> np.ndarray:
+    """The group that each of a speaker's words ends in."""
+    order = np.lexsort((end, start, group))
+    ids, first = np.unique(group[order], return_index=True)
+    if len(ids) < 2:
+        return group
+    last = np.append(first[1:], len(order)) - 1
+    into = _joined(start[order][first], end[order][last], last - first + 1, start[order][last], min_words, gap_ms)
+    return ids[into][np.searchsorted(ids, group)]
+
+
 def merge_fragments(grouped: DataFrame, min_words: int = 2, gap_ms: int = 1_000) -> DataFrame:
     """Groups below ``min_words`` join the nearest group of their speaker within ``gap_ms`` (the first on ties), in order, until
     none can. Each join changes what the next one sees, but only among a speaker's groups: those of a speaker in a meeting
-    are folded, and their words pass by as they are."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        group, start, end = (table.column(c).to_numpy() for c in ("group", "start_ms", "end_ms"))
-        order = np.lexsort((end, start, group))
-        ids, first = np.unique(group[order], return_index=True)
-        last = np.append(first[1:], len(order)) - 1
-        into = _joined(start[order][first], end[order][last], last - first + 1, start[order][last], min_words, gap_ms)
-        merged = ids[into][np.searchsorted(ids, group)]
-        return table.set_column(table.column_names.index("group"), "group", pa.array(merged, table.schema.field("group").type))
-
-    return grouped.groupBy("meeting_id", "speaker").applyInArrow(fold, grouped.schema)
+    are folded, many speakers in a call, and their words pass by as they are."""
+    keys = ["meeting_id", "speaker"]
+    rest = [c for c in grouped.columns if c not in keys]
+    kind = grouped.schema["group"].dataType
+
+    @F.arrow_udf(T.ArrayType(kind))
+    def fold(group: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+        at = group.offsets.to_numpy()
+        ids, s, e = (v.values.to_numpy(zero_copy_only=False) for v in (group, start, end))
+        out = [_merged(*(v[i:j] for v in (ids, s, e)), min_words, gap_ms) for i, j in zip(at[:-1], at[1:], strict=True)]
+        flat = np.concatenate(out) if out else ids[:0]
+        return pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(flat, group.type.value_type))
+
+    words = grouped.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("w"))
+    merged = words.withColumn("_into", fold(*(F.col("w")[c] for c in ("group", "start_ms", "end_ms"))))
+    each = merged.select(*keys, F.inline(F.arrays_zip("w", "_into")))
+    return each.select(*(c if c in keys else F.col("_into" if c == "group" else f"w.{c}").alias(c) for c in grouped.columns))
+
+
+def _parts(start: list, end: list, ends: list, max_ms: int) -> list[int]:
+    """The part of each of a group's words, in order, by whether it ends a sentence."""
+    part, since, out = 0, None, []
+    for s, e, sentence in zip(start, end, ends, strict=True):
+        since = s if since is None else since
+        out.append(part)
+        if since is not None and e is not None and (e - since >= 2 * max_ms or sentence and e - since >= max_ms):
+            part, since = part + 1, None
+    return out
 
 
 def split_long(grouped: DataFrame, max_ms: int = 30_000) -> DataFrame:
     """Numbers parts: a group ends with a sentence once it spans ``max_ms``, and anyway at twice that."""
-    rows = grouped.groupBy("meeting_id", "group").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, *[c for c in grouped.columns if c not in {*_ORDER, "meeting_id", "group"}]))).alias("w"))
-    seed = F.struct(F.lit(0).alias("part"), F.lit(None).cast("bigint").alias("s"), F.array().cast("array<int>").alias("parts"))
+    rows = grouped.groupBy("meeting_id", "group").agg(F.sort_array(F.collect_list(F.struct(*_ORDER, *[c for c in grouped.columns if c not in {*_ORDER, "meeting_id", "group"}], F.coalesce(tx.ends_sentence(F.col("word")), F.lit(False)).alias("_ends")))).alias("w"))
 
-    def step(a: Column, x: Column) -> Column:
-        s = F.coalesce(a["s"], x["start_ms"])
-        span = x["end_ms"] - s
-        cut = ((span >= max_ms) & tx.ends_sentence(x["word"])) | (span >= 2 * max_ms)
-        return F.struct((a["part"] + F.when(cut, 1).otherwise(0)).alias("part"), F.when(cut, F.lit(None).cast("bigint")).otherwise(s).alias("s"), F.concat(a["parts"], F.array(a["part"])).alias("parts"))
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def parts(start: pa.Array, end: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([_parts(*lists, max_ms) for lists in zip(start.to_pylist(), end.to_pylist(), ends.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
-    numbered = rows.withColumn("p", F.aggregate("w", seed, step)["parts"]).select("meeting_id", "group", F.explode(F.arrays_zip("w", "p")).alias("x"))
-    return numbered.select("meeting_id", "group", F.col("x.p").alias("part"), "x.w.*")
+    numbered = rows.withColumn("p", parts(*(F.col("w")[c] for c in ("start_ms", "end_ms", "_ends")))).select("meeting_id", "group", F.inline(F.arrays_zip("w", "p")))
+    return numbered.select("meeting_id", "group", F.col("p").alias("part"), "w.*").drop("_ends")
 
 
 def merge_same_speaker_overlaps(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,7 +206,7 @@ def to_utterance(words: DataFrame, keys: list[str]) -> DataFrame:
     if "confidence" not in words.columns:
         words = words.withColumn("confidence", F.lit(None).cast("double"))
     out = words.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "word", "confidence", "language"))).alias("w"), *([] if "speaker" in keys else [F.min_by("speaker", F.struct("start_ms", "end_ms", "word")).alias("speaker")]), F.avg("confidence").alias("mean"),
+        F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "word", "confidence", "language"))).alias("w"), *([] if "speaker" in keys else [F.min_by("speaker", F.struct("start_ms", "end_ms", "word")).alias("speaker")]), F.avg("confidence").alias("mean"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("overlapping_speakers")))).alias("o"), F.max(F.col("precision") == "segment").alias("seg"),
     )
     out = out.withColumn("heard", F.transform(F.filter("w", lambda x: x["language"].isNotNull()), lambda x: F.substring_index(x["language"], "-", 1))).withColumn("distinct", F.array_distinct("heard"))
