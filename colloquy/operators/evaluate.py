@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import strings as st
 from ..functions import text as tx
 from . import intervals as iv
-from .similar import similar_pairs
+from .similar import similar_pairs, whole_pairs
 
 
 def edit_counts(pairs: DataFrame) -> DataFrame:
@@ -198,27 +202,46 @@ def best_common(counts: DataFrame) -> DataFrame:
     return counts.groupBy("meeting_id").applyInPandas(assign, f"meeting_id {kind}, right long")
 
 
-def precision_recall(gold: DataFrame, found: DataFrame, least: float = 60.0) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def one_to_one(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Which pairs of ids of each row are taken, in order, if an id of either side is in one pair at most."""
+
+    def fold(i: np.ndarray, j: np.ndarray) -> list[bool]:
+        used_i, used_j, out = set(), set(), []
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            out.append(a not in used_i and b not in used_j)
+            if out[-1]:
+                used_i.add(a)
+                used_j.add(b)
+        return out
+
+    return pd.Series([fold(i, j) for i, j in zip(left, right, strict=True)], dtype=object)
+
+
+def _taken(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The pairs (keys, i, j, score, same) that match one to one, the best first, on ties those of larger ids."""
+    ranked = F.sort_array(F.collect_list(F.struct("score", "i", "j", "same")), asc=False)
+    rows = pairs.groupBy(*keys).agg(ranked.alias("p")).withColumn("taken", one_to_one("p.i", "p.j"))
+    return rows.select(*keys, F.explode(F.filter(F.arrays_zip("p", "taken"), lambda x: x["taken"])).alias("x")).select(*keys, "x.p.i", "x.p.j", "x.p.same")
+
+
+def precision_recall(gold: DataFrame, found: DataFrame, least: float = 60.0, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """Per meeting and kind, of items (meeting_id, kind, idx, text, owner): gold, found, hits, precision, recall, owner_hits.
 
     Items match one to one, the most similar pairs first (on ties those of larger idx); ratios over nothing are 1. Owner
     accuracy is owner_hits / hits.
+
+    Pairs that score 100 come before all others and are told by their words alone, so they are matched first; only items that
+    are left are compared by characters. ``keep`` gets those matches and a name, as they are read three times: it may write them
+    and return what was written.
     """
     side = lambda df, x: df.select("meeting_id", "kind", F.col("idx").cast("long").alias(x), F.coalesce("owner", F.lit("")).alias(f"{x}_owner"), tx.squeeze(F.lower("text")).alias(f"{x}_c"))
     key = ["meeting_id", "kind"]
-    pairs = similar_pairs(side(gold, "i"), side(found, "j"), key, least, exact=True).select(*key, "i", "j", "score", (F.col("i_owner") == F.col("j_owner")).alias("same"))
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        left, right, hits, owners = set(), set(), 0, 0
-        for r in g.sort_values(["score", "i", "j"], ascending=False).itertuples(index=False):
-            if r.i not in left and r.j not in right:
-                left.add(r.i)
-                right.add(r.j)
-                hits, owners = hits + 1, owners + bool(r.same)
-        return pd.DataFrame([(g["meeting_id"].iloc[0], g["kind"].iloc[0], hits, owners)], columns=["meeting_id", "kind", "hits", "owner_hits"])
-
-    kind = gold.schema["meeting_id"].dataType.simpleString()
-    matched = pairs.groupBy(*key).applyInPandas(fold, f"meeting_id {kind}, kind string, hits long, owner_hits long")
+    rows = lambda pairs, score: pairs.select(*key, "i", "j", score.alias("score"), (F.col("i_owner") == F.col("j_owner")).alias("same"))
+    whole = keep(_taken(rows(whole_pairs(side(gold, "i"), side(found, "j"), key), F.lit(100.0)), key), "whole")
+    left = lambda df, x: side(df.join(whole.select(*key, F.col(x).alias("idx")), [*key, "idx"], "left_anti"), x)
+    rest = _taken(rows(similar_pairs(left(gold, "i"), left(found, "j"), key, least, exact=True), F.col("score")), key)
+    matched = whole.unionByName(rest).groupBy(*key).agg(F.count("*").alias("hits"), F.count(F.when(F.col("same"), 1)).alias("owner_hits"))
     count = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
     out = count(gold, "gold").join(count(found, "found"), key, "full").join(matched, key, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)

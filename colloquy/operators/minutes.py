@@ -48,10 +48,11 @@ def detect_injections(utterances: DataFrame) -> DataFrame:
 
 def extract_items(utterances: DataFrame) -> DataFrame:
     """Key points, decisions, action items and questions by cue words: a row per item with its evidence."""
-    text = tx.strip(F.col("text"))
+    # In columns below the window, so that each pattern goes over a text once.
+    said = utterances.withColumn("_t", tx.strip(F.col("text")))
+    said = said.select("*", F.col("_t").endswith("?").alias("_asks"), F.col("_t").rlike(tx.DECISION).alias("_decision"), F.col("_t").rlike(tx.ACTION).alias("_action"))
+    text, asks, decision, action = F.col("_t"), F.col("_asks"), F.col("_decision"), F.col("_action")
     first = F.row_number().over(Window.partitionBy("meeting_id", "speaker").orderBy("utterance_index")) == 1
-    asks = text.endswith("?")
-    decision, action = text.rlike(tx.DECISION), text.rlike(tx.ACTION)
     due = F.regexp_extract(text, tx.DUE, 1)
     none = F.lit(None).cast("string")
     item = lambda kind, topic, owner, conf, raw: F.struct(F.lit(kind).alias("kind"), text.alias("text"), topic.alias("topic"), owner.alias("owner"), conf.alias("confidence"), raw.alias("due"))
@@ -61,7 +62,7 @@ def extract_items(utterances: DataFrame) -> DataFrame:
         F.when(~decision & action & ~asks, item("action_item", none, F.col("speaker"), F.lit("medium"), F.when(due != "", due))),
         F.when(asks, item("open_question", none, F.col("speaker"), none, none)),
     )
-    rows = utterances.withColumn("_first", first).withColumn("_i", F.explode(F.filter(found, lambda x: x.isNotNull())))
+    rows = said.withColumn("_first", first).withColumn("_i", F.explode(F.filter(found, lambda x: x.isNotNull())))
     return rows.select("meeting_id", "utterance_index", "speaker", "_i.*", F.substring(text, 1, 80).alias("quote"))
 
 

@@ -317,7 +317,7 @@ def _found(gold):
 
 def _scored(s, d):
     gold = _written(_items(s, d), "gold")
-    return ev.precision_recall(gold, _found(gold))
+    return ev.precision_recall(gold, _found(gold), keep=_written)
 
 
 query("E9_precision_recall")(_scored)
