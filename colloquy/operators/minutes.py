@@ -202,7 +202,9 @@ def check_evidence(evidence: DataFrame, utterances: DataFrame, least: float = 80
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "u_text"))), lambda x: F.coalesce(x["u_text"], F.lit(""))), " ").alias("said"),
     )
     out = evidence.join(met, "evidence_id", "left")
-    quote, said = normalize(F.coalesce("quote", F.lit(""))), normalize(F.coalesce("said", F.lit("")))
+    # In columns, so that each is normalised once.
+    out = out.withColumn("_quote", normalize(F.coalesce("quote", F.lit("")))).withColumn("_said", normalize(F.coalesce("said", F.lit(""))))
+    quote, said = F.col("_quote"), F.col("_said")
     empty, inside = quote == "", said.contains(quote)
     ask = ~empty & ~inside
     score = F.when(empty, 0.0).when(inside, 100.0).otherwise(st.partial_similarity(F.when(ask, quote), F.when(ask, said)))
@@ -214,7 +216,7 @@ def check_evidence(evidence: DataFrame, utterances: DataFrame, least: float = 80
         .when(score < least, "quote_not_found")
     )
     good = F.col("reason").isNull()
-    return out.withColumn("reason", reason).withColumn("start_ms", F.when(good, F.col("s")).otherwise(F.col("start_ms"))).withColumn("end_ms", F.when(good, F.col("e")).otherwise(F.col("end_ms"))).drop("missing", "speakers", "s", "e", "said")
+    return out.withColumn("reason", reason).withColumn("start_ms", F.when(good, F.col("s")).otherwise(F.col("start_ms"))).withColumn("end_ms", F.when(good, F.col("e")).otherwise(F.col("end_ms"))).drop("missing", "speakers", "s", "e", "said", "_quote", "_said")
 
 
 def _judged(items: DataFrame, checked: DataFrame, speakers: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 from colloquy.functions import strings as st
 from colloquy.operators import evaluate as ev
+from colloquy.operators import minutes as mi
 from colloquy.operators import similar
 
 from test_similar import texts
@@ -55,3 +56,11 @@ def test_python_runs_once_and_not_by_group(spark):
     calls = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
     assert "InPandas" not in plan
     assert [sum(f" [{f}(" in x for x in calls) for f in ("token_set_similarity", "letter_bits")] == [1, 2]
+
+
+def test_evidence_is_normalised_once(spark):
+    evidence = spark.createDataFrame([(1, 1, [1], "A", "a  b", None, None)], "evidence_id long, meeting_id long, utterance_ids array<long>, speaker string, quote string, start_ms long, end_ms long")
+    said = spark.createDataFrame([(1, 1, "A", 0, 900, "An A  B")], "meeting_id long, utterance_index long, speaker string, start_ms long, end_ms long, text string")
+    out = mi.check_evidence(evidence, said)
+    assert out._jdf.queryExecution().executedPlan().toString().count("lower(CASE") == 2  # of the quote and of what was said
+    assert out.select("reason", "start_ms", "end_ms").first() == (None, 0, 900)
